@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from veritab.llm import bpe, exact_dedup, token_store
+from veritab.llm import bpe, chat, exact_dedup, html_text, packing, suffix_dedup, token_store, topk
 
 QUERIES = {
     "op2_token_store": token_store.op2_token_store,
     "op3_bpe": bpe.op3_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_html_text": html_text.op6_html_text,
+    "op7_packing": packing.op7_packing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_chat": chat.op9_chat,
+    "op10_topk": topk.op10_topk,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op10_topk": topk.OP10_SQL,
 }
