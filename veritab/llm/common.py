@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Scratch folders of this Python process, newest last; clear_scratch() empties them.
+#: Scratch folders of this Python process, newest last.
 _SCRATCH: list[str] = []
 
 
@@ -35,13 +35,18 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch folder; only when no DataFrame over them will be read again."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+def scratch_since(n: int) -> list[str]:
+    """The scratch folders of this process from the n-th on."""
+    return _SCRATCH[n:]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders; only when no DataFrame over them will be read again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+    paths.clear()
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:

@@ -14,6 +14,8 @@ from tokenizers import Tokenizer  # noqa: E402
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
+#: Marks that are tokens of their own after letters.
+MARKS = ",.!?;:"
 #: Longer pieces are not kept.
 LONG_PIECE = 256
 
@@ -23,46 +25,80 @@ class PieceEncoder:
 
     A single space between two other characters is always a boundary of these vocabularies' pre-tokenizers, so a text
     is cut there and the ids of each piece are kept. keep_space: the space belongs to the piece after it (byte-level
-    vocabularies); else the vocabulary drops white space. At most `most` pieces are kept; then the cache starts anew.
+    vocabularies); else the vocabulary drops white space. Pieces not seen before are taken apart further where that is
+    a boundary, too: at single newlines, and before a mark after letters. At most `most` pieces are kept.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 400_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.space = " " if keep_space else ""
         self.most = most
+        self.marks = {m: self._ids([m])[0] for m in (*MARKS, "\n")}
+        #: Ids of pieces at a text's or line's start, and of those after a space; the same where white space is dropped.
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {} if keep_space else self.first
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, piece: str, cache: dict[str, bytes]) -> list | None:
+        """[(cache, letters, mark), ...] whose ids, with newlines between them, are the piece's; None if it is one."""
+        if "\n" not in piece and (piece[-1:] not in MARKS or not piece[:-1].isalpha()):
+            return None
+        out = []
+        for part in piece.split("\n"):
+            if not part or part[0].isspace() or part[-1].isspace():
+                return None
+            plain = part[-1] in MARKS and part[:-1].isalpha()
+            out.append((cache, part[:-1], part[-1]) if plain else (cache, part, ""))
+            cache = self.first
+        return out
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], before: str) -> None:
-        if len(cache) + len(pieces) > self.most:
-            cache.clear()
-        new = list(pieces.difference(cache))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, done in zip(part, self.tokenizer.encode_batch_fast([before + p for p in part], add_special_tokens=False), strict=True):
-                cache[piece] = array("I", done.ids).tobytes()
+    def _learn(self, heads: set[str], rest: set[str]) -> None:
+        if len(self.first) > self.most:
+            self.first.clear()
+        if len(self.later) > self.most:
+            self.later.clear()
+        later: list[tuple[dict, str, list]] = []
+        ask: dict[int, set[str]] = {id(self.first): set(), id(self.later): set()}
+        for cache, pieces in ((self.first, heads), (self.later, rest)):
+            for piece in pieces.difference(cache):
+                apart = self._apart(piece, cache)
+                if apart is None:
+                    ask[id(cache)].add(piece)
+                else:
+                    later.append((cache, piece, apart))
+                    for c, letters, _ in apart:
+                        if letters not in c:
+                            ask[id(c)].add(letters)
+        for cache, before in ((self.first, ""), (self.later, self.space)):
+            new = list(ask[id(cache)].difference(cache))
+            for i in range(0, len(new), 20_000):
+                part = new[i : i + 20_000]
+                cache.update(zip(part, self._ids([before + p for p in part] if before else part), strict=True))
+        newline = self.marks["\n"]
+        for cache, piece, apart in later:
+            cache[piece] = newline.join([c[letters] + self.marks[mark] if mark else c[letters] for c, letters, mark in apart])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        heads, rest = set(), set()
+        heads = {pieces[0] for pieces in cut}
+        rest: set[str] = set()
         for pieces in cut:
-            heads.add(pieces[0])
-            rest.update(pieces[1:])
-        if not self.space:
-            rest |= heads
+            rest.update(pieces)
+        if self.space:
+            self._learn(heads, rest)
         else:
-            self._learn(self.first, heads, "")
-        # A batch's own pieces must be present together, so all of them are learned after any clearing.
-        self._learn(self.later, rest, self.space)
-        head = self.first if self.space else self.later
-        out = [head[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:])) for pieces in cut]
-        for cache, pieces in ((self.first, heads), (self.later, rest)):
-            for p in pieces:
-                if len(p) > LONG_PIECE:
-                    cache.pop(p, None)
+            self._learn(rest, set())
+        later = self.later.__getitem__
+        out = [self.first[pieces[0]] + b"".join(map(later, pieces[1:])) for pieces in cut]
+        for p in rest:
+            if len(p) > LONG_PIECE:
+                self.first.pop(p, None)
+                self.later.pop(p, None)
         return out
 
 

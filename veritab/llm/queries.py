@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from veritab.llm import bpe, chat, exact_dedup, html_text, packing, suffix_dedup, token_store, topk
+from veritab.llm import bpe, chat, exact_dedup, html_text, ngram_join, packing, quality, suffix_dedup, token_store, topk
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_token_store": token_store.op2_token_store,
     "op3_bpe": bpe.op3_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_html_text": html_text.op6_html_text,
     "op7_packing": packing.op7_packing,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
