@@ -24,9 +24,9 @@ COVER = (1, 5, 11, 24, 25, 27)
 #: from them, so the strings of SAMPLE bytes there are equal, too.
 SAMPLE = MATCH - PERIOD + 1
 #: Bytes of texts in a chunk, positions fingerprinted at a time, and suffixes sorted in a bucket (on average).
-CHUNK_BYTES = 8 << 20
-WINDOW = 1 << 20
-BUCKET_SUFFIXES = 2 << 20
+CHUNK_BYTES = 2 << 20
+WINDOW = 256 << 10
+BUCKET_SUFFIXES = 1 << 20
 #: Up to so many suffixes one 64-bit lane tells different strings apart (under one pair in 500 such corpora); beyond, two.
 ONE_LANE = 1 << 28
 
@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))).first()[0] or 0
     plan = _Plan(total)
     name = f"veritab_chunks_{uuid.uuid4().hex}"
-    buckets = max(partitions_for(spark), ceil_div(total, 8 * CHUNK_BYTES))
+    buckets = max(partitions_for(spark), ceil_div(total, 32 * CHUNK_BYTES))
     _chunks(source).write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
     chunks = spark.table(name)
     row_schema = source.schema["row"].dataType
