@@ -1,4 +1,448 @@
 """Registered queries over the given tables, and their SQL twins."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritab.functions import scalars as S
+from veritab.functions import words as T
+from veritab.operators import catalog as C
+from veritab.operators import findings as G
+from veritab.operators import market as M
+from veritab.operators import profile as P
+from veritab.operators import retrieve as R
+from veritab.operators import shape as H
+from veritab.sources import readers
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a function by its name, with its twin if SQL can say it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- profiles
+
+
+def _profile_sql(source: str, columns: list[str]) -> str:
+    """The profile's rules over every column as text."""
+    has = lambda hints: "(" + " OR ".join(f"contains(lower(c), '{h}')" for h in hints) + ")"
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS p, nullif(trim(regexp_replace(CAST({c} AS VARCHAR), '\\s+', ' ', 'g')), '') AS v FROM {source}" for i, c in enumerate(columns))
+    return rf"""
+WITH cells AS ({rows}),
+parsed AS (SELECT c, v,
+  CASE WHEN regexp_matches(v, '^[+-]?[0-9]+(\.[0-9]+)?$') THEN TRY_CAST(v AS DOUBLE) END AS n,
+  regexp_matches(v, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}([T ]\d{{2}}:\d{{2}}.*)?$') AS d,
+  lower(v) IN ('true','false','yes','no','y','n','0','1','active','inactive') AS b FROM cells),
+agg AS (SELECT c, count(*) AS total_count, count(v) AS nn, count(n) AS num, count(*) FILTER (d) AS dat, count(*) FILTER (b) AS boo,
+  count(DISTINCT lower(v)) AS u, count(DISTINCT n) AS un, avg(length(v)) AS len, min(n) AS lo, max(n) AS hi, avg(n) AS mean, stddev_pop(n) AS std,
+  count(*) FILTER (n < 0) AS neg FROM parsed GROUP BY c),
+t AS (SELECT *, CASE WHEN nn = 0 THEN 'text'
+  WHEN dat / nn >= 0.8 AND (num / nn < 0.8 OR {has(S.DATE_HINTS)}) THEN 'date'
+  WHEN boo = nn AND u <= 2 THEN 'boolean'
+  WHEN num / nn >= 0.8 AND {has(S.PERCENT_HINTS)} THEN 'percentage'
+  WHEN num / nn >= 0.8 AND {has(S.CURRENCY_HINTS)} THEN 'currency'
+  WHEN num / nn >= 0.8 AND {has(S.QUANTITY_HINTS)} THEN 'quantity'
+  WHEN {has(S.IDENTIFIER_HINTS)} AND u / nn > 0.9 THEN 'identifier'
+  WHEN num / nn >= 0.8 THEN 'number'
+  WHEN u / nn > 0.95 AND nn > 5 THEN 'identifier'
+  WHEN u <= greatest(20, nn * 0.5) AND len <= 40 THEN 'category' ELSE 'text' END AS semantic_type FROM agg)
+SELECT c AS "column", semantic_type, nn AS non_null_count, total_count,
+  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN un WHEN semantic_type IN ('identifier','category') THEN u END AS unique_count,
+  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN round(lo, 4) END AS min,
+  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN round(hi, 4) END AS max,
+  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN round(mean, 4) END AS mean,
+  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN round(std, 3) END AS std,
+  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN neg WHEN semantic_type IN ('identifier','category','date') THEN 0 END AS negative_count
+FROM t"""
+
+
+def _profile(t: DataFrame, name: str, row: str) -> DataFrame:
+    cells = P.to_cells(t.withColumn("_row", F.col(row)), name, "_row", t.columns)
+    r = lambda c, k: F.round(F.col(c), k).alias(c)
+    return P.profile(cells).select("column", "semantic_type", "non_null_count", "total_count", "unique_count", r("min", 4), r("max", 4), r("mean", 4), r("std", 3), "negative_count")
+
+
+@query(_profile_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
+def profile_orders(spark, sf_dir):
+    return _profile(table(spark, sf_dir, "orders"), "orders", "o_orderkey")
+
+
+@query(_profile_sql("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]))
+def profile_parts(spark, sf_dir):
+    return _profile(table(spark, sf_dir, "part"), "part", "p_partkey")
+
+
+@query(_profile_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]))
+def profile_customers(spark, sf_dir):
+    return _profile(table(spark, sf_dir, "customer"), "customer", "c_custkey")
+
+
+@query("""SELECT count(*) AS row_count, count(DISTINCT (coalesce(t, ''), coalesce(lang, ''))) AS distinct_rows, count(*) - count(DISTINCT (coalesce(t, ''), coalesce(lang, ''))) AS duplicate_rows
+FROM (SELECT nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS t, lang FROM documents)""")
+def duplicate_documents(spark, sf_dir):
+    return P.duplicate_rows(table(spark, sf_dir, "documents"), ["text", "lang"])
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS count FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return P.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
+
+
+# --- metrics, quality, validation
+
+
+def _line_cells(spark, sf_dir) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").withColumn("_row", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    return P.to_cells(t, "lineitem", "_row", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@query("""SELECT 'Total l_quantity' AS label, round(sum(l_quantity), 1) AS value, 'sum' AS kind, count(l_quantity) AS included_row_count FROM lineitem
+UNION ALL SELECT 'Total l_extendedprice', round(sum(l_extendedprice), 1), 'sum', count(l_extendedprice) FROM lineitem
+UNION ALL SELECT 'Total l_discount', round(sum(l_discount), 1), 'sum', count(l_discount) FROM lineitem
+UNION ALL SELECT 'Total l_tax', round(sum(l_tax), 1), 'sum', count(l_tax) FROM lineitem
+UNION ALL SELECT 'Records in lineitem', count(*)::DOUBLE, 'count', count(*) FROM lineitem""")
+def metrics_lineitem(spark, sf_dir):
+    cells = _line_cells(spark, sf_dir)
+    rows = cells.groupBy(*P.KEY).agg(F.count_if(F.col("position") == 0).alias("row_count"))
+    m = G.metrics(P.profile(cells), rows)
+    return m.select("label", F.round("value", 1).alias("value"), "kind", "included_row_count")
+
+
+@query("""SELECT CAST(round(least(1, greatest(0, 1 - avg(CASE WHEN v IS NULL THEN 1 ELSE 0 END) - least((SELECT (count(*) - count(DISTINCT customer)) / count(*) FROM customer), 0.3))) * 100) AS INTEGER) AS quality_score,
+ CAST(count(*) AS BIGINT) AS total_cells, CAST(count(*) - count(v) AS BIGINT) AS missing_cells, (SELECT count(*) - count(DISTINCT customer) FROM customer) AS duplicate_rows
+FROM (SELECT unnest([c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR, c_acctbal::VARCHAR, c_mktsegment]) AS v FROM customer)""")
+def quality_customer(spark, sf_dir):
+    t = table(spark, sf_dir, "customer")
+    cells = P.to_cells(t.withColumn("_row", F.col("c_custkey")), "customer", "_row", t.columns)
+    scores, _ = G.quality(cells, P.profile(cells), G.dataset_counts(cells))
+    return scores.select("quality_score", "total_cells", "missing_cells", "duplicate_rows")
+
+
+_TOTALS = """WITH s AS (SELECT c_mktsegment AS label, round(sum(c_acctbal), 2) AS v FROM customer GROUP BY 1),
+r AS (SELECT label, v FROM s UNION ALL SELECT 'Total', round((SELECT sum(v) FROM s) * 1.05 + 10, 2))"""
+
+
+def _totals_table(spark, sf_dir) -> DataFrame:
+    """Balances by segment and a declared total row that is off by five percent and ten."""
+    s = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    whole = s.agg(F.lit("Total").alias("segment"), F.round(F.sum("balance") * 1.05 + 10, 2).alias("balance"))
+    rows = s.unionByName(whole).select("segment", F.col("balance").cast("decimal(20,2)").alias("balance"))
+    return rows.withColumn("_row", F.when(F.col("segment") == "Total", F.lit(1 << 40)).otherwise(F.pmod(F.xxhash64("segment"), F.lit(1 << 39))))
+
+
+@query(_TOTALS + " SELECT 'Total' AS label, round((SELECT v FROM r WHERE label = 'Total'), 1) AS claimed, round((SELECT sum(v) FROM r WHERE label <> 'Total'), 1) AS computed")
+def totals_reconcile(spark, sf_dir):
+    cells = P.to_cells(_totals_table(spark, sf_dir), "balances", "_row", ["segment", "balance"])
+    found = G.total_mismatches(cells, P.profile(cells))
+    return found.select("label", F.round("claimed", 1).alias("claimed"), F.round("computed", 1).alias("computed"))
+
+
+@query(_TOTALS + " SELECT 'balance' AS \"column\", round((SELECT v FROM r WHERE label = 'Total'), 1) AS declared, round((SELECT sum(v) FROM r WHERE label <> 'Total'), 1) AS computed")
+def totals_declared(spark, sf_dir):
+    cells = P.to_cells(_totals_table(spark, sf_dir), "balances", "_row", ["segment", "balance"])
+    found = G.mismatched_totals(cells, P.profile(cells))
+    return found.select("column", F.round("value", 1).alias("declared"), F.round("score", 1).alias("computed"))
+
+
+# --- anomalies and insights
+
+
+@query("""WITH s AS (SELECT l_returnflag, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, l_returnflag, round(abs(l_extendedprice - m) / sd, 4) AS z FROM lineitem JOIN s USING (l_returnflag) WHERE sd > 0 AND abs(l_extendedprice - m) / sd > 2""")
+def outliers_lineitem(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return G.group_outliers(t, ["l_returnflag"], "l_extendedprice", 2.0).select("l_orderkey", "l_linenumber", "l_returnflag", F.round("z", 4).alias("z"))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)
+SELECT user_id, event_id, round((value - prev_value) / abs(prev_value), 6) AS change, CASE WHEN abs((value - prev_value) / abs(prev_value)) >= 1 THEN 'high' ELSE 'medium' END AS severity
+FROM p WHERE prev_value <> 0 AND abs((value - prev_value) / abs(prev_value)) >= 0.5""")
+def period_jumps_events(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return G.jumps(t, ["user_id"], "ts", "value", "event_id").select("user_id", "event_id", F.round("change", 6).alias("change"), "severity")
+
+
+@query("""WITH p AS (SELECT event_id, value, lag(value) OVER (ORDER BY ts, event_id) AS prev_value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)
+SELECT event_id, round((value - prev_value) / abs(prev_value), 6) AS change FROM p WHERE prev_value <> 0 AND abs((value - prev_value) / abs(prev_value)) >= 0.5""")
+def period_jumps_all(spark, sf_dir):
+    t = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    return G.jumps_global(t, "ts", "value", "event_id").select("event_id", F.round("change", 6).alias("change"))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_totalprice AS v, o_orderdate AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS x FROM orders),
+f AS (SELECT o_custkey, count(*) AS points, regr_slope(v, x) AS slope, avg(v) AS m FROM p GROUP BY 1 HAVING count(*) >= 3)
+SELECT o_custkey, points, round(slope, 3) AS slope, CASE WHEN slope * points / m > 0.08 THEN 'increased' WHEN slope * points / m < -0.08 THEN 'decreased' ELSE 'flat' END AS direction FROM f""")
+def trend_by_customer(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return G.trends(t, ["o_custkey"], "o_orderdate", "o_totalprice", "o_orderkey").select("o_custkey", "points", F.round("slope", 3).alias("slope"), "direction")
+
+
+@query("""WITH s AS (SELECT o_orderpriority, c_mktsegment, sum(o_totalprice) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+SELECT o_orderpriority, arg_max(c_mktsegment, s) AS leader, round(max(s), 0) AS leader_total, arg_min(c_mktsegment, s) AS trailer, round(min(s), 0) AS trailer_total FROM s GROUP BY 1 HAVING count(*) >= 2""")
+def leaders_by_group(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    got = G.leaders(t, ["o_orderpriority"], "c_mktsegment", "o_totalprice")
+    return got.select("o_orderpriority", "leader", F.round("leader_total", 0).alias("leader_total"), "trailer", F.round("trailer_total", 0).alias("trailer_total"))
+
+
+@query("""SELECT l_returnflag, 'l_quantity' AS a, 'l_extendedprice' AS b, count(*) AS pairs, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1
+UNION ALL SELECT l_returnflag, 'l_quantity', 'l_discount', count(*), round(corr(l_quantity, l_discount), 6) FROM lineitem GROUP BY 1
+UNION ALL SELECT l_returnflag, 'l_extendedprice', 'l_discount', count(*), round(corr(l_extendedprice, l_discount), 6) FROM lineitem GROUP BY 1""")
+def correlations_lineitem(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice", "l_discount")
+    got = G.correlations(t, ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount"])
+    return got.select("l_returnflag", "a", "b", "pairs", F.round("r", 6).alias("r"))
+
+
+@query("""WITH e AS (SELECT least('p_brand:' || p_brand, 'p_type:' || p_type) AS source, greatest('p_brand:' || p_brand, 'p_type:' || p_type) AS target, count(*) AS weight FROM part GROUP BY ALL),
+n AS (SELECT id, sum(weight) AS weight FROM (SELECT source AS id, weight FROM e UNION ALL SELECT target, weight FROM e) GROUP BY 1),
+t AS (SELECT id FROM n QUALIFY row_number() OVER (ORDER BY weight DESC, id) <= 30),
+k AS (SELECT * FROM e WHERE source IN (FROM t) AND target IN (FROM t))
+SELECT source, target, weight, row_number() OVER (ORDER BY weight DESC, source, target)::INTEGER AS rank FROM k QUALIFY rank <= 40""")
+def cooccurrence_parts(spark, sf_dir):
+    return G.cooccurrence(table(spark, sf_dir, "part").select("p_brand", "p_type"), [], "p_brand", "p_type")[1].select("source", "target", "weight", "rank")
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('l_quantity', 'gt', 1000.0), ('l_discount', 'lt', 1.0), ('l_extendedprice', 'gte', 1e15), ('l_tax', 'lte', 1e12), ('l_none', 'gt', 0.0)) AS v("column", operator, threshold)),
+t AS (SELECT 'l_quantity' AS c, sum(l_quantity) AS v FROM lineitem UNION ALL SELECT 'l_discount', sum(l_discount) FROM lineitem UNION ALL SELECT 'l_extendedprice', sum(l_extendedprice) FROM lineitem UNION ALL SELECT 'l_tax', sum(l_tax) FROM lineitem)
+SELECT "column", operator, round(v, 1) AS value, coalesce(CASE operator WHEN 'gt' THEN v > threshold WHEN 'gte' THEN v >= threshold WHEN 'lt' THEN v < threshold ELSE v <= threshold END, false) AS triggered FROM r LEFT JOIN t ON r."column" = t.c""")
+def alerts_eval(spark, sf_dir):
+    rules = spark.createDataFrame([("l_quantity", "gt", 1000.0), ("l_discount", "lt", 1.0), ("l_extendedprice", "gte", 1e15), ("l_tax", "lte", 1e12), ("l_none", "gt", 0.0)], "column string, operator string, threshold double")
+    cells = _line_cells(spark, sf_dir)
+    totals = G.column_totals(cells, P.profile(cells)).select("column", "total")
+    return G.evaluate_alerts(rules, totals, ["column"]).select("column", "operator", F.round("value", 1).alias("value"), "triggered")
+
+
+@query("""SELECT lower(n_name) AS place, n_name AS label, CAST(n_regionkey AS DOUBLE) AS lat, CAST(n_nationkey AS DOUBLE) AS lon, round(sum(c_acctbal), 1) AS total, count(*) AS n
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey, n_nationkey ORDER BY sum(c_acctbal) DESC LIMIT 60""")
+def geo_totals(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    places = nation.select(F.lower("n_name").alias("place"), F.col("n_regionkey").cast("double").alias("lat"), F.col("n_nationkey").cast("double").alias("lon"))
+    t = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    got = G.place_totals(t, F.col("n_name"), F.col("c_acctbal"), places)
+    return got.select("place", "label", "lat", "lon", F.round("total", 1).alias("total"), "n")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS x, round(sum(o_totalprice), 1) AS y FROM orders GROUP BY 1")
+def chart_points(spark, sf_dir):
+    t = table(spark, sf_dir, "orders")
+    return G.chart_points(t, F.date_format("o_orderdate", "yyyy-MM"), F.col("o_totalprice").cast("decimal(20,2)")).select("x", F.round("y", 1).alias("y"))
+
+
+@query("""WITH m AS (SELECT label, pct, value FROM (SELECT 'orders' AS label, sum(o_totalprice) AS value FROM orders), (SELECT unnest([-50.0, -10.0, 0.0, 25.0]) AS pct))
+SELECT label, pct::DOUBLE AS pct, round(value * (1 + pct / 100), 0) AS projected FROM m""")
+def what_if(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").agg(F.lit("orders").alias("label"), F.sum("o_totalprice").alias("value"))
+    return G.project(m, [-50, -10, 0, 25, 80]).select("label", "pct", F.round("projected", 0).alias("projected"))
+
+
+@query("""SELECT p_brand, rank, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS rank FROM part) WHERE rank <= 10""")
+def top_parts(spark, sf_dir):
+    return C.top_by(table(spark, sf_dir, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 10).select("p_brand", "rank", "p_partkey", "p_retailprice")
+
+
+@query("""WITH t AS (SELECT n_name AS grp, s_name AS name, s_acctbal AS change, CAST(floor(abs(s_acctbal)) AS BIGINT) AS volume FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+a AS (SELECT grp, 'movers' AS list, name, change AS value, row_number() OVER (PARTITION BY grp ORDER BY abs(change) DESC, name)::INTEGER AS rank FROM t WHERE change <> 0),
+b AS (SELECT grp, 'active' AS list, name, volume::DOUBLE AS value, row_number() OVER (PARTITION BY grp ORDER BY abs(volume) DESC, name)::INTEGER AS rank FROM t WHERE volume > 0)
+SELECT * FROM a WHERE rank <= 8 UNION ALL SELECT * FROM b WHERE rank <= 8""")
+def top_movers(spark, sf_dir):
+    t = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    t = t.select(F.col("n_name").alias("grp"), "s_name", F.col("s_acctbal").alias("change"), F.floor(F.abs("s_acctbal")).alias("volume"))
+    return M.movers(t, ["grp"], "s_name", "change", "volume").select("grp", "list", "name", "value", "rank")
+
+
+# --- versions and the catalog
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return t.filter("o_orderstatus <> 'P'"), t.filter("o_orderstatus <> 'F'")
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus <> 'F')
+SELECT (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS rows_added, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS rows_removed, false AS unchanged""")
+def version_diff(spark, sf_dir):
+    a, b = _versions(spark, sf_dir)
+    return C.version_diff(a, b, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
+@query("""WITH a AS (SELECT o_orderpriority AS label, count(*)::DOUBLE AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_orderpriority AS label, count(*)::DOUBLE AS v FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT label, a.v AS before, b.v AS after, b.v - a.v AS delta, round((b.v - a.v) / abs(nullif(a.v, 0)) * 100, 6) AS percent FROM a FULL JOIN b USING (label)""")
+def metric_diff(spark, sf_dir):
+    t = table(spark, sf_dir, "orders")
+    side = lambda s: t.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return C.compare_metrics(side("F"), side("O")).withColumn("percent", F.round("percent", 6))
+
+
+@query("""WITH a AS (SELECT 'a' AS s, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 2 = 1),
+b AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS dataset, o_orderkey, o_orderpriority FROM orders),
+u AS (SELECT dataset, o_orderkey, bool_or(s = 1) AS x, bool_or(s = 2) AS y FROM (SELECT dataset, o_orderkey, 1 AS s FROM a UNION ALL SELECT dataset, o_orderkey, 2 FROM b) GROUP BY ALL)
+SELECT dataset, CASE WHEN count(*) FILTER (x <> y) > 0 THEN 'changed' ELSE 'unchanged' END AS status, count(*) FILTER (y AND NOT x) AS rows_added, count(*) FILTER (x AND NOT y) AS rows_removed FROM u GROUP BY 1""")
+def dataset_diff(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus").withColumn("even", F.col("o_orderkey") % 2 == 0)
+
+    def cells(rows: DataFrame) -> DataFrame:
+        both = [P.to_cells(rows.filter(F.col("even") == e).withColumn("_row", F.col("o_orderkey")), n, "_row", ["o_orderkey", "o_orderpriority"]) for e, n in ((True, "even"), (False, "odd"))]
+        return both[0].unionByName(both[1])
+
+    return C.compare_datasets(cells(t.filter("o_orderstatus <> 'P' OR NOT even")), cells(t))
+
+
+def _catalog(spark, sf_dir) -> DataFrame:
+    """Documents as catalog entries: two owners, dates from their ids."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id"), (F.col("doc_id") % 2).alias("user_id"), F.concat(F.lit("File_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.col("source").alias("source_type"), F.lit("completed").alias("status"),
+        F.lit(None).cast("date").alias("report_date"), F.date_add(F.lit("2020-01-01"), (F.col("doc_id") % 2000).cast("int")).alias("created_at"), F.col("lang").alias("document_type"), F.col("n_chars").cast("double").alias("headline_value"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("file_hash"),
+    )
+
+
+@query("""SELECT doc_id, 'File_' || doc_id || '.txt' AS filename, n_chars::DOUBLE AS headline_value FROM documents
+WHERE contains('file_' || doc_id || '.txt', '1') AND lang = 'en' AND year(DATE '2020-01-01' + CAST(doc_id % 2000 AS INTEGER)) = 2021 ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 20 OFFSET 20""")
+def catalog_page(spark, sf_dir):
+    rows = C.catalog_filter(_catalog(spark, sf_dir), search="1", status="completed", year=2021, document_type="en")
+    return C.page(rows, C.catalog_sort(rows, "-value"), 2, 20)[0].select("doc_id", "filename", "headline_value")
+
+
+@query("""SELECT (SELECT string_agg(y, ',' ORDER BY y DESC) FROM (SELECT DISTINCT year(DATE '2020-01-01' + CAST(doc_id % 2000 AS INTEGER))::VARCHAR AS y FROM documents)) AS years,
+(SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT source AS s FROM documents)) AS source_types, (SELECT string_agg(l, ',' ORDER BY l) FROM (SELECT DISTINCT lang AS l FROM documents WHERE lang <> '')) AS document_types""")
+def catalog_facets(spark, sf_dir):
+    f = C.facets(_catalog(spark, sf_dir))
+    return f.select(*[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in f.columns])
+
+
+@query("""SELECT user_id, file_hash, doc_id FROM (SELECT doc_id % 2 AS user_id, sha256(coalesce(text, '')) AS file_hash, doc_id,
+row_number() OVER (PARTITION BY doc_id % 2, sha256(coalesce(text, '')) ORDER BY doc_id % 2000 DESC, doc_id DESC) AS rn FROM documents) WHERE rn = 1""")
+def latest_by_hash(spark, sf_dir):
+    return C.latest_by_hash(_catalog(spark, sf_dir)).select("user_id", "file_hash", "doc_id")
+
+
+@query("""SELECT count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 = 0) AS deleted, count(*) FILTER (NOT (doc_id % 2 = 0 AND doc_id % 3 = 0)) AS kept FROM documents""")
+def bulk_delete(spark, sf_dir):
+    cat = _catalog(spark, sf_dir)
+    gone, kept, _ = C.bulk_delete(cat, {}, cat.filter("doc_id % 3 = 0").select("doc_id"), user_id=0)
+    return gone.agg(F.count(F.lit(1)).alias("deleted")).join(kept.agg(F.count(F.lit(1)).alias("kept")), how="cross")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'urg') OR contains(lower(o_orderstatus), 'urg')")
+def row_search(spark, sf_dir):
+    return C.row_search(table(spark, sf_dir, "orders"), "URG", ["o_orderstatus", "o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+
+
+# --- text
+
+
+@query(r"""WITH w AS (SELECT doc_id, lower(unnest(l)) AS keyword, unnest(range(len(l))) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''-]{2,}') AS l FROM documents)),
+c AS (SELECT doc_id, keyword, count(*) AS count, min(pos) AS p FROM w WHERE keyword NOT IN (STOP) GROUP BY ALL HAVING count(*) > 1)
+SELECT doc_id, keyword, count, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, p)::INTEGER AS rank FROM c QUALIFY rank <= 10""".replace("STOP", ", ".join(f"'{w}'" for w in T.PROSE_STOPWORDS)))
+def keywords(spark, sf_dir):
+    return T.keywords(table(spark, sf_dir, "documents"))
+
+
+_CLASS_SQL = ", ".join(f"{{'n': {' + '.join(f'CAST(contains(t, $q${w}$q$) AS INTEGER)' for w in ws)}, 'o': {-i}, 'l': '{k}'}}" for i, (k, ws) in enumerate(T.CLASS_WORDS.items()))
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_reverse_sort([{_CLASS_SQL}]) AS r FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents))
+SELECT doc_id, CASE WHEN r[1].n = 0 THEN 'General dataset' WHEN r[1].n >= 2 AND r[1].n = r[2].n THEN 'General business' ELSE r[1].l END AS document_type,
+CASE WHEN r[1].n = 0 THEN 'low' WHEN r[1].n < 2 OR r[1].n = r[2].n THEN 'medium' ELSE 'high' END AS confidence FROM s""")
+def classify(spark, sf_dir):
+    label, confidence = T.classify(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", label.alias("document_type"), confidence.alias("confidence"))
+
+
+@query()
+def entities(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(T.extract_numbers(F.col("text")), "|").alias("numbers"), F.array_join(T.extract_dates(F.col("text")), "|").alias("dates"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
+def json_props(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"))
+    records, _ = readers.read_json_lines(lines, "k long")
+    return H.flatten(records).select(F.col("doc_id").alias("event_id"), "k")
+
+
+@query()
+def table_runs(spark, sf_dir):
+    return H.table_runs(H.text_lines(table(spark, sf_dir, "documents")))[0].select("doc_id", "table_id", "row_no", F.size("cells").alias("n_cells"))
+
+
+@query()
+def sections(spark, sf_dir):
+    prose = H.table_runs(H.text_lines(table(spark, sf_dir, "documents")))[1]
+    return H.sections(prose)
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, substr(text, 1, 1200) AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS b FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '')
+SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY b DESC)::INTEGER AS place FROM m WHERE b <= 8""")
+def recent_turns(spark, sf_dir):
+    return R.recent_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text", "place")
+
+
+@query()
+def chunks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    return R.build_chunks([R.section_chunks(d)], most=None).select("doc_id", "chunk_no", "content")
+
+
+@query()
+def table_chunks(spark, sf_dir):
+    t = table(spark, sf_dir, "customer")
+    return R.build_chunks([R.dataset_chunks(P.to_cells(t.withColumn("_row", F.col("c_custkey")), "customer", "_row", t.columns), most_rows=None)], most=None).select("doc_id", "chunk_no", "content")
+
+
+_STOPQ = ", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS)
+
+
+@query(rf"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9%]+(?:[''.][a-z0-9]+)*'), lambda x: x NOT IN ({_STOPQ}) AND length(x) > 1) AS w FROM benchmark),
+f AS (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+h AS (SELECT item_id, md5(f) AS d FROM f),
+s AS (SELECT item_id, CAST(('0x' || d[7:8] || d[5:6] || d[3:4] || d[1:2])::BIGINT % 512 AS INTEGER) AS bucket, sum(CASE WHEN ('0x' || d[10:10])::INTEGER % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL HAVING v <> 0)
+SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 9) AS weight FROM s""")
+def hash_embed(spark, sf_dir):
+    return R.hash_embedding(table(spark, sf_dir, "benchmark"), ["item_id"], "text").withColumn("weight", F.round("weight", 9))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 100 = 0)
+SELECT query_id, vec_id AS id, round(list_cosine_similarity(q, v), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 9) DESC, vec_id)::INTEGER AS rank FROM q JOIN v ON query_id <> vec_id QUALIFY rank <= 8""")
+def cosine_topk(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return R.cosine_top(e, e.filter("vec_id % 100 = 0"), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(rf"""WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9%]+(?:[''.][a-z0-9]+)*'), lambda x: x NOT IN ({_STOPQ}) AND length(x) > 1)) AS w FROM benchmark),
+d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9%]+(?:[''.][a-z0-9]+)*'), lambda x: x NOT IN ({_STOPQ}) AND length(x) > 1)) AS w FROM documents),
+m AS (SELECT item_id, doc_id, len(list_intersect(q.w, d.w)) / len(q.w) AS score FROM q JOIN d ON len(list_intersect(q.w, d.w)) > 0)
+SELECT item_id, doc_id, round(score, 9) AS score FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) = 1 AND score >= 0.12""")
+def section_search(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.lit("corpus").alias("doc_id"), F.col("text").alias("question"))
+    s = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("doc_id"), F.col("doc_id").alias("section_no"), F.col("doc_id").cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    # The title carries the id through; ids are no words of the questions.
+    got = R.best_sections(q, s)
+    return got.select(F.col("question_id").alias("item_id"), F.col("source").cast("long").alias("doc_id"), F.round("score", 9).alias("score"))
+
+
+@query()
+def retrieval(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    cat = d.select("doc_id", F.lit("completed").alias("status"), (F.col("doc_id") % 4).alias("user_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("filename"))
+    pieces = R.build_chunks([R.section_chunks(d.select("doc_id", F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content")))], most=None)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 4).alias("user_id"), F.col("text").alias("question"))
+    return R.retrieve(q, pieces, cat).select("question_id", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
