@@ -23,6 +23,8 @@ BUCKET = 2048
 LEVELS = 4
 #: 8-bit minhashes of a set's sketch; pairs whose sketches agree too little are not verified.
 SKETCH = 256
+#: Tokens of the sets in a block, on average.
+BLOCK_TOKENS = 1 << 20
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -115,55 +117,69 @@ def _sketch(tokens: np.ndarray) -> bytes:
 
 
 def _least_agreement(threshold: float) -> int:
-    """Equal sketch bytes that a pair at the threshold has but once in a million times (six deviations)."""
+    """Equal sketch bytes that a pair at the threshold falls short of once in 30,000 times (four deviations)."""
     p = threshold + (1 - threshold) / 256
-    return int(SKETCH * p - 6 * math.sqrt(SKETCH * p * (1 - p)))
+    return int(SKETCH * p - 4 * math.sqrt(SKETCH * p * (1 - p)))
 
 
-def _bucket_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs (x, y), x < y, of rows (bucket, half, rep, sketch, size) of one bucket.
+def _merge(labels: np.ndarray, members: np.ndarray) -> None:
+    """Give the classes of members (places) one label, the smallest of theirs."""
+    old = np.unique(labels[members])
+    if len(old) > 1:
+        labels[np.isin(labels, old[1:])] = old[0]
 
-    half is null where a bucket is compared with itself; else rows of half 0 are compared with those of half 1. Rows
-    come sorted, so a task holds one bucket at a time.
-    """
-    least = _least_agreement(threshold)
 
-    def pairs(reps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, half: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(sizes, kind="stable")
-        reps, sizes, sketches, half = reps[order], sizes[order], sketches[order], half[order]
-        for a in range(len(reps) - 1):
-            # Sets sorted by size: a partner is at most 1 / threshold times as large.
-            b = np.searchsorted(sizes, sizes[a] / threshold + 1e-9, "right")
-            if b <= a + 1:
-                continue
-            near = (sketches[a + 1 : b] == sketches[a]).sum(axis=1) >= least
-            if half[a] >= 0:
-                near &= half[a + 1 : b] != half[a]
-            got = reps[a + 1 : b][near]
-            got = got[got != reps[a]]
-            if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(got, reps[a])), pa.array(np.maximum(got, reps[a]))], ["x", "y"])
+def _grouped(batches: Iterator[pa.RecordBatch], key: str, names: tuple[str, ...]) -> Iterator[tuple[int, list[tuple]]]:
+    """Runs of rows with one key, of rows sorted by it: one group is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        for k, *row in zip(batch.column(key).to_pylist(), *[batch.column(n).to_pylist() for n in names], strict=True):
+            if k != now and held:
+                yield now, held
+                held = []
+            now = k
+            held.append(row)
+    if held:
+        yield now, held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        bucket = None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                reps, sizes, sketches, half = zip(*held, strict=True)
-                yield from pairs(np.array(reps, np.int64), np.array(sizes, np.int64), np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH), np.array([-1 if h is None else h for h in half]))
+def _near(a: int, sizes: np.ndarray, sketches: np.ndarray, half: np.ndarray, threshold: float, least: int) -> np.ndarray:
+    """Places after a (sets come by size) of the sets whose size and sketch allow the threshold."""
+    b = np.searchsorted(sizes, sizes[a] / threshold + 1e-9, "right")
+    near = (sketches[a + 1 : b] == sketches[a]).sum(axis=1) >= least
+    if half[a] >= 0:
+        near &= half[a + 1 : b] != half[a]
+    return np.flatnonzero(near) + a + 1
 
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "rep", "size", "sketch", "half")]
-            for b, *row in zip(*cols, strict=True):
-                if b != bucket:
-                    yield from close()
-                    held, bucket = [], b
-                held.append(tuple(row))
-        yield from close()
+
+def _bucket_stars(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): in each bucket of rows (bucket, half, rep, sketch, size), sets that candidate pairs connect, as a star.
+
+    half is null where a bucket is compared with itself; else rows of half 0 are compared with those of half 1. A star
+    has one row less than members, however many pairs there are.
+    """
+    least = _least_agreement(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _grouped(batches, "bucket", ("rep", "size", "sketch", "half")):
+            if len(held) < 2:
+                continue
+            reps, sizes, sketches, half = zip(*held, strict=True)
+            order = np.argsort(np.array(sizes), kind="stable")
+            reps, sizes = np.array(reps, np.int64)[order], np.array(sizes, np.int64)[order]
+            sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)[order]
+            half = np.array([-1 if h is None else h for h in half])[order]
+            labels = np.arange(len(reps))
+            for a in range(len(reps) - 1):
+                near = _near(a, sizes, sketches, half, threshold, least)
+                if len(near):
+                    _merge(labels, np.append(near, a))
+            tied = np.flatnonzero(labels != np.arange(len(reps)))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[labels[tied]]), pa.array(reps[tied])], ["a", "b"])
 
     n = partitions_for(rows.sparkSession)
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "x long, y long").distinct()
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def _deeper(rows: DataFrame, sets: DataFrame, branching: float) -> DataFrame:
@@ -179,59 +195,90 @@ def _deeper(rows: DataFrame, sets: DataFrame, branching: float) -> DataFrame:
     return rows.join(sets.select("rep", "tokens"), "rep").select("bucket", "rep", "tokens").mapInArrow(run, "bucket long, rep long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) whose shingle sets have at least the threshold's Jaccard similarity."""
+def _links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
+    """(rep, root, linked) of rows (block, half, rep, size, copies, sketch, tokens): exact links inside each block.
+
+    Pairs that sketches allow are verified on their whole sets; linked is the number of rows that a set's links stand
+    for, root the smallest set that its links connect it to in this block. One row a set, however many links.
+    """
+    least = _least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("tx"), batch.column("ty"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+        for _, held in _grouped(batches, "block", ("rep", "size", "copies", "half", "sketch", "tokens")):
+            if len(held) < 2:
+                continue
+            held.sort(key=lambda r: r[1])
+            reps, sizes, copies = (np.array([r[i] for r in held], np.int64) for i in range(3))
+            half = np.array([-1 if r[3] is None else r[3] for r in held])
+            sketches = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, SKETCH)
+            words, tokens = np.unique(np.frombuffer(b"".join(r[5] for r in held), np.uint64), return_inverse=True)
+            held.clear()
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            labels, linked, mark = np.arange(len(reps)), np.zeros(len(reps), np.int64), np.zeros(len(words), np.int32)
+            for a in range(len(reps) - 1):
+                near = _near(a, sizes, sketches, half, threshold, least)
+                near = near[reps[near] != reps[a]]
+                if not len(near):
+                    continue
+                own = tokens[starts[a] : ends[a]]
+                mark[own] = 1
+                # Shared tokens of each candidate: sums of marks over its tokens.
+                found = np.concatenate([tokens[starts[i] : ends[i]] for i in near])
+                both = np.add.reduceat(mark[found], np.cumsum(sizes[near]) - sizes[near])
+                mark[own] = 0
+                near = near[both >= threshold * (sizes[a] + sizes[near] - both) - 1e-9]
+                if len(near):
+                    linked[a] += copies[near].sum()
+                    linked[near] += copies[a]
+                    _merge(labels, np.append(near, a))
+            got = np.flatnonzero(linked)
+            if len(got):
+                # A class's root is its smallest id.
+                low = np.full(len(reps), np.iinfo(np.int64).max)
+                np.minimum.at(low, labels, reps)
+                yield pa.RecordBatch.from_arrays([pa.array(reps[got]), pa.array(low[labels[got]]), pa.array(linked[got])], ["rep", "root", "linked"])
 
-    tokens = sets.select("rep", "tokens")
-    joined = pairs.join(tokens.withColumnsRenamed({"rep": "y", "tokens": "ty"}), "y").join(tokens.withColumnsRenamed({"rep": "x", "tokens": "tx"}), "x")
-    return joined.select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
+    n = partitions_for(members.sparkSession)
+    return members.repartition(n, "block").sortWithinPartitions("block").mapInArrow(run, "rep long, root long, linked long")
 
 
 def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, branching: float = BRANCHING, bucket: int = BUCKET, levels: int = LEVELS) -> DataFrame:
-    """Verified pairs (x, y) between reps (rep, paths), ids of docs with different shingle sets."""
+    """(rep, root, linked) as _links_in_blocks() gives them, for reps (rep, copies, paths): ids of docs with different sets."""
     rows = stage(reps.select(F.explode("paths").alias("bucket"), "rep").distinct(), "paths")
-    sizes = rows.groupBy("bucket").count().filter("count > 1")
-    rows = stage(rows.join(sizes, "bucket"), "buckets")
+    rows = stage(rows.join(rows.groupBy("bucket").count().filter("count > 1"), "bucket"), "buckets")
     # Whole texts are read again only for sets that share a bucket.
     wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
     sets = stage(_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["rep"]), "sets")
-    small = [rows.filter(F.col("count") <= bucket).select("bucket", F.lit(None).cast("int").alias("half"), "rep")]
-    large = rows.filter(F.col("count") > bucket).select("bucket", "rep")
+    whole = F.lit(None).cast("int").alias("half")
+    every = rows.filter(F.col("count") <= bucket).select("bucket", whole, "rep")
+    large = rows.filter(F.col("count") > bucket)
     for _ in range(levels - 1):
         if large.isEmpty():
             break
-        rows = stage(_deeper(large, sets, branching), "paths")
-        rows = rows.join(rows.groupBy("bucket").count().filter("count > 1"), "bucket")
-        rows = stage(rows, "buckets")
-        small.append(rows.filter(F.col("count") <= bucket).select("bucket", F.lit(None).cast("int").alias("half"), "rep"))
-        large = rows.filter(F.col("count") > bucket).select("bucket", "rep", "count")
+        rows = stage(_deeper(large.select("bucket", "rep"), sets, branching), "paths")
+        rows = stage(rows.join(rows.groupBy("bucket").count().filter("count > 1"), "bucket"), "buckets")
+        every = every.unionByName(rows.filter(F.col("count") <= bucket).select("bucket", whole, "rep"))
+        large = rows.filter(F.col("count") > bucket)
     if not large.isEmpty():
-        small.append(_block_pairs(large if "count" in large.columns else large.join(sizes, "bucket"), bucket))
-    every = small[0]
-    for s in small[1:]:
-        every = every.unionByName(s)
-    pairs = stage(_bucket_pairs(every.join(sets.select("rep", "sketch", "size"), "rep"), threshold), "pairs")
-    return _verified(pairs, sets, threshold)
-
-
-def _block_pairs(large: DataFrame, bucket: int) -> DataFrame:
-    """Buckets that levels of splitting left large, as pairs of blocks: every two of their sets meet in one of them."""
-    blocks = F.ceil(2 * F.col("count") / bucket).cast("int")
-    dealt = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        every = every.unionByName(_block_pairs(large, F.ceil(2 * F.col("count") / bucket), "bucket", []))
+    stars = _bucket_stars(every.join(sets.select("rep", "sketch", "size"), "rep"), threshold)
+    # Sets that candidate pairs connect meet once, with their tokens, in blocks of bounded size.
+    clusters = min_labels(stars, "candidates").withColumnsRenamed({"node": "rep", "label": "cluster"})
+    members = clusters.join(sets.select("rep", "size"), "rep").join(reps.select("rep", "copies"), "rep")
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("n") / bucket), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    dealt = _block_pairs(members.join(sizes, "cluster"), blocks, "cluster", ["size", "copies"]).withColumnRenamed("cluster", "block")
+    return _links_in_blocks(dealt.join(sets.select("rep", "sketch", "tokens"), "rep"), threshold)
+
+
+def _block_pairs(rows: DataFrame, blocks, key: str, more: list[str]) -> DataFrame:
+    """(key, half, rep, more...): groups of rows (key, rep) cut into blocks, and every two of their sets together in one pair of blocks."""
+    dealt = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     half = F.when(F.col("own") == F.col("other"), F.lit(None).cast("int")).otherwise((F.col("own") > F.col("other")).cast("int"))
-    return met.select(F.xxhash64("bucket", low, high).alias("bucket"), half.alias("half"), "rep")
+    return met.select(F.when(F.col("blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, low, high)).alias(key), half.alias("half"), "rep", *more)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -246,20 +293,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     Chosen paths: in each run a set takes about BRANCHING of its tokens and goes to the bucket of each; sets of a
     small bucket are compared, large buckets are split again. runs_needed() gives the runs for the target recall.
-    Sketches decide which pairs of a bucket are verified on their whole sets.
+    Sketches decide which sets of a bucket may be linked; what they connect is verified on whole sets, in blocks of
+    bounded size. Only stars and counts leave a task, so rows grow with the texts and never with their pairs.
     """
     runs = runs_needed(threshold=threshold, recall=recall)
     keys = stage(_keys(docs, runs, BRANCHING), "keys")
     total = keys.count()
     sets = keys.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
     sets = stage(sets, "reps")
-    found = stage(links(docs, sets.select("rep", "paths"), threshold), "links")
-    both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    degree = both.join(sets.select(F.col("rep").alias("y"), "copies"), "y").groupBy("x").agg(F.sum("copies").alias("linked"))
-    labels = min_labels(found.select(F.col("x").alias("a"), F.col("y").alias("b")), "near")
+    found = stage(links(docs, sets.select("rep", "copies", "paths"), threshold), "links")
+    degree = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    labels = min_labels(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "near")
     of_set = (
         sets.select("set_key", "rep", "copies")
-        .join(degree.withColumnRenamed("x", "rep"), "rep", "left")
+        .join(degree, "rep", "left")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .select("set_key", "copies", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
