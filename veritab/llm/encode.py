@@ -10,12 +10,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task
 
 from tokenizers import Tokenizer  # noqa: E402
 
+from veritab.llm.bpe import byte_alphabet  # noqa: E402
+
 #: Two white-space characters in a row: such a text is cut with more care.
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: Marks that are tokens of their own after letters.
 MARKS = ",.!?;:"
+#: The character that stands for each byte in byte-level vocabularies.
+_ALPHABET = dict(enumerate(byte_alphabet()))
 #: Longer pieces are not kept.
 LONG_PIECE = 256
 
@@ -29,7 +33,7 @@ class PieceEncoder:
     a boundary, too: at single newlines, and before a mark after letters. At most `most` pieces are kept.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 500_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 1_200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -43,9 +47,23 @@ class PieceEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _known(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of pieces. Words of Latin letters are one pre-token, so the vocabulary's model takes them as they are."""
+        out, rest = [b""] * len(words), []
+        tokenize = self.tokenizer.model.tokenize
+        for i, w in enumerate(words):
+            if w.isalpha() and max(w) < "\u0180" and "\u0130" not in w and "\u0149" not in w:
+                w = before + w if self.space else w.lower()
+                out[i] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._ids([before + words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def _apart(self, piece: str, cache: dict[str, bytes]) -> list | None:
         """[(cache, letters, mark), ...] whose ids, with newlines between them, are the piece's; None if it is one."""
-        if "\n" not in piece and (piece[-1:] not in MARKS or not piece[:-1].isalpha()):
+        if "İ" in piece or "\n" not in piece and (piece[-1:] not in MARKS or not piece[:-1].isalpha()):
             return None
         out = []
         for part in piece.split("\n"):
@@ -77,29 +95,37 @@ class PieceEncoder:
             new = list(ask[id(cache)].difference(cache))
             for i in range(0, len(new), 20_000):
                 part = new[i : i + 20_000]
-                cache.update(zip(part, self._ids([before + p for p in part] if before else part), strict=True))
+                cache.update(zip(part, self._known(part, before), strict=True))
         newline = self.marks["\n"]
         for cache, piece, apart in later:
             cache[piece] = newline.join([c[letters] + self.marks[mark] if mark else c[letters] for c, letters, mark in apart])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_CUT.split(t) if _RUN.search(t) else t.split(" ") for t in texts]
-        heads = {pieces[0] for pieces in cut}
+        first, later = self.first.get, self.later.get
+        done: list[tuple[list[str], list[bytes | None], list[int]]] = []
+        heads: set[str] = set()
         rest: set[str] = set()
-        for pieces in cut:
-            rest.update(pieces)
-        if self.space:
-            self._learn(heads, rest)
-        else:
-            self._learn(rest, set())
-        later = self.later.__getitem__
-        out = [self.first[pieces[0]] + b"".join(map(later, pieces[1:])) for pieces in cut]
-        for p in rest:
+        for t in texts:
+            pieces = _CUT.split(t) if _RUN.search(t) else t.split(" ")
+            ids = list(map(later, pieces))
+            ids[0] = first(pieces[0])
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            if gaps:
+                rest.update([pieces[i] for i in gaps if i])
+                if gaps[0] == 0:
+                    heads.add(pieces[0])
+            done.append((pieces, ids, gaps))
+        # Ids found before stay as they are, even if learning starts the caches anew.
+        self._learn(heads, rest)
+        for pieces, ids, gaps in done:
+            for i in gaps:
+                ids[i] = self.later[pieces[i]] if i else self.first[pieces[0]]
+        for p in heads | rest:
             if len(p) > LONG_PIECE:
                 self.first.pop(p, None)
                 self.later.pop(p, None)
-        return out
+        return [b"".join(ids) for _, ids, _ in done]
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
