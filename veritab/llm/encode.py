@@ -33,7 +33,7 @@ class PieceEncoder:
     a boundary, too: at single newlines, and before a mark after letters. At most `most` pieces are kept.
     """
 
-    def __init__(self, path: str, keep_space: bool, most: int = 1_200_000):
+    def __init__(self, path: str, keep_space: bool, most: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()

@@ -150,9 +150,9 @@ def _sample(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            for a in range(0, len(texts), 256):
-                yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in texts[a : a + 256]], pa.binary())], ["x"])
+            for a in range(0, batch.num_rows, 256):
+                texts = texts_of(batch.column("text").slice(a, 256))
+                yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in texts], pa.binary())], ["x"])
 
     # At most `most` ids of 8 bytes, so the broadcast has a proven bound.
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi").mapInArrow(run, "x binary").limit(4 * most).collect()
@@ -182,17 +182,19 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     Null counts as empty; without a model every score is 0.5. Rows are independent, so repeated rows score alike.
     """
     keep = [c for c in keep if c != "score"]
+    has_text = "text" in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column("__text"))
-            for a in range(0, len(texts), 512):
-                some = texts[a : a + 512]
+            column = batch.column("text" if has_text else "__text")
+            for a in range(0, batch.num_rows, 256):
+                some = texts_of(column.slice(a, 256))
                 scores = model.score(np.array([features(t) for t in some])) if model else np.full(len(some), 0.5)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, 512) for c in keep], pa.array(scores, pa.float64())], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, 256) for c in keep], pa.array(scores, pa.float64())], [*keep, "score"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("score", F.lit(0.0)).schema
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text")).mapInArrow(run, schema)
+    text = [] if has_text else [F.col("text").alias("__text")]
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *text).mapInArrow(run, schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,8 +271,10 @@ class _Plan:
         return at[_among(keys, many) | _among(keys, _tied_keys(own, found, self.sample_buckets))]
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with two more columns: __bytes (the text in UTF-8; null: empty) and __spans, array of [start, end).
+def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> DataFrame:
+    """docs without the text, and with __n_bytes (of the text in UTF-8; null: empty), __spans (array of [start, end)) and __out.
+
+    finish makes __out, a string, from the bytes that are left of a text; without it __out is null.
 
     Spans are the maximal runs of bytes covered by a string of MATCH bytes that also starts anywhere else in the
     table, in the same text or another; strings never cross texts. Rows are the unit: repeated rows repeat each
@@ -305,7 +307,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             _, prints = chunk.suffixes(tied, plan.lanes)
             yield from _deal(batch.column("chunk")[i].as_py(), _distinct(_combine(prints))[0], plan.buckets)
 
-    out_schema = T.StructType([T.StructField("__bytes", T.BinaryType()), T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("row", row_schema)])
+    out_schema = T.StructType([T.StructField("__n_bytes", T.LongType()), T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__out", T.StringType()), T.StructField("row", row_schema)])
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk in _each(batches):
@@ -320,17 +322,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for t, a, b in zip(texts.tolist(), starts.tolist(), ends.tolist(), strict=True):
                 base = int(chunk.starts[t])
                 spans[t].append([a - base, b - base])
-            blob = chunk.data.tobytes()
-            own_bytes = [blob[a:b] for a, b in zip(chunk.starts.tolist(), chunk.ends.tolist(), strict=True)]
+            bounds = zip(chunk.starts.tolist(), chunk.ends.tolist(), spans, strict=True)
+            out = [finish(_cut(chunk.data[a:b].tobytes(), s)) if finish else None for a, b, s in bounds]
             lists = batch.column("rows")
             off = lists.offsets[i].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(own_bytes, pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), lists.values.slice(off, len(own_bytes))], ["__bytes", "__spans", "row"])
+            sizes = chunk.ends - chunk.starts
+            yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(out, pa.string()), lists.values.slice(off, len(sizes))], ["__n_bytes", "__spans", "__out", "row"])
 
     samples = stage(_ties(chunks.select("chunk", "sizes", "blob").mapInArrow(first, _BLOCKS), 1, plan.kept), "cover").withColumnRenamed("found", "samples")
     with_samples = chunks.join(samples, "chunk", "left")
     matches = stage(_ties(with_samples.select("chunk", "sizes", "blob", "samples").mapInArrow(second, _BLOCKS), plan.lanes, 64), "matches").withColumnRenamed("found", "matches")
     out = with_samples.join(matches, "chunk", "left").select("sizes", "blob", "samples", "matches", "rows").mapInArrow(third, out_schema)
-    return out.select("__bytes", "__spans", *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col])
+    return out.select("__n_bytes", "__spans", "__out", *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col])
 
 
 def _runs(hits: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -350,31 +353,24 @@ def _cut(data: bytes, spans) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the repeated bytes cut out of their texts; bytes of a character that was cut through are dropped."""
-    found = repeated_spans(docs, text_col)
+def _text(left: bytes) -> str:
+    return left.decode("utf-8", "ignore")
 
-    @F.pandas_udf("string")
-    def kept(data, spans):
-        import pandas as pd
 
-        return pd.Series([_cut(d, s).decode("utf-8", "ignore") for d, s in zip(data, spans, strict=True)], dtype=object)
+def _sha(left: bytes) -> str:
+    return hashlib.sha256(left).hexdigest()
 
-    return found.withColumn(text_col, kept("__bytes", "__spans")).select(*docs.columns)
+
+def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with the repeated bytes cut out of their texts; bytes of a character that was cut through are dropped."""
+    return repeated_spans(docs, text_col, _text).withColumnRenamed("__out", text_col).select(*docs.columns)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    found = repeated_spans(docs.select("doc_id", "text"))
-
-    @F.pandas_udf("string")
-    def sha(data, spans):
-        import pandas as pd
-
-        return pd.Series([hashlib.sha256(_cut(d, s)).hexdigest() for d, s in zip(data, spans, strict=True)])
-
     removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return found.select("doc_id", F.octet_length("__bytes").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("__spans").cast("long").alias("n_spans"), sha("__bytes", "__spans").alias("kept_sha256"))
+    found = repeated_spans(docs.select("doc_id", "text"), finish=_sha)
+    return found.select("doc_id", F.col("__n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("__spans").cast("long").alias("n_spans"), F.col("__out").alias("kept_sha256"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
