@@ -62,19 +62,19 @@ t AS (SELECT *, CASE WHEN nn = 0 THEN 'text'
   WHEN u / nn > 0.95 AND nn > 5 THEN 'identifier'
   WHEN u <= greatest(20, nn * 0.5) AND len <= 40 THEN 'category' ELSE 'text' END AS semantic_type FROM agg)
 SELECT c AS "column", semantic_type, nn AS non_null_count, total_count,
-  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN un WHEN semantic_type IN ('identifier','category') THEN u END AS unique_count,
+  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN un WHEN semantic_type IN ('identifier','category') THEN u ELSE 0 END AS unique_count,
   CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN round(lo, 4) END AS min,
   CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN round(hi, 4) END AS max,
   CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN round(mean, 4) END AS mean,
   CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN round(std, 3) END AS std,
-  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN neg WHEN semantic_type IN ('identifier','category','date') THEN 0 END AS negative_count
+  CASE WHEN semantic_type IN ('currency','number','quantity','percentage') THEN neg ELSE 0 END AS negative_count
 FROM t"""
 
 
 def _profile(t: DataFrame, name: str, row: str) -> DataFrame:
     cells = P.to_cells(t.withColumn("_row", F.col(row)), name, "_row", t.columns)
     r = lambda c, k: F.round(F.col(c), k).alias(c)
-    return P.profile(cells).select("column", "semantic_type", "non_null_count", "total_count", "unique_count", r("min", 4), r("max", 4), r("mean", 4), r("std", 3), "negative_count")
+    return P.profile(cells).select("column", "semantic_type", "non_null_count", "total_count", F.coalesce("unique_count", F.lit(0)).alias("unique_count"), r("min", 4), r("max", 4), r("mean", 4), r("std", 3), F.coalesce("negative_count", F.lit(0)).alias("negative_count"))
 
 
 @query(_profile_sql("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
@@ -133,16 +133,16 @@ def quality_customer(spark, sf_dir):
     return scores.select("quality_score", "total_cells", "missing_cells", "duplicate_rows")
 
 
-_TOTALS = """WITH s AS (SELECT c_mktsegment AS label, round(sum(c_acctbal), 2) AS v FROM customer GROUP BY 1),
+_TOTALS = """WITH s AS (SELECT c_mktsegment AS label, round(sum(c_acctbal), 2) AS v FROM customer GROUP BY c_mktsegment, c_nationkey),
 r AS (SELECT label, v FROM s UNION ALL SELECT 'Total', round((SELECT sum(v) FROM s) * 1.05 + 10, 2))"""
 
 
 def _totals_table(spark, sf_dir) -> DataFrame:
-    """Balances by segment and a declared total row that is off by five percent and ten."""
-    s = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.round(F.sum("c_acctbal"), 2).alias("balance"))
-    whole = s.agg(F.lit("Total").alias("segment"), F.round(F.sum("balance") * 1.05 + 10, 2).alias("balance"))
-    rows = s.unionByName(whole).select("segment", F.col("balance").cast("decimal(20,2)").alias("balance"))
-    return rows.withColumn("_row", F.when(F.col("segment") == "Total", F.lit(1 << 40)).otherwise(F.pmod(F.xxhash64("segment"), F.lit(1 << 39))))
+    """Balances by segment and nation, and a declared total row that is off by five percent and ten."""
+    s = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).agg(F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    whole = s.agg(F.lit("Total").alias("segment"), F.lit(-1).alias("nation"), F.round(F.sum("balance") * 1.05 + 10, 2).alias("balance"))
+    rows = s.unionByName(whole).select("segment", "nation", F.col("balance").cast("decimal(20,2)").alias("balance"))
+    return rows.withColumn("_row", F.when(F.col("segment") == "Total", F.lit(1 << 40)).otherwise(F.pmod(F.xxhash64("segment", "nation"), F.lit(1 << 39))))
 
 
 @query(_TOTALS + " SELECT 'Total' AS label, round((SELECT v FROM r WHERE label = 'Total'), 1) AS claimed, round((SELECT sum(v) FROM r WHERE label <> 'Total'), 1) AS computed")
@@ -186,10 +186,10 @@ def period_jumps_all(spark, sf_dir):
 
 @query("""WITH p AS (SELECT o_custkey, o_totalprice AS v, o_orderdate AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS x FROM orders),
 f AS (SELECT o_custkey, count(*) AS points, regr_slope(v, x) AS slope, avg(v) AS m FROM p GROUP BY 1 HAVING count(*) >= 3)
-SELECT o_custkey, points, round(slope, 3) AS slope, CASE WHEN slope * points / m > 0.08 THEN 'increased' WHEN slope * points / m < -0.08 THEN 'decreased' ELSE 'flat' END AS direction FROM f""")
+SELECT o_custkey, points, round(slope, 6) AS slope, CASE WHEN slope * points / m > 0.08 THEN 'increased' WHEN slope * points / m < -0.08 THEN 'decreased' ELSE 'flat' END AS direction FROM f""")
 def trend_by_customer(spark, sf_dir):
     t = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return G.trends(t, ["o_custkey"], "o_orderdate", "o_totalprice", "o_orderkey").select("o_custkey", "points", F.round("slope", 3).alias("slope"), "direction")
+    return G.trends(t, ["o_custkey"], "o_orderdate", "o_totalprice", "o_orderkey").select("o_custkey", "points", F.round("slope", 6).alias("slope"), "direction")
 
 
 @query("""WITH s AS (SELECT o_orderpriority, c_mktsegment, sum(o_totalprice) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
