@@ -109,7 +109,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
 
     Every partition is packed by best-fit decreasing and certified by its lower bound. While the total lies above the
     bound of all lengths together, the items of bins that are not full are exchanged: they are pooled, dealt to fewer
-    partitions and packed again. A round that does not lower the total is undone and ends the exchange. Repeated rows
+    partitions and packed again. A round that does not lower the total is undone; the next one deals anew. Repeated rows
     are packed like any others; a null doc_id is kept; an empty table gives an empty result.
     """
     names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")] + ["sequence_id", "offset"]
@@ -130,10 +130,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_P
             break
         pool = gaps.select(*names[:5])
         again = stage(_pack_round(pool, max(1, min(ceil_div(now.n, group_pieces), now.parts - 1)), turn, capacity), "packed")
-        if again.select("sequence_id").distinct().count() >= now.bins:
-            break
-        done.append(full)
-        best = again
+        if again.select("sequence_id").distinct().count() < now.bins:
+            done.append(full)
+            best = again
     for d in done:
         best = best.unionByName(d)
     return best.select(*names)
