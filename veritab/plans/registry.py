@@ -111,16 +111,16 @@ def _line_cells(spark, sf_dir) -> DataFrame:
     return P.to_cells(t, "lineitem", "_row", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@query("""SELECT 'Total l_quantity' AS label, round(sum(l_quantity), 1) AS value, 'sum' AS kind, count(l_quantity) AS included_row_count FROM lineitem
-UNION ALL SELECT 'Total l_extendedprice', round(sum(l_extendedprice), 1), 'sum', count(l_extendedprice) FROM lineitem
-UNION ALL SELECT 'Total l_discount', round(sum(l_discount), 1), 'sum', count(l_discount) FROM lineitem
-UNION ALL SELECT 'Total l_tax', round(sum(l_tax), 1), 'sum', count(l_tax) FROM lineitem
+@query("""SELECT 'Total l_quantity' AS label, round(sum(l_quantity), 2) AS value, 'sum' AS kind, count(l_quantity) AS included_row_count FROM lineitem
+UNION ALL SELECT 'Total l_extendedprice', round(sum(l_extendedprice), 2), 'sum', count(l_extendedprice) FROM lineitem
+UNION ALL SELECT 'Total l_discount', round(sum(l_discount), 2), 'sum', count(l_discount) FROM lineitem
+UNION ALL SELECT 'Total l_tax', round(sum(l_tax), 2), 'sum', count(l_tax) FROM lineitem
 UNION ALL SELECT 'Records in lineitem', count(*)::DOUBLE, 'count', count(*) FROM lineitem""")
 def metrics_lineitem(spark, sf_dir):
     cells = _line_cells(spark, sf_dir)
     rows = cells.groupBy(*P.KEY).agg(F.count_if(F.col("position") == 0).alias("row_count"))
     m = G.metrics(P.profile(cells), rows)
-    return m.select("label", F.round("value", 1).alias("value"), "kind", "included_row_count")
+    return m.select("label", F.round("value", 2).alias("value"), "kind", "included_row_count")
 
 
 @query("""SELECT CAST(round(least(1, greatest(0, 1 - avg(CASE WHEN v IS NULL THEN 1 ELSE 0 END) - least((SELECT (count(*) - count(DISTINCT customer)) / count(*) FROM customer), 0.3))) * 100) AS INTEGER) AS quality_score,
@@ -145,18 +145,18 @@ def _totals_table(spark, sf_dir) -> DataFrame:
     return rows.withColumn("_row", F.when(F.col("segment") == "Total", F.lit(1 << 40)).otherwise(F.pmod(F.xxhash64("segment", "nation"), F.lit(1 << 39))))
 
 
-@query(_TOTALS + " SELECT 'Total' AS label, round((SELECT v FROM r WHERE label = 'Total'), 1) AS claimed, round((SELECT sum(v) FROM r WHERE label <> 'Total'), 1) AS computed")
+@query(_TOTALS + " SELECT 'Total' AS label, round((SELECT v FROM r WHERE label = 'Total'), 2) AS claimed, round((SELECT sum(v) FROM r WHERE label <> 'Total'), 2) AS computed")
 def totals_reconcile(spark, sf_dir):
     cells = P.to_cells(_totals_table(spark, sf_dir), "balances", "_row", ["segment", "balance"])
     found = G.total_mismatches(cells, P.profile(cells))
-    return found.select("label", F.round("claimed", 1).alias("claimed"), F.round("computed", 1).alias("computed"))
+    return found.select("label", F.round("claimed", 2).alias("claimed"), F.round("computed", 2).alias("computed"))
 
 
-@query(_TOTALS + " SELECT 'balance' AS \"column\", round((SELECT v FROM r WHERE label = 'Total'), 1) AS declared, round((SELECT sum(v) FROM r WHERE label <> 'Total'), 1) AS computed")
+@query(_TOTALS + " SELECT 'balance' AS \"column\", round((SELECT v FROM r WHERE label = 'Total'), 2) AS declared, round((SELECT sum(v) FROM r WHERE label <> 'Total'), 2) AS computed")
 def totals_declared(spark, sf_dir):
     cells = P.to_cells(_totals_table(spark, sf_dir), "balances", "_row", ["segment", "balance"])
     found = G.mismatched_totals(cells, P.profile(cells))
-    return found.select("column", F.round("value", 1).alias("declared"), F.round("score", 1).alias("computed"))
+    return found.select("column", F.round("value", 2).alias("declared"), F.round("score", 2).alias("computed"))
 
 
 # --- anomalies and insights
@@ -193,11 +193,11 @@ def trend_by_customer(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT o_orderpriority, c_mktsegment, sum(o_totalprice) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
-SELECT o_orderpriority, arg_max(c_mktsegment, s) AS leader, round(max(s), 0) AS leader_total, arg_min(c_mktsegment, s) AS trailer, round(min(s), 0) AS trailer_total FROM s GROUP BY 1 HAVING count(*) >= 2""")
+SELECT o_orderpriority, arg_max(c_mktsegment, s) AS leader, round(max(s), 2) AS leader_total, arg_min(c_mktsegment, s) AS trailer, round(min(s), 2) AS trailer_total FROM s GROUP BY 1 HAVING count(*) >= 2""")
 def leaders_by_group(spark, sf_dir):
     t = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     got = G.leaders(t, ["o_orderpriority"], "c_mktsegment", "o_totalprice")
-    return got.select("o_orderpriority", "leader", F.round("leader_total", 0).alias("leader_total"), "trailer", F.round("trailer_total", 0).alias("trailer_total"))
+    return got.select("o_orderpriority", "leader", F.round("leader_total", 2).alias("leader_total"), "trailer", F.round("trailer_total", 2).alias("trailer_total"))
 
 
 @query("""SELECT l_returnflag, 'l_quantity' AS a, 'l_extendedprice' AS b, count(*) AS pairs, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1
@@ -220,35 +220,35 @@ def cooccurrence_parts(spark, sf_dir):
 
 @query("""WITH r AS (SELECT * FROM (VALUES ('l_quantity', 'gt', 1000.0), ('l_discount', 'lt', 1.0), ('l_extendedprice', 'gte', 1e15), ('l_tax', 'lte', 1e12), ('l_none', 'gt', 0.0)) AS v("column", operator, threshold)),
 t AS (SELECT 'l_quantity' AS c, sum(l_quantity) AS v FROM lineitem UNION ALL SELECT 'l_discount', sum(l_discount) FROM lineitem UNION ALL SELECT 'l_extendedprice', sum(l_extendedprice) FROM lineitem UNION ALL SELECT 'l_tax', sum(l_tax) FROM lineitem)
-SELECT "column", operator, round(v, 1) AS value, coalesce(CASE operator WHEN 'gt' THEN v > threshold WHEN 'gte' THEN v >= threshold WHEN 'lt' THEN v < threshold ELSE v <= threshold END, false) AS triggered FROM r LEFT JOIN t ON r."column" = t.c""")
+SELECT "column", operator, round(v, 2) AS value, coalesce(CASE operator WHEN 'gt' THEN v > threshold WHEN 'gte' THEN v >= threshold WHEN 'lt' THEN v < threshold ELSE v <= threshold END, false) AS triggered FROM r LEFT JOIN t ON r."column" = t.c""")
 def alerts_eval(spark, sf_dir):
     rules = spark.createDataFrame([("l_quantity", "gt", 1000.0), ("l_discount", "lt", 1.0), ("l_extendedprice", "gte", 1e15), ("l_tax", "lte", 1e12), ("l_none", "gt", 0.0)], "column string, operator string, threshold double")
     cells = _line_cells(spark, sf_dir)
     totals = G.column_totals(cells, P.profile(cells)).select("column", "total")
-    return G.evaluate_alerts(rules, totals, ["column"]).select("column", "operator", F.round("value", 1).alias("value"), "triggered")
+    return G.evaluate_alerts(rules, totals, ["column"]).select("column", "operator", F.round("value", 2).alias("value"), "triggered")
 
 
-@query("""SELECT lower(n_name) AS place, n_name AS label, CAST(n_regionkey AS DOUBLE) AS lat, CAST(n_nationkey AS DOUBLE) AS lon, round(sum(c_acctbal), 1) AS total, count(*) AS n
+@query("""SELECT lower(n_name) AS place, n_name AS label, CAST(n_regionkey AS DOUBLE) AS lat, CAST(n_nationkey AS DOUBLE) AS lon, round(sum(c_acctbal), 2) AS total, count(*) AS n
 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey, n_nationkey ORDER BY sum(c_acctbal) DESC LIMIT 60""")
 def geo_totals(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
     places = nation.select(F.lower("n_name").alias("place"), F.col("n_regionkey").cast("double").alias("lat"), F.col("n_nationkey").cast("double").alias("lon"))
     t = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
     got = G.place_totals(t, F.col("n_name"), F.col("c_acctbal"), places)
-    return got.select("place", "label", "lat", "lon", F.round("total", 1).alias("total"), "n")
+    return got.select("place", "label", "lat", "lon", F.round("total", 2).alias("total"), "n")
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS x, round(sum(o_totalprice), 1) AS y FROM orders GROUP BY 1")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS x, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1")
 def chart_points(spark, sf_dir):
     t = table(spark, sf_dir, "orders")
-    return G.chart_points(t, F.date_format("o_orderdate", "yyyy-MM"), F.col("o_totalprice").cast("decimal(20,2)")).select("x", F.round("y", 1).alias("y"))
+    return G.chart_points(t, F.date_format("o_orderdate", "yyyy-MM"), F.col("o_totalprice").cast("decimal(20,2)")).select("x", F.round("y", 2).alias("y"))
 
 
-@query("""WITH m AS (SELECT label, pct, value FROM (SELECT 'orders' AS label, sum(o_totalprice) AS value FROM orders), (SELECT unnest([-50.0, -10.0, 0.0, 25.0]) AS pct))
-SELECT label, pct::DOUBLE AS pct, round(value * (1 + pct / 100), 0) AS projected FROM m""")
+@query("""WITH m AS (SELECT label, pct, value FROM (SELECT 'orders' AS label, sum(o_totalprice) AS value FROM orders), (SELECT unnest([-50.0, -10.0, 0.0, 20.0]) AS pct))
+SELECT label, pct::DOUBLE AS pct, round(value * (1 + pct / 100), 3) AS projected FROM m""")
 def what_if(spark, sf_dir):
     m = table(spark, sf_dir, "orders").agg(F.lit("orders").alias("label"), F.sum("o_totalprice").alias("value"))
-    return G.project(m, [-50, -10, 0, 25, 80]).select("label", "pct", F.round("projected", 0).alias("projected"))
+    return G.project(m, [-50, -10, 0, 20, 80]).select("label", "pct", F.round("projected", 3).alias("projected"))
 
 
 @query("""SELECT p_brand, rank, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey)::INTEGER AS rank FROM part) WHERE rank <= 10""")
