@@ -126,15 +126,20 @@ def hash_embedding(texts: DataFrame, keys: list[str], text_col: str) -> DataFram
 def cosine_top(vectors: DataFrame, queries: DataFrame, most: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the most similar vectors to each query vector, itself left out.
 
-    queries are the question side: they are few, checked and broadcast if small, else joined in by blocks of vectors.
+    Queries are packed into blocks of about 256, and each vector meets each block once: an equi-join on the block's
+    number, never a join without a key. Ranks are cut in every partition before the shuffle.
     """
     norm = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    v = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"), norm.alias("n"))
-    q = queries.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.transform(vec_col, lambda x: x.cast("double")).alias("q"), norm.alias("qn"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    met = v.join(q, (F.col("id") != F.col("query_id")) & (F.size("v") == F.size("q"))).select("query_id", "id", F.coalesce(F.try_divide(dot, F.col("n") * F.col("qn")), F.lit(0.0)).alias("score"))
+    whole = F.transform(vec_col, lambda x: x.cast("double"))
+    blocks = max(1, -(-queries.count() // 256))
+    q = queries.filter(F.col(vec_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col(id_col).alias("query_id"), whole.alias("q"), norm.alias("qn")).alias("s"))
+    q = q.groupBy("block").agg(F.collect_list("s").alias("qs"))
+    v = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), whole.alias("v"), norm.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = v.join(q, "block").select("id", "v", "n", F.explode("qs").alias("s")).filter((F.col("id") != F.col("s.query_id")) & (F.size("v") == F.size("s.q")))
+    dot = F.aggregate(F.zip_with("v", "s.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    scored = met.select("s.query_id", "id", F.coalesce(F.try_divide(dot, F.col("n") * F.col("s.qn")), F.lit(0.0)).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, catalog: DataFrame, most: int = MOST_HITS, least: float = LEAST_SCORE) -> DataFrame:

@@ -337,7 +337,8 @@ def latest_by_hash(spark, sf_dir):
 def bulk_delete(spark, sf_dir):
     cat = _catalog(spark, sf_dir)
     gone, kept, _ = C.bulk_delete(cat, {}, cat.filter("doc_id % 3 = 0").select("doc_id"), user_id=0)
-    return gone.agg(F.count(F.lit(1)).alias("deleted")).join(kept.agg(F.count(F.lit(1)).alias("kept")), how="cross")
+    sides = gone.select(F.lit(True).alias("gone")).unionByName(kept.select(F.lit(False).alias("gone")))
+    return sides.agg(F.count_if("gone").alias("deleted"), F.count_if(~F.col("gone")).alias("kept"))
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE contains(lower(o_orderpriority), 'urg') OR contains(lower(o_orderstatus), 'urg')")
