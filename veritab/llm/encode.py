@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -82,10 +83,11 @@ class PieceEncoder:
         later: list[tuple[dict, str, list]] = []
         ask: dict[int, set[str]] = {id(self.first): set(), id(self.later): set()}
         for cache, pieces in ((self.first, heads), (self.later, rest)):
+            plain = ask[id(cache)]
             for piece in pieces.difference(cache):
-                apart = self._apart(piece, cache)
+                apart = self._apart(piece, cache) if piece[-1:] in MARKS or "\n" in piece else None
                 if apart is None:
-                    ask[id(cache)].add(piece)
+                    plain.add(piece)
                 else:
                     later.append((cache, piece, apart))
                     for c, letters, _ in apart:
@@ -102,6 +104,16 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        # Nothing here refers to itself, so the cycle collector would walk the long lists for nothing.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         first, later = self.first.get, self.later.get
         done: list[tuple[list[str], list[bytes | None], list[int]]] = []
         heads: set[str] = set()
