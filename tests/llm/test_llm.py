@@ -301,6 +301,22 @@ def test_pages(spark):
     assert got[21].text == "Subscribe now\nx" and got[22].text == "" and got[23].text == "" and got[24].text == "deep"
 
 
+def pages_of(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_templates_of_every_page(spark):
+    # The only article is a comment, in an aside or in a remark; furniture is counted but its varied text doesn't hide a template.
+    odd = ['<article class="comment">c</article>', "<aside><article>a</article></aside>", "<!-- <article> </article> -->", "<nav>n</nav>"]
+    rows = [(i, f"http://h.example/{i}", f"<div>Join us <nav>{i}</nav></div><div><p>body {i}</p></div>{odd[i % 4]}") for i in range(16)]
+    assert pages_of(spark, rows) == {i: f"body {i}" for i in range(16)}
+    # Recurs beside articles, not in them: stays in the one article.
+    rows = [(i, f"http://g.example/{i}", f"<div>Note</div><article><p>t {i}</p>{'<div>Note</div>' if i == 3 else ''}</article>") for i in range(16)]
+    assert pages_of(spark, rows) == {i: f"t {i}" + ("\nNote" if i == 3 else "") for i in range(16)}
+    root = html_text.parse("<nav><a>m</a></nav><p>x</p>")
+    assert html_text.subtree_hashes(root)[id(root.children[0])][0] in {h for h, _ in html_text._candidates(root)}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(0, 0.3, (230, 16)).astype(np.float32)

@@ -26,8 +26,12 @@ DROPPED_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb
 CONTENT = frozenset(("article", "main"))
 #: In an article only these, never prose, can be a template.
 CONTAINERS = frozenset("div section ul ol table figure dl".split())
+#: Furniture without text that a page shows is not counted.
+UNSEEN = RAW | frozenset("head template object canvas svg select button".split())
 #: A subtree on so many different pages of a host is its template; inside articles on half of all of them, too.
 MANY_PAGES = 10
+#: Keys over which the pages of one template are dealt.
+SPREAD = 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -117,14 +121,24 @@ def _walk(node: Node, inside: bool = False) -> Iterator[tuple[Node, bool]]:
 
 
 def subtree_hashes(root: Node) -> dict[int, tuple[int, bool, bool]]:
-    """By id(node): signed 64-bit hash of the element's tag, text and children's hashes, if it has text, if it holds an article."""
-    order = [n for n, _ in _walk(root)]
+    """By id(node): signed 64-bit hash of the element's tag, text and children's hashes, if it has text, if it holds an article.
+
+    Furniture has a hash of its own whole subtree, but counts for nothing in the elements around it.
+    """
+    order: list[tuple[Node, bool]] = []
+    todo = [(root, False)]
+    while todo:
+        node, under = todo.pop()
+        under = under or node.dropped
+        order.append((node, under))
+        if node.tag not in UNSEEN:
+            todo += [(c, under) for c in node.children if isinstance(c, Node)]
     found: dict[int, tuple[int, bool, bool]] = {}
-    for node in reversed(order):
+    for node, under in reversed(order):
         h, has_text, has_content = xxhash.xxh64(node.tag), False, node.tag in CONTENT
-        for c in node.children:
+        for c in node.children if node.tag not in UNSEEN else ():
             if isinstance(c, Node):
-                below = found.get(id(c), (0, False, False))
+                below = found[id(c)] if under or not c.dropped else (0, False, False)
                 h.update(below[0].to_bytes(8, "little", signed=True))
                 has_text, has_content = has_text or below[1], has_content or below[2]
             elif text := " ".join(html.unescape(c).split()):
@@ -135,10 +149,14 @@ def subtree_hashes(root: Node) -> dict[int, tuple[int, bool, bool]]:
     return found
 
 
-def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
-    """Blocks of the articles (of the whole page, if it has none) without furniture and templates, joined by newlines."""
-    hashes = subtree_hashes(root) if templates else {}
+def main_text(root: Node, templates: frozenset[tuple[int, bool]] = frozenset()) -> str:
+    """Blocks of the articles (of the whole page, if it has none) without furniture and templates, joined by newlines.
+
+    templates are (hash, in an article): what recurs beside articles is no template in them.
+    """
     articles = [n for n, inside in _walk(root) if n.tag in CONTENT and not inside]
+    gone = {h for h, inside in templates if inside == bool(articles)}
+    hashes = subtree_hashes(root) if gone else {}
     blocks: list[str] = []
     now: list[str] = []
 
@@ -155,7 +173,7 @@ def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
                 end()
             elif isinstance(x, str):
                 now.append(x)
-            elif x.dropped or x is not top and hashes.get(id(x), (None,))[0] in templates:
+            elif x.dropped or x is not top and hashes.get(id(x), (None,))[0] in gone:
                 if x.tag in BLOCK:
                     end()
                 else:
@@ -172,13 +190,15 @@ def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
 
 
 def _candidates(root: Node) -> set[tuple[int, bool]]:
-    """(hash, in an article) of the subtrees that could be a template: with text, and in articles only containers."""
+    """(hash, in an article) of the subtrees that could be a template: with text, furniture too, and in articles only containers."""
     hashes = subtree_hashes(root)
     out = set()
     for node, inside in _walk(root):
-        value, has_text, has_content = hashes[id(node)]
-        if has_text and not has_content and (not inside or node.tag in CONTAINERS):
-            out.add((value, inside))
+        furniture = [c for c in node.children if isinstance(c, Node) and c.dropped and c.tag not in UNSEEN]
+        for x, within in [(node, inside), *((c, inside or node.tag in CONTENT) for c in furniture)]:
+            value, has_text, has_content = hashes[id(x)]
+            if has_text and not has_content and (not within or x.tag in CONTAINERS):
+                out.add((value, within))
     return out
 
 
@@ -186,41 +206,45 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
-def site_templates(pages: DataFrame) -> DataFrame:
-    """(__host, hash, inside): subtrees on MANY_PAGES or more different pages of a host.
-
-    Pages of a host with the same main text are copies and count once. Counting is two partial aggregates, so a host
-    with a third of all pages is spread over its subtrees.
-    """
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """(__page, __host, hash, inside, page): each page's own candidates, and one row of null hash; page is its text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, sources = batch.column("__host").to_pylist(), texts_of(batch.column("html"))
+            ids, hosts, sources = batch.column("__page").to_pylist(), batch.column("__host").to_pylist(), texts_of(batch.column("html"))
             for a, b in slices(sources):
                 rows = []
-                for host, source in zip(hosts[a:b], sources[a:b], strict=True):
+                for i, host, source in zip(ids[a:b], hosts[a:b], sources[a:b], strict=True):
                     root = parse(source)
                     page = xxhash.xxh64(main_text(root)).intdigest() >> 1
-                    rows += [(host, h, inside, page) for h, inside in _candidates(root)] + [(host, None, None, page)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["__host", "hash", "inside", "page"])
+                    rows += [(i, host, h, inside, page) for h, inside in _candidates(root)] + [(i, host, None, None, page)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["__page", "__host", "hash", "inside", "page"])
+
+    return pages.select("__page", "__host", "html").mapInArrow(run, "__page long, __host string, hash long, inside boolean, page long")
+
 
-    seen = pages.select("__host", "html").mapInArrow(run, "__host string, hash long, inside boolean, page long").distinct()
-    counts = stage(seen.groupBy("__host", "hash", "inside").agg(F.count(F.lit(1)).alias("n")), "subtrees")
+def site_templates(subtrees: DataFrame) -> DataFrame:
+    """(__host, hash, inside): subtrees on MANY_PAGES or more different pages of a host, from rows of _subtrees().
+
+    Pages of a host with the same main text are copies and count once. Counting is two partial aggregates, so a host
+    with a third of all pages is spread over its subtrees.
+    """
+    seen = subtrees.select("__host", "hash", "inside", "page").distinct()
+    counts = stage(seen.groupBy("__host", "hash", "inside").agg(F.count(F.lit(1)).alias("n")), "counts")
     hosts = counts.filter("hash IS NULL").select("__host", F.col("n").alias("pages"))
     often = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= MANY_PAGES))
     return often.join(hosts, "__host").filter("NOT inside OR 2 * n >= pages").select("__host", "hash", "inside")
 
 
 def _extract(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """Main text of each page; a column __templates, if there, holds the hashes to delete."""
-    given = "__templates" in pages.columns
+    """Main text of each page; the column __templates holds the (hash, inside) to delete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources = texts_of(batch.column("html"))
-            deleted = batch.column("__templates").to_pylist() if given else [None] * len(sources)
+            deleted = batch.column("__templates").to_pylist()
             for a, b in slices(sources):
-                texts = [main_text(parse(s), frozenset(d or ())) for s, d in zip(sources[a:b], deleted[a:b], strict=True)]
+                texts = [main_text(parse(s), frozenset((x["hash"], x["inside"]) for x in d or ())) for s, d in zip(sources[a:b], deleted[a:b], strict=True)]
                 cols = [batch.column(k).slice(a, b - a) for k in keys]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keys, "text", "n_chars"])
 
@@ -232,30 +256,17 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages (page_id, url, html).
 
     Furniture (menus, adverts, comments and the like) goes by element, role and class; templates of a site go by the
-    counts of site_templates(). Only pages without an article, or with containers in it, can hold a template, so only
-    those are joined to their host's templates: each with the hashes of its own subtrees, never a host's whole list.
-    Null html is empty; a null or odd url has the host ''. Repeated rows come out alike; other columns are not read.
+    counts of site_templates(). Every page is joined to its host's templates: each with the hashes of its own subtrees,
+    never a host's whole list. Null html is empty; a null or odd url has the host ''. Repeated rows come out alike;
+    other columns are not read.
     """
-    pages = pages.select("page_id", "url", "html").withColumn("__host", host_of(F.col("url")))
-    templates = stage(site_templates(pages), "templates")
-    low = F.lower(F.coalesce("html", F.lit("")))
-    could = ~low.rlike(r"<(article|main)\b") | low.rlike(r"(?s)<(article|main)\b.*<(div|section|ul|ol|table|figure|dl)\b.*</(article|main)\b")
-    plain = _extract(pages.filter(~could), ["page_id", "url"])
-    some = pages.filter(could).withColumn("__page", F.xxhash64("page_id", "url", "html"))
-    own = _own_hashes(some).join(templates, ["__host", "hash", "inside"]).groupBy("__page").agg(F.collect_set("hash").alias("__templates"))
-    return plain.unionByName(_extract(some.join(own, "__page", "left"), ["page_id", "url"]))
-
-
-def _own_hashes(pages: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, ids, sources = batch.column("__host").to_pylist(), batch.column("__page").to_pylist(), texts_of(batch.column("html"))
-            for a, b in slices(sources):
-                rows = [(i, host, h, inside) for i, host, s in zip(ids[a:b], hosts[a:b], sources[a:b], strict=True) for h, inside in _candidates(parse(s))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.bool_()), strict=True)], ["__page", "__host", "hash", "inside"])
-
-    return pages.select("__page", "__host", "html").mapInArrow(run, "__page long, __host string, hash long, inside boolean")
+    pages = pages.select("page_id", "url", "html").withColumn("__host", host_of(F.col("url"))).withColumn("__page", F.xxhash64("page_id", "url", "html"))
+    subtrees = stage(_subtrees(pages), "subtrees")
+    # A template of a large host is on many pages: its rows are dealt by page over SPREAD keys.
+    templates = stage(site_templates(subtrees), "templates").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    own = subtrees.filter("hash IS NOT NULL").withColumn("__part", F.pmod("__page", F.lit(SPREAD)).cast("int"))
+    own = own.join(templates, ["__host", "hash", "inside", "__part"]).groupBy("__page").agg(F.collect_set(F.struct("hash", "inside")).alias("__templates"))
+    return _extract(pages.join(stage(own, "own"), "__page", "left"), ["page_id", "url"])
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
