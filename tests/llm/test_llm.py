@@ -317,6 +317,29 @@ def test_templates_of_every_page(spark):
     assert html_text.subtree_hashes(root)[id(root.children[0])][0] in {h for h, _ in html_text._candidates(root)}
 
 
+def test_templates_equal_brute_force(spark):
+    """A host of 60 pages, one of 4 and one of 2: boxes go by their share of the host's different pages, prose never."""
+    prose = ["<h2>References</h2>", "<p>See also.</p>", "<b>Note:</b>", "<table><tr><td>Yes</td><td>row {i}</td></tr></table>"]
+    rng, hosts = random.Random(8), {"large": 60, "small": 4, "tiny": 2}
+    made = {h: [(i, [b for b in range(6) if rng.random() < b / 5], [p.format(i=i) for p in prose if rng.random() < 0.6]) for i in range(n)] for h, n in hosts.items()}
+    made["large"] += [made["large"][0]] * 40  # copies count once
+    rows, want = [], {}
+    for h, made_pages in made.items():
+        pages = {repr(x): x for x in made_pages}.values()
+        n = [sum(b in boxes for _, boxes, _ in pages) for b in range(6)]
+        for i, boxes, own in made_pages:
+            source = "".join(f"<div>box {b}</div>" for b in boxes) + f"<div><p>{h} {i}</p>" + "".join(own) + "</div>"
+            left = [f"box {b}" for b in boxes if n[b] < 3 or 4 * n[b] < len(pages)]
+            body = html_text.main_text(html_text.parse(f"<div><p>{h} {i}</p>" + "".join(own) + "</div>"))
+            want[len(rows)] = "\n".join([*left, body])
+            rows.append((len(rows), f"http://{h}.example/{len(rows)}", source))
+    got = pages_of(spark, rows)
+    assert got == want
+    for h, gone in (("large", True), ("small", True), ("tiny", False)):
+        assert gone == any("<div>box 5" in s and "box 5" not in got[k] for k, u, s in rows if h in u)
+    assert sum("References" in t for t in got.values()) > 20
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(0, 0.3, (230, 16)).astype(np.float32)

@@ -24,12 +24,14 @@ DROPPED = frozenset("nav footer aside form script style noscript template svg if
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 DROPPED_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
 CONTENT = frozenset(("article", "main"))
-#: In an article only these, never prose, can be a template.
+#: Only these, never prose, can be a template; outside articles these sections of a page, too.
 CONTAINERS = frozenset("div section ul ol table figure dl".split())
+SECTIONS = CONTAINERS | frozenset("address aside center details dialog fieldset footer form header menu nav".split())
 #: Furniture without text that a page shows is not counted.
 UNSEEN = RAW | frozenset("head template object canvas svg select button".split())
-#: A subtree on so many different pages of a host is its template; inside articles on half of all of them, too.
-MANY_PAGES = 10
+#: A subtree on so many different pages of a host, and on one in so many of all of them, is its template.
+LEAST_PAGES = 3
+ONE_IN_OUTSIDE, ONE_IN_ARTICLES = 4, 2
 #: Keys over which the pages of one template are dealt.
 SPREAD = 32
 
@@ -190,14 +192,14 @@ def main_text(root: Node, templates: frozenset[tuple[int, bool]] = frozenset())
 
 
 def _candidates(root: Node) -> set[tuple[int, bool]]:
-    """(hash, in an article) of the subtrees that could be a template: with text, furniture too, and in articles only containers."""
+    """(hash, in an article) of the subtrees that could be a template: containers with text, furniture too, and outside articles sections."""
     hashes = subtree_hashes(root)
     out = set()
     for node, inside in _walk(root):
         furniture = [c for c in node.children if isinstance(c, Node) and c.dropped and c.tag not in UNSEEN]
         for x, within in [(node, inside), *((c, inside or node.tag in CONTENT) for c in furniture)]:
             value, has_text, has_content = hashes[id(x)]
-            if has_text and not has_content and (not within or x.tag in CONTAINERS):
+            if has_text and not has_content and x.tag in (CONTAINERS if within else SECTIONS):
                 out.add((value, within))
     return out
 
@@ -224,7 +226,7 @@ def _subtrees(pages: DataFrame) -> DataFrame:
 
 
 def site_templates(subtrees: DataFrame) -> DataFrame:
-    """(__host, hash, inside): subtrees on MANY_PAGES or more different pages of a host, from rows of _subtrees().
+    """(__host, hash, inside): subtrees on LEAST_PAGES or more and a share of a host's different pages, from rows of _subtrees().
 
     Pages of a host with the same main text are copies and count once. Counting is two partial aggregates, so a host
     with a third of all pages is spread over its subtrees.
@@ -232,8 +234,8 @@ def site_templates(subtrees: DataFrame) -> DataFrame:
     seen = subtrees.select("__host", "hash", "inside", "page").distinct()
     counts = stage(seen.groupBy("__host", "hash", "inside").agg(F.count(F.lit(1)).alias("n")), "counts")
     hosts = counts.filter("hash IS NULL").select("__host", F.col("n").alias("pages"))
-    often = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= MANY_PAGES))
-    return often.join(hosts, "__host").filter("NOT inside OR 2 * n >= pages").select("__host", "hash", "inside")
+    often = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= LEAST_PAGES))
+    return often.join(hosts, "__host").filter(F.col("n") * F.when(F.col("inside"), ONE_IN_ARTICLES).otherwise(ONE_IN_OUTSIDE) >= F.col("pages")).select("__host", "hash", "inside")
 
 
 def _extract(pages: DataFrame, keys: list[str]) -> DataFrame:
