@@ -317,6 +317,19 @@ def test_templates_of_every_page(spark):
     assert html_text.subtree_hashes(root)[id(root.children[0])][0] in {h for h, _ in html_text._candidates(root)}
 
 
+def test_furniture_by_class():
+    text = lambda s: html_text.main_text(html_text.parse(s))
+    art = "<article><h1>T</h1><p>body</p></article>"
+    for kept in ('class="container no-sidebar"', 'id="page-with-header"', 'class="sidebar"', 'class="widget page"'):
+        assert text(f"<div {kept}>{art}</div>") == "T\nbody"
+        assert text(f"<div {kept}><main><p>a</p></main></div><p>more text beside it") == "a"
+        assert text(f"<div {kept}><p>most of the text</p></div><p>less") == "most of the text\nless"
+    assert text('<article><h1 class="article-header">T</h1><h2 class="header">U</h2><p class="related-work">r</p><div class="share x">s</div></article>') == "T\nU\nr"
+    assert text('<div class="big related"><article>see</article></div>' + art) == "T\nbody"
+    assert text('<div class="ad">Buy</div><p>a page without an article') == "a page without an article"
+    assert text(art + '<article class="comment">c</article>') == "T\nbody"
+
+
 def test_templates_equal_brute_force(spark):
     """A host of 60 pages, one of 4 and one of 2: boxes go by their share of the host's different pages, prose never."""
     prose = ["<h2>References</h2>", "<p>See also.</p>", "<b>Note:</b>", "<table><tr><td>Yes</td><td>row {i}</td></tr></table>"]

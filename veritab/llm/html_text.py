@@ -37,7 +37,6 @@ SPREAD = 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
@@ -49,22 +48,59 @@ class Node:
         self.tag, self.dropped, self.children = tag, dropped, []
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> bool:
+def _furniture(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether the element is furniture by its tag or role, and whether it is by a whole word of its class or id."""
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return True, False
+    named = False
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-        words = _WORD.findall("".join(values).lower())
-        if name.lower() == "role" and DROPPED_ROLES.intersection(words) or name.lower() != "role" and tag not in ("html", "body", "article", "main") and DROPPED_WORDS.intersection(words):
-            return True
-        if name.lower() != "role" and tag == "article" and {"comment", "comments"}.intersection(words):
-            return True
-    return False
+        words = set("".join(values).lower().split())
+        if name.lower() == "role":
+            if DROPPED_ROLES & words:
+                return True, False
+        elif tag == "article":
+            named = named or bool({"comment", "comments"} & words)
+        elif tag not in ("html", "body", "main"):
+            named = named or bool((DROPPED_WORDS - {"header"} if inside else DROPPED_WORDS) & words)
+    return False, named
+
+
+def _drop_named(root: Node, named: list[Node]) -> None:
+    """Mark the elements that are furniture by class or id, but none with the article, the main part or most of the text.
+
+    Where another article stands outside such elements, those in them are teasers or comments and go with them.
+    """
+    ids = {id(n) for n in named}
+    order: list[tuple[Node, bool]] = []
+    todo = [(root, False)]
+    free = False
+    while todo:
+        node, under = todo.pop()
+        if node.dropped:
+            continue
+        under = under or id(node) in ids
+        free = free or node.tag == "article" and not under
+        order.append((node, under))
+        todo += [(c, under) for c in node.children if isinstance(c, Node)]
+    found: dict[int, tuple[int, bool]] = {}
+    for node, _ in reversed(order):
+        chars, holds = 0, node.tag == "main" or node.tag == "article" and not free and id(node) not in ids
+        for c in node.children:
+            if isinstance(c, str):
+                chars += len("".join(html.unescape(c).split()))
+            elif id(c) in found:
+                chars, holds = chars + found[id(c)][0], holds or found[id(c)][1]
+        found[id(node)] = (chars, holds)
+    for node in named:
+        chars, holds = found.get(id(node), (0, False))
+        node.dropped = not holds and 2 * chars <= found[id(root)][0]
 
 
 def parse(source: str) -> Node:
     """The page's element tree; unclosed and misnested tags are closed as browsers do for these cases."""
     root = Node("html", False)
     stack = [root]
+    named: list[Node] = []
     at = 0
 
     def close_to(tags: str, stops: str) -> None:
@@ -97,7 +133,10 @@ def parse(source: str) -> Node:
             close_to(*IMPLIED[tag])
         if tag in ("html", "body"):
             continue
-        node = Node(tag, _furniture(tag, m[3], any(x.tag in CONTENT for x in stack)))
+        dropped, by_name = _furniture(tag, m[3], any(x.tag in CONTENT for x in stack))
+        node = Node(tag, dropped)
+        if by_name:
+            named.append(node)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*[^>]*>", re.IGNORECASE).search(source, at)
@@ -107,6 +146,8 @@ def parse(source: str) -> Node:
             stack.append(node)
     if at < len(source):
         stack[-1].children.append(source[at:])
+    if named:
+        _drop_named(root, named)
     return root
 
 
