@@ -1,3 +1,6 @@
+import collections
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +10,7 @@ from veritab.operators import market as M
 from veritab.operators import profile as P
 from veritab.operators import retrieve as R
 from veritab.operators import shape as H
+from veritab.plans import registry
 from veritab.sources import readers, sinks
 
 
@@ -223,6 +227,24 @@ def test_embedding_norm(spark):
     assert abs(e.filter("k = 1").agg(F.sum(F.col("weight") ** 2)).first()[0] - 1) < 1e-9 and e.filter("k = 2").count() == 0
 
 
+def test_cosine_search_is_whole(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (130, 8)).astype(np.float32)
+    v[30:50] = v[20]  # ties
+    v[7] = 0
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = collections.defaultdict(list)
+    for r in registry.QUERIES["cosine_search"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.id, r.score))
+    w = v.astype(np.float64)
+    norm = np.sqrt((w * w).sum(axis=1))
+    assert sorted(got) == list(range(0, 130, 20))
+    for q in got:
+        s = [float(w[i] @ w[q] / (norm[i] * norm[q])) if norm[i] else 0.0 for i in range(130)]
+        want = sorted((i for i in range(130) if i != q), key=lambda i: (-round(s[i], 9), i))[:8]
+        assert [i for i, _ in got[q]] == want and all(abs(x - s[i]) < 1e-6 for i, x in got[q])
+
+
 def test_catalog_page_is_clamped(spark):
     cat = spark.range(45).select(F.col("id").alias("doc_id"))
     rows, n, pages = C.page(cat, [F.col("doc_id")], 9, 20)
