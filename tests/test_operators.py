@@ -1,9 +1,12 @@
 import collections
+import hashlib
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veritab.functions import words as T
 from veritab.operators import catalog as C
 from veritab.operators import findings as G
 from veritab.operators import market as M
@@ -245,6 +248,30 @@ def test_cosine_search_is_whole(spark, tmp_path):
         assert [i for i, _ in got[q]] == want and all(abs(x - s[i]) < 1e-6 for i, x in got[q])
 
 
+def brute_embedding(text):
+    w = [x for x in re.findall(r"[a-z0-9%]+(?:['.][a-z0-9]+)*", (text or "").lower()) if x not in T.QUESTION_STOPWORDS and len(x) > 1]
+    sums = collections.Counter()
+    for f in [*w, *map(" ".join, zip(w, w[1:], strict=False))]:
+        d = hashlib.md5(f.encode()).digest()
+        sums[int.from_bytes(d[:4], "little") % 512] += 1 if d[4] % 2 else -1
+    norm = sum(x * x for x in sums.values()) ** 0.5
+    return {b: x / norm for b, x in sums.items() if x}
+
+
+def test_hash_embed_texts_is_whole(spark, tmp_path):
+    long = " ".join(f"w{i * i % 7919}" for i in range(20_000))
+    docs, turns = [(0, "alpha beta"), (1, None), (2, long), (3, "the a")], [(0, 0, "alpha beta gamma"), (0, 1, "beta"), (7, 0, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = collections.defaultdict(dict)
+    for r in registry.QUERIES["hash_embed_texts"](spark, str(tmp_path)).collect():
+        got[r.source, r.id, r.turn][r.bucket] = r.weight
+    want = {("documents", i, None): brute_embedding(t) for i, t in docs} | {("conversations", i, k): brute_embedding(t) for i, k, t in turns}
+    assert got.keys() == {k for k, e in want.items() if e}
+    for k, e in got.items():
+        assert e.keys() == want[k].keys() and all(abs(e[b] - want[k][b]) < 2e-9 for b in e)
+
+
 def test_catalog_page_is_clamped(spark):
     cat = spark.range(45).select(F.col("id").alias("doc_id"))
     rows, n, pages = C.page(cat, [F.col("doc_id")], 9, 20)

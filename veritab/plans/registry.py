@@ -421,6 +421,17 @@ def hash_embed(spark, sf_dir):
     return R.hash_embedding(table(spark, sf_dir, "benchmark"), ["item_id"], "text").withColumn("weight", F.round("weight", 9))
 
 
+@query()
+def hash_embed_texts(spark, sf_dir):
+    """Whole texts of all documents and conversation turns; hash_embed holds the benchmark's."""
+    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("turn"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), F.col("conv_id").alias("id"), "turn", "text")
+    # A document has no turn; the key of the embedding holds no null.
+    keys = F.struct("source", "id", F.coalesce("turn", F.lit(-1)).alias("turn"))
+    e = R.hash_embedding(d.unionByName(c).select(keys.alias("k"), "text"), ["k"], "text")
+    return e.select("k.source", "k.id", F.when(F.col("k.source") == "conversations", F.col("k.turn")).alias("turn"), "bucket", F.round("weight", 9).alias("weight"))
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 100 = 0)
 SELECT query_id, vec_id AS id, round(list_cosine_similarity(q, v), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 9) DESC, vec_id)::INTEGER AS rank FROM q JOIN v ON query_id <> vec_id QUALIFY rank <= 8""")
 def cosine_topk(spark, sf_dir):
