@@ -272,6 +272,28 @@ def test_hash_embed_texts_is_whole(spark, tmp_path):
         assert e.keys() == want[k].keys() and all(abs(e[b] - want[k][b]) < 2e-9 for b in e)
 
 
+def test_facts_of_rows_and_entities(spark, sales):
+    cells, columns, _ = sales
+    more = cells_of(spark, {"Employee ID": ["E003", "E900", None, "E901"], "Salary": [700, 800, 900, None]}, "pay")
+    columns = columns.select(*P.KEY, "column", "position", "semantic_type", "min", "max").unionByName(spark.createDataFrame([("d", "pay", "Employee ID", 0, "identifier", None, None), ("d", "pay", "Salary", 1, "currency", 700.0, 900.0)], "doc_id string, dataset string, column string, position int, semantic_type string, min double, max double"))
+    cells = cells.unionByName(more)
+    none = lambda s: spark.createDataFrame([], s)
+    kind, text = spark.createDataFrame([("d", "HR")], "doc_id string, document_type string"), spark.createDataFrame([("d", "Salary review: salary rose 5% on 3 March; paid January 2025.")], "doc_id string, text string")
+    f = R.facts(kind, none("doc_id string, dataset string, row_count long"), columns, none("doc_id string, label string, value double"), none("doc_id string, text string"), cells, R.mentions(text)).cache()
+    assert f.select("doc_id", "fact_no").distinct().count() == f.count()
+    rows = {r.answer for r in f.filter(F.col("fact_no") >= R.ROW_FACTS).collect()}
+    want = {f'For Employee ID "E{i:03d}" in "sales": Date 2025-{1 + i // 4:02d}-{10 + i}, Region {["East", "West", "North"][i % 3]}, Revenue {100 * (i + 1)}, Units Sold {2 * i + 5}, Discount % {i % 3 * 5}%.' for i in range(12)}
+    assert rows == want | {'For Employee ID "E003" in "pay": Salary 700.', 'For Employee ID "E900" in "pay": Salary 800.'}
+    said = {r.source: r.answer for r in f.filter("source LIKE 'Entities%'").collect()}
+    assert said == {"Entities: dates": "Dates mentioned: January 2025.", "Entities: numbers": "Numbers and percentages mentioned: 5%.", "Entities: keywords": "Terms mentioned often: salary."}
+    q = spark.createDataFrame([("1", "d", "pay of E900"), ("2", "d", "Compare E001 and E900"), ("3", "d", "topics keywords themes terms")], "question_id string, doc_id string, question string")
+    got = {r.question_id: r.answer for r in R.best_facts(q, f).collect()}
+    assert got["1"] == 'For Employee ID "E900" in "pay": Salary 800.' and got["3"] == "Terms mentioned often: salary."
+    entities = R.comparables(R.identifier_rows(cells, columns))
+    assert entities.count() == 13
+    assert R.comparisons(q, entities).first().answer.split("\n") == ["E900 (pay): Salary 800.", "E001 (sales): Date 2025-01-11, Region West, Revenue 200, Units Sold 7, Discount % 5%."]
+
+
 def test_catalog_page_is_clamped(spark):
     cat = spark.range(45).select(F.col("id").alias("doc_id"))
     rows, n, pages = C.page(cat, [F.col("doc_id")], 9, 20)

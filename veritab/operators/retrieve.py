@@ -15,6 +15,9 @@ from veritab.operators.profile import KEY
 CHUNK, OVERLAP, BLOCK_ROWS, DATASET_ROWS, DOC_CHUNKS = 1200, 150, 20, 2000, 1500
 DIMENSIONS = 512
 VECTOR_WEIGHT, KEYWORD_WEIGHT, LEAST_SCORE, MOST_HITS = 0.7, 0.3, 0.15, 8
+SHOWN_COLUMNS, MOST_LISTED = 5, 12
+#: Facts of rows are numbered from here on, after all others; keys over which the rows of one column are dealt.
+ROW_FACTS, SPREAD = 1 << 40, 32
 COMPARE_WORDS = ("compare", "versus", " vs ", "difference between", "against")
 
 
@@ -185,11 +188,61 @@ def extractive_answers(hits: DataFrame) -> DataFrame:
 
 # --- facts and answers
 
+ENTITY_FACTS = (
+    ("dates", ("dates", "date", "when"), "Dates mentioned: ", "No dates were found."),
+    ("numbers", ("numbers", "percentages", "percent", "figures", "amounts"), "Numbers and percentages mentioned: ", "No numbers or percentages were found in the text."),
+    ("keywords", ("keywords", "topics", "themes", "terms"), "Terms mentioned often: ", "No terms are repeated often."),
+)
 
-def facts(doc_kind: DataFrame, counts: DataFrame, columns: DataFrame, metrics: DataFrame, insights: DataFrame) -> DataFrame:
+
+def identifier_rows(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """(doc_id, dataset, fact_no, column, v, said): one row for each row of a table and each of its identifiers.
+
+    said lists what is there of the table's first five columns that are no identifiers; rows with none of it are left
+    out. fact_no goes up by source_row, then by the document's identifier columns.
+    """
+    ids = columns.filter("semantic_type = 'identifier'").select(*KEY, "column", F.row_number().over(W.partitionBy("doc_id").orderBy("dataset", "position")).alias("id_no"))
+    ids = ids.join(ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_ids")), "doc_id")
+    shown = columns.filter("semantic_type <> 'identifier'").withColumn("rn", F.row_number().over(W.partitionBy(*KEY).orderBy("position"))).filter(F.col("rn") <= SHOWN_COLUMNS)
+    none = F.lit(None).cast("int")
+    roles = ids.select(*KEY, "column", "id_no", F.col("n_ids").cast("int").alias("n_ids"), none.alias("rn")).unionByName(shown.join(ids.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "column", none.alias("id_no"), none.alias("n_ids"), "rn"))
+    # A column of a large table has many rows: they are dealt by source_row.
+    roles = roles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    kept = cells.withColumn("v", S.clean_text(F.col("value"))).filter("v IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("source_row"), F.lit(SPREAD)).cast("int"))
+    met = kept.join(roles, [*KEY, "column", "part"])
+    said = F.array_sort(F.collect_list(F.when(F.col("rn").isNotNull(), F.struct("rn", F.concat("column", F.lit(" "), F.col("v")).alias("s")))))
+    of_id = F.collect_list(F.when(F.col("id_no").isNotNull(), F.struct("id_no", "n_ids", "column", "v")))
+    rows = met.groupBy(*KEY, "source_row").agg(F.array_join(F.transform(said, lambda x: x["s"]), ", ").alias("said"), of_id.alias("ids")).filter("said <> ''")
+    number = F.lit(ROW_FACTS) + F.col("source_row") * F.col("i.n_ids") + F.col("i.id_no") - 1
+    return rows.withColumn("i", F.explode("ids")).select(*KEY, number.alias("fact_no"), "i.column", "i.v", "said")
+
+
+def identifier_facts(rows: DataFrame) -> DataFrame:
+    """facts of identifier_rows(): the identifier's words and the dataset's find the row's other values."""
+    words = F.array_distinct(F.concat(T.tokenize(F.col("v")), T.tokenize(F.col("dataset"))))
+    answer = F.concat(F.lit("For "), F.col("column"), F.lit(' "'), F.col("v"), F.lit('" in "'), F.col("dataset"), F.lit('": '), F.col("said"), F.lit("."))
+    return rows.filter(F.size(T.tokenize(F.col("v"))) > 0).select("doc_id", "fact_no", words.alias("keywords"), answer.alias("answer"), F.col("dataset").alias("source"))
+
+
+def comparables(rows: DataFrame) -> DataFrame:
+    """entities (doc_id, entity_no, key, summary) for comparisons(): each identifier of identifier_rows(), its last row for a repeated one."""
+    summary = F.concat("v", F.lit(" ("), F.col("dataset"), F.lit("): "), F.col("said"), F.lit("."))
+    own = rows.filter(F.size(T.tokenize(F.col("v"))) > 0).select("doc_id", "fact_no", F.lower("v").alias("key"), summary.alias("summary"))
+    return own.groupBy("doc_id", "key").agg(F.min("fact_no").alias("entity_no"), F.max_by("summary", "fact_no").alias("summary")).select("doc_id", "entity_no", "key", "summary")
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """(doc_id, dates, numbers, keywords) of documents (doc_id, text): what entity facts list."""
+    said = T.keywords(docs).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
+    own = docs.select("doc_id", T.extract_dates(F.col("text")).alias("dates"), T.extract_numbers(F.col("text")).alias("numbers"))
+    return own.join(said, "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
+
+
+def facts(doc_kind: DataFrame, counts: DataFrame, columns: DataFrame, metrics: DataFrame, insights: DataFrame, cells: DataFrame | None = None, mentioned: DataFrame | None = None) -> DataFrame:
     """facts (doc_id, fact_no, keywords, answer, source) of general documents.
 
-    doc_kind is (doc_id, document_type). Facts: what it is, record counts, columns, extremes, metrics and insights.
+    doc_kind is (doc_id, document_type). Facts: what it is, record counts, columns, extremes, metrics and insights;
+    with cells those of each row that has an identifier, with rows of mentions() dates, numbers and keywords.
     """
 
     def fact(rows: DataFrame, kind: int, words: Column, answer: Column, source: Column) -> DataFrame:
@@ -198,6 +251,9 @@ def facts(doc_kind: DataFrame, counts: DataFrame, columns: DataFrame, metrics: D
     def with_words(c: str, *more: str) -> Column:
         return F.concat(T.significant_words(F.col(c)), F.array(*[F.lit(m) for m in more]))
 
+    def listing(c: str, label: str, without: str) -> Column:
+        return F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(F.slice(c, 1, MOST_LISTED), ", "), F.lit("."))).otherwise(F.lit(without))
+
     n = S.format_number
     listed = columns.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda x: x["column"]), ", ").alias("names"))
     numeric = columns.filter("max IS NOT NULL")
@@ -209,8 +265,10 @@ def facts(doc_kind: DataFrame, counts: DataFrame, columns: DataFrame, metrics: D
         fact(numeric, 5, with_words("column", "lowest", "minimum"), F.concat(F.lit("The lowest "), F.col("column"), F.lit(" is "), n(F.col("min")), F.lit(".")), F.col("dataset")),
         fact(metrics, 6, T.significant_words(F.col("label")), F.concat("label", F.lit(": "), n(F.col("value")), F.lit(".")), F.lit("Metrics")),
         fact(insights, 7, with_words("text"), F.col("text"), F.lit("Insights")),
+        *([] if mentioned is None else [fact(mentioned, 8, F.array(*map(F.lit, words)), listing(c, label, without), F.lit(f"Entities: {c}")) for c, words, label, without in ENTITY_FACTS]),
     ])
-    return found.filter(F.size("keywords") > 0).withColumn("fact_no", F.row_number().over(W.partitionBy("doc_id").orderBy("kind", "source", "answer"))).drop("kind")
+    found = found.filter(F.size("keywords") > 0).withColumn("fact_no", F.row_number().over(W.partitionBy("doc_id").orderBy("kind", "source", "answer")).cast("long")).drop("kind")
+    return found if cells is None else found.unionByName(identifier_facts(identifier_rows(cells, columns)))
 
 
 def market_facts(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

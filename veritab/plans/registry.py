@@ -458,6 +458,23 @@ def section_search(spark, sf_dir):
     return got.select(F.col("question_id").alias("item_id"), F.col("source").cast("long").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
+@query()
+def row_facts(spark, sf_dir):
+    """Facts of every order; the keys of orders are its identifiers by declaration, as their names hint at none."""
+    t = table(spark, sf_dir, "orders")
+    names = [c for c in t.columns if not c.startswith("_")]
+    cells = P.to_cells(t.withColumn("_row", F.col("o_orderkey")), "orders", "_row", names)
+    kinds = [("orders", "orders", c, i, "identifier" if c == "o_orderkey" else "text") for i, c in enumerate(names)]
+    columns = spark.createDataFrame(kinds, "doc_id string, dataset string, column string, position int, semantic_type string")
+    return R.identifier_facts(R.identifier_rows(cells, columns)).select("fact_no", F.array_join("keywords", " ").alias("keywords"), "answer")
+
+
+@query()
+def entity_facts(spark, sf_dir):
+    m = R.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return m.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("dates", "numbers", "keywords")])
+
+
 @query()
 def retrieval(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
