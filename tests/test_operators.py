@@ -294,6 +294,12 @@ def test_facts_of_rows_and_entities(spark, sales):
     assert R.comparisons(q, entities).first().answer.split("\n") == ["E900 (pay): Salary 800.", "E001 (sales): Date 2025-01-11, Region West, Revenue 200, Units Sold 7, Discount % 5%."]
 
 
+def test_samples_come_from_the_whole_column(spark):
+    late = P.profile(cells_of(spark, {"Late": [None] * 60 + ["b", "a", "b", "c", None, "d", "e", "f"], "Blank": [None] * 68}))
+    far = P.profile(spark.createDataFrame([("d", "far", "x", 0, 10**6 + r, f"v{r}") for r in range(3)], P.CELLS))
+    assert {r.column: r.sample_values for r in late.unionByName(far).collect()} == {"Late": ["b", "a", "c", "d", "e"], "Blank": [], "x": ["v0", "v1", "v2"]}
+
+
 def test_catalog_page_is_clamped(spark):
     cat = spark.range(45).select(F.col("id").alias("doc_id"))
     rows, n, pages = C.page(cat, [F.col("doc_id")], 9, 20)

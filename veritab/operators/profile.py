@@ -103,8 +103,12 @@ def profile(cells: DataFrame, free_dates: bool = False) -> DataFrame:
         F.try_divide(F.sum(number * n), F.sum(F.when(number.isNotNull(), n))).alias("mean"),
         F.count_distinct("number").alias("distinct_numbers"),
         hits(number < 0).alias("negatives"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.when(has & (F.col("first_row") <= 40), F.struct("first_row", "value")))), lambda s: s["value"]), 1, 5).alias("sample_values"),
     )
+    # Ranks are cut in every partition before the shuffle.
+    rank = F.row_number().over(W.partitionBy(*KEY, "column").orderBy("first_row", "value"))
+    first = counts.filter(has).select(*KEY, "column", "first_row", "value").withColumn("rank", rank).filter(F.col("rank") <= 5)
+    samples = first.groupBy(*KEY, "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("sample_values"))
+    per = per.join(samples, [*KEY, "column"], "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
     mean = per.select(*KEY, "column", F.col("mean").alias("m"))
     spread = (
         counts.filter("number IS NOT NULL")
