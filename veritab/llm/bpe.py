@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -112,17 +111,11 @@ class WordBpe:
 
     def _plain(self, text: str) -> bytes:
         """Ids of a text without special strings."""
-        if not text.isascii():
-            if any(unicodedata.category(c) == "Cn" for c in text):
-                # Characters that Python's tables don't have yet: the library's own tables say what they are.
-                words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-                return b"".join(array("I", self.merge(w)).tobytes() for w, _ in words)
-            text = unicodedata.normalize("NFC", text)
-            # Lower case goes character by character, so a final sigma is as any other.
-            text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
-        else:
-            text = text.lower()
-        return b"".join(map(self._word, self.words.findall(text)))
+        if not text.isascii() and max(text) >= "\u0180":
+            # Python's tables are newer than the library's, so beyond Latin letters its own normaliser and tables decide.
+            words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            return b"".join(array("I", self.merge(w)).tobytes() for w, _ in words)
+        return b"".join(map(self._word, self.words.findall(text.lower())))
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         parts = self.cut.split(piece) if "<|" in piece else [piece]

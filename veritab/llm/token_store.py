@@ -18,9 +18,9 @@ from veritab.llm.encode import encoder_for
 #: A block closes at so many bytes of frames or so many documents, so that a reader holds little.
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 4096
-#: Documents that the dictionary is trained on, and ids taken from each of them.
+#: Documents that the dictionary is trained on: so many, of at most so many characters.
 SAMPLE_DOCS = 2000
-SAMPLE_IDS = 4096
+SAMPLE_CHARS = 32_768
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 
@@ -28,20 +28,25 @@ BLOCK_SCHEMA = "shard int, block int, first_start long, dict_sha256 string, doc_
 
 
 def train_dictionary(docs: DataFrame, path: str, keep_space: bool, end_id: int) -> bytes:
-    """A zstandard dictionary from the serialized ids of a bounded sample: the SAMPLE_DOCS smallest hashes of (id, text).
+    """A zstandard dictionary from the serialized ids of a bounded sample of whole texts.
 
-    Empty if the sample is too small to train on; frames are then written without a dictionary.
+    The ids of the SAMPLE_DOCS smallest hashes are chosen first, without texts; then their texts of up to SAMPLE_CHARS
+    characters are read, one row an id. Empty if the sample is too small to train on; frames are then written without a
+    dictionary.
     """
-    some = docs.select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS)
+    some = docs.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_DOCS).select("doc_id").distinct()
+    short = docs.filter(F.char_length("text") <= SAMPLE_CHARS)
+    # At most SAMPLE_DOCS ids of 8 bytes are broadcast.
+    texts = short.join(F.broadcast(some), docs["doc_id"].eqNullSafe(some["doc_id"]), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * SAMPLE_IDS] for x in encoder_for(path, keep_space).encode(texts[a:b])], pa.binary())], ["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(encoder_for(path, keep_space).encode(texts[a:b]), pa.binary())], ["ids"])
 
     tail = np.uint32(end_id).tobytes()
-    samples = [bytes(r.ids) + tail for r in some.mapInArrow(ids, "ids binary").collect()]
+    samples = sorted(bytes(r.ids) + tail for r in texts.select("text").mapInArrow(ids, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
