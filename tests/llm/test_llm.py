@@ -151,17 +151,39 @@ def test_near_duplicates(spark):
     assert [got[i] for i in range(len(texts))] == brute_links(texts)
 
 
-def test_near_duplicates_in_split_buckets(spark):
-    texts = family(words(80, 8), 70, 1) + family(words(80, 8), 30, 5)
-    docs = docs_of(spark, texts)
+@pytest.mark.parametrize("blocks", [4096, 16])
+def test_near_duplicates_in_split_buckets(spark, monkeypatch, blocks):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", blocks)
+    texts = family(words(80, 8), 70, 1) + family(words(80, 8), 30, 5) + family(words(90, 8), 30, 6)
+    docs = docs_of(spark, texts).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text")
     keys = ngram_join._keys(docs, ngram_join.runs_needed(levels=4), 2.0).cache()
-    reps = keys.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
+    reps = keys.groupBy("set_key").agg(F.min_by("row", "id").alias("row"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
     found = ngram_join.links(docs, reps, bucket=8).groupBy("rep").agg(F.sum("linked").alias("n"))
     copies = {r.rep: r.copies for r in reps.collect()}
     want = {i: n - (copies[i] - 1) for i, (_, n) in enumerate(brute_links(texts)) if i in copies}
     assert {r.rep: r.n for r in found.collect()} == {i: n for i, n in want.items() if n}
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b = words(60, 31), words(60, 32)
+    rows = [(5, a), (5, b), (7, b + " more"), (9, a + " more"), (None, a + " other"), (5, a), (None, words(40, 33)), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class_id", F.lit("clash"))
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.n_links) for r in ngram_join.near_duplicates(docs).collect()))
+    assert got == sorted([(5, 5, 3), (5, 5, 1), (7, 5, 1), (9, 5, 3), (0, 5, 3), (5, 5, 3), (0, 0, 0), (3, 3, 0), (3, 3, 0)])
+
+
+def test_shingle_sets_and_sketches():
+    texts = [t or "" for t in ODD] + [words(n, n) for n in range(1, 9)]
+    assert all((x == ngram_join.shingles(t)).all() for x, t in zip(ngram_join.shingle_sets(texts), texts, strict=True))
+    rng, least, missed = np.random.default_rng(2), ngram_join._least_agreement(0.8, 5e-5), 0
+    for n in (9, 90, 900):
+        for _ in range(200):
+            t = rng.integers(0, 1 << 64, n + n // 9 * 2, np.uint64)
+            x, y = (np.unpackbits(np.frombuffer(ngram_join._sketch(np.sort(s)), np.uint8)) for s in (t[: n + n // 9], t[n // 9 :]))
+            missed += int((x == y).sum() < least)
+    assert not missed
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)]
     got = {r.node: r.label for r in min_labels(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
