@@ -226,12 +226,29 @@ def test_repeats(spark, monkeypatch, small):
     assert left[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"} and len(left) == len(texts)
 
 
-def test_two_lanes():
-    keys = suffix_dedup._combine([np.array([5, 1, 5], np.uint64), np.array([2, 9, 1], np.uint64)])
+def test_different_texts_of_one_pattern_stay(spark):
+    """Strings that polynomials modulo 2**64 don't tell apart, whatever the letters: Thue-Morse blocks."""
+    sign = [bin(i).count("1") % 2 for i in range(64)]
+    block = lambda a, b: "".join((a, b)[x] for x in sign)
+    texts = [block(a, b) + block(c, d) + block(e, f) + "tail next" for a, b, c, d, e, f in ("abcdef", "badcfe", "cdefab", "dcfeba", "abdcef", "bacdfe", "aabbcc", "ghijkl", "hgjilk")]
+    texts += [texts[0] + "!", "z" + texts[3]]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts)
+
+
+def test_keys_and_products():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, suffix_dedup.PRIME, 500, np.uint64) for _ in range(2))
+    a[:3], b[:3] = (0, 1, suffix_dedup.PRIME - 1), (suffix_dedup.PRIME - 1,) * 3
+    assert [int(x) * int(y) % suffix_dedup.PRIME for x, y in zip(a, b, strict=True)] == suffix_dedup._times(a, b).tolist()
+    base, data = int(a[9]), rng.integers(0, 256, 500).astype(np.uint8)
+    want = [sum((int(x) + 1) * pow(base, j, suffix_dedup.PRIME) for j, x in enumerate(data[i : i + 200])) % suffix_dedup.PRIME for i in (0, 7, 300)]
+    assert suffix_dedup._Lane(base).at(data, np.array([0, 7, 300])).tolist() == want
+    keys = suffix_dedup._key(np.array([5, 1, 5, 5, 9], np.uint64), np.array([2, 9, 1, 2, 300], np.uint64))
     own, many = suffix_dedup._distinct(keys)
-    assert len(own) == 3 and not len(many)
-    assert (suffix_dedup._expand(suffix_dedup._squeeze(own), 2) == own).all()
-    assert suffix_dedup._among(own, own[1:2]).tolist() == [False, True, False]
+    assert own.tolist() == [(1, 9), (5, 1), (5, 2), (9, 300)] and many.tolist() == [(5, 2)]
+    assert (suffix_dedup._expand(suffix_dedup._squeeze(own, 2), 2) == own).all()
+    assert suffix_dedup._among(own, own[2:3]).tolist() == [False, False, True, False]
 
 
 # --- quality

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
 
@@ -27,14 +28,19 @@ SAMPLE = MATCH - PERIOD + 1
 CHUNK_BYTES = 2 << 20
 WINDOW = 256 << 10
 BUCKET_SUFFIXES = 1 << 20
-#: Up to so many suffixes one 64-bit lane tells different strings apart (under one pair in 500 such corpora); beyond, two.
-ONE_LANE = 1 << 28
+#: The modulus of the suffixes' fingerprints, a prime.
+PRIME = (1 << 61) - 1
+#: Bits by which fingerprints are wider than pairs of different strings need, at every size.
+SAFE_BITS = 10
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-class _Fingerprints:
-    """64-bit polynomial fingerprints of all strings of one length, by prefix sums modulo 2**64 over an odd base."""
+class _Prints:
+    """64-bit polynomial fingerprints of all strings of one length, by prefix sums modulo 2**64 over an odd base.
+
+    They only choose what is looked at: some different strings have equal ones, equal strings always have.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -60,13 +66,65 @@ class _Fingerprints:
             return (sums[length:] - sums[:-length]) * self.inverses[:n]
 
 
-_LANES: dict[int, _Fingerprints] = {}
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME for factors below it, in 31-bit halves."""
+    low31, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low31, b >> np.uint64(31), b & low31
+    mid = a1 * b0 + a0 * b1
+    return _fold((a1 * b1 << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & low30) << np.uint64(31)) + a0 * b0)
+
+
+class _Lane:
+    """Polynomial fingerprints of strings of MATCH bytes modulo PRIME over a base that is drawn anew in each run.
+
+    Two different strings agree for MATCH - 1 of the 2**61 bases at most, whatever they hold, and no text can be made
+    to agree without knowing the base.
+    """
+
+    def __init__(self, base: int):
+        self.powers, self.inverses = self._powers(base), self._powers(pow(base, -1, PRIME))
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        out, x = np.empty(WINDOW + MATCH + 1, np.uint64), 1
+        for i in range(len(out)):
+            out[i] = x
+            x = x * base % PRIME
+        return out
 
+    def at(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The fingerprint of data[i : i + MATCH] for each i of places; data holds WINDOW + MATCH bytes at most."""
+        low31, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+        d, p = data.astype(np.uint64) + np.uint64(1), self.powers[: len(data)]
+        # Prefix sums of both 31-bit halves of byte * power; neither overflows in a window.
+        sums = [np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)]
+        np.cumsum(d * (p >> np.uint64(31)), out=sums[0][1:])
+        np.cumsum(d * (p & low31), out=sums[1][1:])
+        high, low = (x[places + MATCH] - x[places] for x in sums)
+        return _times(_fold((high >> np.uint64(30)) + ((high & low30) << np.uint64(31)) + low), self.inverses[places])
 
-def _lane(k: int) -> _Fingerprints:
-    if k not in _LANES:
-        _LANES[k] = _Fingerprints(1000 + k)
-    return _LANES[k]
+
+_SAMPLES: list[_Prints] = []
+_LANES: dict[int, _Lane] = {}
+
+
+def _sample_prints() -> _Prints:
+    if not _SAMPLES:
+        _SAMPLES.append(_Prints(1000))
+    return _SAMPLES[0]
+
+
+def _lane(base: int) -> _Lane:
+    if base not in _LANES:
+        if len(_LANES) > 4:
+            _LANES.clear()
+        _LANES[base] = _Lane(base)
+    return _LANES[base]
 
 
 class _Chunk:
@@ -91,44 +149,55 @@ class _Chunk:
         for a, b, done, left in self.windows():
             got = np.flatnonzero(_IN_COVER[done % PERIOD] & (left >= SAMPLE))
             positions.append(got + a)
-            prints.append(_lane(0).of(self.data[a : b + SAMPLE - 1], SAMPLE)[got])
+            prints.append(_sample_prints().of(self.data[a : b + SAMPLE - 1], SAMPLE)[got])
         return np.concatenate(positions), np.concatenate(prints)
 
-    def suffixes(self, tied: np.ndarray, lanes: int) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Positions from which a tied cover position lies less than PERIOD ahead, with MATCH bytes left; their fingerprints."""
+    def suffixes(self, tied: np.ndarray, plan: _Plan) -> tuple[np.ndarray, np.ndarray]:
+        """Positions from which a tied cover position lies less than PERIOD ahead, with MATCH bytes left; their keys."""
         change = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(change, np.maximum(tied - (PERIOD - 1), 0), 1)
         np.add.at(change, tied + 1, -1)
         near = np.cumsum(change[:-1]) > 0
-        positions, prints = [np.empty(0, np.int64)], [[np.empty(0, np.uint64)] for _ in range(lanes)]
+        positions, keys = [np.empty(0, np.int64)], [np.empty(0, _KEY)]
         for a, b, _, left in self.windows():
             got = np.flatnonzero(near[a:b] & (left >= MATCH))
             if len(got):
                 positions.append(got + a)
-                for k in range(lanes):
-                    prints[k].append(_lane(1 + k).of(self.data[a : b + MATCH - 1], MATCH)[got])
-        return np.concatenate(positions), [np.concatenate(p) for p in prints]
+                data = self.data[a : b + MATCH - 1]
+                keys.append(_key(_lane(plan.bases[0]).at(data, got) << np.uint64(3), _lane(plan.bases[1]).at(data, got) & np.uint64((1 << 8 * plan.extra) - 1) if plan.extra else None))
+        return np.concatenate(positions), np.concatenate(keys)
+
 
+#: A suffix's key: the first lane, and as many bytes of the second as the plan wants.
+_KEY = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
-def _combine(prints: list[np.ndarray]) -> np.ndarray:
-    """One sortable key of one or two lanes."""
-    if len(prints) == 1:
-        return prints[0]
-    out = np.empty(len(prints[0]), dtype=[("a", np.uint64), ("b", np.uint64)])
-    out["a"], out["b"] = prints
+
+def _key(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
+    out = np.zeros(len(a), _KEY)
+    out["a"] = a
+    if b is not None:
+        out["b"] = b
     return out
 
 
-def _lead(keys: np.ndarray) -> np.ndarray:
-    return keys["a"] if keys.dtype.names else keys
+def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x["a"] == y["a"]) & (x["b"] == y["b"])
+
+
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    keys = keys[np.argsort(keys["a"], kind="stable")]
+    # Equal first lanes with different second ones hardly occur.
+    if ((keys["a"][1:] == keys["a"][:-1]) & (keys["b"][1:] < keys["b"][:-1])).any():
+        keys = keys[np.lexsort((keys["b"], keys["a"]))]
+    return keys
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and those that occur more than once."""
-    keys = np.sort(keys)
+    keys = _sorted(keys)
     if not len(keys):
         return keys, keys
-    same = keys[1:] == keys[:-1]
+    same = _same(keys[1:], keys[:-1])
     return keys[np.concatenate([[True], ~same])], keys[1:][same]
 
 
@@ -136,26 +205,36 @@ def _among(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Which keys are among the sorted chosen ones."""
     if not len(chosen):
         return np.zeros(len(keys), bool)
-    at = np.searchsorted(chosen, keys)
-    return chosen[np.minimum(at, len(chosen) - 1)] == keys
+    at = np.searchsorted(chosen["a"], keys["a"])
+    out = np.zeros(len(keys), bool)
+    left = np.arange(len(keys))
+    while len(left):
+        spot = at[left]
+        left = left[spot < len(chosen)]
+        left = left[chosen["a"][at[left]] == keys["a"][left]]
+        equal = chosen["b"][at[left]] == keys["b"][left]
+        out[left[equal]] = True
+        left = left[~equal]
+        at[left] += 1
+    return out
 
 
-def _squeeze(keys: np.ndarray) -> bytes:
-    """Sorted keys as compressed differences, byte planes apart; a second lane follows as it is."""
-    lead = _lead(keys)
-    steps = np.diff(lead, prepend=np.zeros(1, np.uint64))
+def _squeeze(keys: np.ndarray, extra: int) -> bytes:
+    """Sorted keys as compressed differences, byte planes apart; the second lane's bytes follow as they are."""
+    steps = np.diff(keys["a"], prepend=np.zeros(1, np.uint64))
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    tail = np.ascontiguousarray(keys["b"]).tobytes() if keys.dtype.names else b""
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + tail)
+    tail = np.ascontiguousarray(np.ascontiguousarray(keys["b"]).view(np.uint8).reshape(-1, 8)[:, :extra])
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + tail.tobytes())
 
 
-def _expand(packed: bytes, lanes: int) -> np.ndarray:
+def _expand(packed: bytes, extra: int) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(packed)
-    n = len(raw) // (8 * lanes)
+    n = len(raw) // (8 + extra)
     steps = np.ascontiguousarray(np.frombuffer(raw[: 8 * n], np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+    tail = np.zeros((n, 8), np.uint8)
+    tail[:, :extra] = np.frombuffer(raw[8 * n :], np.uint8).reshape(n, extra)
     with np.errstate(over="ignore"):
-        lead = np.cumsum(steps, dtype=np.uint64)
-    return lead if lanes == 1 else _combine([lead, np.frombuffer(raw[8 * n :], np.uint64)])
+        return _key(np.cumsum(steps, dtype=np.uint64), tail.view(np.uint64).ravel())
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -192,22 +271,22 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
 _BLOCKS = "bucket long, chunk long, keys binary"
 
 
-def _deal(chunk: int, keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _deal(chunk: int, keys: np.ndarray, bits: int, extra: int) -> Iterator[pa.RecordBatch]:
     """Sorted distinct keys by bucket, the leading bits of the first lane."""
     if not len(keys):
         return
-    bucket = (_lead(keys) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    bucket = (keys["a"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     parts = np.split(keys, cuts)
     for a in range(0, len(parts), 64):
         some = parts[a : a + 64]
-        yield pa.RecordBatch.from_arrays([pa.array([int(b) for b in bucket[np.concatenate([[0], cuts])][a : a + 64]]), pa.array([chunk] * len(some)), pa.array([_squeeze(p) for p in some], pa.binary())], ["bucket", "chunk", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(b) for b in bucket[np.concatenate([[0], cuts])][a : a + 64]]), pa.array([chunk] * len(some)), pa.array([_squeeze(p, extra) for p in some], pa.binary())], ["bucket", "chunk", "keys"])
 
 
-def _ties(blocks: DataFrame, lanes: int, keep: int) -> DataFrame:
+def _ties(blocks: DataFrame, extra: int) -> DataFrame:
     """Sort one bucket at a time; (chunk, list of (bucket, flags)): which of a chunk's keys other chunks hold as well.
 
-    A chunk sends each key once, so the most frequent string has one entry a chunk. keep: leading bits compared.
+    A chunk sends each key once, so the most frequent string has one entry a chunk.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +294,7 @@ def _ties(blocks: DataFrame, lanes: int, keep: int) -> DataFrame:
         bucket = None
 
         def close() -> Iterator[pa.RecordBatch]:
-            parts = [_expand(k, lanes) for _, k in held]
+            parts = [_expand(k, extra) for _, k in held]
             _, tied = _distinct(np.concatenate(parts))
             flags = [_among(p, tied) for p in parts]
             rows = [(c, zstandard.compress(np.packbits(f).tobytes(), 1)) for (c, _), f in zip(held, flags, strict=True) if f.any()]
@@ -241,7 +320,7 @@ def _tied_keys(keys: np.ndarray, found: list | None, bits: int) -> np.ndarray:
     """The sorted distinct keys of a chunk that _ties() flagged."""
     out = [keys[:0]]
     if found and len(keys):
-        bucket = _lead(keys) >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+        bucket = keys["a"] >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
         for f in sorted(found, key=lambda x: x["bucket"]):
             a, b = np.searchsorted(bucket, np.uint64(f["bucket"])), np.searchsorted(bucket, np.uint64(f["bucket"]), "right")
             flags = np.unpackbits(np.frombuffer(zstandard.decompress(f["flags"]), np.uint8), count=int(b - a)).astype(bool)
@@ -258,11 +337,13 @@ class _Plan:
         # So many leading bits that a sample ties by chance once in 4096 times; such a tie costs a look, nothing else.
         self.kept = min(64, samples.bit_length() + 12)
         self.buckets = max(0, (ceil_div(total // 4 + 1, BUCKET_SUFFIXES) - 1).bit_length())
-        self.lanes = 1 if total <= ONE_LANE * 4 else 2
+        # Key width by one rule: were all positions different strings, some two would agree once in 2**SAFE_BITS runs.
+        self.extra = max(0, ceil_div(2 * total.bit_length() - 1 + SAFE_BITS - 61, 8))
+        self.bases = [secrets.randbelow(PRIME - 300) + 256 for _ in range(2)]
 
     def sample_keys(self, chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
         at, prints = chunk.samples()
-        return at, prints & ~np.uint64((1 << (64 - self.kept)) - 1)
+        return at, _key(prints & ~np.uint64((1 << (64 - self.kept)) - 1))
 
     def tied(self, chunk: _Chunk, found: list | None) -> np.ndarray:
         """Cover positions whose rank is shared: elsewhere in the chunk or in another one."""
@@ -285,7 +366,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> Data
     rank is a tie. (2) Only suffixes less than PERIOD before a tied cover position can have an equal one for MATCH
     bytes; these long ties are settled in buckets of suffixes keyed by the fingerprint of their first MATCH bytes, one
     bucket in memory at a time. Suffixes are ordered by fingerprints, not letters: the job needs neighbours that are
-    equal to a depth, and that order spreads any common prefix over all buckets.
+    equal to a depth, and that order spreads any common prefix over all buckets. Bytes are not compared: fingerprints
+    are taken modulo a prime over bases drawn in each run, and are as wide as the number of bytes asks (see _Plan).
     """
     spark: SparkSession = docs.sparkSession
     source = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("__none")]).alias("row"))
@@ -299,21 +381,20 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> Data
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk in _each(batches):
-            yield from _deal(batch.column("chunk")[i].as_py(), _distinct(plan.sample_keys(chunk)[1])[0], plan.sample_buckets)
+            yield from _deal(batch.column("chunk")[i].as_py(), _distinct(plan.sample_keys(chunk)[1])[0], plan.sample_buckets, 0)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk in _each(batches):
             tied = plan.tied(chunk, batch.column("samples")[i].as_py())
-            _, prints = chunk.suffixes(tied, plan.lanes)
-            yield from _deal(batch.column("chunk")[i].as_py(), _distinct(_combine(prints))[0], plan.buckets)
+            _, keys = chunk.suffixes(tied, plan)
+            yield from _deal(batch.column("chunk")[i].as_py(), _distinct(keys)[0], plan.buckets, plan.extra)
 
     out_schema = T.StructType([T.StructField("__n_bytes", T.LongType()), T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__out", T.StringType()), T.StructField("row", row_schema)])
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk in _each(batches):
             tied = plan.tied(chunk, batch.column("samples")[i].as_py())
-            at, prints = chunk.suffixes(tied, plan.lanes)
-            keys = _combine(prints)
+            at, keys = chunk.suffixes(tied, plan)
             own, many = _distinct(keys)
             hit = at[_among(keys, many) | _among(keys, _tied_keys(own, batch.column("matches")[i].as_py(), plan.buckets))]
             owner = np.searchsorted(chunk.ends, hit, "right")
@@ -329,11 +410,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> Data
             sizes = chunk.ends - chunk.starts
             yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(out, pa.string()), lists.values.slice(off, len(sizes))], ["__n_bytes", "__spans", "__out", "row"])
 
-    samples = stage(_ties(chunks.select("chunk", "sizes", "blob").mapInArrow(first, _BLOCKS), 1, plan.kept), "cover").withColumnRenamed("found", "samples")
+    samples = stage(_ties(chunks.select("chunk", "sizes", "blob").mapInArrow(first, _BLOCKS), 0), "cover").withColumnRenamed("found", "samples")
     with_samples = chunks.join(samples, "chunk", "left")
-    matches = stage(_ties(with_samples.select("chunk", "sizes", "blob", "samples").mapInArrow(second, _BLOCKS), plan.lanes, 64), "matches").withColumnRenamed("found", "matches")
+    matches = stage(_ties(with_samples.select("chunk", "sizes", "blob", "samples").mapInArrow(second, _BLOCKS), plan.extra), "matches").withColumnRenamed("found", "matches")
     out = with_samples.join(matches, "chunk", "left").select("sizes", "blob", "samples", "matches", "rows").mapInArrow(third, out_schema)
-    return out.select("__n_bytes", "__spans", "__out", *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col])
+    out = stage(out.select("__n_bytes", "__spans", "__out", *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col]), "spans")
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def _runs(hits: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
