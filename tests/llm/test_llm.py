@@ -97,12 +97,13 @@ def test_empty_tables(spark, tmp_path):
 # --- dedup
 
 
-def test_exact_dedup(spark):
+@pytest.mark.parametrize("most_broadcast", [exact_dedup.MOST_BROADCAST, 0])
+def test_exact_dedup(spark, most_broadcast):
     texts = [*ODD, "a b", "ab", " a b ", "ab"]
     ids = list(range(len(texts)))
     ids[3] = ids[4]  # a repeated row
     docs = docs_of(spark, texts, ids).withColumn("kept", F.lit("clash"))
-    got = exact_dedup.exact_dedup(docs).collect()
+    got = exact_dedup.exact_dedup(docs, most_broadcast=most_broadcast).collect()
     norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
     groups = collections.defaultdict(list)
     for i, t in zip(ids, texts, strict=True):
@@ -113,6 +114,12 @@ def test_exact_dedup(spark):
     assert sum(r.kept for r in got) == len(groups) and len(got) == len(texts)
 
 
+def test_exact_dedup_ids(spark):
+    rows = [(None, "a"), ("9", "a"), (None, "a"), ("8", " a"), (None, "b"), (None, "b"), (None, "c")]
+    got = sorted((r.text or "", r.doc_id or "", r.keep_id or "", r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == sorted([("a", "", "8", 4, False), ("a", "9", "8", 4, False), ("a", "", "8", 4, False), (" a", "8", "8", 4, True), ("b", "", "", 2, False), ("b", "", "", 2, True), ("c", "", "", 1, True)])
+
+
 def brute_links(texts):
     sets = []
     for t in texts:

@@ -56,10 +56,10 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most_hot: int = 1000) -> DataFrame:
     """Inner-join rows to one row per group without gathering a hot group in one task.
 
-    Groups of over max(10,000, total / most_hot) rows number at most most_hot, so that many rows are broadcast;
+    Groups of over max(100, total / most_hot) rows number at most most_hot, so that many rows are broadcast;
     the other groups are joined by a shuffle in which no key has more rows than that.
     """
-    limit = max(10_000, total // most_hot)
+    limit = max(100, total // most_hot)
     hot = groups.filter(F.col(size) > limit)
     cool = groups.filter(F.col(size) <= limit)
     hot_rows = rows.join(F.broadcast(hot), key)

@@ -4,85 +4,80 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from veritab.llm.common import join_groups, stage
 
 #: Deleted before texts are compared.
 BLANKS = r"[\x20\x09-\x0D]"
-SLOT_BITS = 4096
-#: The filter is broadcast up to so many words of 64 slots (16 bytes a row), else joined by a shuffle.
-MOST_BROADCAST_WORDS = 1_000_000
+#: Slots of the filter a row: one row in 16 without a copy shares a slot with another text.
+SLOTS_A_ROW = 16
+#: Slots in a row of the filter table, 64 in each of its longs.
+BUCKET_SLOTS = 32768
+#: A filter of up to so many bytes is broadcast, else joined by a shuffle.
+MOST_BROADCAST = 256 << 20
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def _slot(h: Column, k: int, slots: int) -> Column:
-    return F.pmod(F.xxhash64(h, F.lit(k)), F.lit(slots))
+def repeated_slots(slots: DataFrame) -> DataFrame:
+    """First pass. Rows (__slot) to a table (__bucket, __words): the slots that two rows or more fell into, as bits.
 
-
-def repeated_words(hashes: DataFrame, slots: int) -> DataFrame:
-    """First pass. hashes has h; returns (word, bits): slots that two rows or more fell into, 64 to a word."""
-    both = hashes.select(F.explode(F.array(_slot(F.col("h"), 1, slots), _slot(F.col("h"), 2, slots))).alias("slot"))
-    twice = both.groupBy("slot").count().filter("count > 1")
-    return twice.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS INT))")).alias("bits"))
+    Only slot numbers are shuffled, counted on the map side first.
+    """
+    word, bit = F.shiftright("__slot", 6), F.expr("shiftleft(1L, cast(__slot & 63 AS INT))")
+    words = slots.groupBy("__slot").count().filter("count > 1").groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    a_bucket = BUCKET_SLOTS // 64
+    held = words.groupBy(F.floor(F.col("word") / a_bucket).alias("__bucket")).agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("word", F.lit(a_bucket)).cast("int").alias("k"), "bits"))).alias("held"))
+    return held.select("__bucket", F.transform(F.sequence(F.lit(0), F.lit(a_bucket - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long"))).alias("__words"))
 
 
-def possibly_repeated(docs: DataFrame, h: str, slots: int, words: DataFrame, small: bool) -> DataFrame:
-    """Second pass: docs with a boolean __maybe, true where both slots of h were hit twice."""
-    for k in (1, 2):
-        side = words.select(F.col("word").alias("__word"), F.col("bits").alias(f"__bits{k}"))
-        docs = docs.withColumn("__slot", _slot(F.col(h), k, slots)).withColumn("__word", F.shiftright("__slot", 6))
-        docs = docs.join(F.broadcast(side) if small else side, "__word", "left")
-        hit = F.coalesce(F.col(f"__bits{k}"), F.lit(0)).bitwiseAND(F.expr("shiftleft(1L, cast(__slot & 63 AS INT))")) != 0
-        docs = docs.withColumn(f"__hit{k}", hit).drop("__slot", "__word", f"__bits{k}")
-    return docs.withColumn("__maybe", F.col("__hit1") & F.col("__hit2")).drop("__hit1", "__hit2")
+def possibly_repeated(rows: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """Second pass: rows (__slot, ...) with a boolean __maybe, true where the slot was hit twice."""
+    rows = rows.withColumn("__bucket", F.floor(F.col("__slot") / BUCKET_SLOTS))
+    joined = rows.join(F.broadcast(table) if small else table, "__bucket", "left")
+    word = F.element_at("__words", (F.shiftright(F.pmod("__slot", F.lit(BUCKET_SLOTS)), 6) + 1).cast("int"))
+    hit = F.coalesce(word, F.lit(0).cast("long")).bitwiseAND(F.expr("shiftleft(1L, cast(__slot & 63 AS INT))")) != 0
+    return joined.withColumn("__maybe", hit).drop("__bucket", "__words")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Mark the exact copies in docs; every row comes back.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Mark the exact copies in docs; every row comes back with the columns of keep (all, if None).
 
     Texts are equal when identical after deleting the characters of BLANKS; null counts as empty, so null and
     blank texts are copies of each other. The row with the most code points, then the smallest id (a null id is
-    last), stays; of rows alike in both, one stays. Added columns (replacing any of the same name): keep_id,
-    group_size, kept, text_sha256. An empty table gives an empty result; other columns pass through.
+    last), stays; of rows alike in both, one stays. Ids may be of any type that has an order. Added columns (replacing
+    any of the same name): keep_id, group_size, kept, text_sha256. An empty table gives an empty result; other columns
+    pass through.
 
-    First pass: slots of a Bloom filter hit twice. Only rows whose slots were all hit twice can have a copy; they
-    are grouped by a shuffle of narrow rows, and all other rows pass straight through.
+    Texts are read and normalised once; rows with their digests are written. First pass: slots of a Bloom filter that
+    are hit twice. Only rows whose slot was hit twice can have a copy: they are grouped by a shuffle, and all other rows
+    pass straight through. A filter beyond most_broadcast bytes is joined by a shuffle of the rows.
     """
     spark: SparkSession = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    docs = docs.select(*own)
-    text = F.col(text_col)
-    hashes = docs.select(F.xxhash64(normalised(text)).alias("h"))
-    total = docs.count()
-    slots = max(SLOT_BITS, 1 << (8 * max(1, total) - 1).bit_length())
-    words = stage(repeated_words(hashes, slots), "bloom")
-    small = words.count() <= MOST_BROADCAST_WORDS
-    rows = docs.withColumn("__norm", normalised(text)).withColumn("text_sha256", F.sha2("__norm", 256))
-    rows = rows.withColumn("__h", F.xxhash64("__norm")).withColumn("__n", F.char_length(F.coalesce(text, F.lit("")))).drop("__norm")
-    rows = possibly_repeated(rows, "__h", slots, words, small).drop("__h")
-    single = rows.filter("NOT __maybe").select(*own, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    own = [c for c in (docs.columns if keep is None else keep) if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    columns = [F.col(f"`{c}`") for c in own]
+    norm, text = normalised(F.col(f"`{text_col}`")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(*columns, F.col(f"`{id_col}`").alias("__id"), F.sha2(norm, 256).alias("text_sha256"), F.char_length(text).alias("__n"), F.monotonically_increasing_id().alias("__row"))
+    rows = stage(keyed, "keyed")
+    total = rows.count()
+    buckets = max(1, -(-SLOTS_A_ROW * total // BUCKET_SLOTS))
+    rows = rows.withColumn("__slot", F.pmod(F.xxhash64("text_sha256"), F.lit(buckets * BUCKET_SLOTS)))
+    table = stage(repeated_slots(rows.select("__slot")), "bloom")
+    rows = possibly_repeated(rows, table, buckets * BUCKET_SLOTS // 8 <= most_broadcast)
+    single = rows.filter("NOT __maybe").select(*columns, F.col("__id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.filter("__maybe")
-    # A null id sorts last: rank on (longest, has an id, smallest id).
-    best = F.max(F.struct(F.col("__n").alias("n"), F.col(id_col).isNotNull().alias("has"), (-F.col(id_col)).alias("neg")))
-    groups = maybe.groupBy("text_sha256").agg(best.alias("__best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("text_sha256", "group_size", (-F.col("__best.neg")).alias("keep_id"), F.col("__best.n").alias("__most"))
-    groups = stage(groups, "groups")
+    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__row").alias("row")))
+    groups = stage(maybe.groupBy("text_sha256").agg(best.alias("__best"), F.count(F.lit(1)).alias("group_size")), "groups")
     joined = join_groups(maybe, groups, "text_sha256", "group_size", total)
-    winner = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("__n") == F.col("__most"))
-    # Rows alike in id and length: the first of them stays. Only such winners are numbered; losers are dealt by id.
-    deal = F.when(winner, F.lit(None).cast("long")).otherwise(F.xxhash64(id_col, "__n"))
-    turn = F.row_number().over(W.partitionBy("text_sha256", deal).orderBy(F.lit(1)))
-    joined = joined.withColumn("kept", F.when(winner, turn == 1).otherwise(F.lit(False)))
-    return single.unionByName(joined.select(*own, "keep_id", "group_size", "kept", "text_sha256"))
+    copies = joined.select(*columns, F.col("__best.id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.row")).alias("kept"), "text_sha256")
+    return single.unionByName(copies)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, keep=["doc_id"])
 
 
 OP4_SQL = r"""
