@@ -71,8 +71,8 @@ class _Windows:
         return out
 
     def _repeat(self, room: int) -> None:
-        """The system turn and the latest turns within the history and the room left by the next turn."""
-        keep = [self.system] if self.system and self.system[4] <= room else []
+        """The system turn, and the latest turns within the history and the room that it and the next turn leave."""
+        keep = [self.system] if self.system else []
         room -= sum(t[4] for t in keep)
         room, late = min(room, self.history), []
         for t in reversed(self.past):
@@ -108,7 +108,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, targ
 
     The running sum of turn tokens decides where a window ends: it takes whole turns while they fit the budget; a turn
     longer than the budget has a window of its own. Each later window first repeats the system turn (a conversation's
-    first turn, if its role is system) and then the latest turns within the history. loss_spans are the escaped target
+    first turn, if its role is system) and then the latest turns within the history and the budget. The system turn is
+    always kept, so a window exceeds the budget where that turn and the next one do together. loss_spans are the escaped target
     texts as code-point ranges of text; repeated turns are never in them. Turns are ordered by turn (null first), then
     role and text, so ties and repeated rows have one order; null role and text count as empty; a null conv_id is a
     conversation. Rows stream through sorted partitions: no conversation is held whole.

@@ -18,7 +18,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noscript iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html dd dt li td th tr tbody thead tfoot".split())
-IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+IMPLIED = {k: (tuple(a.split()), tuple(b.split())) for k, a, b in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select"))}
+P_STOPS = tuple("article section div table td th li blockquote button".split())
 # Elements, roles and class or id words of what is not the article.
 DROPPED = frozenset("nav footer aside form script style noscript template svg iframe button select textarea head title object canvas dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
@@ -35,10 +36,14 @@ ONE_IN_OUTSIDE, ONE_IN_ARTICLES = 4, 2
 #: Keys over which the pages of one template are dealt.
 SPREAD = 32
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
+_RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in RAW}
+
+
 class Node:
     """An element: tag, whether it is page furniture by itself, and its text and child nodes in order."""
 
@@ -96,56 +101,120 @@ def _drop_named(root: Node, named: list[Node]) -> None:
         node.dropped = not holds and 2 * chars <= found[id(root)][0]
 
 
+def _tokens(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(from, to, tag, whether it ends an element, attributes) of each tag; tag is None for comments and declarations.
+
+    One pass forward: a quote without a partner is an ordinary character, a tag without an end takes the rest.
+    """
+    last = {q: source.rfind(q) for q in "\"'"}
+    at, n = 0, len(source)
+    while (at := source.find("<", at)) >= 0:
+        m = _NAME.match(source, at)
+        if m is None:
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                end = n if end < 0 else end + 3
+            elif source.startswith(("<!", "<?"), at):
+                end = source.find(">", at + 2)
+                end = n if end < 0 else end + 1
+            else:
+                at += 1
+                continue
+            yield at, end, None, False, ""
+            at = end
+            continue
+        end = m.end()
+        while stop := _STOP.search(source, end):
+            end = stop.end()
+            if stop[0] == ">":
+                break
+            if last[stop[0]] >= end:
+                end = source.find(stop[0], end) + 1
+        else:
+            end = n
+        to = yield at, end, m[2].lower(), bool(m[1]), source[m.end() : end - 1]
+        at = end if to is None else to
+
+
+class _Stack:
+    """Open elements, with the places of each tag, so that closing looks at no other elements."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.blocks, self.content = [root], {}, [], 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.content += node.tag in CONTENT
+        self.nodes.append(node)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+            self.content -= node.tag in CONTENT
+
+    def close(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        """Close the last open element of tags, unless one of stops was opened after it."""
+        place = self.last(tags)
+        if place > self.last(stops):
+            self.cut(place)
+
+    def end(self, tag: str) -> None:
+        """An end tag; that of an inline element doesn't end a block."""
+        place = self.last((tag,))
+        if place and (tag in BLOCK or not self.blocks or place > self.blocks[-1]):
+            self.cut(place)
+
+
 def parse(source: str) -> Node:
-    """The page's element tree; unclosed and misnested tags are closed as browsers do for these cases."""
+    """The page's element tree; unclosed and misnested tags are closed as browsers do for these cases.
+
+    Time grows with the source's length, whatever it holds.
+    """
     root = Node("html", False)
-    stack = [root]
-    named: list[Node] = []
-    at = 0
-
-    def close_to(tags: str, stops: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags.split():
-                del stack[i:]
-                return
-            if stack[i].tag in stops.split():
-                return
-
-    while m := _TOKEN.search(source, at):
-        if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
-        at = m.end()
-        tag = m[2]
+    stack, named = _Stack(root), []
+    done = 0
+    tokens = _tokens(source)
+    token = next(tokens, None)
+    while token is not None:
+        start, at, tag, ends, attributes = token
+        if start > done:
+            stack.nodes[-1].children.append(source[done:start])
+        done = at
         if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:  # an inline end tag doesn't end a block
-                    break
-            continue
-        if tag in CLOSES_P:
-            close_to("p", "article section div table td th li blockquote button")
-        elif tag in IMPLIED:
-            close_to(*IMPLIED[tag])
-        if tag in ("html", "body"):
-            continue
-        dropped, by_name = _furniture(tag, m[3], any(x.tag in CONTENT for x in stack))
-        node = Node(tag, dropped)
-        if by_name:
-            named.append(node)
-        stack[-1].children.append(node)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*[^>]*>", re.IGNORECASE).search(source, at)
-            node.children.append(source[at : end.start() if end else len(source)])
-            at = end.end() if end else len(source)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-    if at < len(source):
-        stack[-1].children.append(source[at:])
+            pass
+        elif ends:
+            stack.end(tag)
+        else:
+            if tag in CLOSES_P:
+                stack.close(("p",), P_STOPS)
+            elif tag in IMPLIED:
+                stack.close(*IMPLIED[tag])
+            if tag not in ("html", "body"):
+                dropped, by_name = _furniture(tag, attributes, stack.content > 0)
+                node = Node(tag, dropped)
+                if by_name:
+                    named.append(node)
+                stack.nodes[-1].children.append(node)
+                if tag in RAW:
+                    end = _RAW_END[tag].search(source, at)
+                    node.children.append(source[at : end.start() if end else len(source)])
+                    done = end.end() if end else len(source)
+                elif tag not in VOID and not attributes.endswith("/"):
+                    stack.push(node)
+        try:
+            token = tokens.send(done) if tag is not None else next(tokens)
+        except StopIteration:
+            token = None
+    if done < len(source):
+        stack.nodes[-1].children.append(source[done:])
     if named:
         _drop_named(root, named)
     return root

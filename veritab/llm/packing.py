@@ -16,10 +16,10 @@ from veritab.llm.common import ceil_div, slices, stage, texts_of
 from veritab.llm.encode import encoder_for
 
 CAPACITY = 4096
-#: Pieces that one packing task holds.
-GROUP_PIECES = 50_000
-#: Exchanges between partitions at most; each one pools the bins that are not full.
-MOST_ROUNDS = 5
+#: Pieces that one packing task holds, on average.
+GROUP_PIECES = 20_000
+#: Exchanges in a row that save no sequence and certify no partition, after which partitions stay as they are.
+VAIN_ROUNDS = 2
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, fill long, part long, bins long, bound long"
@@ -98,44 +98,64 @@ def _pack_round(items: DataFrame, parts: int, turn: int, capacity: int) -> DataF
         frame = frame.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         bins, offsets, fills = best_fit(frame["length"].to_numpy(), capacity)
         bound = lower_bound(np.bincount(frame["length"], minlength=capacity + 1), capacity)
-        return frame.assign(sequence_id=(turn << 56) + (part << 32) + bins, offset=offsets, fill=fills[bins], bins=len(fills), bound=bound)
+        return frame.assign(sequence_id=(turn << 52) + (part << 28) + bins, offset=offsets, fill=fills[bins], bins=len(fills), bound=bound)
 
     dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(parts)))
     return dealt.groupBy("part").applyInPandas(pack, PACKED_SCHEMA)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Pack rows of PIECE_SCHEMA into sequences of at most capacity; adds sequence_id and offset.
-
-    Every partition is packed by best-fit decreasing and certified by its lower bound. While the total lies above the
-    bound of all lengths together, the items of bins that are not full are exchanged: they are pooled, dealt to fewer
-    partitions and packed again. A round that does not lower the total is undone; the next one deals anew. Repeated rows
-    are packed like any others; a null doc_id is kept; an empty table gives an empty result.
+    """Pack rows of PIECE_SCHEMA into sequences of at most capacity; adds sequence_id, offset, sequences and lower_bound.
+
+    Every partition is packed by best-fit decreasing and has a lower bound of its own. One that meets it is certified and
+    closed. The pieces of all others are exchanged: pooled, dealt to as many partitions in another way, and packed again.
+    A round that neither certifies a partition nor saves a sequence is undone; after VAIN_ROUNDS of those in a row, or
+    with one partition left, the rest stays as it is. Last, sequences at most half full are pooled. sequences is the number of sequences made and lower_bound the
+    bound of all pieces together, so their difference is what may be left to save. Repeated rows are packed like any
+    others; a null doc_id is kept; an empty table gives an empty result.
     """
     names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")] + ["sequence_id", "offset"]
     # At most capacity rows: the histogram of lengths.
     histogram = np.zeros(capacity + 1, np.int64)
     for r in items.groupBy("length").count().collect():
         histogram[r["length"]] = r["count"]
-    bound, n = lower_bound(histogram, capacity), int(histogram.sum())
-    parts = max(1, ceil_div(n, group_pieces))
-    best = stage(_pack_round(items, parts, 0, capacity), "packed")
-    done: list[DataFrame] = []
-    for turn in range(1, MOST_ROUNDS + 1):
-        full, gaps = best.filter(F.col("fill") == capacity), best.filter(F.col("fill") < capacity)
-        # One row a partition: bins with a gap and pieces in them.
-        now = gaps.groupBy("part").agg(F.count_distinct("sequence_id").alias("bins"), F.count(F.lit(1)).alias("n")).agg(F.sum("bins").alias("bins"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).first()
-        closed = sum(d.select("sequence_id").distinct().count() for d in done) + full.select("sequence_id").distinct().count()
-        if closed + (now.bins or 0) <= bound or now.parts <= 1:
+    parts, turn, vain = max(1, ceil_div(int(histogram.sum()), group_pieces)), 0, 0
+    best, bins, done, closed = _pack_round(items, parts, turn, capacity), None, [], 0
+    best = stage(best, "packed")
+    while True:
+        # One row a partition, added up: sequences and partitions above their bound, and sequences of the certified ones.
+        open_ = F.col("bins") > F.col("bound")
+        each = best.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
+        now = each.agg(F.sum(F.when(open_, F.col("bins"))).alias("bins"), F.count(F.when(open_, 1)).alias("parts"), F.sum(F.when(~open_, F.col("bins"))).alias("closed")).first()
+        closed += now.closed or 0
+        bins = now.bins or 0
+        if now.closed:
+            done.append(best.filter(~open_))
+            best = best.filter(open_)
+        again = None
+        while now.parts > 1 and vain < VAIN_ROUNDS:
+            turn += 1
+            again = stage(_pack_round(best.select(*names[:5]), now.parts, turn, capacity), "packed")
+            total = again.groupBy("part").agg(F.first("bins").alias("bins"), (F.first("bins") <= F.first("bound")).alias("certified")).agg(F.sum("bins").alias("bins"), F.max("certified").alias("certified")).first()
+            if total.bins < bins or total.certified and total.bins == bins:
+                vain = 0
+                break
+            again, vain = None, vain + 1
+        if again is None:
             break
-        pool = gaps.select(*names[:5])
-        again = stage(_pack_round(pool, max(1, min(ceil_div(now.n, group_pieces), now.parts - 1)), turn, capacity), "packed")
-        if again.select("sequence_id").distinct().count() < now.bins:
-            done.append(full)
-            best = again
+        best = again
     for d in done:
         best = best.unionByName(d)
-    return best.select(*names)
+    total, bound = closed + bins, lower_bound(histogram, capacity)
+    # Sequences at most half full, one a partition at most: they exchange their pieces once more.
+    loose = F.col("fill") * 2 <= capacity
+    left = best.filter(loose).agg(F.count_distinct("sequence_id").alias("bins"), F.count(F.lit(1)).alias("n")).first()
+    if total > bound and left.bins > 1:
+        again = stage(_pack_round(best.filter(loose).select(*names[:5]), ceil_div(left.n, group_pieces), turn + 1, capacity), "packed")
+        made = again.groupBy("part").agg(F.first("bins").alias("bins")).agg(F.sum("bins")).first()[0]
+        if made < left.bins:
+            best, total = best.filter(~loose).unionByName(again), total - left.bins + made
+    return best.select(*names).withColumn("sequences", F.lit(total).cast("long")).withColumn("lower_bound", F.lit(bound).cast("long"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
-    """Features of the texts of at most `most` ids, those with the smallest hashes."""
+    """Features of the texts of at most `most` ids, those with the smallest hashes; one text of a repeated id."""
     some = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,8 @@ def _sample(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([features(t).tobytes() for t in texts], pa.binary())], ["x"])
 
     # At most `most` ids of 8 bytes, so the broadcast has a proven bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi").mapInArrow(run, "x binary").limit(4 * most).collect()
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = own.select("text").mapInArrow(run, "x binary").collect()
     return np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows)), np.float32).reshape(len(rows), WIDTH)
 
 
@@ -163,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     """Fit on texts of docs (doc_id, text): positives are rows of labels (doc_id, quality) with quality 1.
 
     Only ids outside the held-out fold are used, for positives and unlabelled texts alike; other labels are not read.
-    None without a positive text.
+    None without a positive text. Null texts count as empty, very long ones are read whole, an empty table has no
+    positive text, a repeated id counts once, and other columns are not read.
     """
     own = docs.filter(~held_out(F.col("doc_id")))
     good = labels.filter("quality = 1").select("doc_id").filter(~held_out(F.col("doc_id")))
@@ -176,12 +178,12 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     return fit(positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))])
 
 
-def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and score (replacing a column of that name): from the whole text and nothing else.
+def score(docs: DataFrame, model: Model | None, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and the score (replacing a column of its name): from the whole text and nothing else.
 
     Null counts as empty; without a model every score is 0.5. Rows are independent, so repeated rows score alike.
     """
-    keep = [c for c in keep if c != "score"]
+    keep = [c for c in keep if c != name]
     has_text = "text" in keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +192,9 @@ def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
             for a in range(0, batch.num_rows, 256):
                 some = texts_of(column.slice(a, 256))
                 scores = model.score(np.array([features(t) for t in some])) if model else np.full(len(some), 0.5)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, 256) for c in keep], pa.array(scores, pa.float64())], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, 256) for c in keep], pa.array(scores, pa.float64())], [*keep, name])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(name, F.lit(0.0)).schema
     text = [] if has_text else [F.col("text").alias("__text")]
     return docs.select(*[F.col(f"`{c}`") for c in keep], *text).mapInArrow(run, schema)
 

@@ -16,10 +16,10 @@ from veritab.llm.common import partitions_for, stage
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 1024
 BINS = 512
-#: Query blocks of so many bytes in all are broadcast; more are joined by a shuffle.
+#: Query blocks of so many bytes in all are broadcast; more are sent to every group of candidate blocks.
 MOST_BROADCAST = 16 << 20
 
-BLOCK_SCHEMA = "block long, dim int, n int, ids array<long>, vectors binary"
+BLOCK_SCHEMA = "block long, dim int, width int, ids array<long>, vectors binary"
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -30,7 +30,7 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of BLOCK_SCHEMA, up to size vectors of one dimension each; vectors are int64 buffers."""
+    """Rows of BLOCK_SCHEMA, up to size vectors of one dimension each; components are integers of width bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -43,7 +43,9 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
             got = held.pop(dim)
             ids, v = [i for i, _ in got], np.concatenate([x for _, x in got]) if dim else np.empty(0, np.int64)
             made += 1
-            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([dim], pa.int32()), pa.array([len(got)], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([v.astype(np.int64).tobytes()], pa.binary())], ["block", "dim", "n", "ids", "vectors"])
+            low, high = int(v.min(initial=0)), int(v.max(initial=0))
+            width = next(w for w in (2, 4, 8) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
+            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([dim], pa.int32()), pa.array([width], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([v.astype(f"<i{width}").tobytes()], pa.binary())], ["block", "dim", "width", "ids", "vectors"])
 
         for batch in batches:
             lists = batch.column("v")
@@ -61,17 +63,19 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 
 def _pairs(candidates: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     """Each candidate block beside each query block of its dimension: a stated query set against all rows, in blocks."""
-    q = queries.select(F.col("block").alias("q_block"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "state")
-    ids = queries.groupBy("dim").agg(F.collect_list("block").alias("q_blocks"))
-    c = candidates.join(F.broadcast(ids), "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks", "block")
-    return c.join(F.broadcast(q) if small else q, "q_block")
+    q = queries.select("dim", F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "state")
+    if small:
+        return candidates.join(F.broadcast(q), "dim")
+    groups = partitions_for(candidates.sparkSession)
+    q = q.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return candidates.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(q, ["dim", "group"])
 
 
 def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, candidate ids and their int64 scores; a query's own row scores the smallest long."""
     dim = row["dim"]
     q_ids, c_ids = np.array(row["q_ids"], np.int64), np.array(row["ids"], np.int64)
-    q, c = np.frombuffer(row["q_vectors"], np.int64).reshape(len(q_ids), dim), np.frombuffer(row["vectors"], np.int64).reshape(len(c_ids), dim)
+    q, c = np.frombuffer(row["q_vectors"], f"<i{row['q_width']}").astype(np.int64).reshape(len(q_ids), dim), np.frombuffer(row["vectors"], f"<i{row['width']}").astype(np.int64).reshape(len(c_ids), dim)
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dim, 1)
     # Sums below 2**53 are exact in double, where the product is a fast one.
     scores = (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64) if most < 2**53 else q @ c.T
@@ -85,7 +89,7 @@ def _rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
             yield {n: batch.column(n)[i].as_py() for n in names}
 
 
-_PAIR = ("dim", "ids", "vectors", "q_ids", "q_vectors", "state")
+_PAIR = ("dim", "width", "ids", "vectors", "q_width", "q_ids", "q_vectors", "state")
 
 
 def _histograms(pairs: DataFrame, k: int) -> DataFrame:
@@ -133,7 +137,7 @@ def _winners(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Each query's k highest integer inner products over all other rows: query_id, rank, vec_id, score.
 
     Every pair is scored, block by block. A round counts each query's scores in BINS bins of its current range and
@@ -141,7 +145,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     are taken, ties to the smaller id. Fewer than k candidates: all of them. Vectors that are null or hold a null or
     non-finite component take no part; only vectors of one length meet. Ids are the key: a row is no candidate for a
     query of its own id, rows of one query id give one query (its smallest vector), and repeated candidate rows each
-    count. Scores must fit a long. Null ids take no part.
+    count. Scores that may not fit a long are an error. Null ids take no part; other columns are not read.
     """
     spark = vectors.sparkSession
     whole = integer_vectors(vectors, id_col, vec_col, scale).filter("vec_id IS NOT NULL")
@@ -154,9 +158,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     longest = whole.agg(F.max(F.sqrt(square))).first()[0]
     if longest is None or queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    reach = min(int(longest * longest) + 2, (1 << 62) - 1)
+    reach = int(longest * longest * (1 + 1e-9)) + 2
+    if reach >= 1 << 61:
+        raise ValueError("scores of these vectors may not fit a long")
     width = max(1, -(-(2 * reach + 1) // BINS))
-    small = queries.agg(F.sum(F.length("vectors"))).first()[0] <= MOST_BROADCAST
+    small = queries.agg(F.sum(F.length("vectors"))).first()[0] <= most_broadcast
     each = asked.select(F.col("vec_id").alias("query_id"))
     state = each.select("query_id", F.lit(-reach).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(BINS * width).cast("long").alias("span"), F.lit(0).cast("long").alias("above"))
     where = stage(queries.select("block", F.explode("ids").alias("query_id")), "where")
