@@ -252,10 +252,10 @@ def test_keys_and_products():
     want = [sum((int(x) + 1) * pow(base, j, suffix_dedup.PRIME) for j, x in enumerate(data[i : i + 200])) % suffix_dedup.PRIME for i in (0, 7, 300)]
     assert suffix_dedup._Lane(base).at(data, np.array([0, 7, 300])).tolist() == want
     keys = suffix_dedup._key(np.array([5, 1, 5, 5, 9], np.uint64), np.array([2, 9, 1, 2, 300], np.uint64))
-    own, many = suffix_dedup._distinct(keys)
-    assert own.tolist() == [(1, 9), (5, 1), (5, 2), (9, 300)] and many.tolist() == [(5, 2)]
+    own = suffix_dedup._ranks(keys)[2]
+    assert own.tolist() == [(1, 9), (5, 1), (5, 2), (9, 300)]
     assert (suffix_dedup._expand(suffix_dedup._squeeze(own, 2), 2) == own).all()
-    assert suffix_dedup._among(own, own[2:3]).tolist() == [False, False, True, False]
+    assert suffix_dedup._hits(keys, None, 0).tolist() == [True, False, False, True, False]
 
 
 # --- quality

@@ -329,11 +329,11 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, branch
     if not large.isEmpty():
         met = met.unionByName(_block_pairs(large.select("bucket", "rep").join(sketches, "rep"), "bucket", ["sketch"], bucket // 2, None))
     stars = _bucket_stars(met, threshold, _least_agreement(threshold, miss))
-    # Sets that candidate pairs connect meet once, with their tokens, in blocks of bounded size.
+    # Sets that candidate pairs connect meet once, with their tokens, in blocks of bounded size; one plan at every size.
     clusters = min_labels(stars, "candidates").withColumnsRenamed({"node": "rep", "label": "block"})
     members = stage(clusters.join(sets.select("rep", "size"), "rep").join(reps.select("rep", "copies"), "rep"), "members")
     dealt = _block_pairs(members, "block", ["copies"], BLOCK_SETS, BLOCK_TOKENS, threshold)
-    return _links_in_blocks(dealt.join(sets.select("rep", "tokens"), "rep"), threshold)
+    return _links_in_blocks(sets.select("rep", "tokens").join(dealt.hint("merge"), "rep"), threshold)
 
 
 def _block_pairs(rows: DataFrame, key: str, more: list[str], most_sets: int, most_tokens: int | None, threshold: float = THRESHOLD) -> DataFrame:

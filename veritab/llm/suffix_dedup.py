@@ -39,7 +39,7 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 class _Prints:
     """64-bit polynomial fingerprints of all strings of one length, by prefix sums modulo 2**64 over an odd base.
 
-    They only choose what is looked at: some different strings have equal ones, equal strings always have.
+    Some different strings have equal ones, whatever the base; equal strings always have.
     """
 
     def __init__(self, seed: int):
@@ -87,7 +87,8 @@ class _Lane:
     """
 
     def __init__(self, base: int):
-        self.powers, self.inverses = self._powers(base), self._powers(pow(base, -1, PRIME))
+        powers, self.inverses = self._powers(base), self._powers(pow(base, -1, PRIME))
+        self.highs, self.lows = powers >> np.uint64(31), powers & np.uint64((1 << 31) - 1)
 
     @staticmethod
     def _powers(base: int) -> np.ndarray:
@@ -99,24 +100,29 @@ class _Lane:
 
     def at(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The fingerprint of data[i : i + MATCH] for each i of places; data holds WINDOW + MATCH bytes at most."""
-        low31, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
-        d, p = data.astype(np.uint64) + np.uint64(1), self.powers[: len(data)]
+        low30 = np.uint64((1 << 30) - 1)
+        d, ends = data.astype(np.uint64) + np.uint64(1), places + MATCH
         # Prefix sums of both 31-bit halves of byte * power; neither overflows in a window.
-        sums = [np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.uint64)]
-        np.cumsum(d * (p >> np.uint64(31)), out=sums[0][1:])
-        np.cumsum(d * (p & low31), out=sums[1][1:])
-        high, low = (x[places + MATCH] - x[places] for x in sums)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(d * self.highs[: len(data)], out=sums[1:])
+        high = sums[ends] - sums[places]
+        np.cumsum(d * self.lows[: len(data)], out=sums[1:])
+        low = sums[ends] - sums[places]
         return _times(_fold((high >> np.uint64(30)) + ((high & low30) << np.uint64(31)) + low), self.inverses[places])
 
 
-_SAMPLES: list[_Prints] = []
+_PRINTS: dict[int, _Prints] = {}
 _LANES: dict[int, _Lane] = {}
+#: Seed of the fingerprints of the cover sample.
+SAMPLE_SEED = 1000
 
 
-def _sample_prints() -> _Prints:
-    if not _SAMPLES:
-        _SAMPLES.append(_Prints(1000))
-    return _SAMPLES[0]
+def _prints(seed: int) -> _Prints:
+    if seed not in _PRINTS:
+        if len(_PRINTS) > 4:
+            _PRINTS.clear()
+        _PRINTS[seed] = _Prints(seed)
+    return _PRINTS[seed]
 
 
 def _lane(base: int) -> _Lane:
@@ -149,7 +155,7 @@ class _Chunk:
         for a, b, done, left in self.windows():
             got = np.flatnonzero(_IN_COVER[done % PERIOD] & (left >= SAMPLE))
             positions.append(got + a)
-            prints.append(_sample_prints().of(self.data[a : b + SAMPLE - 1], SAMPLE)[got])
+            prints.append(_prints(SAMPLE_SEED).of(self.data[a : b + SAMPLE - 1], SAMPLE)[got])
         return np.concatenate(positions), np.concatenate(prints)
 
     def suffixes(self, tied: np.ndarray, plan: _Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +170,12 @@ class _Chunk:
             if len(got):
                 positions.append(got + a)
                 data = self.data[a : b + MATCH - 1]
-                keys.append(_key(_lane(plan.bases[0]).at(data, got) << np.uint64(3), _lane(plan.bases[1]).at(data, got) & np.uint64((1 << 8 * plan.extra) - 1) if plan.extra else None))
+                second = _prints(plan.seed).of(data, MATCH)[got] >> np.uint64(64 - 8 * plan.extra) if plan.extra else None
+                keys.append(_key(_lane(plan.base).at(data, got) << np.uint64(3), second))
         return np.concatenate(positions), np.concatenate(keys)
 
 
-#: A suffix's key: the first lane, and as many bytes of the second as the plan wants.
+#: A suffix's key: its fingerprint modulo PRIME, and as many bytes of another one as the plan wants.
 _KEY = np.dtype([("a", np.uint64), ("b", np.uint64)])
 
 
@@ -180,42 +187,32 @@ def _key(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
     return out
 
 
-def _same(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x["a"] == y["a"]) & (x["b"] == y["b"])
-
-
-def _sorted(keys: np.ndarray) -> np.ndarray:
-    keys = keys[np.argsort(keys["a"], kind="stable")]
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts the keys, which of the sorted ones differ from the one before, and the distinct keys."""
+    order = np.argsort(keys["a"])
+    got = keys[order]
+    new = np.ones(len(keys), bool)
+    equal = got["a"][1:] == got["a"][:-1]
     # Equal first lanes with different second ones hardly occur.
-    if ((keys["a"][1:] == keys["a"][:-1]) & (keys["b"][1:] < keys["b"][:-1])).any():
-        keys = keys[np.lexsort((keys["b"], keys["a"]))]
-    return keys
-
-
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and those that occur more than once."""
-    keys = _sorted(keys)
-    if not len(keys):
-        return keys, keys
-    same = _same(keys[1:], keys[:-1])
-    return keys[np.concatenate([[True], ~same])], keys[1:][same]
-
-
-def _among(keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Which keys are among the sorted chosen ones."""
-    if not len(chosen):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(chosen["a"], keys["a"])
-    out = np.zeros(len(keys), bool)
-    left = np.arange(len(keys))
-    while len(left):
-        spot = at[left]
-        left = left[spot < len(chosen)]
-        left = left[chosen["a"][at[left]] == keys["a"][left]]
-        equal = chosen["b"][at[left]] == keys["b"][left]
-        out[left[equal]] = True
-        left = left[~equal]
-        at[left] += 1
+    if (equal & (got["b"][1:] != got["b"][:-1])).any():
+        order = np.lexsort((keys["b"], keys["a"]))
+        got = keys[order]
+        equal = (got["a"][1:] == got["a"][:-1]) & (got["b"][1:] == got["b"][:-1])
+    new[1:] = ~equal
+    return order, new, got[new]
+
+
+def _hits(keys: np.ndarray, found: list | None, bits: int) -> np.ndarray:
+    """Which keys occur again among themselves, or in other chunks as _ties() found."""
+    order, new, own = _ranks(keys)
+    at = np.cumsum(new) - 1
+    hit = np.bincount(at, minlength=len(own)) > 1
+    bucket = own["a"] >> np.uint64(64 - bits) if bits else np.zeros(len(own), np.uint64)
+    for f in found or ():
+        a, b = np.searchsorted(bucket, np.uint64(f["bucket"])), np.searchsorted(bucket, np.uint64(f["bucket"]), "right")
+        hit[a:b] |= np.unpackbits(np.frombuffer(zstandard.decompress(f["flags"]), np.uint8), count=int(b - a)).astype(bool)
+    out = np.empty(len(keys), bool)
+    out[order] = hit[at]
     return out
 
 
@@ -295,8 +292,8 @@ def _ties(blocks: DataFrame, extra: int) -> DataFrame:
 
         def close() -> Iterator[pa.RecordBatch]:
             parts = [_expand(k, extra) for _, k in held]
-            _, tied = _distinct(np.concatenate(parts))
-            flags = [_among(p, tied) for p in parts]
+            tied = _hits(np.concatenate(parts), None, 0)
+            flags = np.split(tied, np.cumsum([len(p) for p in parts])[:-1])
             rows = [(c, zstandard.compress(np.packbits(f).tobytes(), 1)) for (c, _), f in zip(held, flags, strict=True) if f.any()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows]), pa.array([bucket] * len(rows)), pa.array([f for _, f in rows], pa.binary())], ["chunk", "bucket", "flags"])
@@ -316,18 +313,6 @@ def _ties(blocks: DataFrame, extra: int) -> DataFrame:
     return dealt.mapInArrow(run, "chunk long, bucket long, flags binary").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("found"))
 
 
-def _tied_keys(keys: np.ndarray, found: list | None, bits: int) -> np.ndarray:
-    """The sorted distinct keys of a chunk that _ties() flagged."""
-    out = [keys[:0]]
-    if found and len(keys):
-        bucket = keys["a"] >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
-        for f in sorted(found, key=lambda x: x["bucket"]):
-            a, b = np.searchsorted(bucket, np.uint64(f["bucket"])), np.searchsorted(bucket, np.uint64(f["bucket"]), "right")
-            flags = np.unpackbits(np.frombuffer(zstandard.decompress(f["flags"]), np.uint8), count=int(b - a)).astype(bool)
-            out.append(keys[a:b][flags])
-    return np.concatenate(out)
-
-
 class _Plan:
     """What the passes agree on, from the number of bytes alone."""
 
@@ -339,7 +324,7 @@ class _Plan:
         self.buckets = max(0, (ceil_div(total // 4 + 1, BUCKET_SUFFIXES) - 1).bit_length())
         # Key width by one rule: were all positions different strings, some two would agree once in 2**SAFE_BITS runs.
         self.extra = max(0, ceil_div(2 * total.bit_length() - 1 + SAFE_BITS - 61, 8))
-        self.bases = [secrets.randbelow(PRIME - 300) + 256 for _ in range(2)]
+        self.base, self.seed = secrets.randbelow(PRIME - 300) + 256, secrets.randbits(62)
 
     def sample_keys(self, chunk: _Chunk) -> tuple[np.ndarray, np.ndarray]:
         at, prints = chunk.samples()
@@ -348,8 +333,7 @@ class _Plan:
     def tied(self, chunk: _Chunk, found: list | None) -> np.ndarray:
         """Cover positions whose rank is shared: elsewhere in the chunk or in another one."""
         at, keys = self.sample_keys(chunk)
-        own, many = _distinct(keys)
-        return at[_among(keys, many) | _among(keys, _tied_keys(own, found, self.sample_buckets))]
+        return at[_hits(keys, found, self.sample_buckets)]
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> DataFrame:
@@ -381,13 +365,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> Data
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk in _each(batches):
-            yield from _deal(batch.column("chunk")[i].as_py(), _distinct(plan.sample_keys(chunk)[1])[0], plan.sample_buckets, 0)
+            yield from _deal(batch.column("chunk")[i].as_py(), _ranks(plan.sample_keys(chunk)[1])[2], plan.sample_buckets, 0)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk in _each(batches):
             tied = plan.tied(chunk, batch.column("samples")[i].as_py())
             _, keys = chunk.suffixes(tied, plan)
-            yield from _deal(batch.column("chunk")[i].as_py(), _distinct(keys)[0], plan.buckets, plan.extra)
+            yield from _deal(batch.column("chunk")[i].as_py(), _ranks(keys)[2], plan.buckets, plan.extra)
 
     out_schema = T.StructType([T.StructField("__n_bytes", T.LongType()), T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__out", T.StringType()), T.StructField("row", row_schema)])
 
@@ -395,8 +379,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> Data
         for batch, i, chunk in _each(batches):
             tied = plan.tied(chunk, batch.column("samples")[i].as_py())
             at, keys = chunk.suffixes(tied, plan)
-            own, many = _distinct(keys)
-            hit = at[_among(keys, many) | _among(keys, _tied_keys(own, batch.column("matches")[i].as_py(), plan.buckets))]
+            hit = at[_hits(keys, batch.column("matches")[i].as_py(), plan.buckets)]
             owner = np.searchsorted(chunk.ends, hit, "right")
             starts, ends, texts = _runs(hit, owner)
             spans: list[list] = [[] for _ in chunk.ends]
