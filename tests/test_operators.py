@@ -143,7 +143,7 @@ def test_text_tables_and_sections(spark):
 def test_json(spark):
     docs = spark.createDataFrame([("a", '{"meta": {}, "results": [1, 2], "data": [{"x": 1}]}'), ("b", '{"orders": [{}], "customers": [{}]}'), ("c", "[1]"), ("d", '{"x": 1}'), ("e", "{")], "doc_id string, text string")
     got = {}
-    for r in readers.select_records(docs).collect():
+    for r in readers.select_records(docs).orderBy("doc_id", "pos").collect():
         got.setdefault(r.doc_id, []).append((r.table, r.warning is not None))
     assert got == {"a": [("data", False)], "b": [("orders", True), ("customers", True)], "c": [("records", False)], "d": [("records", False)], "e": [(None, True)]}
     rows = spark.createDataFrame([(0, ("o1", "K"), [(1.0,), (2.0,)], ["a", None])], "_index int, head struct<order_id:string,city:string>, line_items array<struct<qty:double>>, tags array<string>")

@@ -35,7 +35,7 @@ def flexible_dates(values: DataFrame) -> DataFrame:
     """
     seen = values.select("value").distinct().filter(F.col("value").isNotNull())
     tried = seen.withColumn("day", S.parse_date_builtin(F.col("value")))
-    rest = tried.filter(F.col("day").isNull() & S.could_be_date(F.col("value")) & F.col("value").rlike(r"\d") & (F.char_length("value") <= 40))
+    rest = tried.filter(F.col("day").isNull() & S.could_be_date(F.col("value")) & F.col("value").rlike(r"\d"))
 
     @F.pandas_udf("date")
     def free(texts):

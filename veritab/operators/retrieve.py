@@ -10,6 +10,7 @@ from veritab.functions import scalars as S
 from veritab.functions import words as T
 from veritab.operators.findings import union
 from veritab.operators.profile import KEY
+from veritab.plans.staging import stage
 
 # Sizes, caps and weights.
 CHUNK, OVERLAP, BLOCK_ROWS, DATASET_ROWS, DOC_CHUNKS = 1200, 150, 20, 2000, 1500
@@ -25,29 +26,48 @@ COMPARE_WORDS = ("compare", "versus", " vs ", "difference between", "against")
 
 
 def split_text(text: Column, most: int = CHUNK, overlap: int = OVERLAP) -> Column:
-    """Windows of at most so many characters that overlap, cut after a newline or a sentence where that is past the half."""
+    """Windows of at most so many characters that overlap, cut after a newline or a sentence where that is past the half.
 
-    @F.pandas_udf("array<string>")
-    def windows(texts):
-        import pandas as pd
+    One pattern says where a window ends: after the last newline, or full stop with a space behind it, of its second
+    half, else at its full length. Null and blank texts have no window; a text is never cut short.
+    """
+    white = r"[ \t\n\x0B\f\r]+"
+    trim = lambda c: F.regexp_replace(c, f"^{white}|{white}$", "")
+    ends = rf"(?s)^.{{{most // 2 + 1},{most - 1}}}(?:\n|\.(?= ))|^.{{1,{most}}}"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def windows(x: Column) -> Column:
+        whole, n = x["t"], x["n"]
+        # The least that a window moves on, so that there are steps enough for any text.
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / max(1, most // 2 + 2 - overlap)).cast("int")))
+
+        def step(done: Column, _: Column) -> Column:
+            at = done["at"]
+            window = F.substr(whole, at + 1, F.lit(most))
+            piece = F.when(n - at <= most, window).otherwise(F.regexp_extract(window, ends, 0))
+            to = at + F.char_length(piece)
+            after = F.when(to >= n, n).otherwise(F.greatest(at + 1, to - overlap)).cast("int")
+            return F.when(at >= n, done).otherwise(F.struct(after.alias("at"), F.concat(done["out"], F.array(piece)).alias("out")))
 
-        def one(t: str) -> list[str]:
-            t = (t or "").strip()
-            out, at = [], 0
-            while at < len(t):
-                to = min(len(t), at + most)
-                if to < len(t):
-                    back = max(t.rfind("\n", at, to), t.rfind(". ", at, to)) - at
-                    to = at + back + 1 if back > most // 2 else to
-                out.append(t[at:to].strip())
-                if to == len(t):
-                    break
-                at = max(at + 1, to - overlap)
-            return [p for p in out if p]
+        return F.aggregate(steps, start, step, lambda done: F.filter(F.transform(done["out"], trim), lambda p: p != ""))
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+    # In an array of one, so that the trimmed text and its length are worked out once.
+    trimmed = F.transform(F.array(trim(F.coalesce(text, F.lit("")))), lambda t: F.struct(t.alias("t"), F.char_length(t).alias("n")))
+    return F.transform(trimmed, windows)[0]
 
-    return windows(text)
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with a number from 0 in each group of keys by order, though no task holds a group.
+
+    Rows are dealt by range and sorted; a row's number is its place in its partition and the group's rows in the
+    partitions before it, of which there is one count a group and partition.
+    """
+    placed = stage(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__id", F.monotonically_increasing_id()), name)
+    placed = placed.withColumn("__part", F.shiftright("__id", 33))
+    parts = placed.groupBy(*keys, "__part").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    return placed.join(parts, [*keys, "__part"]).withColumn(name, F.col("__id") - F.col("__first") + F.col("__before")).drop("__id", "__part", "__first", "__before")
 
 
 def section_chunks(sections: DataFrame) -> DataFrame:
@@ -64,10 +84,10 @@ def dataset_chunks(cells: DataFrame, rows_each: int = BLOCK_ROWS, most_rows: int
     """
     said = F.concat("column", F.lit(": "), F.col("v"))
     row = cells.withColumn("v", S.clean_text(F.col("value"))).filter("v IS NOT NULL").groupBy(*KEY, "source_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", said.alias("s")))), lambda x: x["s"]), "; ").alias("line"))
-    numbered = row.withColumn("rn", F.row_number().over(W.partitionBy(*KEY).orderBy("source_row")) - 1)
+    lines = numbered(row, KEY, ["source_row"], "rn")
     if most_rows is not None:
-        numbered = numbered.filter(F.col("rn") < most_rows)
-    blocks = numbered.withColumn("block", F.floor(F.col("rn") / rows_each)).groupBy(*KEY, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        lines = lines.filter(F.col("rn") < most_rows)
+    blocks = lines.withColumn("block", F.floor(F.col("rn") / rows_each)).groupBy(*KEY, "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "line"))), lambda x: x["line"]), "\n").alias("text"))
     content = F.concat(F.lit('Rows of "'), F.col("dataset"), F.lit('":\n'), F.col("text"))
     return blocks.select("doc_id", F.lit(2).alias("part"), F.struct(F.xxhash64("dataset").alias("a"), F.col("block").cast("long").alias("b")).alias("seq"), content.alias("content"), F.lit(None).cast("int").alias("page_number"), F.substring("dataset", 1, 255).alias("section"))
 
@@ -99,10 +119,10 @@ def market_chunks(tables: dict[str, DataFrame]) -> DataFrame:
 def build_chunks(parts: list[DataFrame], most: int | None = DOC_CHUNKS) -> DataFrame:
     """(doc_id, chunk_no, content, page_number, section): the parts' chunks in fixed order, empty ones left out."""
     all_ = union(parts).filter(S.clean_text(F.col("content")).isNotNull())
-    numbered = all_.withColumn("chunk_no", F.row_number().over(W.partitionBy("doc_id").orderBy("part", "seq", "section")))
+    out = numbered(all_.withColumns({"a": F.col("seq.a"), "b": F.col("seq.b")}), ["doc_id"], ["part", "a", "b", "section"], "place").withColumn("chunk_no", (F.col("place") + 1).cast("int"))
     if most is not None:
-        numbered = numbered.filter(F.col("chunk_no") <= most)
-    return numbered.select("doc_id", "chunk_no", "content", "page_number", "section")
+        out = out.filter(F.col("chunk_no") <= most)
+    return out.select("doc_id", "chunk_no", "content", "page_number", "section")
 
 
 # --- embeddings

@@ -163,10 +163,10 @@ def totals_declared(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT l_returnflag, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS sd FROM lineitem GROUP BY 1)
-SELECT l_orderkey, l_linenumber, l_returnflag, round(abs(l_extendedprice - m) / sd, 4) AS z FROM lineitem JOIN s USING (l_returnflag) WHERE sd > 0 AND abs(l_extendedprice - m) / sd > 2""")
+SELECT l_orderkey, l_linenumber, l_returnflag, round(abs(l_extendedprice - m) / sd, 4) AS z FROM lineitem JOIN s USING (l_returnflag) WHERE sd > 0 AND abs(l_extendedprice - m) / sd > 1.5""")
 def outliers_lineitem(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
-    return G.group_outliers(t, ["l_returnflag"], "l_extendedprice", 2.0).select("l_orderkey", "l_linenumber", "l_returnflag", F.round("z", 4).alias("z"))
+    return G.group_outliers(t, ["l_returnflag"], "l_extendedprice", 1.5).select("l_orderkey", "l_linenumber", "l_returnflag", F.round("z", 4).alias("z"))
 
 
 @query("""WITH p AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL)
@@ -380,12 +380,28 @@ def json_props(spark, sf_dir):
     return H.flatten(records).select(F.col("doc_id").alias("event_id"), "k")
 
 
-@query()
+_RUNS_SQL = r"""WITH l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]') AS l FROM documents)),
+d AS (SELECT *, CASE WHEN trim(line, ' ') = '' THEN NULL WHEN contains(line, ',') THEN ',' WHEN contains(line, chr(9)) THEN chr(9) WHEN contains(line, ';') THEN ';' WHEN contains(line, '|') THEN '|' END AS dl, regexp_replace(line, '"(?:[^"]|"")*"', 'q', 'g') AS bare FROM l),
+f AS (SELECT *, CASE WHEN dl IS NOT NULL THEN length(bare) - length(replace(bare, dl, '')) + 1 END AS n FROM d),
+g AS (SELECT *, coalesce(dl = lag(dl) OVER w AND n = lag(n) OVER w, false) AS same FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+r AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM g),
+t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS len FROM r)"""
+
+
+@query(_RUNS_SQL + """
+SELECT doc_id, CAST(run AS VARCHAR) AS table_id, (row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) - 1)::INTEGER AS row_no, n::INTEGER AS n_cells FROM t WHERE dl IS NOT NULL AND len >= 3 AND n >= 2""")
 def table_runs(spark, sf_dir):
     return H.table_runs(H.text_lines(table(spark, sf_dir, "documents")))[0].select("doc_id", "table_id", "row_no", F.size("cells").alias("n_cells"))
 
 
-@query()
+@query(_RUNS_SQL + r""",
+p AS (SELECT doc_id, line_no, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM t WHERE NOT coalesce(dl IS NOT NULL AND len >= 3 AND n >= 2, false)),
+b AS (SELECT *, coalesce(lag(t) OVER w = '', true) AS pb, coalesce(lead(t) OVER w = '', true) AS nb FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+h AS (SELECT *, pb AND nb AND length(t) <= 80 AND NOT regexp_matches(t, '[.?!,:;]$') AS heading FROM b WHERE t <> ''),
+k AS (SELECT *, sum(CASE WHEN pb THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS part FROM h),
+s AS (SELECT doc_id, part, bool_or(heading) AS heading, string_agg(t, chr(10) ORDER BY line_no) AS content FROM k GROUP BY ALL),
+u AS (SELECT *, CASE WHEN lag(heading) OVER w THEN lag(content) OVER w END AS title FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY part))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part)::INTEGER AS section_no, title, content FROM u WHERE NOT heading""")
 def sections(spark, sf_dir):
     prose = H.table_runs(H.text_lines(table(spark, sf_dir, "documents")))[1]
     return H.sections(prose)
@@ -397,13 +413,23 @@ def recent_turns(spark, sf_dir):
     return R.recent_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "text", "place")
 
 
-@query()
+_WINDOW = "reverse(substr(t, p + 1, 1200))"
+_BACK = f"greatest(CASE WHEN instr({_WINDOW}, chr(10)) > 0 THEN 1200 - instr({_WINDOW}, chr(10)) ELSE -1 END, CASE WHEN instr({_WINDOW}, ' .') > 0 THEN 1199 - instr({_WINDOW}, ' .') ELSE -1 END)"
+_TO = f"(CASE WHEN length(t) - p <= 1200 THEN length(t) WHEN {_BACK} > 600 THEN p + {_BACK} + 1 ELSE p + 1200 END)"
+_TRIM = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, {_TRIM.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT doc_id, t, 0::BIGINT AS p, 1 AS no FROM d WHERE t <> '' UNION ALL SELECT doc_id, t, greatest(p + 1, {_TO} - 150), no + 1 FROM w WHERE {_TO} < length(t)),
+c AS (SELECT doc_id, no, {_TRIM.format(f"substr(t, p + 1, {_TO} - p)")} AS content FROM w)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no)::INTEGER AS chunk_no, content FROM c WHERE content <> ''""")
 def chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
     return R.build_chunks([R.section_chunks(d)], most=None).select("doc_id", "chunk_no", "content")
 
 
-@query()
+@query("""WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS rn, concat_ws('; ', 'c_custkey: ' || c_custkey, 'c_name: ' || c_name, 'c_nationkey: ' || c_nationkey, 'c_acctbal: ' || c_acctbal, 'c_mktsegment: ' || c_mktsegment) AS line FROM customer)
+SELECT 'customer' AS doc_id, (rn // 20 + 1)::INTEGER AS chunk_no, 'Rows of "customer":' || chr(10) || string_agg(line, chr(10) ORDER BY rn) AS content FROM r GROUP BY rn // 20""")
 def table_chunks(spark, sf_dir):
     t = table(spark, sf_dir, "customer")
     return R.build_chunks([R.dataset_chunks(P.to_cells(t.withColumn("_row", F.col("c_custkey")), "customer", "_row", t.columns), most_rows=None)], most=None).select("doc_id", "chunk_no", "content")
@@ -432,16 +458,16 @@ def hash_embed_texts(spark, sf_dir):
     return e.select("k.source", "k.id", F.when(F.col("k.source") == "conversations", F.col("k.turn")).alias("turn"), "bucket", F.round("weight", 9).alias("weight"))
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 100 = 0)
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q FROM v WHERE vec_id % 20 = 0)
 SELECT query_id, vec_id AS id, round(list_cosine_similarity(q, v), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 9) DESC, vec_id)::INTEGER AS rank FROM q JOIN v ON query_id <> vec_id QUALIFY rank <= 8""")
 def cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return R.cosine_top(e, e.filter("vec_id % 100 = 0"), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return R.cosine_top(e, e.filter("vec_id % 20 = 0"), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
 def cosine_search(spark, sf_dir):
-    """Every 20th vector against all; cosine_topk and its twin hold every 100th, a part of these."""
+    """Every 20th vector against all, as cosine_topk; kept under its first name."""
     e = table(spark, sf_dir, "embeddings")
     return R.cosine_top(e, e.filter("vec_id % 20 = 0"), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
@@ -482,3 +508,59 @@ def retrieval(spark, sf_dir):
     pieces = R.build_chunks([R.section_chunks(d.select("doc_id", F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content")))], most=None)
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 4).alias("user_id"), F.col("text").alias("question"))
     return R.retrieve(q, pieces, cat).select("question_id", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
+
+
+# --- scalar functions, pages and blocks
+
+
+@query("""WITH o AS (SELECT *, o_orderkey % 4 AS k, (o_orderkey // 4) % 4 AS j FROM orders)
+SELECT o_orderkey, CASE WHEN o_totalprice = round(o_totalprice) THEN format('{:,}', o_totalprice::BIGINT) ELSE format('{:,}', trunc(o_totalprice)::BIGINT) || '.' || lpad((round(o_totalprice * 100)::BIGINT % 100)::VARCHAR, 2, '0') END AS price,
+CASE WHEN o_totalprice >= 1e6 THEN format('{:.1f}', o_totalprice / 1e6) || 'M' WHEN o_totalprice >= 1e3 THEN format('{:.1f}', o_totalprice / 1e3) || 'K' ELSE '-' END AS short_price,
+CASE WHEN o_totalprice > 150000 THEN 'up' WHEN o_totalprice < 150000 THEN 'down' ELSE 'flat' END AS trend,
+o_custkey + 0.5::DOUBLE AS percent, round_even(o_totalprice, 0)::BIGINT AS whole,
+day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate) AS ambiguous, o_orderdate::DATE::VARCHAR AS day,
+o_orderpriority || '.csv' AS file, CASE k WHEN 0 THEN 'pdf' WHEN 1 THEN 'excel' WHEN 2 THEN 'json' END AS kind,
+CASE k WHEN 0 THEN j = 0 WHEN 1 THEN j = 1 WHEN 2 THEN j IN (1, 2) ELSE true END AS signed, (o_orderkey % 50)::INTEGER AS page, k <> 1 AS formula,
+CASE WHEN k = 0 OR (o_custkey % 1000 + 1) / 500 BETWEEN 0.6 AND 1.8 THEN 'chart-like' ELSE 'image' END AS figure FROM o""")
+def scalar_formats(spark, sf_dir):
+    """What is read from and said of cells, file names, labels and figures, on every order."""
+    k, price = (F.col("o_orderkey") % 4 + 1).cast("int"), F.col("o_totalprice")
+    pick = lambda at, *values: F.element_at(F.array(*[F.lit(v) for v in values]), at)
+    numeric_day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    head = F.unhex(pick((F.floor(F.col("o_orderkey") / 4) % 4 + 1).cast("int"), "255044462D31", "504B030414", "D0CF11E0A1B11AE1", "00"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", S.format_number(price).alias("price"), F.when(price >= 1000, S.compact_number(price)).otherwise("-").alias("short_price"),
+        S.trend_direction(price - 150000).alias("trend"), S.parse_percent(F.concat(F.col("o_custkey").cast("string"), F.lit(".5%"))).alias("percent"),
+        S.parse_int(F.concat(F.lit("$"), F.format_number(price, 2))).alias("whole"), S.is_ambiguous_date(numeric_day).alias("ambiguous"), S.parse_date(numeric_day).cast("string").alias("day"),
+        S.sanitize_filename(F.concat(F.lit("../tmp/"), "o_orderpriority", F.lit(".csv"))).alias("file"), S.source_type(F.concat(F.lit("a.b."), pick(k, "PDF", "xlsm", "ndjson", "exe"))).alias("kind"),
+        S.signature_matches(pick(k, "pdf", "docx", "excel", "csv"), head).alias("signed"), S.page_from_label(F.concat(F.lit("Pages "), (F.col("o_orderkey") % 50).cast("string"), F.lit("-60"))).alias("page"),
+        S.looks_formula(pick(k, "=1", "a1", "-1", "@1")).alias("formula"), S.classify_figure(pick(k, "Bar chart", "photo", "", "x"), F.col("o_custkey") % 1000 + 1, F.lit(500)).alias("figure"),
+    )
+
+
+@query(r"""WITH t AS (SELECT doc_id, nullif(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), '') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 420 THEN regexp_replace(substr(t, 1, 420), '\s+\S*$', '') || '…' ELSE t END AS excerpt FROM t""")
+def excerpts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), chr(12) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def full_texts(spark, sf_dir):
+    """Turns as a document's pages, in order."""
+    return H.full_text(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text"))
+
+
+@query(r"""WITH l AS (SELECT conv_id AS doc_id, turn AS section_no, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') AS l
+FROM conversations WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 40)
+SELECT doc_id, section_no, CASE WHEN length(l[1]) < 90 THEN l[1] ELSE 'Page ' || section_no END AS title, coalesce(array_to_string(CASE WHEN length(l[1]) < 90 THEN l[2:] ELSE l END, chr(10)), '') AS content FROM l""")
+def page_sections(spark, sf_dir):
+    """Turns as a document's pages."""
+    return H.page_sections(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text"))
+
+
+@query(r"""WITH b AS (SELECT conv_id AS doc_id, turn, role = 'user' AS h, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section_no, nullif(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), '') AS t FROM conversations)
+SELECT doc_id, section_no::BIGINT AS section_no, max(t) FILTER (h) AS title, string_agg(t, chr(10) ORDER BY turn) FILTER (NOT h) AS content FROM b WHERE t IS NOT NULL GROUP BY ALL HAVING content <> ''""")
+def block_sections(spark, sf_dir):
+    """Turns as a document's blocks, those of the user as its headings."""
+    c = table(spark, sf_dir, "conversations")
+    return H.block_sections(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), (F.col("role") == "user").alias("is_heading"), "text"))

@@ -17,7 +17,7 @@ SNIFFED = 4096
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter that cuts the first lines most evenly, from the first 4,096 characters; a comma if none does."""
-    head = spark.read.text(path).limit(50).collect()
+    head = spark.read.text(path).select(F.substring("value", 1, SNIFFED).alias("value")).limit(50).collect()
     lines = "\n".join(r.value or "" for r in head)[:SNIFFED].split("\n")
     best = (0, ",")
     for d in DELIMITERS:
@@ -27,9 +27,15 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return best[1]
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+def sniff_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 unless a line holds bytes that it doesn't allow; then each byte is a character of ISO-8859-1."""
+    odd = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+    return "UTF-8" if odd.isEmpty() else "ISO-8859-1"
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, schema: T.StructType | None = None) -> DataFrame:
     """A delimited file with a header as text columns; rows with nothing in them are left out. An empty file is an error."""
-    reader = spark.read.option("header", True).option("sep", delimiter or sniff_delimiter(spark, path)).option("encoding", encoding).option("multiLine", True)
+    reader = spark.read.option("header", True).option("sep", delimiter or sniff_delimiter(spark, path)).option("encoding", encoding or sniff_encoding(spark, path)).option("multiLine", True)
     table = (reader.schema(schema) if schema else reader).csv(path)
     if not table.columns:
         raise ValueError(f"no table in {path}")
@@ -55,7 +61,7 @@ def read_json_lines(texts: DataFrame, schema: str) -> tuple[DataFrame, DataFrame
 
 
 def select_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, table, records, warning) of JSON documents: which array holds the records.
+    """(doc_id, table, records, warning, pos) of JSON documents: which array holds the records; pos is its place in the object.
 
     A bare list is the table; else the first list with rows among ENVELOPES in that order; else the only list with
     rows; else each list is a table of its own, with a warning; else the object is one record. records is JSON text of
@@ -64,8 +70,8 @@ def select_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     v = F.try_parse_json(F.col(text_col))
     d = docs.select("doc_id", F.col(text_col).alias("text"), v.alias("v"))
     kind = F.upper(F.substring(F.schema_of_variant("v"), 1, 5))
-    bare = d.filter(kind == "ARRAY").select("doc_id", F.lit("records").alias("table"), F.col("text").alias("records"), F.lit(None).cast("string").alias("warning"))
-    bad = d.filter(F.col("v").isNull()).select("doc_id", F.lit(None).cast("string").alias("table"), F.lit(None).cast("string").alias("records"), F.lit("not JSON").alias("warning"))
+    bare = d.filter(kind == "ARRAY").select("doc_id", F.lit("records").alias("table"), F.col("text").alias("records"), F.lit(None).cast("string").alias("warning"), F.lit(0).alias("pos"))
+    bad = d.filter(F.col("v").isNull()).select("doc_id", F.lit(None).cast("string").alias("table"), F.lit(None).cast("string").alias("records"), F.lit("not JSON").alias("warning"), F.lit(0).alias("pos"))
     objects = d.filter(kind == "OBJEC").select("doc_id", "text", F.json_object_keys("text").alias("keys"))
     fields = objects.select("doc_id", F.posexplode("keys").alias("pos", "table"), "text")
     fields = fields.withColumn("records", F.expr("get_json_object(text, concat('$[\\'', table, '\\']'))"))
@@ -74,9 +80,9 @@ def select_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lists = lists.withColumn("order", F.when(order > 0, order).otherwise(99))
     per = lists.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"), F.min_by("table", "order").alias("pick"))
     chosen = lists.join(per, "doc_id")
-    one = chosen.filter("(first < 99 AND table = pick) OR (first = 99 AND n = 1)").select("doc_id", "table", "records", F.lit(None).cast("string").alias("warning"))
-    many = chosen.filter("first = 99 AND n > 1").select("doc_id", "table", "records", F.lit("several lists of records; each is a table").alias("warning"))
-    single = objects.join(per, "doc_id", "left_anti").select("doc_id", F.lit("records").alias("table"), F.concat(F.lit("["), "text", F.lit("]")).alias("records"), F.lit(None).cast("string").alias("warning"))
+    one = chosen.filter("(first < 99 AND table = pick) OR (first = 99 AND n = 1)").select("doc_id", "table", "records", F.lit(None).cast("string").alias("warning"), "pos")
+    many = chosen.filter("first = 99 AND n > 1").select("doc_id", "table", "records", F.lit("several lists of records; each is a table").alias("warning"), "pos")
+    single = objects.join(per, "doc_id", "left_anti").select("doc_id", F.lit("records").alias("table"), F.concat(F.lit("["), "text", F.lit("]")).alias("records"), F.lit(None).cast("string").alias("warning"), F.lit(0).alias("pos"))
     return bare.unionByName(bad).unionByName(one).unionByName(many).unionByName(single)
 
 
