@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 from array import array
 
@@ -54,6 +55,19 @@ def test_encoders_equal_the_library():
             assert [b for _, b in got] == [t.decode(array("I", w).tolist(), skip_special_tokens=False) for w in want]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoders_on_code_points(path):
+    """Characters outside the large scripts alone, before a mark, between letters and a mark, and after a combining accent."""
+    chars = [chr(c) for c in (*range(0x3100), *range(0xA000, 0xABFF), *range(0xF900, 0x10000), *range(0x10000, 0x10FFF))]
+    letters = [c for c in chars if c.isalpha() or ord(c) < 0x180]
+    texts = chars + [c + "," for c in letters] + ["a" + c + "." for c in letters] + ["́" + c for c in chars]
+    t = Tokenizer.from_file(path)
+    want = [array("I", e.ids).tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert PieceEncoder(path, path == BYTE).encode(texts) == want
+    if path == WORD:
+        assert [ids for ids, _ in bpe.WordBpe(path).encode(texts)] == want
+
+
 def test_long_words_merge_alike():
     w = bpe.WordBpe(WORD)
     for text in ("ab" * 60, "theinof" * 9, "q" * 100):
@@ -351,6 +365,48 @@ def pages_of(spark, rows):
     return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_tags_in_linear_time():
+    for piece in ("<a ", "<a b='", '<a "\'>', "<p><b>", "<i><div><b></i>", "<!-- <", "<script>", "</x>"):
+        began = time.time()
+        html_text.main_text(html_text.parse(piece * 60_000))
+        assert time.time() - began < 20
+    text = lambda s: html_text.main_text(html_text.parse(s))
+    assert text('<p>5 < 6 <a title="x > y">link</a> it\'s <b class=\'c>d\'>bold</b></p>') == "5 < 6 link it's bold"
+    assert text("<p>one<p>two <b>three</p> four") == "one\ntwo three\nfour"
+
+
+def test_top_k_of_shuffled_queries(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(0, 3, (90, 8)).astype(np.float32))] + [(90, [9000.0] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    a, b = (sorted(map(tuple, topk.top_k(v, F.col("vec_id") % 10 == 0, most_broadcast=n).collect())) for n in (topk.MOST_BROADCAST, 0))
+    assert a == b and len(a) == 50
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(1, [1e9] * 8), (2, [1.0] * 8)], "vec_id long, embedding array<double>"), F.lit(True))
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empties, repeated and null ids, clashing columns and an empty table in every stage; no other text is lost for an id."""
+    a, b = words(80, 41), words(80, 42)
+    rows = [(1, a), (5, a + " tail"), (5, b), (None, b), (5, b), (7, None), (7, ""), (None, words(60, 43)), (9, a + " tail")]
+    names = ("score", "kept", "keep_id", "group_size", "text_sha256", "class_id", "n_links")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"own {n}"))
+    for name, work in corpus_pipeline.STAGES[:4]:
+        out = work(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and all(r[n] == f"own {n}" for r in got for n in names)
+        texts = sorted(r.text or "" for r in got)
+        if name == "exact_dedup":
+            assert texts == sorted({t or "" for _, t in rows})
+        if name == "near_dedup":
+            assert len(got) == 5 and {r.doc_id for r in got} == {1, 5, 7, None} and a in texts and b in texts
+        assert work(spark, docs.limit(0), SF).count() == 0
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert packed.count() == len(rows) and corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
+
+
 def test_templates_of_every_page(spark):
     # The only article is a comment, in an aside or in a remark; furniture is counted but its varied text doesn't hide a template.
     odd = ['<article class="comment">c</article>', "<aside><article>a</article></aside>", "<!-- <article> </article> -->", "<nav>n</nav>"]

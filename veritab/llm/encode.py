@@ -185,9 +185,9 @@ class PieceEncoder:
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder_for(path: str, keep_space: bool) -> PieceEncoder:
-    """One encoder a worker process and vocabulary, kept while the worker lives."""
+def encoder_for(path: str, keep_space: bool, most: int = 1_600_000) -> PieceEncoder:
+    """One encoder a worker process and vocabulary, kept while the worker lives; it holds some 160 bytes a kept piece."""
     key = (path, keep_space)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, keep_space)
+        _ENCODERS[key] = PieceEncoder(path, keep_space, most)
     return _ENCODERS[key]

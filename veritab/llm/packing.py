@@ -16,6 +16,8 @@ from veritab.llm.common import ceil_div, slices, stage, texts_of
 from veritab.llm.encode import encoder_for
 
 CAPACITY = 4096
+#: Pieces of text whose ids a worker keeps; idle workers hold theirs while other stages run.
+MOST_KEPT = 600_000
 #: Pieces that one packing task holds, on average.
 GROUP_PIECES = 20_000
 #: Exchanges in a row that save no sequence and certify no partition, after which partitions stay as they are.
@@ -34,7 +36,7 @@ def pieces(docs: DataFrame, path: str, keep_space: bool, end_id: int, capacity:
             doc_ids, texts = batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))
             for a, b in slices(texts):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(doc_ids[a:b], encoder_for(path, keep_space).encode(texts[a:b]), strict=True):
+                for doc_id, ids in zip(doc_ids[a:b], encoder_for(path, keep_space, MOST_KEPT).encode(texts[a:b]), strict=True):
                     ids += tail
                     for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
