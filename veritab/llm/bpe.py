@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from veritab.llm.common import slices, texts_of
+from veritab.llm.common import Kept, slices, texts_of
 
 _NONE = 1 << 60
 #: Words of more bytes are merged with a heap.
@@ -41,7 +41,7 @@ class WordBpe:
     Gives what tokenizers gives for encode(text, add_special_tokens=False) and decode(ids, skip_special_tokens=False).
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -54,34 +54,26 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.alphabet = byte_alphabet()
-        self.most = most
-        self.by_word: dict[str, bytes] = {}
-        self.by_piece: dict[str, tuple[bytes, str]] = {}
+        self.by_word, self.by_piece = Kept(most), Kept(most)
 
     def merge(self, chars: str) -> list[int]:
         """Ids of one word in the byte alphabet. starts holds part boundaries, ranks the rank of each part joined with the next."""
         ends = [*chars[:-1], chars[-1] + _WORD_END]
         if len(ends) > LONG_WORD:
             return self._merge_long(ends)
-        starts = list(range(len(ends) + 1))
-
-        def part(i: int) -> str:
-            return "".join(ends[starts[i] : starts[i + 1]])
-
-        def rank(i: int) -> int:
-            return self.ranks.get((part(i), part(i + 1)), _NONE) if i + 2 < len(starts) else _NONE
-
-        ranks = [rank(i) for i in range(len(ends))]
-        while True:
-            low = min(ranks)
-            if low == _NONE:
-                break
+        word, rank_of = chars + _WORD_END, self.ranks.get
+        starts = [*range(len(ends)), len(word)]
+        ranks = [rank_of(pair, _NONE) for pair in zip(ends, ends[1:])]
+        while ranks and (low := min(ranks)) != _NONE:
             i = ranks.index(low)
-            del starts[i + 1], ranks[i + 1]
-            ranks[i] = rank(i)
+            del starts[i + 1], ranks[i]
+            here, middle = starts[i], starts[i + 1]
+            merged = word[here:middle]
+            if i < len(ranks):
+                ranks[i] = rank_of((merged, word[middle : starts[i + 2]]), _NONE)
             if i:
-                ranks[i - 1] = rank(i - 1)
-        return [self.vocab[p] for p in (part(i) for i in range(len(starts) - 1)) if p in self.vocab]
+                ranks[i - 1] = rank_of((word[starts[i - 1] : here], merged), _NONE)
+        return [self.vocab[p] for a, b in zip(starts, starts[1:]) if (p := word[a:b]) in self.vocab]
 
     def _merge_long(self, parts: list[str]) -> list[int]:
         """The same merges for a long word, whose array would be scanned too often: a heap of (rank, place) over linked parts."""
@@ -102,11 +94,12 @@ class WordBpe:
         return [self.vocab[p] for p in parts if p and p in self.vocab]
 
     def _word(self, word: str) -> bytes:
-        found = self.by_word.get(word)
+        found = self.by_word.young.get(word)
         if found is None:
-            if len(self.by_word) >= self.most:
-                self.by_word.clear()
-            found = self.by_word[word] = array("I", self.merge("".join([self.alphabet[b] for b in word.encode("utf-8")]))).tobytes()
+            found = self.by_word.again(word)
+        if found is None:
+            self.by_word.turn()
+            found = self.by_word.young[word] = array("I", self.merge("".join([self.alphabet[b] for b in word.encode("utf-8")]))).tobytes()
         return found
 
     def _plain(self, text: str) -> bytes:
@@ -136,17 +129,17 @@ class WordBpe:
         known = self.by_piece
         for text in texts:
             pieces = text.split(" ")
-            if new := set(pieces).difference(known):
-                if len(known) + len(new) > self.most:
-                    known.clear()
-                    new = set(pieces)
-                for p in new:
-                    known[p] = self._piece(p)
-            got = [known[p] for p in pieces]
+            known.turn()
+            young = known.young
+            new = set(pieces).difference(young)
+            for p in new:
+                if known.again(p) is None:
+                    young[p] = self._piece(p)
+            got = [young[p] for p in pieces]
             out.append((b"".join([a for a, _ in got]), " ".join([b for _, b in got if b])))
             for p in new:
                 if len(p) > LONG_PIECE:
-                    del known[p]
+                    known.drop(p)
         return out
 
 

@@ -117,3 +117,26 @@ def min_labels(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
 
 def ceil_div(a: int, b: int) -> int:
     return math.ceil(a / b) if b else 0
+
+
+class Kept:
+    """Results by string in two generations: a full young one replaces the old one, and strings still in use move up again."""
+
+    def __init__(self, most: int):
+        self.half = max(1, most // 2)
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+
+    def again(self, key: str):
+        """What is kept of a string that the young generation lacks; None if nothing."""
+        found = self.old.get(key)
+        if found is not None:
+            self.young[key] = found
+        return found
+
+    def drop(self, key: str) -> None:
+        self.young.pop(key, None)

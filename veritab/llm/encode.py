@@ -12,6 +12,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task
 from tokenizers import Tokenizer  # noqa: E402
 
 from veritab.llm.bpe import byte_alphabet  # noqa: E402
+from veritab.llm.common import Kept  # noqa: E402
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -30,29 +31,6 @@ def _marked(part: str) -> bool:
     return part[-1:] in MARKS and part[-2:-1] < "\u0180" and part[:-1].isalpha() and "\u0130" not in part
 
 
-class _Kept:
-    """Ids of pieces in two generations: a full young one replaces the old one, and pieces still in use move up again."""
-
-    def __init__(self, most: int):
-        self.half = max(1, most // 2)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def turn(self) -> None:
-        if len(self.young) > self.half:
-            self.old, self.young = self.young, {}
-
-    def again(self, piece: str) -> bytes | None:
-        """Ids of a piece that the young generation lacks."""
-        ids = self.old.get(piece)
-        if ids is not None:
-            self.young[piece] = ids
-        return ids
-
-    def drop(self, piece: str) -> None:
-        self.young.pop(piece, None)
-
-
 class PieceEncoder:
     """Ids of whole texts, equal to the library's encode(text, add_special_tokens=False).
 
@@ -70,8 +48,8 @@ class PieceEncoder:
         self.space = " " if keep_space else ""
         self.marks = {m: self._ids([m])[0] for m in (*MARKS, "\n")}
         #: Ids of pieces at a text's or line's start, and of those after a space; the same where white space is dropped.
-        self.first = _Kept(most)
-        self.later = _Kept(most) if keep_space else self.first
+        self.first = Kept(most)
+        self.later = Kept(most) if keep_space else self.first
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,7 +70,7 @@ class PieceEncoder:
             out[i] = ids
         return out
 
-    def _apart(self, piece: str, kept: _Kept) -> list | None:
+    def _apart(self, piece: str, kept: Kept) -> list | None:
         """[(kept, letters, mark), ...] whose ids, with newlines between them, are the piece's; None if it is one."""
         if "\n" not in piece and not _marked(piece):
             return None
@@ -108,7 +86,7 @@ class PieceEncoder:
         self.first.turn()
         if self.later is not self.first:
             self.later.turn()
-        later: list[tuple[_Kept, str, list]] = []
+        later: list[tuple[Kept, str, list]] = []
         ask: dict[int, set[str]] = {id(self.first): set(), id(self.later): set()}
         for kept, pieces in ((self.first, heads), (self.later, rest)):
             plain = ask[id(kept)]
