@@ -13,7 +13,7 @@ from veritab.operators import market as M
 from veritab.operators import profile as P
 from veritab.operators import retrieve as R
 from veritab.operators import shape as H
-from veritab.sources import readers
+from veritab.sources import readers, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -564,3 +564,186 @@ def block_sections(spark, sf_dir):
     """Turns as a document's blocks, those of the user as its headings."""
     c = table(spark, sf_dir, "conversations")
     return H.block_sections(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), (F.col("role") == "user").alias("is_heading"), "text"))
+
+
+# --- validation, market rows, export tables and the catalog, on rows of the given tables
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS security, CASE WHEN o_custkey % 160 - 20 BETWEEN 0 AND 100 THEN (o_custkey % 160 - 20)::DOUBLE END AS coupon_rate,
+concat_ws('|', CASE WHEN o_custkey % 160 - 20 NOT BETWEEN 0 AND 100 THEN 'implausible coupon rate taken as unknown' END, CASE WHEN o_custkey % 5 = 0 THEN 'no closing price' END) AS warnings FROM orders WHERE o_orderstatus <> 'F'""")
+def bond_checks(spark, sf_dir):
+    """Orders as bonds; those of status F have no name."""
+    t = table(spark, sf_dir, "orders")
+    named = F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority"))
+    rows = t.select("o_orderkey", named.alias("security"), F.lit(None).cast("string").alias("isin"), (F.col("o_custkey") % 160 - 20).cast("double").alias("coupon_rate"), F.when(F.col("o_custkey") % 5 != 0, F.col("o_totalprice")).alias("closing_price"))
+    return M.validate_bonds(rows).select("o_orderkey", "security", "coupon_rate", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag AS currency, CASE WHEN l_linenumber <> 1 THEN l_discount END AS b, l_tax AS s, l_quantity AS a FROM lineitem),
+f AS (SELECT *, coalesce(b <= 0 OR s <= 0, false) AND b IS NOT NULL AND s IS NOT NULL AS low FROM r)
+SELECT l_orderkey, l_linenumber, currency, CASE WHEN NOT low THEN b END AS buying, CASE WHEN NOT low THEN s END AS selling, CASE WHEN NOT low THEN a END AS average,
+CASE WHEN b IS NULL OR s IS NULL THEN 'incomplete' WHEN low THEN 'non-positive value taken as unknown' WHEN b > s THEN 'buying above selling' ELSE '' END AS warnings FROM f""")
+def rate_checks(spark, sf_dir):
+    """Discount and tax of each line as the two sides of a rate; first lines lack one."""
+    t = table(spark, sf_dir, "lineitem")
+    rows = t.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("currency"), F.when(F.col("l_linenumber") != 1, F.col("l_discount")).alias("buying"), F.col("l_tax").alias("selling"), F.col("l_quantity").alias("average"))
+    return M.validate_rates(rows).withColumn("warnings", F.array_join("warnings", "|"))
+
+
+@query("""SELECT l_orderkey AS doc_id, l_returnflag AS bond, l_linestatus AS category, l_quantity AS volume, l_discount AS previous, l_tax AS closing, round(l_tax - l_discount, 6) AS change
+FROM lineitem WHERE l_linenumber NOT IN (2, 3) AND l_quantity > 0""")
+def bond_trades(spark, sf_dir):
+    """Lines as bonds: the second of an order is not traded, the third by a negative volume, which is no trade."""
+    t = table(spark, sf_dir, "lineitem")
+    traded = F.when(F.col("l_linenumber") == 2, 0.0).when(F.col("l_linenumber") == 3, -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    rows = t.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("category"), traded.alias("bond_traded"), F.col("l_discount").alias("previous_price"), F.col("l_tax").alias("closing_price"))
+    return M.validate_trades(M.derive_trades(rows))
+
+
+@query("""SELECT p_partkey, p_brand AS ticker, CASE WHEN p_size >= 20 THEN (p_size - 20)::DOUBLE END AS volume,
+concat_ws('|', CASE WHEN p_partkey % 7 = 0 THEN 'no closing price' END, CASE WHEN p_size < 20 THEN 'negative volume taken as unknown' END) AS warnings FROM part WHERE p_partkey % 3 <> 0""")
+def equity_checks(spark, sf_dir):
+    t = table(spark, sf_dir, "part")
+    rows = t.select("p_partkey", F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).otherwise("").alias("ticker"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("closing"), (F.col("p_size") - 20).cast("double").alias("volume"))
+    return M.validate_equities(rows).select("p_partkey", "ticker", "volume", F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("""WITH o AS (SELECT *, (o_custkey % 160 - 20)::DOUBLE AS r FROM orders)
+SELECT o_orderkey, CASE WHEN r >= 0 THEN r END AS equity_turnover, o_totalprice AS bond_turnover, CASE WHEN r BETWEEN 0 AND 100 THEN r END AS repo_rate FROM o""")
+def overview_checks(spark, sf_dir):
+    r = (F.col("o_custkey") % 160 - 20).cast("double")
+    same = F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", r.alias("equity_turnover"), same.alias("shares_traded"), same.alias("bond_turnover"), same.alias("market_capitalization"), same.alias("repo_turnover"), r.alias("repo_rate"))
+    return M.validate_overview(rows).select("o_orderkey", "equity_turnover", "bond_turnover", "repo_rate")
+
+
+@query("""WITH e AS (SELECT user_id AS doc_id, lpad(event_id::VARCHAR, 12, '0') AS ticker, value - 100 AS change, (event_id % 97)::DOUBLE AS volume, value FROM events),
+r AS (SELECT doc_id, 'gainers' AS ranking, row_number() OVER (PARTITION BY doc_id ORDER BY change DESC, ticker) AS rank, ticker, change AS v FROM e WHERE change IS NOT NULL
+UNION ALL SELECT doc_id, 'losers', row_number() OVER (PARTITION BY doc_id ORDER BY change, ticker), ticker, change FROM e WHERE change IS NOT NULL
+UNION ALL SELECT doc_id, 'volume', row_number() OVER (PARTITION BY doc_id ORDER BY volume DESC, ticker), ticker, volume FROM e WHERE volume IS NOT NULL
+UNION ALL SELECT doc_id, 'value', row_number() OVER (PARTITION BY doc_id ORDER BY value DESC, ticker), ticker, value FROM e WHERE value IS NOT NULL)
+SELECT doc_id, ranking, rank::INTEGER AS rank, ticker, round(v, 6) AS value FROM r WHERE rank <= 10""")
+def equity_rankings(spark, sf_dir):
+    """Events as a user's equities."""
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").alias("doc_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("ticker"), (F.col("value") - 100).alias("change"), (F.col("event_id") % 97).cast("double").alias("volume"), "value")
+    return M.rankings(rows).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N') THEN 'completed' ELSE 'failed' END AS status FROM orders")
+def report_status(spark, sf_dir):
+    """Orders as reports; lines returned or accepted are their parts."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_returnflag")
+    return M.document_status(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), [lines.filter(F.col("l_returnflag") == f) for f in ("A", "R")])
+
+
+_WRITTEN = {"day": "date", "price": "currency"}
+
+
+def _written_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Cells of orders as people write them, in 50 documents: some days unread, prices with and without a currency."""
+    k, price = F.col("o_orderkey") % 4, F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+    day = F.when(k == 3, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    written = F.when(k == 0, F.concat(F.lit("$"), price)).when(k == 1, F.concat(price, F.lit(" USD"))).when(k == 2, F.concat(F.lit("eur "), price)).otherwise(price)
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_row"), day.alias("day"), written.alias("price"))
+    cells = P.to_cells(t, "written", "_row", list(_WRITTEN)).withColumn("doc_id", (F.col("source_row") % 50).cast("string"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in _WRITTEN.items() for x in pair]), F.col("column"))
+    return cells, cells.select(*P.KEY, "column").distinct().withColumn("semantic_type", kind)
+
+
+@query("SELECT (o_orderkey % 50)::VARCHAR AS doc_id, 'day' AS \"column\", count(*) FILTER (o_orderkey % 4 = 3) AS invalid FROM orders GROUP BY 1")
+def unread_dates(spark, sf_dir):
+    return G.invalid_dates(*_written_orders(spark, sf_dir)).select("doc_id", "column", "invalid")
+
+
+@query("SELECT (o_orderkey % 50)::VARCHAR AS doc_id, 'price' AS \"column\", count(DISTINCT o_orderkey % 4) AS signatures FROM orders GROUP BY 1")
+def mixed_currencies(spark, sf_dir):
+    return G.currency_signatures(*_written_orders(spark, sf_dir)).select("doc_id", "column", "signatures")
+
+
+@query("""SELECT o_orderkey AS "Source Row", CASE WHEN o_orderkey % 4 <> 3 THEN o_orderdate::DATE::VARCHAR END AS day, CASE WHEN o_orderkey % 4 = 3 THEN 'soon' END AS "day (raw)",
+CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice, 2) END AS price, CASE WHEN o_orderkey % 5 = 0 THEN 'on request' END AS "price (raw)", o_orderpriority AS note FROM orders""")
+def typed_orders(spark, sf_dir):
+    """Orders as texts, typed for export; what can't be read stays beside as it was."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(20,2)").cast("string")
+    t = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 4 == 3, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"),
+        F.when(k % 5 == 0, "on  request").otherwise(F.concat(F.lit("$"), price)).alias("price"), F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("note"),
+    )
+    return sinks.typed_rows(t, {"day": "date", "price": "currency", "note": "text"}, "o_orderkey").withColumn("day", F.col("day").cast("string"))
+
+
+_COLUMN_SQL = """c AS (SELECT l_orderkey AS doc_id, l_returnflag AS dataset, count(*) AS total, count(*) FILTER (l_linenumber > 1) AS n, count(*) FILTER (l_linenumber > 1 AND l_discount = 0) AS unparsed,
+count(*) FILTER (l_tax = 0) AS negative, count(DISTINCT CASE WHEN l_linenumber > 1 THEN l_quantity END) AS u, count(*) FILTER (l_tax = 0.01) AS ambiguous, l_orderkey % 3 AS k FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"""WITH {_COLUMN_SQL}
+SELECT doc_id, dataset, 'low_confidence_type' AS rule_id, 'info' AS severity, 'v' AS "column", NULL AS value FROM c WHERE n = 0
+UNION ALL SELECT doc_id, dataset, 'missing_values', CASE WHEN n = 0 THEN 'warning' ELSE 'info' END, 'v', (total - n)::VARCHAR FROM c WHERE total > n
+UNION ALL SELECT doc_id, dataset, 'unparsed_values', 'warning', 'v', unparsed::VARCHAR FROM c WHERE unparsed > 0
+UNION ALL SELECT doc_id, dataset, 'negative_values', 'warning', 'v', negative::VARCHAR FROM c WHERE negative > 0 AND k = 1
+UNION ALL SELECT doc_id, dataset, 'duplicate_identifiers', 'warning', 'v', (n - u)::VARCHAR FROM c WHERE n > u AND k = 0
+UNION ALL SELECT doc_id, dataset, 'ambiguous_dates', 'warning', 'v', ambiguous::VARCHAR FROM c WHERE ambiguous > 0
+UNION ALL SELECT doc_id, dataset, 'duplicate_rows', 'warning', NULL, (total - u)::VARCHAR FROM c WHERE total > u
+UNION ALL SELECT doc_id, dataset, 'blank_rows_skipped', 'info', NULL, (total - n)::VARCHAR FROM c WHERE total > n""")
+def validation_issues(spark, sf_dir):
+    """Every rule on the profile of a column for each order and return flag."""
+    there = F.col("l_linenumber") > 1
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("dataset")).agg(
+        F.count(F.lit(1)).alias("total_count"), F.count_if(there).alias("non_null_count"), F.count_if(there & (F.col("l_discount") == 0)).alias("unparsed_count"),
+        F.count_if(F.col("l_tax") == 0).alias("negative_count"), F.count_distinct(F.when(there, F.col("l_quantity"))).alias("unique_count"), F.count_if(F.col("l_tax") == 0.01).alias("ambiguous_date_count"),
+    )
+    k = F.col("doc_id") % 3
+    c = c.withColumns({"column": F.lit("v"), "confidence": F.when(F.col("non_null_count") == 0, "low").otherwise("high"), "semantic_type": F.when(k == 0, "identifier").when(k == 1, "currency").otherwise("text")})
+    counts = c.select("doc_id", "dataset", (F.col("total_count") - F.col("unique_count")).alias("duplicate_row_count"), (F.col("total_count") - F.col("non_null_count")).alias("blank_rows_skipped"))
+    return G.issues(c, counts).select("doc_id", "dataset", "rule_id", "severity", "column", "value")
+
+
+@query("""SELECT l_orderkey AS doc_id, l_returnflag AS dataset, count(*) AS row_count, count(*) FILTER (l_tax = 0) AS blank_rows_skipped, count(*) + count(*) FILTER (l_tax = 0) + 1 AS raw_rows FROM lineitem GROUP BY ALL""")
+def row_reconciliation(spark, sf_dir):
+    """Lines of each order and flag as datasets; those without tax stand for skipped blank rows."""
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("dataset"), "l_tax")
+    blanks = t.filter("l_tax = 0").groupBy(*P.KEY).agg(F.count(F.lit(1)).alias("blank_rows_skipped"))
+    return G.reconcile(t.groupBy(*P.KEY).agg(F.count(F.lit(1)).alias("row_count")), blanks)
+
+
+@query("""WITH s AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM events)
+SELECT event_id AS source_row, CASE WHEN abs(value - m) / sd >= 4 THEN 'high' ELSE 'medium' END AS severity, round(value, 4) AS value, round(abs(value - m) / sd, 4) AS score FROM events, s WHERE abs(value - m) / sd > 2.5""")
+def outliers_events(spark, sf_dir):
+    cells = P.to_cells(table(spark, sf_dir, "events").withColumn("_row", F.col("event_id")), "events", "_row", ["value"])
+    return G.z_outliers(cells, P.profile(cells)).select("source_row", "severity", F.round("value", 4).alias("value"), F.round("score", 4).alias("score"))
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")
+def first_orders(spark, sf_dir):
+    return P.first_seen(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("""SELECT 'o_orderstatus' AS "column", count(DISTINCT o_orderstatus) AS axis_values FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders""")
+def chart_axes(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").withColumn("_row", F.col("o_orderkey"))
+    return P.axis_counts(P.to_cells(t, "orders", "_row", ["o_orderstatus", "o_orderpriority", "o_custkey"])).select("column", "axis_values")
+
+
+def _order_catalog(spark, sf_dir) -> DataFrame:
+    """Orders as documents of four users; those of status O are completed, some of them indexed."""
+    t = table(spark, sf_dir, "orders")
+    return t.select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 4).alias("user_id"), F.when(F.col("o_orderstatus") == "O", "completed").otherwise("failed").alias("status"), F.when(F.col("o_orderkey") % 3 == 0, "indexed").when(F.col("o_orderkey") % 3 == 1, "pending").alias("index_status"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 4 = 1 AND o_orderstatus = 'O')")
+def owned_rows(spark, sf_dir):
+    return C.owned(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber"), _order_catalog(spark, sf_dir), 1)
+
+
+@query("SELECT o_orderkey AS doc_id, o_custkey % 4 AS user_id FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 <> 0")
+def index_queue(spark, sf_dir):
+    return C.to_index(_order_catalog(spark, sf_dir)).select("doc_id", "user_id")
+
+
+@query("""WITH f AS (SELECT l_orderkey AS doc_id, count(*) AS n, count(*) FILTER ((l_quantity * 20) / 500 BETWEEN 0.6 AND 1.8) AS k FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS doc_id, coalesce(n, 0) AS tables, 1::BIGINT AS charts, coalesce(k, 0) AS chart_like, coalesce(n - k, 0) AS images FROM orders LEFT JOIN f ON doc_id = o_orderkey""")
+def figure_summary(spark, sf_dir):
+    """Lines as an order's tables and, by their quantity, as its figures; one chart an order."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("").alias("caption"), (F.col("l_quantity") * 20).alias("width"), F.lit(500).alias("height"))
+    return C.vision_summary(lines, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), lines)
