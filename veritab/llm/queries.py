@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritab.llm import bpe, chat, exact_dedup, html_text, ngram_join, packing, quality, suffix_dedup, token_store, topk
+from veritab.llm import bpe, chat, exact_dedup, html_text, ngram_join, packing, quality, suffix_dedup, token_count, token_store, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_chat": chat.op9_chat,
     "op10_topk": topk.op10_topk,
+    "op13_token_counts": token_count.op13_token_counts,
 }
 
 ORACLE_SQL = {
