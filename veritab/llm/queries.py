@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veritab.llm import bpe, chat, exact_dedup, html_text, lexical, ngram_join, packing, quality, suffix_dedup, token_count, token_store, topk
+from veritab.llm import bpe, chat, exact_dedup, html_text, lexical, ngram_join, packing, quality, spelling, suffix_dedup, token_count, token_store, topk
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_chat": chat.op9_chat,
     "op10_topk": topk.op10_topk,
+    "op11_spelling": spelling.op11_spelling,
     "op12_search": lexical.op12_search,
     "op13_token_counts": token_count.op13_token_counts,
 }
@@ -22,5 +23,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op10_topk": topk.OP10_SQL,
+    "op11_spelling": spelling.OP11_SQL,
     "op12_search": lexical.OP12_SQL,
 }
