@@ -23,6 +23,8 @@ DIVISOR = 31
 MOST_COUNTS = 200_000
 #: Words of one bucket that a task holds; larger buckets are cut by what their words share outside a segment.
 MOST_BUCKET = 8192
+#: Longer words are compared by two, as their number of places is no small factor; a bucket holds only so many of them.
+LONG_WORD, MOST_LONG = 200, 64
 
 #: In latin-1, where every code point outside U+0000 to U+00FF is a question mark; only A-Z are lower-cased.
 _RUN = re.compile(rb"[a-z\xc0-\xff]{%d,}" % SHORTEST)
@@ -108,15 +110,32 @@ def _keyed(words: DataFrame, segments: int) -> DataFrame:
     return words.mapInArrow(run, "key long, role int, segment int, word string, n long")
 
 
+def _one_edit(a: str, b: str) -> bool:
+    """Whether a, the shorter, and b differ by one code point; equal slices are found by bisection."""
+    low, high = 0, len(a)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return a[low + (len(a) == len(b)) :] == b[low + 1 :]
+
+
 def _bucket_pairs(bucket: list[tuple]) -> Iterator[tuple]:
     """(word, n, other, its n) of the words of one bucket that differ by exactly one code point.
 
     Words of one length share what is left when the replaced place is taken out of both; a longer word becomes the shorter
     one without the inserted place. So a bucket costs as much as its letters, and no two other words are held together.
     """
+    large = [x for x in bucket if len(x[2]) - (x[0] == LONG) > LONG_WORD]
+    for (r, _, w, n), (q, _, other, m) in combinations(large, 2):
+        if r == q == SAME and len(w) == len(other) and _one_edit(w, other):
+            yield w, n, other, m
+        elif {r, q} == {SHORT, LONG} and abs(len(w) - len(other)) == 1 and _one_edit(*sorted((w, other), key=len)):
+            yield w, n, other, m
     shorter = {w: n for role, _, w, n in bucket if role == SHORT}
     same: dict[tuple[int, str], list[tuple]] = {}
     for role, _, w, n in bucket:
+        if len(w) > LONG_WORD + (role == LONG):
+            continue
         if role == SAME:
             for i in range(len(w)):
                 met = same.setdefault((i, w[:i] + w[i + 1 :]), [])
@@ -135,7 +154,7 @@ def _meet(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         bucket: list[tuple] = []
-        key, over = None, False
+        key, over, large = None, False, 0
 
         def send() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
@@ -155,9 +174,10 @@ def _meet(most: int):
             for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "role", "segment", "word", "n")), strict=True):
                 if k != key:
                     close()
-                    key, over = k, False
+                    key, over, large = k, False, 0
                 bucket.append(tuple(row))
-                if len(bucket) > most:
+                large += len(row[2]) > LONG_WORD
+                if len(bucket) > most or large > MOST_LONG < most:
                     over = True
                     close()
                 if len(out) >= 10_000:
@@ -174,11 +194,14 @@ def near_pairs(words: DataFrame, most_bucket: int = MOST_BUCKET) -> DataFrame:
 
     Words meet in buckets of equal signatures. A bucket of over most_bucket words isn't held: its words come again with
     keys that cut them in two segments (then four, and so on) and also hold all letters outside one of them, where the
-    edit is. Where a segment is one letter, a bucket has as many words as there are letters, so this ends.
+    edit is. Where a segment is one letter, a bucket has as many words as there are letters (for longer words beside shorter
+    ones their square), so the last buckets are small.
     """
     pairs, rows, segments = [], words.select("word", "n"), 1
     n = partitions_for(words.sparkSession)
+    longest = words.agg(F.max(F.char_length("word"))).first()[0] or 0
     while rows is not None:
+        most_bucket = most_bucket if segments < longest else 1 << 62
         dealt = _keyed(rows, segments).repartition(n, "key").sortWithinPartitions("key")
         met = stage(dealt.mapInArrow(_meet(most_bucket), "word string, n long, other string, m long, role int, segment int"), "pairs")
         pairs.append(met.filter("role IS NULL").select("word", "n", "other", "m"))
