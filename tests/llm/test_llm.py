@@ -432,6 +432,64 @@ def test_furniture_by_class():
     assert text(art + '<article class="comment">c</article>') == "T\nbody"
 
 
+def test_article_in_wrappers():
+    text = lambda s: html_text.main_text(html_text.parse(s))
+    art = "<article><h1>T</h1><p>body of the article</p></article>"
+    for before, after in (('<form id="aspnetForm">', "</form>"), ("<aside>", "</aside>"), ("<noscript>", "</noscript>"), ('<div role="dialog">', "</div>"), ('<div data-role="search">', "</div>"), ('<div title="class=ad" data-id="share">', "</div>"), ('<form><div role="alert">', "</div></form>")):
+        assert text(f"<nav>a b c d e f g h i j k l m n o p</nav>{before}{art}{after}<footer>f</footer>") == "T\nbody of the article", before
+    assert text('<article><p data-role="search">found</p></article>') == "found"
+    assert text("<aside><article>teaser</article></aside><div><p>the body in a div</p></div>") == "the body in a div"
+    assert text(f"<form><input>q <button>go</button></form>{art}<noscript>turn it on</noscript>") == "T\nbody of the article"
+    for furniture in ('class="cookie-notice"', 'class="ad-box"', 'id="comments-list"', "class='share_bar x'"):
+        assert text(f"<article><p>{words(30, 1)}</p><div {furniture}>gone</div></article>") == words(30, 1)
+    assert text(f'<div class="ads-free-layout">{art}</div>') == "T\nbody of the article"
+    assert text('<article><div class="notice-board"><p>most of this article</p></div>by me</article>') == "most of this article\nby me"
+
+
+def test_pages_equal_a_second_reading():
+    """All given pages by a reader of its own: the article's blocks, without elements and class words of furniture."""
+    import html.parser
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.blocks, self.now = [], [], []
+
+        def end(self):
+            if block := " ".join("".join(self.now).split()):
+                self.blocks.append(block)
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCK:
+                self.end()
+            if tag not in html_text.VOID:
+                words = " ".join(v or "" for k, v in attrs if k in ("class", "id")).split()
+                self.open.append((tag, tag in "nav footer aside form script style button noscript head".split() or tag != "article" and any(w.split("-")[0] in html_text.DROPPED_WORDS - {"header"} for w in words) or "comment" in words))
+            elif tag == "br":
+                self.now.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCK:
+                self.end()
+            while any(t == tag for t, _ in self.open) and self.open.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            if any(t in html_text.CONTENT for t, _ in self.open) and not any(gone for _, gone in self.open):
+                self.now.append(data)
+
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    same = 0
+    for source in pages.html:
+        reader = Reader()
+        reader.feed(source)
+        reader.close()
+        reader.end()
+        same += html_text.main_text(html_text.parse(source)) == "\n".join(reader.blocks)
+    assert same == len(pages)
+
+
 def test_templates_equal_brute_force(spark):
     """A host of 60 pages, one of 4 and one of 2: boxes go by their share of the host's different pages, prose never."""
     prose = ["<h2>References</h2>", "<p>See also.</p>", "<b>Note:</b>", "<table><tr><td>Yes</td><td>row {i}</td></tr></table>"]

@@ -15,14 +15,16 @@ from veritab.llm.common import slices, stage, texts_of
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noscript iframe".split())
+RAW = frozenset("script style textarea title xmp iframe".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html dd dt li td th tr tbody thead tfoot".split())
 IMPLIED = {k: (tuple(a.split()), tuple(b.split())) for k, a, b in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select"))}
 P_STOPS = tuple("article section div table td th li blockquote button".split())
-# Elements, roles and class or id words of what is not the article.
-DROPPED = frozenset("nav footer aside form script style noscript template svg iframe button select textarea head title object canvas dialog menu".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
+# Elements, roles and class or id words of what is not the article; those that may be laid around a whole page.
+DROPPED = frozenset("nav footer script style template svg iframe button select textarea head title object canvas menu".split())
+WRAPPERS = frozenset("aside form noscript dialog".split())
+DROPPED_ROLES = frozenset("navigation contentinfo".split())
+WRAPPER_ROLES = frozenset("banner complementary search dialog alert".split())
 DROPPED_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
 CONTENT = frozenset(("article", "main"))
 #: Only these, never prose, can be a template; outside articles these sections of a page, too.
@@ -38,7 +40,11 @@ SPREAD = 32
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
-_ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: A whole attribute, so that neither data-role nor words in another one's value count.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: What an element is by itself: content, furniture, furniture unless it holds most of the page, or the article as well,
+#: or more than a quarter of the text.
+PLAIN, GONE, WRAPPER, NAMED, COMPOUND = range(5)
 
 
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in RAW}
@@ -53,52 +59,78 @@ class Node:
         self.tag, self.dropped, self.children = tag, dropped, []
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether the element is furniture by its tag or role, and whether it is by a whole word of its class or id."""
-    if tag in DROPPED or tag == "header" and not inside:
-        return True, False
-    named = False
+def _furniture(tag: str, attributes: str, inside: bool) -> int:
+    """GONE or WRAPPER by tag or role, NAMED by a whole word of class or id, COMPOUND for a container by a word's first part."""
+    if tag in DROPPED:
+        return GONE
+    kind = WRAPPER if tag in WRAPPERS or tag == "header" and not inside else PLAIN
+    unsaid = DROPPED_WORDS - {"header"} if inside else DROPPED_WORDS
     for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name = name.lower()
+        if name not in ("class", "id", "role"):
+            continue
         words = set("".join(values).lower().split())
-        if name.lower() == "role":
+        if name == "role":
             if DROPPED_ROLES & words:
-                return True, False
+                return GONE
+            kind = WRAPPER if WRAPPER_ROLES & words else kind
         elif tag == "article":
-            named = named or bool({"comment", "comments"} & words)
+            kind = NAMED if {"comment", "comments"} & words else kind
         elif tag not in ("html", "body", "main"):
-            named = named or bool((DROPPED_WORDS - {"header"} if inside else DROPPED_WORDS) & words)
-    return False, named
-
+            if unsaid & words:
+                kind = NAMED
+            elif kind == PLAIN and tag in CONTAINERS and any(re.split("[-_]", w, maxsplit=1)[0] in unsaid for w in words):
+                kind = COMPOUND
+    return kind
 
-def _drop_named(root: Node, named: list[Node]) -> None:
-    """Mark the elements that are furniture by class or id, but none with the article, the main part or most of the text.
 
-    Where another article stands outside such elements, those in them are teasers or comments and go with them.
-    """
-    ids = {id(n) for n in named}
-    order: list[tuple[Node, bool]] = []
-    todo = [(root, False)]
-    free = False
+def _measure(root: Node, ids: frozenset[int], free: bool) -> dict[int, tuple[int, bool, bool]]:
+    """By id(node): characters of text, whether the node is or holds the main part or the article, and whether any article."""
+    order, todo = [], [root]
     while todo:
-        node, under = todo.pop()
-        if node.dropped:
-            continue
-        under = under or id(node) in ids
-        free = free or node.tag == "article" and not under
-        order.append((node, under))
-        todo += [(c, under) for c in node.children if isinstance(c, Node)]
-    found: dict[int, tuple[int, bool]] = {}
-    for node, _ in reversed(order):
-        chars, holds = 0, node.tag == "main" or node.tag == "article" and not free and id(node) not in ids
+        node = todo.pop()
+        if not node.dropped:
+            order.append(node)
+            todo += [c for c in node.children if isinstance(c, Node)]
+    found: dict[int, tuple[int, bool, bool]] = {}
+    for node in reversed(order):
+        chars, content, holds = 0, node.tag in CONTENT, node.tag == "main" or node.tag == "article" and not free and id(node) not in ids
         for c in node.children:
             if isinstance(c, str):
                 chars += len("".join(html.unescape(c).split()))
             elif id(c) in found:
-                chars, holds = chars + found[id(c)][0], holds or found[id(c)][1]
-        found[id(node)] = (chars, holds)
-    for node in named:
-        chars, holds = found.get(id(node), (0, False))
-        node.dropped = not holds and 2 * chars <= found[id(root)][0]
+                below = found[id(c)]
+                chars, holds, content = chars + below[0], holds or below[1], content or below[2]
+        found[id(node)] = (chars, holds, content)
+    return found
+
+
+def _drop(root: Node, kinds: list[tuple[Node, int]]) -> None:
+    """Mark what is furniture among the nodes of kinds, but never the article, its main part or most of the page's text.
+
+    First by class and id: where an article stands outside such elements, those in them are teasers or comments and go
+    with them. Compound words take only small parts of the text. Then wrappers go that hold at most half of what is left.
+    """
+    named = [(n, k) for n, k in kinds if k != WRAPPER]
+    ids = frozenset(id(n) for n, _ in named)
+    free, todo = False, [(root, False)]
+    while todo and not free:
+        node, under = todo.pop()
+        if not node.dropped:
+            under = under or id(node) in ids
+            free = node.tag == "article" and not under
+            todo += [(c, under) for c in node.children if isinstance(c, Node)]
+    found = _measure(root, ids, free)
+    total = found[id(root)][0]
+    for node, kind in named:
+        chars, holds, content = found.get(id(node), (0, False, False))
+        node.dropped = not holds and not (kind == COMPOUND and content) and (4 if kind == COMPOUND else 2) * chars <= total
+    wrappers = [n for n, k in kinds if k == WRAPPER]
+    if wrappers:
+        found = _measure(root, ids, free)
+        total = found[id(root)][0]
+        for node in wrappers:
+            node.dropped = 2 * found.get(id(node), (0, False, False))[0] <= total
 
 
 def _tokens(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
@@ -179,7 +211,7 @@ def parse(source: str) -> Node:
     Time grows with the source's length, whatever it holds.
     """
     root = Node("html", False)
-    stack, named = _Stack(root), []
+    stack, kinds = _Stack(root), []
     done = 0
     tokens = _tokens(source)
     token = next(tokens, None)
@@ -198,10 +230,10 @@ def parse(source: str) -> Node:
             elif tag in IMPLIED:
                 stack.close(*IMPLIED[tag])
             if tag not in ("html", "body"):
-                dropped, by_name = _furniture(tag, attributes, stack.content > 0)
-                node = Node(tag, dropped)
-                if by_name:
-                    named.append(node)
+                kind = _furniture(tag, attributes, stack.content > 0)
+                node = Node(tag, kind == GONE)
+                if kind > GONE:
+                    kinds.append((node, kind))
                 stack.nodes[-1].children.append(node)
                 if tag in RAW:
                     end = _RAW_END[tag].search(source, at)
@@ -215,8 +247,8 @@ def parse(source: str) -> Node:
             token = None
     if done < len(source):
         stack.nodes[-1].children.append(source[done:])
-    if named:
-        _drop_named(root, named)
+    if kinds:
+        _drop(root, kinds)
     return root
 
 
