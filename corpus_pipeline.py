@@ -37,8 +37,8 @@ def _carried(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold. Null texts count as empty; repeated rows score alike."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    scored = quality.score(docs, model, docs.columns, "__score")
-    return scored.filter(F.col("__score") >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = quality.score(_carried(docs), model, ["__doc"], "__score")
+    return scored.filter(F.col("__score") >= quality.THRESHOLD).select("__doc.*")
 
 
 @_stage

@@ -389,7 +389,7 @@ def test_stages_on_odd_rows(spark):
     """Nulls, empties, repeated and null ids, clashing columns and an empty table in every stage; no other text is lost for an id."""
     a, b = words(80, 41), words(80, 42)
     rows = [(1, a), (5, a + " tail"), (5, b), (None, b), (5, b), (7, None), (7, ""), (None, words(60, 43)), (9, a + " tail")]
-    names = ("score", "kept", "keep_id", "group_size", "text_sha256", "class_id", "n_links")
+    names = ("score", "kept", "keep_id", "group_size", "text_sha256", "class_id", "n_links", "__spans", "__out", "__n_bytes", "__doc", "__row", "__score", "row", "spans", "out")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for n in names:
         docs = docs.withColumn(n, F.lit(f"own {n}"))

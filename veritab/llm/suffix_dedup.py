@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritab.llm.common import ceil_div, partitions_for, stage
+from veritab.llm.common import ceil_div, drop_scratch, partitions_for, scratch_path, stage
 
 #: Length in bytes of the strings that may start only once.
 MATCH = 200
@@ -337,13 +337,13 @@ class _Plan:
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> DataFrame:
-    """docs without the text, and with __n_bytes (of the text in UTF-8; null: empty), __spans (array of [start, end)) and __out.
+    """n_bytes (of the text in UTF-8; null: empty), spans (array of [start, end)), out and row, a struct of docs' other columns.
 
-    finish makes __out, a string, from the bytes that are left of a text; without it __out is null.
+    finish makes out, a string, from the bytes that are left of a text; without it out is null.
 
     Spans are the maximal runs of bytes covered by a string of MATCH bytes that also starts anywhere else in the
     table, in the same text or another; strings never cross texts. Rows are the unit: repeated rows repeat each
-    other's text. Any other columns come back as they are. An empty table gives an empty result.
+    other's text. Other columns, whatever their names, come back inside row. An empty table gives an empty result.
 
     Chunks of whole texts are written once, bucketed by chunk, so that passes over them never shuffle texts.
     (1) The cover sample: strings of SAMPLE bytes at cover positions are ranked by fingerprint, bucket by bucket; equal
@@ -359,7 +359,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> Data
     plan = _Plan(total)
     name = f"veritab_chunks_{uuid.uuid4().hex}"
     buckets = max(partitions_for(spark), ceil_div(total, 32 * CHUNK_BYTES))
-    _chunks(source).write.format("parquet").option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
+    path = scratch_path(spark, "chunks")
+    _chunks(source).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
     chunks = spark.table(name)
     row_schema = source.schema["row"].dataType
 
@@ -373,7 +374,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> Data
             _, keys = chunk.suffixes(tied, plan)
             yield from _deal(batch.column("chunk")[i].as_py(), _ranks(keys)[2], plan.buckets, plan.extra)
 
-    out_schema = T.StructType([T.StructField("__n_bytes", T.LongType()), T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__out", T.StringType()), T.StructField("row", row_schema)])
+    out_schema = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("out", T.StringType()), T.StructField("row", row_schema)])
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, chunk in _each(batches):
@@ -391,15 +392,17 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", finish=None) -> Data
             lists = batch.column("rows")
             off = lists.offsets[i].as_py()
             sizes = chunk.ends - chunk.starts
-            yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(out, pa.string()), lists.values.slice(off, len(sizes))], ["__n_bytes", "__spans", "__out", "row"])
-
-    samples = stage(_ties(chunks.select("chunk", "sizes", "blob").mapInArrow(first, _BLOCKS), 0), "cover").withColumnRenamed("found", "samples")
-    with_samples = chunks.join(samples, "chunk", "left")
-    matches = stage(_ties(with_samples.select("chunk", "sizes", "blob", "samples").mapInArrow(second, _BLOCKS), plan.extra), "matches").withColumnRenamed("found", "matches")
-    out = with_samples.join(matches, "chunk", "left").select("sizes", "blob", "samples", "matches", "rows").mapInArrow(third, out_schema)
-    out = stage(out.select("__n_bytes", "__spans", "__out", *[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != text_col]), "spans")
-    spark.sql(f"DROP TABLE {name}")
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(out, pa.string()), lists.values.slice(off, len(sizes))], ["n_bytes", "spans", "out", "row"])
+
+    try:
+        samples = stage(_ties(chunks.select("chunk", "sizes", "blob").mapInArrow(first, _BLOCKS), 0), "cover").withColumnRenamed("found", "samples")
+        with_samples = chunks.join(samples, "chunk", "left")
+        matches = stage(_ties(with_samples.select("chunk", "sizes", "blob", "samples").mapInArrow(second, _BLOCKS), plan.extra), "matches").withColumnRenamed("found", "matches")
+        out = with_samples.join(matches, "chunk", "left").select("sizes", "blob", "samples", "matches", "rows").mapInArrow(third, out_schema)
+        return stage(out, "spans")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        drop_scratch(spark, [path])
 
 
 def _runs(hits: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -429,14 +432,15 @@ def _sha(left: bytes) -> str:
 
 def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut out of their texts; bytes of a character that was cut through are dropped."""
-    return repeated_spans(docs, text_col, _text).withColumnRenamed("__out", text_col).select(*docs.columns)
+    found = repeated_spans(docs, text_col, _text)
+    return found.select(*[F.col("out" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
-    removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; a null text is empty, repeated rows repeat each other."""
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     found = repeated_spans(docs.select("doc_id", "text"), finish=_sha)
-    return found.select("doc_id", F.col("__n_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("__spans").cast("long").alias("n_spans"), F.col("__out").alias("kept_sha256"))
+    return found.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("out").alias("kept_sha256"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
