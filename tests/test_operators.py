@@ -237,7 +237,7 @@ def test_cosine_search_is_whole(spark, tmp_path):
     v[7] = 0
     spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = collections.defaultdict(list)
-    for r in registry.QUERIES["cosine_search"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+    for r in registry.QUERIES["cosine_topk"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.id, r.score))
     w = v.astype(np.float64)
     norm = np.sqrt((w * w).sum(axis=1))

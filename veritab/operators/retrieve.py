@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,11 +11,11 @@ from veritab.functions import scalars as S
 from veritab.functions import words as T
 from veritab.operators.findings import union
 from veritab.operators.profile import KEY
-from veritab.plans.staging import stage
+from veritab.operators.search import best_passages, names_in_texts, sparse_vectors
+from veritab.operators.series import numbered
 
 # Sizes, caps and weights.
 CHUNK, OVERLAP, BLOCK_ROWS, DATASET_ROWS, DOC_CHUNKS = 1200, 150, 20, 2000, 1500
-DIMENSIONS = 512
 VECTOR_WEIGHT, KEYWORD_WEIGHT, LEAST_SCORE, MOST_HITS = 0.7, 0.3, 0.15, 8
 SHOWN_COLUMNS, MOST_LISTED = 5, 12
 #: Facts of rows are numbered from here on, after all others; keys over which the rows of one column are dealt.
@@ -25,49 +26,34 @@ COMPARE_WORDS = ("compare", "versus", " vs ", "difference between", "against")
 # --- chunks
 
 
-def split_text(text: Column, most: int = CHUNK, overlap: int = OVERLAP) -> Column:
+def windows(text: str | None, most: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
     """Windows of at most so many characters that overlap, cut after a newline or a sentence where that is past the half.
 
-    One pattern says where a window ends: after the last newline, or full stop with a space behind it, of its second
-    half, else at its full length. Null and blank texts have no window; a text is never cut short.
+    A window ends after the last newline, or full stop with a space behind it, of its second half, else at its full
+    length. Null and blank texts have no window; a text is never cut short. Time grows with the text's length.
     """
-    white = r"[ \t\n\x0B\f\r]+"
-    trim = lambda c: F.regexp_replace(c, f"^{white}|{white}$", "")
-    ends = rf"(?s)^.{{{most // 2 + 1},{most - 1}}}(?:\n|\.(?= ))|^.{{1,{most}}}"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def windows(x: Column) -> Column:
-        whole, n = x["t"], x["n"]
-        # The least that a window moves on, so that there are steps enough for any text.
-        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / max(1, most // 2 + 2 - overlap)).cast("int")))
-
-        def step(done: Column, _: Column) -> Column:
-            at = done["at"]
-            window = F.substr(whole, at + 1, F.lit(most))
-            piece = F.when(n - at <= most, window).otherwise(F.regexp_extract(window, ends, 0))
-            to = at + F.char_length(piece)
-            after = F.when(to >= n, n).otherwise(F.greatest(at + 1, to - overlap)).cast("int")
-            return F.when(at >= n, done).otherwise(F.struct(after.alias("at"), F.concat(done["out"], F.array(piece)).alias("out")))
+    white = " \t\n\x0b\f\r"
+    text, out, at = (text or "").strip(white), [], 0
+    while at < len(text):
+        window = text[at : at + most]
+        if len(text) - at > most:
+            end = max(window.rfind("\n"), window.rfind(". "))
+            window = window[: end + 1] if end > most // 2 else window
+        if piece := window.strip(white):
+            out.append(piece)
+        to = at + len(window)
+        at = len(text) if to >= len(text) else max(at + 1, to - overlap)
+    return out
 
-        return F.aggregate(steps, start, step, lambda done: F.filter(F.transform(done["out"], trim), lambda p: p != ""))
 
-    # In an array of one, so that the trimmed text and its length are worked out once.
-    trimmed = F.transform(F.array(trim(F.coalesce(text, F.lit("")))), lambda t: F.struct(t.alias("t"), F.char_length(t).alias("n")))
-    return F.transform(trimmed, windows)[0]
+def split_text(text: Column, most: int = CHUNK, overlap: int = OVERLAP) -> Column:
+    """windows() of whole texts, Arrow batch by batch."""
 
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: windows(t, most, overlap))
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """rows with a number from 0 in each group of keys by order, though no task holds a group.
-
-    Rows are dealt by range and sorted; a row's number is its place in its partition and the group's rows in the
-    partitions before it, of which there is one count a group and partition.
-    """
-    placed = stage(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__id", F.monotonically_increasing_id()), name)
-    placed = placed.withColumn("__part", F.shiftright("__id", 33))
-    parts = placed.groupBy(*keys, "__part").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
-    return placed.join(parts, [*keys, "__part"]).withColumn(name, F.col("__id") - F.col("__first") + F.col("__before")).drop("__id", "__part", "__first", "__before")
+    return split(text)
 
 
 def section_chunks(sections: DataFrame) -> DataFrame:
@@ -131,65 +117,25 @@ def build_chunks(parts: list[DataFrame], most: int | None = DOC_CHUNKS) -> DataF
 def hash_embedding(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """(keys, bucket, weight): the sparse hash embedding of significant words and neighbouring pairs, of length 1.
 
-    A feature's bucket is the first four bytes of its MD5, little-endian, modulo DIMENSIONS; its sign is the fifth
-    byte's low bit.
-    """
-    words = T.kept_words(F.col(text_col))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    features = texts.select(*keys, words.alias("w")).select(*keys, F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("feature"))
-    digest = F.md5("feature")
-    swapped = F.concat(*[F.substring(digest, k, 2) for k in (7, 5, 3, 1)])
-    bucket = F.conv(swapped, 16, 10).cast("long") % DIMENSIONS
-    sign = F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    sums = features.select(*keys, bucket.cast("int").alias("bucket"), sign.alias("s")).groupBy(*keys, "bucket").agg(F.sum("s").alias("v")).filter("v <> 0")
-    norms = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, keys).select(*keys, "bucket", (F.col("v") / F.col("norm")).alias("weight"))
-
-
-def cosine_top(vectors: DataFrame, queries: DataFrame, most: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): the most similar vectors to each query vector, itself left out.
-
-    Queries are packed into blocks of about 256, and each vector meets each block once: an equi-join on the block's
-    number, never a join without a key. Ranks are cut in every partition before the shuffle.
+    Each row is a text of its own, embedded where it lies; one without significant words has no row.
     """
-    norm = F.sqrt(F.aggregate(vec_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    whole = F.transform(vec_col, lambda x: x.cast("double"))
-    blocks = max(1, -(-queries.count() // 256))
-    q = queries.filter(F.col(vec_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"), F.struct(F.col(id_col).alias("query_id"), whole.alias("q"), norm.alias("qn")).alias("s"))
-    q = q.groupBy("block").agg(F.collect_list("s").alias("qs"))
-    v = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), whole.alias("v"), norm.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = v.join(q, "block").select("id", "v", "n", F.explode("qs").alias("s")).filter((F.col("id") != F.col("s.query_id")) & (F.size("v") == F.size("s.q")))
-    dot = F.aggregate(F.zip_with("v", "s.q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = met.select("s.query_id", "id", F.coalesce(F.try_divide(dot, F.col("n") * F.col("s.qn")), F.lit(0.0)).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    found = sparse_vectors(texts, keys, T.kept_words(F.col(text_col)))
+    return found.select(*keys, F.inline(F.arrays_zip(F.col("buckets").alias("bucket"), F.col("weights").alias("weight"))))
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, catalog: DataFrame, most: int = MOST_HITS, least: float = LEAST_SCORE) -> DataFrame:
     """(question_id, rank, doc_id, chunk_no, score, ...): passages for questions (question_id, user_id, question[, doc_id]).
 
     Only completed documents of the asking user are searched, and only the one document if a question names it. The
-    score is 0.7 times the cosine of hash embeddings and 0.3 times the share of the question's words found. Passages
-    and questions meet by user and bucket or word, so no question is held against every passage.
+    score is 0.7 times the cosine of hash embeddings and 0.3 times the share of the question's words found; see
+    best_passages() for how the user's passages are read in blocks. At most `most` rows a question are made.
     """
-    own = chunks.join(catalog.filter("status = 'completed'").select("doc_id", "user_id", "filename"), "doc_id")
-    q_words = T.significant_words(F.col("question"))
-    q = questions.withColumn("q_words", q_words)
-    ids = ["question_id", "user_id"]
-    qv = hash_embedding(q, ids, "question").withColumnRenamed("weight", "q_weight")
-    cv = hash_embedding(own, ["user_id", "doc_id", "chunk_no"], "content")
-    cosine = qv.join(cv, ["user_id", "bucket"]).groupBy("question_id", "doc_id", "chunk_no").agg(F.sum(F.col("weight") * F.col("q_weight")).alias("cosine"))
-    qw = q.select(*ids, F.size("q_words").alias("n_words"), F.explode("q_words").alias("word"))
-    cw = own.select("user_id", "doc_id", "chunk_no", F.explode(T.significant_words(F.col("content"))).alias("word"))
-    words = qw.join(cw, ["user_id", "word"]).groupBy("question_id", "n_words", "doc_id", "chunk_no").agg(F.count(F.lit(1)).alias("hits")).withColumn("keyword", F.col("hits") / F.col("n_words")).drop("hits", "n_words")
-    scored = cosine.join(words, ["question_id", "doc_id", "chunk_no"], "full").fillna(0.0, ["cosine", "keyword"])
-    if "doc_id" in questions.columns:
-        scope = questions.select("question_id", F.col("doc_id").alias("only"))
-        scored = scored.join(scope, "question_id").filter("only IS NULL OR only = doc_id").drop("only")
-    scored = scored.withColumn("score", VECTOR_WEIGHT * F.col("cosine") + KEYWORD_WEIGHT * F.col("keyword")).filter(F.col("score") >= least)
-    w = W.partitionBy("question_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
-    top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    return top.join(own.select("doc_id", "chunk_no", "filename", "content", "page_number", "section"), ["doc_id", "chunk_no"])
+    own = chunks.join(catalog.filter("status = 'completed'").select("doc_id", F.col("user_id").alias("scope"), "filename"), "doc_id")
+    own = own.select("scope", F.col("doc_id").cast("string").alias("doc"), T.kept_words(F.col("content")).alias("words"), "doc_id", "chunk_no", "filename", "content", "page_number", "section")
+    only = F.col("doc_id").cast("string") if "doc_id" in questions.columns else F.lit(None).cast("string")
+    asked = questions.select("question_id", F.col("user_id").alias("scope"), only.alias("doc"), T.kept_words(F.col("question")).alias("words"))
+    found = best_passages(asked, own, ["doc_id", "chunk_no"], most, (VECTOR_WEIGHT, KEYWORD_WEIGHT), least)
+    return found.drop("scope", "doc", "matched")
 
 
 def extractive_answers(hits: DataFrame) -> DataFrame:
@@ -302,27 +248,25 @@ def market_facts(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return union(out).withColumn("fact_no", F.row_number().over(W.partitionBy("doc_id").orderBy("source", "answer")))
 
 
+def _asked(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", F.col("doc_id").alias("scope"), F.lit(None).cast("string").alias("doc"), T.significant_words(F.col("question")).alias("words"))
+
+
 def best_facts(questions: DataFrame, fact_rows: DataFrame, least: float = 0.3) -> DataFrame:
     """(question_id, answer, source, score): the fact with the largest share of its words in the question; ties to more words, then the first.
 
-    questions has question_id, doc_id and question. Facts and questions meet by (doc_id, word).
+    questions has question_id, doc_id and question. Facts of the question's document are read in blocks.
     """
-    q = questions.select("question_id", "doc_id", F.explode(T.significant_words(F.col("question"))).alias("word"))
-    f = fact_rows.select("doc_id", "fact_no", F.size("keywords").alias("n"), F.explode("keywords").alias("word"))
-    met = q.join(f, ["doc_id", "word"]).groupBy("question_id", "doc_id", "fact_no", "n").agg(F.count(F.lit(1)).alias("matched"))
-    best = met.withColumn("score", F.col("matched") / F.col("n")).groupBy("question_id", "doc_id").agg(F.max(F.struct("score", "matched", (-F.col("fact_no")).alias("neg"))).alias("b"))
-    picked = best.filter(F.col("b.score") >= least).select("question_id", "doc_id", (-F.col("b.neg")).alias("fact_no"), F.col("b.score").alias("score"))
-    return picked.join(fact_rows, ["doc_id", "fact_no"]).select("question_id", "answer", "source", "score")
+    rows = fact_rows.select(F.col("doc_id").alias("scope"), F.lit(None).cast("string").alias("doc"), F.col("keywords").alias("words"), "fact_no", "answer", "source")
+    return best_passages(_asked(questions), rows, ["fact_no"], 1, (0.0, 1.0), least, by_passage=True).select("question_id", "answer", "source", "score")
 
 
 def best_sections(questions: DataFrame, sections: DataFrame, least: float = 0.12) -> DataFrame:
     """(question_id, answer, source, score): the section with the largest share of the question's words; the first wins."""
-    q = questions.select("question_id", "doc_id", T.significant_words(F.col("question")).alias("qw")).withColumn("n", F.size("qw")).select("question_id", "doc_id", "n", F.explode("qw").alias("word"))
-    s = sections.select("doc_id", "section_no", F.explode(T.significant_words(F.concat_ws(" ", "title", "content"))).alias("word"))
-    met = q.join(s, ["doc_id", "word"]).groupBy("question_id", "doc_id", "section_no", "n").agg(F.count(F.lit(1)).alias("hits")).withColumn("score", F.col("hits") / F.col("n"))
-    best = met.groupBy("question_id", "doc_id").agg(F.max(F.struct("score", (-F.col("section_no")).alias("neg"))).alias("b")).filter(F.col("b.score") >= least)
-    picked = best.select("question_id", "doc_id", (-F.col("b.neg")).alias("section_no"), F.col("b.score").alias("score"))
-    return picked.join(sections, ["doc_id", "section_no"]).select("question_id", S.excerpt(F.col("content"), 320, collapse=False).alias("answer"), F.coalesce("title", F.lit("Text")).alias("source"), "score")
+    words = T.significant_words(F.concat_ws(" ", "title", "content"))
+    rows = sections.select(F.col("doc_id").alias("scope"), F.lit(None).cast("string").alias("doc"), words.alias("words"), "section_no", "title", "content")
+    found = best_passages(_asked(questions), rows, ["section_no"], 1, (0.0, 1.0), least)
+    return found.select("question_id", S.excerpt(F.col("content"), 320, collapse=False).alias("answer"), F.coalesce("title", F.lit("Text")).alias("source"), "score")
 
 
 def comparisons(questions: DataFrame, entities: DataFrame, most: int = 4) -> DataFrame:
@@ -334,7 +278,8 @@ def comparisons(questions: DataFrame, entities: DataFrame, most: int = 4) -> Dat
     trigger = F.lit(False)
     for w in COMPARE_WORDS:
         trigger = trigger | low.contains(w)
-    met = questions.filter(trigger).join(entities, "doc_id").filter(F.lower("question").contains(F.lower(F.col("key"))))
+    asked = questions.filter(trigger).select("question_id", "doc_id", F.lower("question").alias("asked"))
+    met = names_in_texts(asked, entities.select("doc_id", "entity_no", F.lower("key").alias("name"), "summary"), "doc_id", "name", "asked")
     ranked = met.withColumn("rn", F.row_number().over(W.partitionBy("question_id").orderBy("entity_no"))).filter(F.col("rn") <= most)
     out = ranked.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "summary"))), lambda x: x["summary"]), "\n").alias("answer"))
     return out.filter("n >= 2").drop("n")

@@ -12,6 +12,7 @@ from veritab.operators import findings as G
 from veritab.operators import market as M
 from veritab.operators import profile as P
 from veritab.operators import retrieve as R
+from veritab.operators import search as Q
 from veritab.operators import shape as H
 from veritab.sources import readers, sinks
 
@@ -462,14 +463,7 @@ def hash_embed_texts(spark, sf_dir):
 SELECT query_id, vec_id AS id, round(list_cosine_similarity(q, v), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q, v), 9) DESC, vec_id)::INTEGER AS rank FROM q JOIN v ON query_id <> vec_id QUALIFY rank <= 8""")
 def cosine_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return R.cosine_top(e, e.filter("vec_id % 20 = 0"), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
-
-
-@query()
-def cosine_search(spark, sf_dir):
-    """Every 20th vector against all, as cosine_topk; kept under its first name."""
-    e = table(spark, sf_dir, "embeddings")
-    return R.cosine_top(e, e.filter("vec_id % 20 = 0"), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return Q.cosine_top(e, e.filter("vec_id % 20 = 0"), 8).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(rf"""WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9%]+(?:[''.][a-z0-9]+)*'), lambda x: x NOT IN ({_STOPQ}) AND length(x) > 1)) AS w FROM benchmark),
@@ -501,8 +495,24 @@ def entity_facts(spark, sf_dir):
     return m.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("dates", "numbers", "keywords")])
 
 
-@query()
+_WORDS = lambda c: rf"list_filter(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9%]+(?:[''.][a-z0-9]+)*'), lambda x: x NOT IN ({_STOPQ}) AND length(x) > 1)"
+_CHUNKS_SQL = f"""d AS (SELECT doc_id, {_TRIM.format("coalesce(text, '')")} AS t FROM documents),
+w AS (SELECT doc_id, t, 0::BIGINT AS p, 1 AS no FROM d WHERE t <> '' UNION ALL SELECT doc_id, t, greatest(p + 1, {_TO} - 150), no + 1 FROM w WHERE {_TO} < length(t)),
+c AS (SELECT doc_id, no, {_TRIM.format(f"substr(t, p + 1, {_TO} - p)")} AS content FROM w),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no)::INTEGER AS chunk_no, content FROM c WHERE content <> '')"""
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS_SQL},
+t AS MATERIALIZED (SELECT 0 AS kind, doc_id AS id, chunk_no AS no, doc_id % 4 AS usr, {_WORDS("content")} AS w FROM chunks UNION ALL SELECT 1, item_id, 0, item_id % 4, {_WORDS("text")} FROM benchmark),
+f AS (SELECT kind, id, no, usr, md5(unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS d FROM t),
+s AS MATERIALIZED (SELECT kind, id, no, usr, CAST(('0x' || d[7:8] || d[5:6] || d[3:4] || d[1:2])::BIGINT % 512 AS INTEGER) AS bucket, sum(CASE WHEN ('0x' || d[10:10])::INTEGER % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM f GROUP BY ALL),
+n AS MATERIALIZED (SELECT kind, id, no, sqrt(sum(v * v)) AS n FROM s GROUP BY ALL),
+cos AS (SELECT q.id AS qid, p.id, p.no, sum(q.v * p.v) AS dot FROM s q JOIN s p ON q.kind = 1 AND p.kind = 0 AND q.usr = p.usr AND q.bucket = p.bucket GROUP BY ALL),
+kw AS (SELECT q.id AS qid, p.id, p.no, len(list_intersect(list_distinct(q.w), list_distinct(p.w))) / len(list_distinct(q.w)) AS k FROM t q JOIN t p ON q.kind = 1 AND p.kind = 0 AND q.usr = p.usr AND len(q.w) > 0),
+r AS (SELECT kw.qid AS question_id, kw.id AS doc_id, kw.no AS chunk_no, 0.7::DOUBLE * coalesce(dot / (a.n * b.n), 0) + 0.3::DOUBLE * k AS score FROM kw LEFT JOIN cos USING (qid, id, no) LEFT JOIN n a ON a.kind = 1 AND a.id = kw.qid AND a.n > 0 LEFT JOIN n b ON b.kind = 0 AND b.id = kw.id AND b.no = kw.no AND b.n > 0)
+SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id, chunk_no)::INTEGER AS rank, doc_id, chunk_no, round(score, 6) AS score FROM r WHERE score >= 0.15 - 1e-9 QUALIFY rank <= 8""")
 def retrieval(spark, sf_dir):
+    """The eight best passages of the asking user's documents for each benchmark item."""
     d = table(spark, sf_dir, "documents")
     cat = d.select("doc_id", F.lit("completed").alias("status"), (F.col("doc_id") % 4).alias("user_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("filename"))
     pieces = R.build_chunks([R.section_chunks(d.select("doc_id", F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content")))], most=None)
@@ -510,6 +520,17 @@ def retrieval(spark, sf_dir):
     return R.retrieve(q, pieces, cat).select("question_id", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH k AS MATERIALIZED (SELECT DISTINCT unnest({_WORDS("text")}) AS name FROM documents), e AS (SELECT name FROM k WHERE length(name) >= 4)
+SELECT item_id, count(*) AS n_names, min(name) AS first_name, sum(length(name))::BIGINT AS letters FROM benchmark b JOIN e ON contains(lower(b.text), e.name) GROUP BY item_id""")
+def names_in_items(spark, sf_dir):
+    """Which of the corpus's words stand in each benchmark item, inside longer words, too."""
+    word = F.explode(T.significant_words(F.col("text")))
+    names = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("scope"), word.alias("name")).filter(F.char_length("name") >= 4).distinct()
+    items = table(spark, sf_dir, "benchmark").select(F.lit("corpus").alias("scope"), "item_id", F.lower("text").alias("low"))
+    found = Q.names_in_texts(items, names, "scope", "name", "low")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_names"), F.min("name").alias("first_name"), F.sum(F.char_length("name")).cast("long").alias("letters"))
+
+
 # --- scalar functions, pages and blocks
 
 
