@@ -1,9 +1,13 @@
 import collections
+import csv
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veritab.functions import words as T
@@ -12,9 +16,13 @@ from veritab.operators import findings as G
 from veritab.operators import market as M
 from veritab.operators import profile as P
 from veritab.operators import retrieve as R
+from veritab.operators import search as Q
+from veritab.operators import series as V
 from veritab.operators import shape as H
 from veritab.plans import registry
 from veritab.sources import readers, sinks
+from veritab.sources.delimited import read_grids
+from veritab.sources.index import ChunkIndex, index_documents
 
 
 def cells_of(spark, columns, name="sales"):
@@ -45,7 +53,8 @@ def test_unparsed_is_not_missing(spark):
 
 def test_free_dates(spark):
     got = P.profile(cells_of(spark, {"When": ["2024 5 March", "1st of x", "5 Mar. 2024", "Tue 5 Mar 2024", "6 Mar 2024"]}), free_dates=True).first()
-    assert got.semantic_type in ("date", "category")
+    assert P.profile(cells_of(spark, {"When": ["2024 5 March"] * 5})).first().semantic_type == "category"
+    assert (got.semantic_type, got.unparsed_count, got.non_null_count) == ("date", 1, 5)
 
 
 def test_metrics_and_headline(sales):
@@ -106,10 +115,31 @@ def test_alerts(spark):
     assert got == {"Revenue": (300.0, True), "None": (None, False)}
 
 
-def test_jumps_global_equals_windows(spark):
-    t = spark.range(500).select("id", F.expr("date_add('2020-01-01', cast(id % 300 as int))").alias("d"), (F.pmod(F.xxhash64("id"), F.lit(100)).cast("double")).alias("v"))
-    a = {(r.id, r.change) for r in G.jumps(t.withColumn("k", F.lit(1)), ["k"], "d", "v", "id").collect()}
-    assert a == {(r.id, r.change) for r in G.jumps_global(t, "d", "v", "id").collect()}
+@pytest.mark.parametrize("rows_each", [1, 40])
+def test_series_equal_windows(spark, rows_each):
+    """One key with two thirds of the rows, a null key and ties: places, rows before and jumps as windows give them."""
+    t = spark.range(900).repartition(5).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.floor(F.col("id") / 100).cast("string"))).alias("k"), F.expr("date_add('2020-01-01', cast(id % 300 as int))").alias("d"), (F.pmod(F.xxhash64("id"), F.lit(100)).cast("double")).alias("v"))
+    w = W.partitionBy("k").orderBy("d", "id")
+    want = {(r.id, r.n, r.p) for r in t.select("id", (F.row_number().over(w) - 1).alias("n"), F.lag("v").over(w).alias("p")).collect()}
+    got = V.with_previous(t, ["k"], ["d", "id"], ["v"]).select("id", "place", "previous.v").collect()
+    assert {tuple(r) for r in got} == want
+    assert {(r.id, r.n) for r in V.numbered(t, ["k"], ["d", "id"], "n").collect()} == {x[:2] for x in want}
+    for keys in (["k"], []):
+        moved = t.withColumn("p", F.lag("v").over(W.partitionBy(*keys).orderBy("d", "id"))).withColumn("c", F.try_divide(F.col("v") - F.col("p"), F.abs("p"))).filter(F.abs("c") >= 0.5)
+        assert {(r.id, r.change) for r in G.jumps(t, keys, "d", "v", "id").collect()} == {(r.id, r.c) for r in moved.collect()}
+
+
+def test_correlations_of_constant_and_sparse_columns(spark):
+    rng = random.Random(4)
+    rows = [("d", s, c, p, r, x) for s in ("a", "b") for r in range(40) for p, (c, x) in enumerate([("one", str(r + rng.random())), ("two", str(1e9 - 3 * r)), ("flat", "5.1"), ("few", str(r) if r < 4 else None), ("gaps", str(rng.random()) if r % 3 else "n/a")])]
+    cells = spark.createDataFrame(rows, "doc_id string, dataset string, column string, position int, source_row long, value string")
+    kinds = spark.createDataFrame([("d", s, c, p, "number", m) for s in ("a", "b") for p, (c, m) in enumerate([("one", 20.0), ("two", 1e9), ("flat", 5.0), ("few", 1.0), ("gaps", None)])], "doc_id string, dataset string, column string, position int, semantic_type string, mean double")
+    got = {(r.dataset, r.a, r.b): (r.pairs, r.r) for r in G.correlations_of_cells(cells, kinds).collect()}
+    frame = {(s, c): {r: float(x) for _, s2, c2, _, r, x in rows if (s2, c2) == (s, c) and x not in (None, "n/a")} for s in ("a", "b") for c in ("one", "two", "gaps")}
+    assert set(got) == {(s, a, b) for s in ("a", "b") for a, b in (("one", "two"), ("one", "gaps"), ("two", "gaps"))}
+    for (s, a, b), (n, r) in got.items():
+        both = sorted(frame[s, a].keys() & frame[s, b].keys())
+        assert n == len(both) and abs(r - np.corrcoef([frame[s, a][i] for i in both], [frame[s, b][i] for i in both])[0, 1]) < 1e-9
 
 
 def test_grids(spark):
@@ -306,11 +336,155 @@ def test_catalog_page_is_clamped(spark):
     assert (n, pages, rows.count()) == (45, 3, 5)
 
 
-def test_chunk_index_replaces_only_its_documents(spark, tmp_path):
-    one = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "doc_id string, chunk_no int, content string")
-    sinks.replace_chunks(one, str(tmp_path / "index"), 1)
-    sinks.replace_chunks(one.filter("doc_id = 'a'").withColumn("content", F.lit("z")), str(tmp_path / "index"), 1)
-    assert {(r.doc_id, r.content) for r in spark.read.parquet(str(tmp_path / "index")).collect()} == {("a", "z"), ("b", "y")}
+def test_chunk_index_shows_whole_versions(spark, tmp_path):
+    index = ChunkIndex(spark, str(tmp_path / "index"))
+    seen = lambda: {(r.doc_id, r.content) for r in index.read().collect()}
+    assert index.read() is None
+    index.replace(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("b", 2, "yy")], "doc_id string, chunk_no int, content string"))
+    index.replace(spark.createDataFrame([("a", 1, "z")], "doc_id string, chunk_no int, content string"))
+    assert seen() == {("a", "z"), ("b", "y"), ("b", "yy")}
+    # A write that dies in the middle leaves files but no commit: readers see what was there.
+    broken = spark.range(100, numPartitions=4).select(F.lit("a").alias("doc_id"), F.col("id").cast("int").alias("chunk_no"), F.when(F.col("id") < 90, "new").otherwise(F.raise_error(F.lit("lost"))).alias("content"))
+    with pytest.raises(Exception, match="lost"):
+        index.replace(broken)
+    assert seen() == {("a", "z"), ("b", "y"), ("b", "yy")} and len(index.commits()) == 2
+    index.delete(spark.createDataFrame([("b",)], "doc_id string"))
+    assert seen() == {("a", "z")}
+    index.compact()
+    assert seen() == {("a", "z")} and len(index.commits()) == 1
+    index.replace(spark.createDataFrame([("b", 1, "again")], "doc_id string, chunk_no int, content string"))
+    assert seen() == {("a", "z"), ("b", "again")}
+
+
+def test_indexing_records_failures_and_goes_on(spark, tmp_path):
+    index, status = ChunkIndex(spark, str(tmp_path / "i")), str(tmp_path / "s")
+
+    def split(text, broken=("bad",)):
+        if text in broken:
+            raise ValueError("no " + text)
+        return R.windows(text)
+
+    docs = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None), (4, "fine " * 500)], "doc_id long, text string")
+    got = {r.doc_id: (r.status, r.error, r.n_chunks) for r in index_documents(docs, index, status, split).collect()}
+    assert got == {1: ("indexed", None, 1), 2: ("failed", "ValueError: no bad", 0), 3: ("empty", None, 0), 4: ("indexed", None, 3)}
+    assert {r.doc_id for r in index.read().collect()} == {1, 4}
+    # The next run takes what failed and what changed only.
+    docs = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "now there"), (4, "fine " * 500)], "doc_id long, text string")
+    again = {r.doc_id: r.status for r in index_documents(docs, index, status, lambda t: split(t, ())).collect()}
+    assert again == {2: "indexed", 3: "indexed"} and {r.doc_id for r in index.read().collect()} == {1, 2, 3, 4}
+
+
+def test_delimited_files_in_parallel(spark, tmp_path):
+    """One file of many splits with line ends in quotes, and files of other delimiters and encodings, as a serial reader gives them."""
+    rng, folder = random.Random(3), tmp_path / "in"
+    folder.mkdir()
+    value = lambda: "".join(rng.choice(["a", "é", ",", ";", '"', "\n", " ", "xyz", "\n\n", '""']) for _ in range(rng.randrange(12)))
+    files = {}
+    for name, sep, encoding, n in (("large.csv", ",", "utf-8", 3000), ("semi.csv", ";", "iso-8859-1", 50), ("tab.csv", "\t", "utf-8-sig", 5)):
+        rows = [["id", "née", "text"]] + [[str(i), "é" if i == 3 else "e", value()] for i in range(n)]
+        with open(folder / name, "w", encoding=encoding, newline="") as f:
+            csv.writer(f, delimiter=sep, lineterminator="\r\n" if sep == ";" else "\n").writerows(rows)
+        files[name] = rows
+    (folder / "empty.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        grid = read_grids(spark, str(folder)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    got = {}
+    for r in sorted(grid, key=lambda r: (r.doc_id, r.row_no)):
+        got.setdefault(r.doc_id.rsplit("/", 1)[-1], []).append(list(r.cells))
+        assert r.row_no == len(got[r.doc_id.rsplit("/", 1)[-1]]) - 1
+    assert got == files
+    table = readers.read_csv(spark, str(folder / "large.csv"))
+    assert table.columns == ["id", "née", "text"] and table.count() == 3000
+    with pytest.raises(ValueError, match="no table"):
+        readers.read_csv(spark, str(folder / "empty.csv"))
+
+
+def test_json_documents_of_different_shapes(spark):
+    texts = ['[{"name": "a", "kids": [{"id": 7, "toys": [{"t": 1}, {"t": null}]}, {"x": {}}]}, 5, {"z": [], "name": "b"}]', '{"orders": [{"user": {"user_id": "u1", "tags": ["p", null, 2]}, "lines": [{"q": true}]}]}', "{", '{"only": {"deep": {"er": 1.50}}}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.dataset, r.source_row, r.position, r.column, r.value, r.json_path, r.parent_ref) for r in H.json_cells(readers.select_records(docs)).fillna("-").collect())
+    assert got == sorted([
+        (0, "records", 1, 0, "name", "a", "$[0]", "-"), (0, "records", 2, 1, "value", "5", "$[1]", "-"), (0, "records", 3, 2, "z", "-", "$[2]", "-"), (0, "records", 3, 0, "name", "b", "$[2]", "-"),
+        (0, "records.kids", 1, 0, "id", "7", "$[0].kids[0]", "$[0]"), (0, "records.kids", 2, 1, "x", "-", "$[0].kids[1]", "$[0]"),
+        (0, "records.kids.toys", 1, 0, "t", "1", "$[0].kids[0].toys[0]", "7"), (0, "records.kids.toys", 2, 0, "t", "-", "$[0].kids[0].toys[1]", "7"),
+        (1, "orders", 1, 0, "user.user_id", "u1", "$[0]", "-"), (1, "orders", 1, 1, "user.tags", "p; ; 2", "$[0]", "-"), (1, "orders.lines", 1, 0, "q", "True", "$[0].lines[0]", "u1"),
+        (3, "records", 1, 0, "only.deep.er", "1.5", "$[0]", "-"),
+    ])
+
+
+def test_large_merged_range_meets_rows_only(spark):
+    cells = spark.createDataFrame([("d", "s", r, 1, v) for r, v in ((5, "top"), (6, None), (999, "own"), (10_000_004, None), (10_000_005, None))] + [("d", "s", 7, 2, "x"), ("d", "t", 6, 1, None)], "doc_id string, sheet string, r long, c int, value string")
+    ranges = spark.createDataFrame([("d", "s", 5, 1, 10_000_004, 1), ("d", "s", 8, 2, 9, 2)], "doc_id string, sheet string, r1 long, c1 int, r2 long, c2 int")
+    got = {(r.sheet, r.r, r.c): r.value for r in H.fill_merged(cells, ranges).collect()}
+    assert got == {("s", 5, 1): "top", ("s", 6, 1): "top", ("s", 7, 1): "top", ("s", 7, 2): "x", ("s", 999, 1): "own", ("s", 10_000_004, 1): "top", ("s", 10_000_005, 1): None, ("t", 6, 1): None}
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_passages_equal_brute_force(spark, block):
+    """A scope with most of the passages, ties, scopes without passages, single documents and questions without words."""
+    rng = random.Random(12)
+    vocabulary = ["the"] + [f"w{i}" for i in range(30)]
+    said = lambda n: " ".join(rng.choice(vocabulary[: rng.choice([4, 31])]) for _ in range(n))
+    passages = [("hot" if i % 4 else f"s{i % 8}", str(i // 5), i, said(rng.randrange(20))) for i in range(160)] + [("hot", "90", 900 + i, "w1 w2 w3") for i in range(9)] + [(None, "1", 999, "w1")]
+    questions = [(i, ("hot", "s0", "s4", "none")[i % 4], "3" if i % 5 == 0 else None, said(rng.randrange(8))) for i in range(40)] + [(40, "hot", None, "w1 w2 w3"), (41, "hot", None, ""), (42, None, None, "w1")]
+    p = spark.createDataFrame(passages, "scope string, doc string, no long, text string").withColumn("words", T.kept_words(F.col("text")))
+    q = spark.createDataFrame(questions, "question_id long, scope string, doc string, text string").withColumn("words", T.kept_words(F.col("text")))
+    pw, qw = {r.no: r.words for r in p.collect()}, {r.question_id: r.words for r in q.collect()}
+    for weights, by_passage, least, k in (((0.7, 0.3), False, 0.15, 8), ((0.0, 1.0), True, 0.3, 1), ((0.0, 1.0), False, 0.12, 3)):
+        want = []
+        for i, scope, only, _ in questions:
+            found = []
+            for s, doc, no, _ in passages:
+                if s is None or s != scope or only not in (None, doc) or not qw[i]:
+                    continue
+                a, b = Q.hash_features(qw[i]), Q.hash_features(pw[no])
+                hits = len(set(qw[i]) & set(pw[no]))
+                score = weights[1] * hits / (max(1, len(set(pw[no]))) if by_passage else len(set(qw[i])))
+                score += weights[0] * (a @ b / np.sqrt((a @ a) * (b @ b)) if (a @ a) * (b @ b) else 0.0)
+                if score >= least - 1e-9 and score > 0:
+                    found.append((-round(score, 9), -hits if by_passage else 0, no))
+            want += [(i, r + 1, no, -s) for r, (s, _, no) in enumerate(sorted(found)[:k])]
+        got = Q.best_passages(q, p.drop("text"), ["no"], k, weights, least, by_passage, block).collect()
+        assert sorted((r.question_id, r["rank"], r.no, round(r.score, 9)) for r in got) == sorted(want)
+
+
+def test_names_in_texts(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    names = [(s, word(rng.choice([1, 2, 5, 6, 7, 12])), i) for s in ("x", "y") for i in range(60)] + [("x", "", 99), ("x", None, 98), ("x", "customer#000000001", 97), ("x", "customer#000000002", 96)]
+    texts = [(i, rng.choice(["x", "y", "z"]), word(rng.randrange(80))) for i in range(50)] + [(50, "x", "of customer#000000002!"), (51, "x", None), (52, "x", "")]
+    got = Q.names_in_texts(spark.createDataFrame(texts, "id long, scope string, text string"), spark.createDataFrame(names, "scope string, name string, n long"), "scope", "name", "text").collect()
+    assert sorted((r.id, r.n) for r in got) == sorted((i, n) for i, s, t in texts for z, name, n in names if t and name and s == z and name in t)
+
+
+def test_cosine_in_parts(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(0, 1, (300, 6)))] + [(300 + i, [1.0] + [0.0] * 5) for i in range(20)] + [(400, None), (401, [0.0] * 6), (402, [1.0, 2.0]), (None, [1.0] * 6), (403, [3.0, 5.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    a, b = (sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in Q.cosine_top(v, v.filter("vec_id % 10 = 0 OR vec_id > 400"), 4, most_bytes=m).collect()) for m in (Q.MOST_QUERIES, 500))
+    unit = {i: np.array(x) / (np.linalg.norm(x) or 1) for i, x in rows if i is not None and x is not None}
+    want = []
+    for i in unit:
+        if i % 10 == 0 or i > 400:
+            near = sorted((-round(float(unit[i] @ y), 9), j) for j, y in unit.items() if j != i and len(y) == len(unit[i]))[:4]
+            want += [(i, r + 1, j, round(-s, 6) + 0.0) for r, (s, j) in enumerate(near)]
+    assert a == b and [x[:3] for x in a] == [x[:3] for x in sorted(want)]
+
+
+def test_windows_are_linear_and_whole():
+    text = "".join(random.Random(1).choice(["word ", "end. ", "\n", "x" * 50]) for _ in range(400_000))
+    began = time.time()
+    pieces = R.windows(text)
+    assert time.time() - began < 10 and len(text) > 3_000_000 and all(len(p) <= R.CHUNK for p in pieces)
+    at = 0
+    for p in pieces:
+        at = text.index(p, max(0, at - R.CHUNK)) + len(p)
+    assert R.windows(None) == R.windows(" \n") == [] and R.windows("a") == ["a"]
 
 
 def test_uploads(spark, tmp_path):

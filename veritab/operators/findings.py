@@ -5,14 +5,18 @@ Every function takes cells and profiled columns (see profile.py) and returns a D
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veritab.functions import scalars as S
 from veritab.operators.profile import KEY, MEASURES, NUMERIC, column_values, duplicate_rows_by_dataset, first_columns
+from veritab.operators.series import numbered, with_previous
 
 # Labels of declared totals, thresholds and caps.
 TOTAL_LABELS = ("total", "grand total", "subtotal", "sum", "overall")
@@ -254,32 +258,15 @@ def group_outliers(table: DataFrame, keys: list[str], value: str, limit: float =
 
 
 def jumps(table: DataFrame, keys: list[str], day: str, value: str, tie: str, limit: float = JUMP_LIMIT) -> DataFrame:
-    """Rows whose value moved by limit or more of the one before in date order, per key; after zero nothing is said."""
-    w = W.partitionBy(*keys).orderBy(day, tie)
-    points = table.filter(F.col(day).isNotNull() & F.col(value).isNotNull())
-    moved = points.withColumn("prev_value", F.lag(value).over(w)).withColumn("prev_day", F.lag(day).over(w))
-    change = F.try_divide(F.col(value) - F.col("prev_value"), F.abs("prev_value"))
-    return moved.withColumn("change", change).filter(F.abs("change") >= limit).withColumn("severity", F.when(F.abs("change") >= JUMP_HIGH, "high").otherwise("medium"))
-
-
-def jumps_global(table: DataFrame, day: str, value: str, tie: str, limit: float = JUMP_LIMIT) -> DataFrame:
-    """jumps() over one huge series: range partitions by date, windows inside them, and their edges stitched.
+    """Rows whose value moved by limit or more of the one before in date order, per key; after zero nothing is said.
 
-    Only the last row of each partition goes through one task: as many rows as partitions.
+    A series of any length is cut by range partitions; see with_previous().
     """
     points = table.filter(F.col(day).isNotNull() & F.col(value).isNotNull())
-    parts = points.repartitionByRange(day, tie).withColumn("_part", F.spark_partition_id())
-    from veritab.plans.staging import stage
-
-    parts = stage(parts, "series")
-    ends = parts.groupBy("_part").agg(F.max_by(F.struct(F.col(day).alias("d"), F.col(value).alias("v")), F.struct(day, tie)).alias("last"))
-    before = ends.select("_part", F.lag("last").over(W.orderBy("_part")).alias("before"))
-    w = W.partitionBy("_part").orderBy(day, tie)
-    first = F.row_number().over(w) == 1
-    own = parts.withColumn("_first", first).withColumn("_v", F.lag(value).over(w)).withColumn("_d", F.lag(day).over(w))
-    moved = own.join(before, "_part").withColumn("prev_value", F.when(F.col("_first"), F.col("before.v")).otherwise(F.col("_v"))).withColumn("prev_day", F.when(F.col("_first"), F.col("before.d")).otherwise(F.col("_d")))
+    moved = with_previous(points, keys, [day, tie], [value, day]).withColumn("prev_value", F.col(f"previous.{value}")).withColumn("prev_day", F.col(f"previous.{day}"))
     change = F.try_divide(F.col(value) - F.col("prev_value"), F.abs("prev_value"))
-    return moved.withColumn("change", change).filter(F.abs("change") >= limit).withColumn("severity", F.when(F.abs("change") >= JUMP_HIGH, "high").otherwise("medium")).select(*table.columns, "prev_day", "prev_value", "change", "severity")
+    found = moved.withColumn("change", change).filter(F.abs("change") >= limit).withColumn("severity", F.when(F.abs("change") >= JUMP_HIGH, "high").otherwise("medium"))
+    return found.select(*table.columns, "prev_day", "prev_value", "change", "severity")
 
 
 def dated_measure(cells: DataFrame, columns: DataFrame) -> DataFrame:
@@ -333,8 +320,8 @@ def leaders(table: DataFrame, keys: list[str], category: str, value: str, order:
 def trends(table: DataFrame, keys: list[str], day: str, value: str, tie: str) -> DataFrame:
     """(keys, points, slope, relative_slope, first_day, last_day, direction) of series with three points or more."""
     points = table.filter(F.col(day).isNotNull() & F.col(value).isNotNull())
-    x = (F.row_number().over(W.partitionBy(*keys).orderBy(day, tie)) - 1).cast("double")
-    fit = points.withColumn("x", x).groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.regr_slope(value, "x").alias("slope"), F.avg(value).alias("mean"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+    x = F.col("x").cast("double")
+    fit = numbered(points, keys, [day, tie], "x").withColumn("x", x).groupBy(*keys).agg(F.count(F.lit(1)).alias("points"), F.regr_slope(value, "x").alias("slope"), F.avg(value).alias("mean"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
     rel = F.col("slope") * F.col("points") / F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean"))
     fit = fit.filter("points >= 3").withColumn("relative_slope", rel)
     return fit.withColumn("direction", F.when(F.col("relative_slope") > 0.08, "increased").when(F.col("relative_slope") < -0.08, "decreased").otherwise("flat"))
@@ -358,12 +345,48 @@ def correlations(table: DataFrame, keys: list[str], columns: list[str], least_pa
     return wide.select(*keys, each.alias("p")).select(*keys, "p.*").filter((F.col("pairs") >= least_pairs) & F.col("r").isNotNull())
 
 
+def _comoments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's rows (doc_id, dataset, positions, values) for every two columns of a dataset, as matrix products."""
+    names = ["doc_id", "dataset", "pa", "pb", "n", "x", "y", "xx", "yy", "xy"]
+    for batch in batches:
+        own: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("dataset").to_pylist(), strict=True)):
+            own.setdefault(key, []).append(i)
+        lists, values = batch.column("positions"), batch.column("vs").values.to_numpy(zero_copy_only=False)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        for (doc_id, dataset), rows in own.items():
+            row = np.repeat(np.arange(len(rows)), [at[i + 1] - at[i] for i in rows])
+            cell = np.concatenate([np.arange(at[i], at[i + 1]) for i in rows])
+            positions, column = np.unique(flat[cell], return_inverse=True)
+            v, there = np.zeros((len(rows), len(positions))), np.zeros((len(rows), len(positions)))
+            v[row, column], there[row, column] = values[cell], 1.0
+            # A column's values in complete pairs only: its products with the other column's presence.
+            n, x, xx, xy = there.T @ there, v.T @ there, (v * v).T @ there, v.T @ v
+            a, b = np.nonzero(np.triu(n, 1))
+            sums = [n[a, b], x[a, b], x[b, a], xx[a, b], xx[b, a], xy[a, b]]
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(a), batch.column("doc_id").type), pa.array([dataset] * len(a), pa.string()), pa.array(positions[a]), pa.array(positions[b]), *map(pa.array, sums)], names)
+
+
 def correlations_of_cells(cells: DataFrame, columns: DataFrame) -> DataFrame:
-    """(key, a, b, pairs, r) for every two measures of each dataset: cells meet on their row."""
-    v = numeric_cells(cells, columns, MEASURES)
-    left, right = v.withColumnsRenamed({"column": "a", "position": "pa", "v": "x"}), v.withColumnsRenamed({"column": "b", "position": "pb", "v": "y"})
-    met = left.join(right, [*KEY, "source_row"]).filter("pa < pb")
-    return met.groupBy(*KEY, "pa", "pb", "a", "b").agg(F.count(F.lit(1)).alias("pairs"), safe_corr("x", "y").alias("r")).filter("pairs >= 5 AND r IS NOT NULL")
+    """(key, pa, pb, a, b, pairs, r) for every two measures of each dataset, by position and name.
+
+    A row's values are packed once; each task adds up the moments of all pairs of columns as matrices, less the columns'
+    means, so that a dataset of many columns costs one shuffle of its rows and of as many sums as it has pairs.
+    """
+    kept = columns.filter(F.col("semantic_type").isin(*MEASURES)).select(*KEY, "column", F.col("mean").alias("m"))
+    v = cells.join(kept, [*KEY, "column"]).withColumn("v", S.parse_number(F.col("value")) - F.coalesce("m", F.lit(0.0))).filter("v IS NOT NULL")
+    packed = v.groupBy(*KEY, "source_row").agg(F.array_sort(F.collect_list(F.struct("position", "v"))).alias("c")).select(*KEY, F.col("c.position").alias("positions"), F.col("c.v").alias("vs"))
+    kind = packed.schema["doc_id"].dataType.simpleString()
+    sums = packed.mapInArrow(_comoments, f"doc_id {kind}, dataset string, pa int, pb int, n double, x double, y double, xx double, yy double, xy double")
+    total = sums.groupBy(*KEY, "pa", "pb").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    spread = lambda s, ss: F.col(ss) / F.col("n") - F.pow(F.col(s) / F.col("n"), 2)
+    # What is left of a constant column after rounding is no spread.
+    flat = lambda s, ss: spread(s, ss) <= 1e-12 * F.col(ss) / F.col("n")
+    r = (F.col("xy") / F.col("n") - F.col("x") * F.col("y") / F.col("n") / F.col("n")) / F.sqrt(spread("x", "xx") * spread("y", "yy"))
+    found = total.filter(F.col("n") >= 5).filter(~flat("x", "xx") & ~flat("y", "yy")).withColumn("r", r)
+    name = lambda p, n: columns.select(*KEY, F.col("position").alias(p), F.col("column").alias(n))
+    named = found.join(name("pa", "a"), [*KEY, "pa"]).join(name("pb", "b"), [*KEY, "pb"])
+    return named.select(*KEY, "pa", "pb", "a", "b", F.col("n").cast("long").alias("pairs"), "r")
 
 
 def insights(cells: DataFrame, columns: DataFrame, counts: DataFrame, most: int = MOST_INSIGHTS) -> DataFrame:

@@ -259,10 +259,9 @@ def names_in_texts(texts: DataFrame, names: DataFrame, scope: str, name: str, te
     each = known.select(scope, name, F.explode(parts(F.col(name), F.col("__n"))).alias("__anchor")).distinct()
     rare = each.groupBy(scope, "__anchor").agg(F.count(F.lit(1)).alias("__names"))
     anchors = each.join(rare, [scope, "__anchor"]).groupBy(scope, name).agg(F.min_by("__anchor", F.struct("__names", "__anchor")).alias("__anchor"))
-    held = known.drop("__n").join(anchors, [scope, name])
     pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda n: parts(F.col(text), n))))
     # Texts are numbered and meet as anchors only; they come back for those that have one.
     rows = stage(texts.withColumn("__text", F.monotonically_increasing_id()), "texts")
-    met = rows.select(scope, "__text", F.explode(pieces).alias("__anchor")).join(held.select(scope, name, "__anchor"), [scope, "__anchor"]).select("__text", scope, name)
+    met = rows.select(scope, "__text", F.explode(pieces).alias("__anchor")).join(anchors, [scope, "__anchor"]).select("__text", scope, name)
     found = met.join(rows, ["__text", scope]).filter(F.col(text).contains(F.col(name))).select("__text", scope, name)
-    return found.join(rows, ["__text", scope]).join(held.drop("__anchor"), [scope, name]).drop("__text")
+    return found.join(rows, ["__text", scope]).join(known.drop("__n"), [scope, name]).drop("__text")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,11 +71,22 @@ def merge_continued(grid: DataFrame) -> DataFrame:
 
 
 def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """cells (doc_id, sheet, r, c, value) with merged ranges (doc_id, sheet, r1, c1, r2, c2) filled by their first cell's value."""
-    spread = ranges.select("doc_id", "sheet", "r1", "c1", F.explode(F.sequence("r1", "r2")).alias("r"), "c2").select("doc_id", "sheet", "r1", "c1", "r", F.explode(F.sequence("c1", "c2")).alias("c"))
-    anchor = cells.select("doc_id", "sheet", F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("value").alias("anchor"))
-    filled = spread.join(anchor, ["doc_id", "sheet", "r1", "c1"]).select("doc_id", "sheet", "r", "c", "anchor")
-    return cells.join(filled, ["doc_id", "sheet", "r", "c"], "full").select("doc_id", "sheet", "r", "c", F.coalesce("value", "anchor").alias("value"))
+    """cells (doc_id, sheet, r, c, value) with merged ranges (doc_id, sheet, r1, c1, r2, c2) filled by their first cell's value.
+
+    A cell that holds a value keeps it. Rows of the sheet that have any cell are filled, so a range over ten million rows
+    is filled where there are rows. Rows and ranges meet in bins of the smallest power of two that the range's height
+    does not exceed: a range is in one or two bins of its own size, a row in one bin of each size that is in use.
+    """
+    key = ["doc_id", "sheet"]
+    anchor = cells.select(*key, F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("value").alias("anchor"))
+    known = ranges.join(anchor, [*key, "r1", "c1"]).withColumn("size", F.ceil(F.log2((F.col("r2") - F.col("r1") + 1).cast("double"))).cast("int"))
+    width = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("size"))).cast("long")
+    binned = known.withColumn("bin", F.explode(F.sequence(width("r1"), width("r2"))))
+    sizes = known.groupBy(*key).agg(F.collect_set("size").alias("sizes"))
+    rows = cells.select(*key, "r").distinct().join(sizes, key).withColumn("size", F.explode("sizes")).withColumn("bin", width("r"))
+    met = rows.join(binned, [*key, "size", "bin"]).filter("r BETWEEN r1 AND r2")
+    filled = met.select(*key, "r", F.explode(F.sequence("c1", "c2")).alias("c"), "anchor")
+    return cells.join(filled, [*key, "r", "c"], "full").select(*key, "r", "c", F.coalesce("value", "anchor").alias("value"))
 
 
 def grid_lines(grid: DataFrame) -> DataFrame:
@@ -139,6 +154,72 @@ def union_records(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), own)
 
 
+def _record_cells(table: str, records: list) -> Iterator[tuple]:
+    """(dataset, place, path, parent, column, turn, value) of JSON records and of the lists of objects inside them.
+
+    Objects inside a record become dotted columns, a list of objects a table of its own by dotted name, other lists text.
+    A parent is the first column of the record above named id or ending in _id that is not empty, else its path.
+    """
+    todo = [(table, f"$[{i}]", None, r, i) for i, r in reversed(list(enumerate(records)))]
+    places: dict[str, int] = {}
+    while todo:
+        name, path, parent, record, _ = todo.pop()
+        place = places[name] = places.get(name, -1) + 1
+        flat: list[tuple[str, object]] = []
+        lists: list[tuple[str, list]] = []
+        fields = [("", record)] if isinstance(record, dict) else []
+        if not fields:
+            flat.append(("value", record))
+        while fields:
+            at, v = fields.pop()
+            if isinstance(v, dict) and v:
+                fields += [(f"{at}.{k}" if at else k, x) for k, x in reversed(v.items())]
+            elif isinstance(v, list) and v and all(isinstance(x, dict) for x in v):
+                lists.append((at, v))
+            elif isinstance(v, list):
+                flat.append((at, "; ".join("" if x is None else str(x) for x in v) if v else None))
+            else:
+                flat.append((at, None if isinstance(v, dict) else v))
+        values = dict(flat)
+        for turn, (column, v) in enumerate(values.items()):
+            yield name, place, path, parent, column, turn, None if v is None else str(v)
+        named = lambda c: (last := c.rsplit(".", 1)[-1].lower()) == "id" or last.endswith("_id")
+        own = next((str(v) for c, v in values.items() if not c.startswith("_") and v not in (None, "") and named(c)), path)
+        for field, rows in reversed(lists):
+            child = f"{name}.{field}" if name else field
+            todo += [(child, f"{path}.{field}[{i}]", own, r, i) for i, r in reversed(list(enumerate(rows)))]
+
+
+def json_cells(tables: DataFrame) -> DataFrame:
+    """cells (doc_id, dataset, column, position, source_row, value, json_path, parent_ref) of select_records() rows.
+
+    Documents of any shapes go through one job: each array of records is walked where it lies. Columns of a dataset come
+    in the order in which its records first name them; source_row counts a dataset's records from 1. Rows without records
+    have no cells; a text that is no JSON array is an error of select_records(), not of this.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "dataset", "source_row", "json_path", "parent_ref", "column", "turn", "value"]
+        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+        for batch in batches:
+            for doc_id, table, records in zip(batch.column("doc_id"), batch.column("table").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                rows = list(_record_cells(table or "", json.loads(records)))
+                for i in range(0, len(rows), 10_000):
+                    part = rows[i : i + 10_000]
+                    columns = list(zip(*((d, p + 1, *rest) for d, p, *rest in part), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(part), doc_id.type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+
+    kind = tables.schema["doc_id"].dataType.simpleString()
+    found = tables.filter(F.col("records").isNotNull()).select("doc_id", "table", "records").mapInArrow(run, f"doc_id {kind}, dataset string, source_row long, json_path string, parent_ref string, column string, turn long, value string")
+    return found.join(first_seen_header(found), ["doc_id", "dataset", "column"]).select("doc_id", "dataset", "column", "position", "source_row", "value", "json_path", "parent_ref")
+
+
+def first_seen_header(rows: DataFrame) -> DataFrame:
+    """(doc_id, dataset, column, position) of rows (doc_id, dataset, source_row, column, turn): columns by the row, then the place in it, that first names them."""
+    first = rows.groupBy("doc_id", "dataset", "column").agg(F.min(F.struct("source_row", "turn")).alias("first"))
+    return first.withColumn("position", F.row_number().over(W.partitionBy("doc_id", "dataset").orderBy("first")) - 1).drop("first")
+
+
 # --- text lines
 
 

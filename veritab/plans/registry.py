@@ -182,7 +182,7 @@ def period_jumps_events(spark, sf_dir):
 SELECT event_id, round((value - prev_value) / abs(prev_value), 6) AS change FROM p WHERE prev_value <> 0 AND abs((value - prev_value) / abs(prev_value)) >= 0.5""")
 def period_jumps_all(spark, sf_dir):
     t = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    return G.jumps_global(t, "ts", "value", "event_id").select("event_id", F.round("change", 6).alias("change"))
+    return G.jumps(t, [], "ts", "value", "event_id").select("event_id", F.round("change", 6).alias("change"))
 
 
 @query("""WITH p AS (SELECT o_custkey, o_totalprice AS v, o_orderdate AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS x FROM orders),
@@ -368,7 +368,19 @@ def classify(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", label.alias("document_type"), confidence.alias("confidence"))
 
 
-@query()
+def _mentions_sql(patterns, most: int) -> str:
+    found = "list_concat(" + ", ".join(f"regexp_extract_all(t, '{p}')" for p in patterns) + ")"
+    return f"(SELECT list_filter(m, lambda x, i: list_position(list_transform(m, lambda y: lower(y)), lower(x)) = i)[:{most}] FROM (SELECT list_transform({found}, lambda x: trim(x)) AS m))"
+
+
+_NUMBERS_SQL = _mentions_sql((T.CURRENCY_MENTION, T.PERCENT_MENTION, T.LARGE_NUMBER), 12)
+_DATES_SQL = _mentions_sql((T.FULL_DATE, T.MONTH_YEAR, T.NUMERIC_DATE, T.QUARTER), 8)
+_KEYWORDS_SQL = r"""w AS (SELECT doc_id, lower(unnest(l)) AS keyword, unnest(range(len(l))) AS pos FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z''-]{2,}') AS l FROM documents)),
+c AS (SELECT doc_id, keyword, count(*) AS count, min(pos) AS p FROM w WHERE keyword NOT IN (STOP) GROUP BY ALL HAVING count(*) > 1),
+k AS (SELECT doc_id, keyword, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, p) AS rank FROM c QUALIFY rank <= 10)""".replace("STOP", ", ".join(f"'{w}'" for w in T.PROSE_STOPWORDS))
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, array_to_string({_NUMBERS_SQL}, '|') AS numbers, array_to_string({_DATES_SQL}, '|') AS dates FROM d""")
 def entities(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.array_join(T.extract_numbers(F.col("text")), "|").alias("numbers"), F.array_join(T.extract_dates(F.col("text")), "|").alias("dates"))
@@ -448,7 +460,11 @@ def hash_embed(spark, sf_dir):
     return R.hash_embedding(table(spark, sf_dir, "benchmark"), ["item_id"], "text").withColumn("weight", F.round("weight", 9))
 
 
-@query()
+@query(f"""WITH t AS (SELECT 'documents' AS source, doc_id AS id, NULL::BIGINT AS turn, text FROM documents UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations),
+w AS (SELECT source, id, turn, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9%]+(?:[''.][a-z0-9]+)*'), lambda x: x NOT IN ({_STOPQ}) AND length(x) > 1) AS w FROM t),
+h AS (SELECT source, id, turn, md5(unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS d FROM w),
+s AS (SELECT source, id, turn, CAST(('0x' || d[7:8] || d[5:6] || d[3:4] || d[1:2])::BIGINT % 512 AS INTEGER) AS bucket, sum(CASE WHEN ('0x' || d[10:10])::INTEGER % 2 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL HAVING v <> 0)
+SELECT source, id, turn, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY source, id, turn)), 9) AS weight FROM s""")
 def hash_embed_texts(spark, sf_dir):
     """Whole texts of all documents and conversation turns; hash_embed holds the benchmark's."""
     d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.lit(None).cast("long").alias("turn"), "text")
@@ -478,7 +494,7 @@ def section_search(spark, sf_dir):
     return got.select(F.col("question_id").alias("item_id"), F.col("source").cast("long").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
-@query()
+@query("""SELECT 1099511627776 + o_orderkey AS fact_no, o_orderkey || ' orders' AS keywords, 'For o_orderkey "' || o_orderkey || '" in "orders": o_custkey ' || o_custkey || ', o_orderstatus ' || o_orderstatus || ', o_totalprice ' || o_totalprice || ', o_orderdate ' || o_orderdate::VARCHAR || ', o_orderpriority ' || o_orderpriority || '.' AS answer FROM orders""")
 def row_facts(spark, sf_dir):
     """Facts of every order; the keys of orders are its identifiers by declaration, as their names hint at none."""
     t = table(spark, sf_dir, "orders")
@@ -489,7 +505,8 @@ def row_facts(spark, sf_dir):
     return R.identifier_facts(R.identifier_rows(cells, columns)).select("fact_no", F.array_join("keywords", " ").alias("keywords"), "answer")
 
 
-@query()
+@query(f"""WITH {_KEYWORDS_SQL}, d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, array_to_string({_DATES_SQL}, '|') AS dates, array_to_string({_NUMBERS_SQL}, '|') AS numbers, coalesce((SELECT string_agg(keyword, '|' ORDER BY rank) FROM k WHERE k.doc_id = d.doc_id), '') AS keywords FROM d""")
 def entity_facts(spark, sf_dir):
     m = R.mentions(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return m.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("dates", "numbers", "keywords")])
@@ -768,3 +785,6 @@ def figure_summary(spark, sf_dir):
     """Lines as an order's tables and, by their quantity, as its figures; one chart an order."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("").alias("caption"), (F.col("l_quantity") * 20).alias("width"), F.lit(500).alias("height"))
     return C.vision_summary(lines, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), lines)
+
+
+from veritab.plans import derived  # noqa: E402, F401  registers its queries

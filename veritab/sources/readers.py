@@ -2,55 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veritab.functions import scalars as S
-from veritab.operators.shape import text_lines
+from veritab.operators.shape import is_blank_row, text_lines
+from veritab.plans.staging import stage
+from veritab.sources.delimited import read_grids
 
-# Delimiters by preference, and the fields that may hold a document's records.
-DELIMITERS = (",", ";", "\t", "|")
+# The fields that may hold a document's records.
 ENVELOPES = ("data", "results", "records", "items", "payload")
-SNIFFED = 4096
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that cuts the first lines most evenly, from the first 4,096 characters; a comma if none does."""
-    head = spark.read.text(path).select(F.substring("value", 1, SNIFFED).alias("value")).limit(50).collect()
-    lines = "\n".join(r.value or "" for r in head)[:SNIFFED].split("\n")
-    best = (0, ",")
-    for d in DELIMITERS:
-        counts = [x.count(d) for x in lines if x.strip()]
-        if counts and min(counts) > 0:
-            best = max(best, (sum(c == counts[0] for c in counts) * min(counts), d), key=lambda b: b[0])
-    return best[1]
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Delimited files with one header as text columns; rows with nothing in them are left out. No file with a header is an error.
 
-
-def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless a line holds bytes that it doesn't allow; then each byte is a character of ISO-8859-1."""
-    odd = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-    return "UTF-8" if odd.isEmpty() else "ISO-8859-1"
-
-
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None, schema: T.StructType | None = None) -> DataFrame:
-    """A delimited file with a header as text columns; rows with nothing in them are left out. An empty file is an error."""
-    reader = spark.read.option("header", True).option("sep", delimiter or sniff_delimiter(spark, path)).option("encoding", encoding or sniff_encoding(spark, path)).option("multiLine", True)
-    table = (reader.schema(schema) if schema else reader).csv(path)
-    if not table.columns:
+    Files are read by read_grids(), each with its own encoding and delimiter. Files with other headers are tables of their
+    own: use read_grids() with grids_to_cells().
+    """
+    grid = stage(read_grids(spark, path), "grid")
+    headers = grid.filter("row_no = 0").select("cells").distinct().limit(2).collect()
+    if not headers:
         raise ValueError(f"no table in {path}")
-    blank = F.lit(True)
-    for c in table.columns:
-        blank = blank & S.clean_text(F.col(f"`{c}`")).isNull()
-    return table.filter(~blank)
-
-
-def read_grid(spark: SparkSession, path: str, doc_id: Column | None = None, delimiter: str | None = None) -> DataFrame:
-    """(doc_id, table_id, row_no, cells) of delimited files, header rows included; row_no counts a file's lines."""
-    sep = delimiter or sniff_delimiter(spark, path)
-    texts = spark.read.text(path, wholetext=True).select(F.coalesce(doc_id if doc_id is not None else F.col("_metadata.file_path")).alias("doc_id"), F.regexp_replace("value", "^﻿", "").alias("text"))
-    parts = F.transform(F.split("line", r"[\Q" + sep + r'\E](?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.regexp_replace(F.regexp_replace(x, r'^\s*"(.*)"\s*$', "$1"), '""', '"'))
-    return text_lines(texts).select("doc_id", F.lit("0").alias("table_id"), F.col("line_no").alias("row_no"), parts.alias("cells"))
+    if len(headers) > 1:
+        raise ValueError(f"files of several headers in {path}")
+    rows = grid.filter("row_no > 0").filter(~is_blank_row(F.col("cells")))
+    # A repeated or blank name gets its place, so that no column hides another.
+    seen: set[str] = set()
+    names = [n if n and not (n in seen or seen.add(n)) else f"{n or 'Column'} {i + 1}" for i, n in enumerate(headers[0].cells)]
+    return rows.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def read_json_lines(texts: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -80,25 +80,3 @@ def json_documents(catalog: DataFrame, children: dict[str, DataFrame]) -> DataFr
         rows = child.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in child.columns if c != "doc_id"])).alias(name))
         out = out.join(rows, "doc_id", "left")
     return out
-
-
-def replace_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write documents' chunks over their old ones: only the buckets that these documents fall into are rewritten.
-
-    Chunks of other documents in those buckets are carried over. Each bucket is replaced by one commit.
-    """
-    spark = chunks.sparkSession
-    new = chunks.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    if old is not None:
-        touched, ids = new.select("doc_bucket").distinct(), new.select("doc_id").distinct()
-        kept = old.join(touched, "doc_bucket", "left_semi").join(ids, "doc_id", "left_anti")
-        from veritab.plans.staging import stage
-
-        new = stage(new.unionByName(kept.select(*new.columns)), "chunks")
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
