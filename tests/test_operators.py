@@ -477,7 +477,8 @@ def test_cosine_in_parts(spark):
 
 
 def test_windows_are_linear_and_whole():
-    text = "".join(random.Random(1).choice(["word ", "end. ", "\n", "x" * 50]) for _ in range(400_000))
+    rng = random.Random(1)
+    text = "".join(rng.choice(["word ", "end. ", "\n", "x" * 50]) for _ in range(400_000))
     began = time.time()
     pieces = R.windows(text)
     assert time.time() - began < 10 and len(text) > 3_000_000 and all(len(p) <= R.CHUNK for p in pieces)
