@@ -495,3 +495,43 @@ def test_uploads(spark, tmp_path):
     good, bad = readers.read_uploads(spark, str(tmp_path / "in"))
     assert [r.filename for r in good.collect()] == ["a.csv"] and bad.count() == 2
     assert readers.read_csv(spark, str(tmp_path / "in/a.csv")).columns == ["x", "y"]
+
+
+def test_answers_by_scope(spark):
+    q = spark.createDataFrame([(i, "all" if i > 5 else "document") for i in range(12)], "question_id long, scope string")
+    hit = lambda ids, name: spark.createDataFrame([(i, f"{name} {i}") for i in ids], "question_id long, answer string")
+    passages = spark.createDataFrame([(i, f"p {i}", c) for i, c in ((1, "medium"), (2, "medium"), (3, "low"), (4, "low"), (7, "medium"), (8, "low"), (9, "medium"), (10, "low"))], "question_id long, answer string, confidence string")
+    got = {r.question_id: (r.answer, r.confidence) for r in R.answers(q, hit([0, 6], "c"), hit([1, 7, 8], "f"), hit([2, 3, 9, 10], "s"), passages).collect()}
+    none = R.S.MISSING
+    assert got == {
+        0: ("c 0", "high"), 1: ("f 1", "high"), 2: ("p 2", "medium"), 3: ("s 3", "medium"), 4: ("p 4", "low"), 5: (none, "low"),
+        6: ("c 6", "high"), 7: ("p 7", "medium"), 8: ("f 8", "high"), 9: ("p 9", "medium"), 10: ("s 10", "medium"), 11: (none, "low"),
+    }
+
+
+def test_facts_of_a_whole_document(sales):
+    cells, columns, counts = sales
+    spark = cells.sparkSession
+    kind = spark.createDataFrame([("d", "Sales")], "doc_id string, document_type string")
+    scores, _ = G.quality(cells, columns, counts)
+    matters = spark.createDataFrame([("d", 1, "first"), ("d", 2, "second")], "doc_id string, rank int, message string")
+    sections = spark.createDataFrame([("d", 1), ("d", 2)], "doc_id string, section_no int")
+    f = R.facts(kind, counts, columns, G.metrics(columns, counts), G.insights(cells, columns, counts), sections=sections, scores=scores, anomaly_rows=matters.limit(0), matters=matters)
+    ask = lambda text: R.best_facts(spark.createDataFrame([(1, "d", text)], "question_id long, doc_id string, question string"), f).first()
+    assert ask("what kind of document type is it").answer == "This is a document of type Sales with 1 datasets of 12 records and 2 sections of text."
+    assert ask("is the data quality clean and reliable").answer == "The data quality score is 86/100: 12 missing values and 0 repeated rows of 12 records."
+    assert ask("any unusual or strange outliers, an anomaly").source == "Anomalies"
+    assert ask("what matters most, in priority").answer == "What matters most: first; second."
+
+
+def test_market_questions(spark):
+    t = lambda rows, schema: spark.createDataFrame(rows, f"doc_id string, line_no int, {schema}")
+    tables = {
+        "equities": t([("a", 2, "BLR"), ("a", 1, "BOK")], "ticker string"), "exchange_rates": t([("a", 1, "EUR"), ("a", 3, "usd"), ("b", 1, "KES")], "currency string"),
+        "market_overview": t([("a", 1, None, 5.0)], "market_capitalization double, equity_turnover double"), "bond_trades": t([("a", 1)][:0], "bond string"), "bonds": t([("a", 1, "x"), ("a", 2, "y")], "security string"),
+    }
+    got = {r.doc_id: r.questions for r in R.suggested_market_questions(tables).collect()}
+    assert got == {
+        "a": ["What was the closing price of BOK?", "What was the equity turnover?", "What is the exchange rate of usd?", "How many bonds are listed (2)?", "What matters most in this report?", "What looks unusual?"],
+        "b": ["What is the exchange rate of KES?", "What matters most in this report?", "What looks unusual?"],
+    }

@@ -71,6 +71,21 @@ def row_search(table: DataFrame, text: str, columns: list[str] | None = None) ->
     return table.filter(hit)
 
 
+def search_tables(tables: dict[str, tuple[DataFrame, list[str]]], text: str, key: str) -> DataFrame:
+    """(table, key, found): rows of any of the tables in one of whose columns the text stands, in any case; found is the first such value.
+
+    tables gives each table's searched columns by name. An empty text finds all rows that have a value.
+    """
+    out = []
+    for name, (t, columns) in tables.items():
+        hits = F.filter(F.array(*[F.col(c).cast("string") for c in columns]), lambda v: F.lower(v).contains(text.lower()))
+        out.append(t.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"), F.get(hits, F.lit(0)).alias("found")).filter("found IS NOT NULL"))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 def mixed_sort(table: DataFrame, column: str, descending: bool = False) -> DataFrame:
     """Sorted as numbers where cells are numbers, then as text."""
     n, t = S.parse_number(F.col(column)), F.col(column).cast("string")

@@ -482,8 +482,32 @@ def gazetteer(spark, places: dict[str, tuple[float, float]] = PLACES) -> DataFra
     return spark.createDataFrame([(k, *v) for k, v in places.items()], "place string, lat double, lon double")
 
 
+LATITUDE, LONGITUDE = r"(?i)\b(lat|latitude)\b", r"(?i)\b(lon|lng|longitude)\b"
+
+
+def place_points(cells: DataFrame, columns: DataFrame) -> DataFrame:
+    """(key, source_row, lat, lon, value) of datasets with a column named for latitudes and one for longitudes.
+
+    value is the first measure, null if there is none; rows without both coordinates are left out. Other datasets have
+    no points of their own: see place_totals().
+    """
+
+    def first(pattern: str, name: str) -> DataFrame:
+        return columns.filter(F.col("column").rlike(pattern)).groupBy(*KEY).agg(F.min_by("column", "position").alias(name))
+
+    chosen = first(LATITUDE, "lat_column").join(first(LONGITUDE, "lon_column"), KEY).join(first_columns(columns, MEASURES, ["measure"]), KEY, "left")
+    role = F.when(F.col("column") == F.col("lat_column"), "lat").when(F.col("column") == F.col("lon_column"), "lon")
+    # One column can be a coordinate and the measure.
+    roles = F.array_compact(F.array(role, F.when(F.col("column") == F.col("measure"), "value")))
+    named = columns.join(chosen, KEY).select(*KEY, "column", F.explode(roles).alias("role"))
+    own = cells.join(named, [*KEY, "column"]).withColumn("v", S.parse_number(F.col("value")))
+    pick = lambda r: F.max(F.when(F.col("role") == r, F.col("v"))).alias(r)
+    return own.groupBy(*KEY, "source_row").agg(pick("lat"), pick("lon"), pick("value")).filter("lat IS NOT NULL AND lon IS NOT NULL")
+
+
 def place_totals(table: DataFrame, place: Column, value: Column, places: DataFrame, most: int = 60) -> DataFrame:
     """(place, label, lat, lon, total, n) of the known places in a table; unknown ones are left out, unparsed values count 0."""
     rows = table.select(S.clean_text(place).alias("label"), F.coalesce(value, F.lit(0.0)).alias("v")).withColumn("place", F.lower("label"))
     sums = rows.filter("place IS NOT NULL").groupBy("place").agg(F.min("label").alias("label"), F.sum("v").alias("total"), F.count(F.lit(1)).alias("n"))
-    return sums.join(F.broadcast(places), "place").orderBy(F.desc("total"), "place").limit(most)
+    # One row a place on either side: whether a side is small enough to be sent to all tasks is Spark's to measure.
+    return sums.join(places, "place").orderBy(F.desc("total"), "place").limit(most)

@@ -17,7 +17,12 @@ from veritab.operators.series import numbered
 # Sizes, caps and weights.
 CHUNK, OVERLAP, BLOCK_ROWS, DATASET_ROWS, DOC_CHUNKS = 1200, 150, 20, 2000, 1500
 VECTOR_WEIGHT, KEYWORD_WEIGHT, LEAST_SCORE, MOST_HITS = 0.7, 0.3, 0.15, 8
-SHOWN_COLUMNS, MOST_LISTED = 5, 12
+SHOWN_COLUMNS, MOST_LISTED, MOST_TOLD = 5, 12, 5
+# Words that facts about a whole document are found by.
+KIND_WORDS = ("document", "type", "kind")
+QUALITY_WORDS = ("quality", "clean", "reliable", "trustworthy")
+UNUSUAL_WORDS = ("unusual", "anomaly", "anomalies", "outlier", "outliers", "strange", "odd", "suspicious")
+MATTERS_WORDS = ("matters", "most", "important", "priority")
 #: Facts of rows are numbered from here on, after all others; keys over which the rows of one column are dealt.
 ROW_FACTS, SPREAD = 1 << 40, 32
 COMPARE_WORDS = ("compare", "versus", " vs ", "difference between", "against")
@@ -204,11 +209,13 @@ def mentions(docs: DataFrame) -> DataFrame:
     return own.join(said, "doc_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))
 
 
-def facts(doc_kind: DataFrame, counts: DataFrame, columns: DataFrame, metrics: DataFrame, insights: DataFrame, cells: DataFrame | None = None, mentioned: DataFrame | None = None) -> DataFrame:
+def facts(doc_kind: DataFrame, counts: DataFrame, columns: DataFrame, metrics: DataFrame, insights: DataFrame, cells: DataFrame | None = None, mentioned: DataFrame | None = None, sections: DataFrame | None = None, scores: DataFrame | None = None, anomaly_rows: DataFrame | None = None, matters: DataFrame | None = None) -> DataFrame:
     """facts (doc_id, fact_no, keywords, answer, source) of general documents.
 
-    doc_kind is (doc_id, document_type). Facts: what it is, record counts, columns, extremes, metrics and insights;
-    with cells those of each row that has an identifier, with rows of mentions() dates, numbers and keywords.
+    doc_kind is (doc_id, document_type). Facts: what it is and how much it holds, record counts, columns, extremes, metrics
+    and insights; with cells those of each row that has an identifier, with rows of mentions() dates, numbers and
+    keywords, with sections their number. scores are those of quality(); anomaly_rows those of anomalies(), where a
+    document without any says so; matters those of what_matters(): each a fact of its own.
     """
 
     def fact(rows: DataFrame, kind: int, words: Column, answer: Column, source: Column) -> DataFrame:
@@ -220,11 +227,25 @@ def facts(doc_kind: DataFrame, counts: DataFrame, columns: DataFrame, metrics: D
     def listing(c: str, label: str, without: str) -> Column:
         return F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(F.slice(c, 1, MOST_LISTED), ", "), F.lit("."))).otherwise(F.lit(without))
 
+    def first_messages(rows: DataFrame, most: int = MOST_TOLD) -> DataFrame:
+        return rows.filter(F.col("rank") <= most).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "message"))), lambda x: x["message"]), "; ").alias("told"))
+
     n = S.format_number
+    held = counts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("datasets"), F.sum("row_count").alias("records"))
+    kinds = doc_kind.join(held, "doc_id", "left")
+    kinds = kinds.withColumn("sections", F.lit(0)) if sections is None else kinds.join(sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections")), "doc_id", "left")
+    kinds = kinds.fillna(0, ["datasets", "records", "sections"])
+    size = F.concat(F.lit(" with "), F.col("datasets").cast("string"), F.lit(" datasets of "), F.col("records").cast("string"), F.lit(" records and "), F.col("sections").cast("string"), F.lit(" sections of text."))
+    known = [] if scores is None else [fact(scores, 9, F.array(*map(F.lit, QUALITY_WORDS)), F.concat(F.lit("The data quality score is "), F.col("quality_score").cast("string"), F.lit("/100: "), F.col("missing_cells").cast("string"), F.lit(" missing values and "), F.col("duplicate_rows").cast("string"), F.lit(" repeated rows of "), F.col("total_rows").cast("string"), F.lit(" records.")), F.lit("Data quality"))]
+    if anomaly_rows is not None:
+        odd = doc_kind.select("doc_id").join(first_messages(anomaly_rows), "doc_id", "left")
+        known.append(fact(odd, 10, F.array(*map(F.lit, UNUSUAL_WORDS)), F.coalesce(F.concat(F.lit("Unusual values: "), F.col("told"), F.lit(".")), F.lit("No unusual values were found in the numbers.")), F.lit("Anomalies")))
+    if matters is not None:
+        known.append(fact(first_messages(matters), 11, F.array(*map(F.lit, MATTERS_WORDS)), F.concat(F.lit("What matters most: "), F.col("told"), F.lit(".")), F.lit("What matters most")))
     listed = columns.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "column"))), lambda x: x["column"]), ", ").alias("names"))
     numeric = columns.filter("max IS NOT NULL")
     found = union([
-        fact(doc_kind, 1, F.array(F.lit("document"), F.lit("type")), F.concat(F.lit("This is a document of type "), F.col("document_type"), F.lit(".")), F.lit("Overview")),
+        fact(kinds, 1, F.array(*map(F.lit, KIND_WORDS)), F.concat(F.lit("This is a document of type "), F.col("document_type"), size), F.lit("Overview")),
         fact(counts, 2, with_words("dataset", "records"), F.concat("dataset", F.lit(" has "), F.col("row_count").cast("string"), F.lit(" records.")), F.col("dataset")),
         fact(listed, 3, with_words("dataset", "columns"), F.concat("dataset", F.lit(" has the columns "), F.col("names"), F.lit(".")), F.col("dataset")),
         fact(numeric, 4, with_words("column", "highest", "maximum"), F.concat(F.lit("The highest "), F.col("column"), F.lit(" is "), n(F.col("max")), F.lit(".")), F.col("dataset")),
@@ -232,6 +253,7 @@ def facts(doc_kind: DataFrame, counts: DataFrame, columns: DataFrame, metrics: D
         fact(metrics, 6, T.significant_words(F.col("label")), F.concat("label", F.lit(": "), n(F.col("value")), F.lit(".")), F.lit("Metrics")),
         fact(insights, 7, with_words("text"), F.col("text"), F.lit("Insights")),
         *([] if mentioned is None else [fact(mentioned, 8, F.array(*map(F.lit, words)), listing(c, label, without), F.lit(f"Entities: {c}")) for c, words, label, without in ENTITY_FACTS]),
+        *known,
     ])
     found = found.filter(F.size("keywords") > 0).withColumn("fact_no", F.row_number().over(W.partitionBy("doc_id").orderBy("kind", "source", "answer")).cast("long")).drop("kind")
     return found if cells is None else found.unionByName(identifier_facts(identifier_rows(cells, columns)))
@@ -286,8 +308,15 @@ def comparisons(questions: DataFrame, entities: DataFrame, most: int = 4) -> Dat
 
 
 def answers(questions: DataFrame, compared: DataFrame, fact_hits: DataFrame, section_hits: DataFrame, retrieved: DataFrame | None = None) -> DataFrame:
-    """(question_id, answer, confidence): a comparison, else the best fact, else a section, else a retrieved passage, else nothing."""
-    j = questions.select("question_id")
+    """(question_id, answer, confidence): the answer of the document's own data, or of passages.
+
+    A comparison or the best fact of the document is sure. Without one a passage that is no weak match goes before a
+    section of the text, as it is found in the same text and names its place; a weak one goes after it. Questions whose
+    column scope is 'all' (as against 'document', the default) ask all documents of the user: there a passage that is no
+    weak match goes first, then what the document says.
+    """
+    everywhere = F.col("scope") == "all" if "scope" in questions.columns else F.lit(False)
+    j = questions.select("question_id", F.coalesce(everywhere, F.lit(False)).alias("everywhere"))
     j = j.join(compared.select("question_id", F.col("answer").alias("a1")), "question_id", "left")
     j = j.join(fact_hits.select("question_id", F.col("answer").alias("a2")), "question_id", "left")
     j = j.join(section_hits.select("question_id", F.col("answer").alias("a3")), "question_id", "left")
@@ -295,11 +324,11 @@ def answers(questions: DataFrame, compared: DataFrame, fact_hits: DataFrame, sec
     if retrieved is not None:
         j = j.join(retrieved.select("question_id", F.col("answer").alias("a4"), F.col("confidence").alias("c4")), "question_id", "left")
         a4, c4 = F.col("a4"), F.col("c4")
-    strong = F.coalesce("a1", "a2")
-    # A passage of medium confidence goes before a section; a weak one after it.
-    better = F.when(c4 == "medium", a4)
-    answer = F.coalesce(strong, better, "a3", a4, F.lit(S.MISSING))
-    confidence = F.when(strong.isNotNull(), "high").when(better.isNotNull() | F.col("a3").isNotNull(), "medium").otherwise("low")
+    own = F.coalesce("a1", "a2")
+    better = F.when(c4 != "low", a4)
+    first = F.when(F.col("everywhere"), better)
+    answer = F.coalesce(first, own, better, "a3", a4, F.lit(S.MISSING))
+    confidence = F.when(first.isNotNull(), c4).when(own.isNotNull(), "high").when(better.isNotNull(), c4).when(F.col("a3").isNotNull(), "medium").otherwise("low")
     return j.select("question_id", answer.alias("answer"), confidence.alias("confidence"))
 
 
@@ -326,6 +355,38 @@ def suggested_questions(columns: DataFrame, most: int = 6) -> DataFrame:
     return columns.groupBy("doc_id").agg(F.slice(F.transform(ordered, lambda x: x["q"]), 1, most).alias("questions"))
 
 
+def suggested_market_questions(tables: dict[str, DataFrame], most: int = 6) -> DataFrame:
+    """(doc_id, questions): up to six questions that a market report's tables can answer, in a fixed order.
+
+    tables may hold equities, indices, market_overview, exchange_rates, bond_trades and bonds, each with doc_id.
+    """
+
+    def asked(name: str, place: int, text: Column, order: list | None = None) -> list[DataFrame]:
+        if name not in tables:
+            return []
+        t = tables[name]
+        rows = t.groupBy("doc_id").agg(F.min_by(text, F.struct(*order)).alias("q") if order else F.max(text).alias("q"))
+        return [rows.filter("q IS NOT NULL").select("doc_id", F.lit(place).alias("place"), "q")]
+
+    usd = (F.upper("currency") != "USD").cast("int")
+    found = [
+        *asked("equities", 1, F.concat(F.lit("What was the closing price of "), F.col("ticker"), F.lit("?")), ["line_no"]),
+        *asked("indices", 2, F.concat(F.lit("How did the index "), F.col("name"), F.lit(" do?")), ["line_no"]),
+        *asked("market_overview", 3, F.when(F.col("market_capitalization").isNotNull(), F.lit("What is the market capitalization?"))),
+        *asked("market_overview", 4, F.when(F.col("equity_turnover").isNotNull(), F.lit("What was the equity turnover?"))),
+        *asked("exchange_rates", 5, F.concat(F.lit("What is the exchange rate of "), F.col("currency"), F.lit("?")), [usd, F.col("line_no")]),
+        *asked("bond_trades", 6, F.lit("Which bonds were traded?")),
+    ]
+    if "bonds" in tables:
+        n = tables["bonds"].groupBy("doc_id").agg(F.concat(F.lit("How many bonds are listed ("), F.count(F.lit(1)).cast("string"), F.lit(")?")).alias("q"))
+        traded = tables["bond_trades"].select("doc_id").distinct() if "bond_trades" in tables else None
+        found.append((n if traded is None else n.join(traded, "doc_id", "left_anti")).select("doc_id", F.lit(6).alias("place"), "q"))
+    each = union(found)
+    always = each.select("doc_id").distinct().select("doc_id", F.posexplode(F.array(F.lit("What matters most in this report?"), F.lit("What looks unusual?"))).alias("p", "q")).select("doc_id", (F.col("p") + 7).alias("place"), "q")
+    ordered = F.array_sort(F.collect_list(F.struct("place", "q")))
+    return each.unionByName(always).groupBy("doc_id").agg(F.slice(F.transform(ordered, lambda x: x["q"]), 1, most).alias("questions"))
+
+
 def suggest_visualization(requests: DataFrame, columns: DataFrame, axis_counts: DataFrame) -> DataFrame:
     """(request_id, dataset, x, y, chart_type): the measure and axis that a chart request (request_id, doc_id, query) names best.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritab.operators import catalog as C
 from veritab.operators import findings as G
 from veritab.operators import market as M
 from veritab.operators import profile as P
@@ -78,6 +79,36 @@ def correlations_cells(spark, sf_dir):
     return G.correlations_of_cells(cells, columns).select("a", "b", "pairs", F.round("r", 6).alias("r"))
 
 
+@query(f"""WITH {_JUMPS}, s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM orders),
+a AS (SELECT 'outlier' AS type, CASE WHEN abs(o_totalprice - m) / sd >= 4 THEN 'high' ELSE 'medium' END AS severity, o_orderkey AS source_row FROM orders, s WHERE abs(o_totalprice - m) / sd > 2.5
+  UNION ALL SELECT 'sudden_change', CASE WHEN abs(change) >= 1 THEN 'high' ELSE 'medium' END, o_orderkey FROM j),
+r AS (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 ELSE 1 END, type, source_row) AS n FROM a QUALIFY n <= 40)
+SELECT n::INTEGER AS rank, 'anomaly' AS category, severity, CASE WHEN type = 'outlier' THEN '' ELSE '"o_totalprice" moved ' || format('{{:,}}', round_even(change * 100, 0)::BIGINT) || '% from ' || pd || ' to ' || d END AS message FROM r LEFT JOIN j ON j.o_orderkey = r.source_row WHERE n <= 8""")
+def what_matters_orders(spark, sf_dir):
+    """What matters most of all orders: anomalies before insights, the first eight. A sudden change's message is compared."""
+    cells, columns = _orders(spark, sf_dir)
+    found = G.what_matters(spark.createDataFrame([], "doc_id string, severity string, message string, rank int"), G.anomalies(cells, columns), G.insights(cells, columns, G.dataset_counts(cells)))
+    return found.select("rank", "category", "severity", F.when(F.col("message").contains(" moved "), F.col("message")).otherwise("").alias("message"))
+
+
+@query("""SELECT c_custkey AS source_row, (c_custkey % 180 - 90)::DOUBLE AS lat, c_nationkey + 0.5::DOUBLE AS lon, c_acctbal AS value FROM customer WHERE c_custkey % 5 <> 0""")
+def place_points(spark, sf_dir):
+    """Customers with coordinates made from their keys; a fifth of them has no latitude."""
+    lat = F.when(F.col("c_custkey") % 5 != 0, (F.col("c_custkey") % 180 - 90).cast("string")).otherwise("unknown")
+    t = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_row"), lat.alias("Site lat"), (F.col("c_nationkey") + 0.5).alias("Site lng"), F.col("c_acctbal").alias("balance"))
+    columns = spark.createDataFrame([("customer", "customer", c, i, k) for i, (c, k) in enumerate([("Site lat", "text"), ("Site lng", "text"), ("balance", "currency")])], "doc_id string, dataset string, column string, position int, semantic_type string")
+    return G.place_points(P.to_cells(t, "customer", "_row", ["Site lat", "Site lng", "balance"]), columns).select("source_row", "lat", "lon", "value")
+
+
+@query("""SELECT 'suppliers' AS "table", s_suppkey::VARCHAR AS key, s_name AS found FROM supplier WHERE contains(lower(s_name), '1')
+UNION ALL SELECT 'parts', p_partkey::VARCHAR, CASE WHEN contains(lower(p_name), '1') THEN p_name ELSE p_brand END FROM part WHERE contains(lower(p_name), '1') OR contains(lower(p_brand), '1')""")
+def search_tables(spark, sf_dir):
+    """One search over two tables."""
+    s = table(spark, sf_dir, "supplier").withColumn("id", F.col("s_suppkey"))
+    p = table(spark, sf_dir, "part").withColumn("id", F.col("p_partkey"))
+    return C.search_tables({"suppliers": (s, ["s_name"]), "parts": (p, ["p_name", "p_brand"])}, "1", "id")
+
+
 # --- records of different shapes
 
 
