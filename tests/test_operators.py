@@ -424,9 +424,10 @@ def test_large_merged_range_meets_rows_only(spark):
     assert got == {("s", 5, 1): "top", ("s", 6, 1): "top", ("s", 7, 1): "top", ("s", 7, 2): "x", ("s", 999, 1): "own", ("s", 10_000_004, 1): "top", ("s", 10_000_005, 1): None, ("t", 6, 1): None}
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_passages_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("partitions", "most_bytes"), [(1, Q.MOST_QUERIES), (40, 700)])
+def test_passages_equal_brute_force(spark, monkeypatch, partitions, most_bytes):
     """A scope with most of the passages, ties, scopes without passages, single documents and questions without words."""
+    monkeypatch.setattr(Q, "BLOCK", 1024 if partitions == 1 else 3)
     rng = random.Random(12)
     vocabulary = ["the"] + [f"w{i}" for i in range(30)]
     said = lambda n: " ".join(rng.choice(vocabulary[: rng.choice([4, 31])]) for _ in range(n))
@@ -449,7 +450,7 @@ def test_passages_equal_brute_force(spark, block):
                 if score >= least - 1e-9 and score > 0:
                     found.append((-round(score, 9), -hits if by_passage else 0, no))
             want += [(i, r + 1, no, -s) for r, (s, _, no) in enumerate(sorted(found)[:k])]
-        got = Q.best_passages(q, p.drop("text"), ["no"], k, weights, least, by_passage, block).collect()
+        got = Q.best_passages(q, p.drop("text").repartition(partitions), ["no"], k, weights, least, by_passage, most_bytes).collect()
         assert sorted((r.question_id, r["rank"], r.no, round(r.score, 9)) for r in got) == sorted(want)
 
 

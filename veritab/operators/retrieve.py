@@ -135,12 +135,13 @@ def retrieve(questions: DataFrame, chunks: DataFrame, catalog: DataFrame, most:
     score is 0.7 times the cosine of hash embeddings and 0.3 times the share of the question's words found; see
     best_passages() for how the user's passages are read in blocks. At most `most` rows a question are made.
     """
-    own = chunks.join(catalog.filter("status = 'completed'").select("doc_id", F.col("user_id").alias("scope"), "filename"), "doc_id")
-    own = own.select("scope", F.col("doc_id").cast("string").alias("doc"), T.kept_words(F.col("content")).alias("words"), "doc_id", "chunk_no", "filename", "content", "page_number", "section")
+    docs = catalog.filter("status = 'completed'").select("doc_id", F.col("user_id").alias("scope"), "filename")
+    words = chunks.select("doc_id", "chunk_no", F.array_join(T.kept_words(F.col("content")), " ").alias("words"))
+    own = words.join(docs.select("doc_id", "scope"), "doc_id").select("scope", F.col("doc_id").cast("string").alias("doc"), F.split("words", " ").alias("words"), "doc_id", "chunk_no")
     only = F.col("doc_id").cast("string") if "doc_id" in questions.columns else F.lit(None).cast("string")
     asked = questions.select("question_id", F.col("user_id").alias("scope"), only.alias("doc"), T.kept_words(F.col("question")).alias("words"))
-    found = best_passages(asked, own, ["doc_id", "chunk_no"], most, (VECTOR_WEIGHT, KEYWORD_WEIGHT), least)
-    return found.drop("scope", "doc", "matched")
+    found = best_passages(asked, own, ["doc_id", "chunk_no"], most, (VECTOR_WEIGHT, KEYWORD_WEIGHT), least).drop("scope", "matched")
+    return found.join(chunks.select("doc_id", "chunk_no", "content", "page_number", "section"), ["doc_id", "chunk_no"]).join(docs.drop("scope"), "doc_id")
 
 
 def extractive_answers(hits: DataFrame) -> DataFrame:
@@ -279,15 +280,17 @@ def best_facts(questions: DataFrame, fact_rows: DataFrame, least: float = 0.3) -
 
     questions has question_id, doc_id and question. Facts of the question's document are read in blocks.
     """
-    rows = fact_rows.select(F.col("doc_id").alias("scope"), F.lit(None).cast("string").alias("doc"), F.col("keywords").alias("words"), "fact_no", "answer", "source")
-    return best_passages(_asked(questions), rows, ["fact_no"], 1, (0.0, 1.0), least, by_passage=True).select("question_id", "answer", "source", "score")
+    rows = fact_rows.select(F.col("doc_id").alias("scope"), F.lit(None).cast("string").alias("doc"), F.col("keywords").alias("words"), "fact_no")
+    found = best_passages(_asked(questions), rows, ["fact_no"], 1, (0.0, 1.0), least, by_passage=True).withColumnRenamed("scope", "doc_id")
+    return found.join(fact_rows.select("doc_id", "fact_no", "answer", "source"), ["doc_id", "fact_no"]).select("question_id", "answer", "source", "score")
 
 
 def best_sections(questions: DataFrame, sections: DataFrame, least: float = 0.12) -> DataFrame:
     """(question_id, answer, source, score): the section with the largest share of the question's words; the first wins."""
     words = T.significant_words(F.concat_ws(" ", "title", "content"))
-    rows = sections.select(F.col("doc_id").alias("scope"), F.lit(None).cast("string").alias("doc"), words.alias("words"), "section_no", "title", "content")
-    found = best_passages(_asked(questions), rows, ["section_no"], 1, (0.0, 1.0), least)
+    rows = sections.select(F.col("doc_id").alias("scope"), F.lit(None).cast("string").alias("doc"), words.alias("words"), "section_no")
+    found = best_passages(_asked(questions), rows, ["section_no"], 1, (0.0, 1.0), least).withColumnRenamed("scope", "doc_id")
+    found = found.join(sections.select("doc_id", "section_no", "title", "content"), ["doc_id", "section_no"])
     return found.select("question_id", S.excerpt(F.col("content"), 320, collapse=False).alias("answer"), F.coalesce("title", F.lit("Text")).alias("source"), "score")
 
 

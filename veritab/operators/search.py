@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veritab.operators.series import numbered
 from veritab.plans.staging import stage
 
 # Fixed value: dimensions of the hash embedding.
@@ -20,6 +20,10 @@ DIMENSIONS = 512
 BLOCK = 1024
 #: Scores that differ by less are equal.
 DIGITS = 9
+#: Questions or query vectors of so many bytes are sent to all tasks at once; more go one part after another.
+MOST_QUERIES = 16 << 20
+#: One in so many partitions of the passages is read first.
+LOTS = 16
 
 
 def hash_features(words: list[str]) -> np.ndarray:
@@ -107,72 +111,87 @@ class Block:
         return [(int(self.places[i]), float(score[i]), int(hits[i])) for i in good[order]]
 
 
-def _answers(k: int, weights: tuple[float, float], by_passage: bool, least: float, id_type: pa.DataType):
-    """Rows sorted by scope and part, its passages before its questions: a block is held, questions pass by."""
+def _answers(sent, floors: dict, k: int, weights: tuple[float, float], by_passage: bool, least: float, order: list[str], id_type: pa.DataType):
+    """The k best passages of each block for the questions of its scope; a task's own k-th best scores raise its floors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, block = None, [], None
+        asked, known, best = sent.value, dict(floors), {}
+        scope, rows, keys = None, [], []
+        types: list[pa.DataType] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal rows, keys
+            if rows and scope in asked:
+                block, out = Block(rows, weights[0] > 0), []
+                for question, only, words in asked[scope]:
+                    for place, score, hits in block.top(words, only, k, weights, by_passage, max(least, known.get(question, 0.0))):
+                        out.append((question, scope, score, hits, *keys[place]))
+                        own = best.setdefault(question, [])
+                        heapq.heappush(own, score)
+                        if len(own) >= k:
+                            if len(own) > k:
+                                heapq.heappop(own)
+                            known[question] = max(known.get(question, 0.0), own[0])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [id_type, types[0], pa.float64(), pa.int64(), *types[1:]], strict=True)], ["question_id", "scope", "score", "matched", *order])
+            rows, keys = [], []
+
         for batch in batches:
-            out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("scope", "part", "place", "doc", "words", "question_id", "floor")]
-            for scope, part, place, doc, words, question, floor in zip(*columns, strict=True):
-                if (scope, part) != key:
-                    key, rows, block = (scope, part), [], None
-                if place is not None:
-                    rows.append((place, doc, words))
-                    continue
-                if block is None:
-                    block = Block(rows, weights[0] > 0)
-                out += [(question, scope, *x) for x in block.top(words or [], doc, k, weights, by_passage, max(least, floor or 0.0))]
-            if out:
-                types = (id_type, batch.column("scope").type, pa.int64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["question_id", "scope", "place", "score", "matched"])
+            types = [batch.column(c).type for c in ("scope", *order)]
+            columns = [batch.column(c).to_pylist() for c in ("scope", "doc", "words", *order)]
+            for now, doc, words, *key in zip(*columns, strict=True):
+                if now != scope or len(rows) >= BLOCK:
+                    yield from close()
+                    scope = now
+                if now in asked:
+                    rows.append((len(rows), doc, words.split(" ") if words else []))
+                    keys.append(key)
+        yield from close()
 
     return run
 
 
-def best_passages(questions: DataFrame, passages: DataFrame, order: list[str], k: int, weights: tuple[float, float], least: float, by_passage: bool = False, block: int = BLOCK) -> DataFrame:
-    """(question_id, rank, score, matched and the columns of passages but words): the k best passages of each question's scope.
+def best_passages(questions: DataFrame, passages: DataFrame, order: list[str], k: int, weights: tuple[float, float], least: float, by_passage: bool = False, most_bytes: int = MOST_QUERIES) -> DataFrame:
+    """(question_id, scope, rank, score, matched, order columns): the k best passages of each question's scope.
 
     questions has question_id (one row each), scope, words (in order, with repeats) and doc, a string: only passages of
-    that doc, or all if null. passages has scope, doc and words besides other columns; order breaks ties. The score is
-    weights[0] times the cosine of the hash embeddings plus weights[1] times the share of the question's distinct words
-    found (by_passage: the share of the passage's). Scores below least, or 0, are no answers. Null words count as none;
-    a null scope meets nothing.
-
-    No word, bucket or pair is a row: passages are numbered in their scope and dealt by scope and block of that number,
-    a scope of any size to many tasks, and each question goes to its scope's blocks. The first block of each scope is
-    read first; its k-th best score bounds what the other blocks need to look at.
+    that doc, or all if null. passages has scope, doc, words and the columns of order, which tell the passages of a scope
+    apart and break ties; words hold no space. The score is weights[0] times the cosine of the hash embeddings plus
+    weights[1] times the share of the question's distinct words found (by_passage: the share of the passage's). Scores
+    below least, or 0, are no answers. Null words count as none; a null scope meets nothing.
+
+    Passages are written once, by scope inside each partition, and stay where they lie, so that a scope of any size is
+    many tasks' work; no word, bucket or pair is a row. Questions go to all tasks in parts of at most most_bytes. The
+    first lot of partitions is read first: the k-th best scores found there bound what the others need to look at.
     """
-    held = stage(numbered(passages.filter("scope IS NOT NULL"), ["scope"], order, "place"), "passages").withColumn("part", F.floor(F.col("place") / block))
-    parts = held.groupBy("scope").agg(F.max("part").alias("last"))
-    asked = stage(questions.filter("scope IS NOT NULL").select("question_id", "scope", "doc", "words").join(parts, "scope"), "questions")
+    spark = passages.sparkSession
+    held = passages.filter("scope IS NOT NULL").select("scope", "doc", F.array_join("words", " ").alias("words"), *order).sortWithinPartitions("scope", *order)
+    held = stage(held.withColumn("lot", (F.shiftright(F.monotonically_increasing_id(), 33) % LOTS).cast("int")), "passages")
+    asked = questions.filter("scope IS NOT NULL").select("question_id", "scope", "doc", F.array_join("words", " ").alias("words"))
+    total = asked.agg(F.sum(F.octet_length("words") + 64)).first()[0] or 0
+    parts = -(-total // most_bytes)
     id_type = pa.schema(asked.select("question_id").limit(0).toArrow().schema).field(0).type
-    null = F.lit(None)
-    kinds = dict(asked.dtypes)
-    schema = f"question_id {kinds['question_id']}, scope {kinds['scope']}, place long, score double, matched long"
-    rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc(F.round("score", DIGITS)), *([F.desc("matched")] if by_passage else []), "place"))
-
-    def round_of(own: DataFrame, some: DataFrame) -> DataFrame:
-        rows = own.select("scope", "part", "place", "doc", "words", null.cast(kinds["question_id"]).alias("question_id"), null.cast("double").alias("floor"))
-        both = rows.unionByName(some.select("scope", "part", null.cast("long").alias("place"), "doc", "words", "question_id", "floor"))
-        # Passages (place) come before questions (none).
-        dealt = both.repartition("scope", "part").sortWithinPartitions("scope", "part", F.col("place").asc_nulls_last())
-        return dealt.mapInArrow(_answers(k, weights, by_passage, least, id_type), schema)
-
-    first = stage(round_of(held.filter("part = 0"), asked.withColumns({"part": F.lit(0).cast("long"), "floor": F.lit(0.0)})).withColumn("rank", rank).filter(F.col("rank") <= k), "first")
-    more = asked.filter("last > 0").join(first.filter(F.col("rank") == k).select("question_id", F.col("score").alias("floor")), "question_id", "left")
-    more = more.withColumn("part", F.explode(F.sequence(F.lit(1).cast("long"), "last")))
-    found = first.drop("rank").unionByName(round_of(held.filter("part > 0"), more)).withColumn("rank", rank).filter(F.col("rank") <= k)
-    return found.join(held.drop("words", "part"), ["scope", "place"]).drop("place")
+    kinds, own = dict(asked.dtypes), dict(held.dtypes)
+    schema = ", ".join([f"question_id {kinds['question_id']}", f"scope {own['scope']}", "score double", "matched long", *(f"`{c}` {own[c]}" for c in order)])
+    rank = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc(F.round("score", DIGITS)), *([F.desc("matched")] if by_passage else []), *order))
+    found = spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
+    for part in range(parts):
+        # At most about most_bytes come to the driver.
+        some = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == part)
+        by_scope: dict = {}
+        for r in some.collect():
+            by_scope.setdefault(r.scope, []).append((r.question_id, r.doc, r.words.split(" ") if r.words else []))
+        sent = spark.sparkContext.broadcast(by_scope)
+        look = lambda rows, floors: rows.mapInArrow(_answers(sent, floors, k, weights, by_passage, least, order, id_type), schema)
+        first = stage(look(held.filter("lot = 0"), {}).withColumn("rank", rank).filter(F.col("rank") <= k), "first")
+        floors = {r.question_id: r.score for r in first.filter(F.col("rank") == k).select("question_id", "score").collect()}
+        both = first.drop("rank").unionByName(look(held.filter("lot > 0"), floors))
+        found = found.unionByName(both.withColumn("rank", rank).filter(F.col("rank") <= k))
+    return found
 
 
 # --- vectors
 
-#: Queries of so many bytes are sent to all tasks at once; more go one part after another.
-MOST_QUERIES = 16 << 20
-
-
 def cosine_top(vectors: DataFrame, queries: DataFrame, most: int, id_col: str = "vec_id", vec_col: str = "embedding", most_bytes: int = MOST_QUERIES) -> DataFrame:
     """(query_id, rank, id, score): the most similar vectors to each query vector, itself left out, ties to the smaller id.
 

@@ -23,5 +23,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into a scratch() folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
