@@ -565,4 +565,13 @@ def test_pipeline(spark):
         assert (cut[i] == text) == (gone == 0)
         if cut[i].isascii() and text.isascii():
             assert hashlib.sha256(cut[i].encode()).hexdigest() == sha
-    assert set(stages["packing"].doc_id) == set(near.doc_id)
+    packed, t = stages["packing"], Tokenizer.from_file(WORD)
+    assert set(packed.doc_id) == set(near.doc_id)
+    for i, own in packed.sort_values("piece").groupby("doc_id"):
+        ids = array("I", t.encode(cut[i] or "", add_special_tokens=False).ids + [1]).tobytes()
+        assert own.start.tolist() == list(range(0, len(ids) // 4, 4096)) and own.length.sum() * 4 == len(ids)
+        assert [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(own.start, own.length, strict=True)] == own.ids_crc32.tolist()
+    for _, s in packed.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= packing.CAPACITY
+    assert packed.sequence_id.nunique() == packing.lower_bound(np.bincount(packed.length, minlength=packing.CAPACITY + 1))
