@@ -240,11 +240,53 @@ def order_comparisons(spark, sf_dir):
 # --- market reports written from the tables
 
 
+def _reports(spark, sf_dir):
+    """A daily report for each part; its figures follow from the part's key and size."""
+    n = lambda c: F.format_number(c.cast("double"), 0)
+    size, key = F.col("p_size"), F.col("p_partkey")
+    equity = F.concat_ws(" ", F.concat(F.lit("RW"), F.lpad(key.cast("string"), 10, "0")), F.concat(F.lit("T"), F.char(key % 26 + 65), F.lit("X")), n(size + 2), n(size), n(size + 1), n(size), F.concat(n(size), F.lit(".5")), n(size), F.lit("0.5"), n(size * 1000), n(size * 2000))
+    said = [
+        F.lit("RWANDA STOCK EXCHANGE DAILY REPORT 7TH SEPTEMBER 2026"), equity,
+        F.concat(F.lit("Shares traded 10,000 "), n(size * 100), F.lit(" 5 1.0")), F.concat(F.lit("Equity Turnover 1,000 "), n(size * 1000), F.lit(" 5 1.0")), F.concat(F.lit("Number of deals 3 "), n(size), F.lit(" 1 33.3")),
+        F.concat(F.lit("RSI "), n(size), F.lit(".25 "), n(size + 1), F.lit(".75 1.50 -2.00")), F.concat(F.lit("USD "), n(size + 1002), F.lit(".39 "), n(size + 1001), F.lit(".29 "), n(size + 1000), F.lit(".19")),
+        F.concat(F.lit("Market Capitalization (Frw) "), n(key * 1000 + 1)), F.concat(F.lit("turnover of Frw "), n(size * 500), F.lit(" worth of bonds traded in "), n(size), F.lit(" deals")),
+        F.concat(F.lit("Repo Market, 3 deals worth Frw "), n(size), F.lit(" million were traded for a 7-day tenor with average rate of 8.75%")),
+        F.lit("a. Government bonds"), F.concat(F.lit("RW000A1 Re-opened FXD"), n(size), F.lit("/2020/15Yrs 01/02/2035 12.5% 100.80 100.85 0 0 "), n(size * 1000)),
+        F.lit("b. Corporate bonds"), F.lit("RW000B1 EQT1/2021/5Yrs 01/03/2026 11.0% 99.5 99.5 0 0 0"), F.lit("end"),
+    ]
+    return table(spark, sf_dir, "part").select(key.alias("doc_id"), F.concat_ws("\n", *said).alias("text"))
+
+
 @query("""SELECT p_partkey AS doc_id, 'RW' || lpad(p_partkey::VARCHAR, 10, '0') AS isin, 'T' || chr((65 + p_partkey % 26)::INTEGER) || 'X' AS ticker, (p_size + 2)::DOUBLE AS high_12m, p_size::DOUBLE AS low_12m, p_size + 0.5::DOUBLE AS closing, (p_size * 1000)::BIGINT AS volume, (p_size * 2000)::DOUBLE AS value FROM part""")
 def market_equities(spark, sf_dir):
-    """A report for each part, with one line of an equity."""
-    n = lambda c: F.format_number(c.cast("double"), 0)
-    size = F.col("p_size")
-    line = F.concat_ws(" ", F.concat(F.lit("RW"), F.lpad(F.col("p_partkey").cast("string"), 10, "0")), F.concat(F.lit("T"), F.char(F.col("p_partkey") % 26 + 65), F.lit("X")), n(size + 2), n(size), n(size + 1), n(size), F.concat(n(size), F.lit(".5")), n(size), F.lit("0.5"), n(size * 1000), n(size * 2000))
-    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("RWANDA STOCK EXCHANGE\n"), line, F.lit("\nend")).alias("text"))
-    return M.equities(docs).select("doc_id", "isin", "ticker", "high_12m", "low_12m", "closing", "volume", "value")
+    return M.equities(_reports(spark, sf_dir)).select("doc_id", "isin", "ticker", "high_12m", "low_12m", "closing", "volume", "value")
+
+
+@query("SELECT p_partkey AS doc_id, 'RSI' AS name, p_size + 0.25::DOUBLE AS previous, p_size + 1.75::DOUBLE AS today, p_size + 1.75::DOUBLE AS closing, 1.5::DOUBLE AS points_change, -2.0::DOUBLE AS percent_change FROM part")
+def market_indices(spark, sf_dir):
+    return M.indices(_reports(spark, sf_dir)).select("doc_id", "name", "previous", "today", "closing", "points_change", "percent_change")
+
+
+@query("SELECT p_partkey AS doc_id, 'USD' AS currency, round(p_size + 1001.29::DOUBLE, 2) AS buying, round(p_size + 1002.39::DOUBLE, 2) AS selling, round(p_size + 1000.19::DOUBLE, 2) AS average FROM part UNION ALL SELECT p_partkey, 'RSI', p_size + 1.75, p_size + 0.25, 1.5 FROM part")
+def market_rates(spark, sf_dir):
+    """Any three capitals before three amounts, an index's, too, as the format has it."""
+    return M.exchange_rates(_reports(spark, sf_dir)).select("doc_id", "currency", "buying", "selling", "average")
+
+
+@query("""SELECT p_partkey AS doc_id, (p_size * 1000)::DOUBLE AS equity_turnover, p_size::BIGINT AS equity_deals, (p_size * 100)::DOUBLE AS shares_traded, (p_size * 500)::DOUBLE AS bond_turnover, p_size::BIGINT AS bond_deals,
+(p_partkey * 1000 + 1)::DOUBLE AS market_capitalization, 3::BIGINT AS repo_deals, p_size * 1e6 AS repo_turnover, '7-day' AS repo_tenor, 8.75::DOUBLE AS repo_rate FROM part""")
+def market_overviews(spark, sf_dir):
+    return M.overview(_reports(spark, sf_dir)).select("doc_id", "equity_turnover", "equity_deals", "shares_traded", "bond_turnover", "bond_deals", "market_capitalization", "repo_deals", "repo_turnover", "repo_tenor", "repo_rate")
+
+
+@query("""SELECT p_partkey AS doc_id, 'TREASURY' AS category, 'RW000A1' AS isin, 'Re-opened' AS status, 'FXD' || p_size || '/2020/15Yrs' AS security, 'FXD' || p_size || '/2020/15Yrs (Re-opened)' AS label, '2035-02-01' AS maturity_date, 12.5::DOUBLE AS coupon_rate, 100.8::DOUBLE AS closing_price, (p_size * 1000)::DOUBLE AS bond_traded FROM part
+UNION ALL SELECT p_partkey, 'CORPORATE', 'RW000B1', NULL, 'EQT1/2021/5Yrs', 'EQT1/2021/5Yrs', '2026-03-01', 11, 99.5, 0 FROM part""")
+def market_bonds(spark, sf_dir):
+    return M.bonds(_reports(spark, sf_dir)).select("doc_id", "category", "isin", "status", "security", "label", F.col("maturity_date").cast("string").alias("maturity_date"), "coupon_rate", "closing_price", "bond_traded")
+
+
+@query("""SELECT p_partkey AS doc_id, 'What was the closing price of T' || chr((65 + p_partkey % 26)::INTEGER) || 'X?|How did the index RSI do?|What is the market capitalization?|What was the equity turnover?|What is the exchange rate of USD?|How many bonds are listed (2)?' AS questions FROM part""")
+def market_questions(spark, sf_dir):
+    d = _reports(spark, sf_dir)
+    tables = {"equities": M.equities(d), "indices": M.indices(d), "market_overview": M.overview(d), "exchange_rates": M.exchange_rates(d), "bonds": M.bonds(d)}
+    return R.suggested_market_questions(tables).select("doc_id", F.array_join("questions", "|").alias("questions"))

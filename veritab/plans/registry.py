@@ -519,22 +519,37 @@ c AS (SELECT doc_id, no, {_TRIM.format(f"substr(t, p + 1, {_TO} - p)")} AS conte
 chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY no)::INTEGER AS chunk_no, content FROM c WHERE content <> '')"""
 
 
-@query(f"""WITH RECURSIVE {_CHUNKS_SQL},
+_RETRIEVED_SQL = f"""WITH RECURSIVE {_CHUNKS_SQL},
 t AS MATERIALIZED (SELECT 0 AS kind, doc_id AS id, chunk_no AS no, doc_id % 4 AS usr, {_WORDS("content")} AS w FROM chunks UNION ALL SELECT 1, item_id, 0, item_id % 4, {_WORDS("text")} FROM benchmark),
 f AS (SELECT kind, id, no, usr, md5(unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS d FROM t),
 s AS MATERIALIZED (SELECT kind, id, no, usr, CAST(('0x' || d[7:8] || d[5:6] || d[3:4] || d[1:2])::BIGINT % 512 AS INTEGER) AS bucket, sum(CASE WHEN ('0x' || d[10:10])::INTEGER % 2 = 1 THEN 1 ELSE -1 END)::DOUBLE AS v FROM f GROUP BY ALL),
 n AS MATERIALIZED (SELECT kind, id, no, sqrt(sum(v * v)) AS n FROM s GROUP BY ALL),
 cos AS (SELECT q.id AS qid, p.id, p.no, sum(q.v * p.v) AS dot FROM s q JOIN s p ON q.kind = 1 AND p.kind = 0 AND q.usr = p.usr AND q.bucket = p.bucket GROUP BY ALL),
 kw AS (SELECT q.id AS qid, p.id, p.no, len(list_intersect(list_distinct(q.w), list_distinct(p.w))) / len(list_distinct(q.w)) AS k FROM t q JOIN t p ON q.kind = 1 AND p.kind = 0 AND q.usr = p.usr AND len(q.w) > 0),
-r AS (SELECT kw.qid AS question_id, kw.id AS doc_id, kw.no AS chunk_no, 0.7::DOUBLE * coalesce(dot / (a.n * b.n), 0) + 0.3::DOUBLE * k AS score FROM kw LEFT JOIN cos USING (qid, id, no) LEFT JOIN n a ON a.kind = 1 AND a.id = kw.qid AND a.n > 0 LEFT JOIN n b ON b.kind = 0 AND b.id = kw.id AND b.no = kw.no AND b.n > 0)
-SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id, chunk_no)::INTEGER AS rank, doc_id, chunk_no, round(score, 6) AS score FROM r WHERE score >= 0.15 - 1e-9 QUALIFY rank <= 8""")
-def retrieval(spark, sf_dir):
-    """The eight best passages of the asking user's documents for each benchmark item."""
+r AS (SELECT kw.qid AS question_id, kw.id AS doc_id, kw.no AS chunk_no, 0.7::DOUBLE * coalesce(dot / (a.n * b.n), 0) + 0.3::DOUBLE * k AS score FROM kw LEFT JOIN cos USING (qid, id, no) LEFT JOIN n a ON a.kind = 1 AND a.id = kw.qid AND a.n > 0 LEFT JOIN n b ON b.kind = 0 AND b.id = kw.id AND b.no = kw.no AND b.n > 0),
+hits AS MATERIALIZED (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id, chunk_no)::INTEGER AS rank, doc_id, chunk_no, score FROM r WHERE score >= 0.15 - 1e-9 QUALIFY rank <= 8)"""
+
+
+def _hits(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     cat = d.select("doc_id", F.lit("completed").alias("status"), (F.col("doc_id") % 4).alias("user_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("filename"))
     pieces = R.build_chunks([R.section_chunks(d.select("doc_id", F.lit(1).alias("section_no"), F.lit(None).cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content")))], most=None)
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), (F.col("item_id") % 4).alias("user_id"), F.col("text").alias("question"))
-    return R.retrieve(q, pieces, cat).select("question_id", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
+    return R.retrieve(q, pieces, cat)
+
+
+@query(f"{_RETRIEVED_SQL} SELECT question_id, rank, doc_id, chunk_no, round(score, 6) AS score FROM hits")
+def retrieval(spark, sf_dir):
+    """The eight best passages of the asking user's documents for each benchmark item."""
+    return _hits(spark, sf_dir).select("question_id", "rank", "doc_id", "chunk_no", F.round("score", 6).alias("score"))
+
+
+@query(f"""{_RETRIEVED_SQL}, b AS (SELECT * FROM hits WHERE rank = 1),
+o AS (SELECT h.question_id, min_by(h.doc_id, h.rank) AS other FROM hits h JOIN b USING (question_id) WHERE h.doc_id <> b.doc_id AND h.score >= 0.85 * b.score GROUP BY h.question_id)
+SELECT b.question_id, CASE WHEN b.score >= 0.25 THEN 'medium' ELSE 'low' END AS confidence, concat_ws('|', 'doc ' || b.doc_id, 'doc ' || o.other) AS sources FROM b LEFT JOIN o USING (question_id)""")
+def extracted_answers(spark, sf_dir):
+    """The best passage, beside one of another document that is nearly as good."""
+    return R.extractive_answers(_hits(spark, sf_dir)).select("question_id", "confidence", F.array_join("sources", "|").alias("sources"))
 
 
 @query(f"""WITH k AS MATERIALIZED (SELECT DISTINCT unnest({_WORDS("text")}) AS name FROM documents), e AS (SELECT name FROM k WHERE length(name) >= 4)
