@@ -12,7 +12,7 @@ from veritab.operators import retrieve as R
 from veritab.operators import shape as H
 from veritab.plans.registry import query, table
 from veritab.plans.staging import scratch
-from veritab.sources import readers
+from veritab.sources import readers, sinks
 from veritab.sources.delimited import read_grids
 from veritab.sources.index import ChunkIndex, index_documents
 
@@ -290,3 +290,64 @@ def market_questions(spark, sf_dir):
     d = _reports(spark, sf_dir)
     tables = {"equities": M.equities(d), "indices": M.indices(d), "market_overview": M.overview(d), "exchange_rates": M.exchange_rates(d), "bonds": M.bonds(d)}
     return R.suggested_market_questions(tables).select("doc_id", F.array_join("questions", "|").alias("questions"))
+
+
+# --- tables over pages, nested exports, owners, routing
+
+
+@query("""SELECT o_orderkey // 100 AS doc_id, '1' AS table_id, (row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey))::BIGINT AS row_no, o_orderkey::VARCHAR AS first_cell,
+'pages 1-' || (max(o_orderkey % 100 // 10) OVER (PARTITION BY o_orderkey // 100) + 1) AS source FROM orders WHERE o_orderkey // 100 * 100 + 10 <= (SELECT max(o_orderkey) FROM orders)""")
+def continued_tables(spark, sf_dir):
+    """A table of each hundred orders, ten a page under a repeated header, put together again."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 100).alias("doc_id"), (F.floor(F.col("o_orderkey") % 100 / 10) + 1).cast("int").alias("page_no"), F.lit(1).alias("table_no"), (F.col("o_orderkey") % 10 + 1).cast("int").alias("row_no"), F.array(F.col("o_orderkey").cast("string"), "o_orderpriority").alias("cells"))
+    several = o.filter("page_no = 2").select("doc_id").distinct()
+    o = o.join(several, "doc_id", "left_semi")
+    head = o.select("doc_id", "page_no", "table_no", F.lit(0).alias("row_no"), F.array(F.lit("Order"), F.lit("Priority")).alias("cells")).distinct()
+    return H.merge_continued(o.unionByName(head)).filter("row_no > 0").select("doc_id", "table_id", F.col("row_no").cast("long").alias("row_no"), F.get("cells", F.lit(0)).alias("first_cell"), "source")
+
+
+@query("""SELECT c.c_custkey AS doc_id, count(o.o_orderkey)::BIGINT AS n_orders, coalesce(sum(o.o_orderkey), 0)::BIGINT AS order_keys FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey""")
+def json_exports(spark, sf_dir):
+    """One document a customer with its orders inside, as text and read back."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", "o_orderstatus")
+    text = sinks.json_documents(c, {"orders": o}).select(F.to_json(F.struct("*")).alias("t"))
+    r = text.select(F.from_json("t", "doc_id long, c_name string, orders array<struct<o_orderkey: long, o_orderstatus: string>>").alias("r"))
+    keys = F.coalesce(F.col("r.orders.o_orderkey"), F.array().cast("array<long>"))
+    return r.select("r.doc_id", F.size(keys).cast("long").alias("n_orders"), F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a + x).alias("order_keys"))
+
+
+@query("SELECT o_orderkey AS doc_id, o_custkey AS owner FROM orders WHERE contains('user' || o_custkey || '@example.org', 'user1') AND o_orderstatus = 'F'")
+def owner_filter(spark, sf_dir):
+    """Documents of owners whose address holds a text, of one state."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("status"), F.concat(F.lit("User"), F.col("o_custkey").cast("string"), F.lit("@example.org")).alias("owner_email"))
+    return C.catalog_filter(d, status="F", owner_email="USER1").select("doc_id", "owner")
+
+
+@query("""SELECT p_partkey AS doc_id, p_partkey % 4 IN (0, 2) AS is_report FROM part""")
+def report_kinds(spark, sf_dir):
+    """Market reports among files: by the exchange's name in a pdf, by two known sheets in a workbook."""
+    k = F.col("doc_id") % 4
+    d = _reports(spark, sf_dir).withColumn("kind", F.when(k < 2, "pdf").otherwise("excel")).withColumn("text", F.when(k == 1, "an other report").otherwise(F.col("text")))
+    sheets = F.when(k == 2, F.array(F.lit(" stock "), F.lit("Bonds"), F.lit("x"))).otherwise(F.array(F.lit("stock"), F.lit("x")))
+    return d.select("doc_id", M.is_market_report(F.col("kind"), F.col("text"), sheets).alias("is_report"))
+
+
+@query("""SELECT o_orderkey AS question_id, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 THEN 'passage' WHEN o_orderkey % 7 = 0 THEN 'comparison' WHEN o_orderkey % 3 = 0 THEN 'fact' WHEN o_orderkey % 5 = 0 THEN 'passage' WHEN o_orderkey % 4 = 0 THEN 'section' WHEN o_orderkey % 5 = 1 THEN 'passage' ELSE '-' END AS answer,
+CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 THEN 'medium' WHEN o_orderkey % 7 = 0 OR o_orderkey % 3 = 0 THEN 'high' WHEN o_orderkey % 5 = 0 OR o_orderkey % 4 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM orders""")
+def routed_answers(spark, sf_dir):
+    """A question for each order, odd ones about all documents, with what the engines found for some of them."""
+    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("question_id"), F.when(F.col("o_orderkey") % 2 == 1, "all").otherwise("document").alias("scope"))
+    found = lambda n, what: q.filter(F.col("question_id") % n == 0).select("question_id", F.lit(what).alias("answer"))
+    passages = q.filter(F.col("question_id") % 5 < 2).select("question_id", F.lit("passage").alias("answer"), F.when(F.col("question_id") % 5 == 0, "medium").otherwise("low").alias("confidence"))
+    got = R.answers(q, found(7, "comparison"), found(3, "fact"), found(4, "section"), passages)
+    return got.withColumn("answer", F.when(F.col("answer").isin("comparison", "fact", "section", "passage"), F.col("answer")).otherwise("-"))
+
+
+@query("""SELECT 'Total l_extendedprice' AS headline_label, round(sum(l_extendedprice), 2) AS headline_value FROM lineitem""")
+def headline_lineitem(spark, sf_dir):
+    """The figure that stands over a document: its first sum of money."""
+    t = table(spark, sf_dir, "lineitem").withColumn("_row", F.monotonically_increasing_id())
+    cells = P.to_cells(t, "lineitem", "_row", ["l_quantity", "l_extendedprice", "l_tax"])
+    rows = cells.groupBy("doc_id", "dataset").agg(F.count_if(F.col("position") == 0).alias("row_count"))
+    return G.headline(G.metrics(P.profile(cells), rows)).select("headline_label", F.round("headline_value", 2).alias("headline_value"))
