@@ -179,7 +179,7 @@ def test_near_duplicates_in_split_buckets(spark, monkeypatch, blocks):
     docs = docs_of(spark, texts).select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("row"), "text")
     keys = ngram_join._keys(docs, ngram_join.runs_needed(levels=4), 2.0).cache()
     reps = keys.groupBy("set_key").agg(F.min_by("row", "id").alias("row"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("paths").alias("paths"))
-    found = ngram_join.links(docs, reps, bucket=8).groupBy("rep").agg(F.sum("linked").alias("n"))
+    found = ngram_join.links(docs, reps, reps, bucket=8).groupBy("rep").agg(F.sum("linked").alias("n"))
     copies = {r.rep: r.copies for r in reps.collect()}
     want = {i: n - (copies[i] - 1) for i, (_, n) in enumerate(brute_links(texts)) if i in copies}
     assert {r.rep: r.n for r in found.collect()} == {i: n for i, n in want.items() if n}

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm.common import join_groups, min_labels, mix64, partitions_for, slices, stage, texts_of
+from veritab.llm.common import drop_scratch, join_groups, min_labels, mix64, partitions_for, scratch_since, slices, stage, texts_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -310,9 +310,14 @@ def _shared(rows: DataFrame) -> DataFrame:
     return stage(join_groups(rows, counts, "bucket", "count", rows.count()), "buckets")
 
 
-def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, branching: float = BRANCHING, bucket: int = BUCKET, levels: int = LEVELS, miss: float = (1 - RECALL) / 2) -> DataFrame:
-    """(rep, root, linked) as _links_in_blocks() gives them, for reps (rep, row, set_key, copies, paths) of docs (id, row, text)."""
-    rows = _shared(reps.select(F.explode("paths").alias("bucket"), "rep"))
+def links(docs: DataFrame, reps: DataFrame, paths: DataFrame, threshold: float = THRESHOLD, branching: float = BRANCHING, bucket: int = BUCKET, levels: int = LEVELS, miss: float = (1 - RECALL) / 2, used: list[str] | None = None) -> DataFrame:
+    """(rep, root, linked) as _links_in_blocks() gives them, for reps (rep, row, set_key, copies) of docs (id, row, text) and their paths (rep, paths).
+
+    used: scratch folders that only paths is read from; they are deleted with those made here once the sets that may be
+    linked are known, before whole sets are sent to their blocks.
+    """
+    mark = len(scratch_since(0))
+    rows = _shared(paths.select(F.explode("paths").alias("bucket"), "rep"))
     # Whole texts are read again only for sets that share a bucket.
     wanted = reps.select("rep", "row", "set_key").join(rows.select("rep").distinct(), "rep", "left_semi")
     sets = stage(_sets(docs, wanted), "sets", "uncompressed")
@@ -332,6 +337,8 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, branch
     # Sets that candidate pairs connect meet once, with their tokens, in blocks of bounded size; one plan at every size.
     clusters = min_labels(stars, "candidates").withColumnsRenamed({"node": "rep", "label": "block"})
     members = stage(clusters.join(sets.select("rep", "size"), "rep").join(reps.select("rep", "copies"), "rep"), "members")
+    kept = ("/veritab-sets-", "/veritab-members-")
+    drop_scratch(docs.sparkSession, [*(used or []), *(p for p in scratch_since(mark) if not any(k in p for k in kept))])
     dealt = _block_pairs(members, "block", ["copies"], BLOCK_SETS, BLOCK_TOKENS, threshold)
     return _links_in_blocks(sets.select("rep", "tokens").join(dealt.hint("merge"), "rep"), threshold)
 
@@ -383,12 +390,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     miss = (1 - recall) / 2
     runs = runs_needed(threshold=threshold, recall=1 - miss)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, "text").alias("row"), "text")
-    keys = stage(_keys(docs, runs, BRANCHING), "keys")
-    total = keys.count()
-    sets = keys.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"), F.first("paths").alias("paths"))
+    mark = len(scratch_since(0))
+    wide = stage(_keys(docs, runs, BRANCHING), "wide")
+    total = wide.count()
+    sets = wide.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"), F.first("paths").alias("paths"))
     # Written with the sets, so a set keeps its number.
-    sets = stage(sets.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    found = stage(links(docs, sets.select("rep", "row", "set_key", "copies", "paths"), threshold, miss=miss), "links")
+    paths = stage(sets.withColumn("rep", F.monotonically_increasing_id()), "wide")
+    used = scratch_since(mark)
+    # Paths are most of what is written; the rest is kept apart, so that they can go early.
+    keys, sets = stage(wide.select("id", "set_key"), "keys"), stage(paths.drop("paths"), "reps")
+    found = stage(links(docs, sets.select("rep", "row", "set_key", "copies"), paths.select("rep", "paths"), threshold, miss=miss, used=used), "links")
     degree = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
     labels = min_labels(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "near")
     of_set = (
