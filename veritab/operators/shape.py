@@ -235,7 +235,7 @@ def _delimiter(line: Column) -> Column:
 
 def _fields(line: Column, delimiter: Column) -> Column:
     """Number of fields of a delimited line; quoted ones may hold the delimiter."""
-    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "q")
+    bare = F.regexp_replace(line, r'"[^"]*"', "q")
     return F.char_length(bare) - F.char_length(F.replace(bare, delimiter, F.lit(""))) + 1
 
 

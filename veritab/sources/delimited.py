@@ -67,7 +67,7 @@ def read_grids(spark: SparkSession, path: str) -> DataFrame:
     clean = F.regexp_replace(F.regexp_replace("record", "^﻿", ""), "\r$", "")
     records = stage(records.withColumn("record", clean), "records")
     # What stands in quotes says nothing of the delimiter.
-    bare = F.regexp_replace(F.substring("record", 1, SNIFFED), '"(?:[^"]|"")*"', "q")
+    bare = F.regexp_replace(F.substring("record", 1, SNIFFED), '"[^"]*("|$)', "q")
     first = records.filter(F.col("row_no") < SNIFFED_RECORDS).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", bare.alias("t")))), lambda x: x["t"]).alias("head"))
     seps = first.select("doc_id", _best_delimiter(F.col("head")).alias("sep"))
     cells = records.join(seps, "doc_id").select("doc_id", "row_no", "record", "sep").mapInArrow(_fields, "doc_id string, row_no long, cells array<string>")
