@@ -536,3 +536,13 @@ def test_market_questions(spark):
         "a": ["What was the closing price of BOK?", "What was the equity turnover?", "What is the exchange rate of usd?", "How many bonds are listed (2)?", "What matters most in this report?", "What looks unusual?"],
         "b": ["What is the exchange rate of KES?", "What matters most in this report?", "What looks unusual?"],
     }
+
+
+
+def test_names_stay_off_the_driver(spark):
+    """Texts and names grow with the input: no join of them broadcasts a side."""
+    texts = spark.createDataFrame([(i, "s", f"compare {i} versus {i + 1}") for i in range(50)], "id long, scope string, text string")
+    names = spark.createDataFrame([("s", str(i)) for i in range(50)], "scope string, name string")
+    found = Q.names_in_texts(texts, names, "scope", "name", "text")
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r["name"]) for r in found.collect()} == {(i, str(j)) for i in range(50) for j in range(50) if str(j) in f"compare {i} versus {i + 1}"}
