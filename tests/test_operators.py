@@ -546,3 +546,17 @@ def test_names_stay_off_the_driver(spark):
     found = Q.names_in_texts(texts, names, "scope", "name", "text")
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.id, r["name"]) for r in found.collect()} == {(i, str(j)) for i in range(50) for j in range(50) if str(j) in f"compare {i} versus {i + 1}"}
+
+
+
+def test_json_rows_leave_in_large_batches(spark, tmp_path):
+    """Cells of many small documents, one id on two rows: few batches, and columns numbered over all rows of the id."""
+    texts = ['{"items": [{"a": 1}, {"b": 2, "a": 3}]}'] * 500
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, '{"items": [{"c": 1}]}')], "doc_id long, text string")
+    rows = readers.select_records(docs).coalesce(1)
+    got = H.json_cells(rows).filter("doc_id <> 7")
+    assert sorted({(r.column, r.position, r.source_row, r.value) for r in got.collect()}) == [("a", 0, 1, "1"), ("a", 0, 2, "3"), ("b", 1, 2, "2")]
+    assert got.count() == 499 * 3
+    assert sorted((r.column, r.value) for r in H.json_cells(rows).filter("doc_id = 7").collect()) == [("a", "1"), ("a", "3"), ("b", "2"), ("c", "1")]
+    # One job reads the texts once: no union of a branch for each shape.
+    assert "Union" not in readers.select_records(docs)._jdf.queryExecution().optimizedPlan().toString()

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from veritab.functions import scalars as S
+from veritab.plans.staging import stage
 
 TABLE = ["doc_id", "table_id"]
 
@@ -196,22 +197,46 @@ def json_cells(tables: DataFrame) -> DataFrame:
     Documents of any shapes go through one job: each array of records is walked where it lies. Columns of a dataset come
     in the order in which its records first name them; source_row counts a dataset's records from 1. Rows without records
     have no cells; a text that is no JSON array is an error of select_records(), not of this.
+
+    A document with one row of records is numbered in that row; only those with several meet again by column.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "dataset", "source_row", "json_path", "parent_ref", "column", "turn", "value"]
-        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+        names = ["doc_id", "dataset", "source_row", "json_path", "parent_ref", "column", "turn", "value", "position"]
+        types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32())
         for batch in batches:
-            for doc_id, table, records in zip(batch.column("doc_id"), batch.column("table").to_pylist(), batch.column("records").to_pylist(), strict=True):
-                rows = list(_record_cells(table or "", json.loads(records)))
-                for i in range(0, len(rows), 10_000):
-                    part = rows[i : i + 10_000]
-                    columns = list(zip(*((d, p + 1, *rest) for d, p, *rest in part), strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()] * len(part), doc_id.type), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+            ids, rows, kind = [], [], batch.column("doc_id").type
 
+            def packed() -> Iterator[pa.RecordBatch]:
+                for i in range(0, len(rows), 10_000):
+                    columns = zip(*rows[i : i + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 10_000], kind), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+                ids.clear()
+                rows.clear()
+
+            for doc_id, table, records in zip(batch.column("doc_id").to_pylist(), batch.column("table").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                headers: dict[str, dict[str, int]] = {}
+                found = list(_record_cells(table or "", json.loads(records)))
+                # A dataset's columns by the record, then the place in it, that first names them; records may come out of turn.
+                for name, _, column, _ in sorted({(d, (p, turn), c, 0) for d, p, _, _, c, turn, _ in found}):
+                    own = headers.setdefault(name, {})
+                    own.setdefault(column, len(own))
+                rows += [(d, p + 1, path, parent, c, turn, v, headers[d][c]) for d, p, path, parent, c, turn, v in found]
+                ids += [doc_id] * len(found)
+                if len(rows) >= 10_000:
+                    yield from packed()
+            yield from packed()
+
+    columns = ["doc_id", "dataset", "column", "position", "source_row", "value", "json_path", "parent_ref"]
     kind = tables.schema["doc_id"].dataType.simpleString()
-    found = tables.filter(F.col("records").isNotNull()).select("doc_id", "table", "records").mapInArrow(run, f"doc_id {kind}, dataset string, source_row long, json_path string, parent_ref string, column string, turn long, value string")
-    return found.join(first_seen_header(found), ["doc_id", "dataset", "column"]).select("doc_id", "dataset", "column", "position", "source_row", "value", "json_path", "parent_ref")
+    walked = lambda t: t.mapInArrow(run, f"doc_id {kind}, dataset string, source_row long, json_path string, parent_ref string, column string, turn long, value string, position int")
+    held = stage(tables.filter(F.col("records").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "table", "records"), "records")
+    several = stage(held.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return walked(held).select(columns)
+    found = walked(held.join(several, "doc_id", "left_semi")).drop("position")
+    met = found.join(first_seen_header(found), ["doc_id", "dataset", "column"])
+    return walked(held.join(several, "doc_id", "left_anti")).select(columns).unionByName(met.select(columns))
 
 
 def first_seen_header(rows: DataFrame) -> DataFrame:

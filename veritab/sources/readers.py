@@ -47,23 +47,27 @@ def select_records(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rows; else each list is a table of its own, with a warning; else the object is one record. records is JSON text of
     an array; text that is no JSON gives a warning and no records.
     """
-    v = F.try_parse_json(F.col(text_col))
-    d = docs.select("doc_id", F.col(text_col).alias("text"), v.alias("v"))
-    kind = F.upper(F.substring(F.schema_of_variant("v"), 1, 5))
-    bare = d.filter(kind == "ARRAY").select("doc_id", F.lit("records").alias("table"), F.col("text").alias("records"), F.lit(None).cast("string").alias("warning"), F.lit(0).alias("pos"))
-    bad = d.filter(F.col("v").isNull()).select("doc_id", F.lit(None).cast("string").alias("table"), F.lit(None).cast("string").alias("records"), F.lit("not JSON").alias("warning"), F.lit(0).alias("pos"))
-    objects = d.filter(kind == "OBJEC").select("doc_id", "text", F.json_object_keys("text").alias("keys"))
-    fields = objects.select("doc_id", F.posexplode("keys").alias("pos", "table"), "text")
-    fields = fields.withColumn("records", F.expr("get_json_object(text, concat('$[\\'', table, '\\']'))"))
-    lists = fields.filter(F.col("records").startswith("[") & (F.coalesce(F.json_array_length("records"), F.lit(0)) > 0))
-    order = F.array_position(F.array(*[F.lit(e) for e in ENVELOPES]), F.lower("table"))
-    lists = lists.withColumn("order", F.when(order > 0, order).otherwise(99))
-    per = lists.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"), F.min_by("table", "order").alias("pick"))
-    chosen = lists.join(per, "doc_id")
-    one = chosen.filter("(first < 99 AND table = pick) OR (first = 99 AND n = 1)").select("doc_id", "table", "records", F.lit(None).cast("string").alias("warning"), "pos")
-    many = chosen.filter("first = 99 AND n > 1").select("doc_id", "table", "records", F.lit("several lists of records; each is a table").alias("warning"), "pos")
-    single = objects.join(per, "doc_id", "left_anti").select("doc_id", F.lit("records").alias("table"), F.concat(F.lit("["), "text", F.lit("]")).alias("records"), F.lit(None).cast("string").alias("warning"), F.lit(0).alias("pos"))
-    return bare.unionByName(bad).unionByName(one).unionByName(many).unionByName(single)
+    none = F.lit(None).cast("string")
+    kind = F.upper(F.substring(F.schema_of_variant(F.try_parse_json(F.col(text_col))), 1, 5))
+    d = docs.select("doc_id", F.col(text_col).alias("text"), kind.alias("kind"))
+    order = lambda k: F.array_position(F.array(*[F.lit(e) for e in ENVELOPES]), F.lower(k))
+    # What each field of an object holds is looked at where the document lies; no field is a row before one is chosen.
+    field = lambda k, i: F.struct(i.alias("pos"), k.alias("table"), F.call_function("get_json_object", F.col("text"), F.concat(F.lit("$['"), k, F.lit("']"))).alias("records"), F.when(order(k) > 0, order(k)).otherwise(99).alias("order"))
+    fields = F.transform(F.json_object_keys("text"), field)
+    d = d.withColumn("lists", F.when(F.col("kind") == "OBJEC", F.filter(fields, lambda x: x["records"].startswith("[") & (F.coalesce(F.json_array_length(x["records"]), F.lit(0)) > 0))))
+    first = F.array_min(F.transform("lists", lambda x: F.struct(x["order"].cast("int").alias("order"), x["pos"].alias("pos"))))
+    d = d.withColumn("first", first)
+    several = F.lit("several lists of records; each is a table")
+    row = lambda table, records, warning, pos: F.struct(table.alias("table"), records.alias("records"), warning.alias("warning"), pos.cast("int").alias("pos"))
+    known = F.col("first.order") < 99
+    picked = F.filter("lists", lambda x: ~known | (x["pos"] == F.col("first.pos")))
+    chosen = (
+        F.when(F.col("kind") == "ARRAY", F.array(row(F.lit("records"), F.col("text"), none, F.lit(0))))
+        .when((F.col("kind") == "OBJEC") & (F.size("lists") > 0), F.transform(picked, lambda x: row(x["table"], x["records"], F.when(~known & (F.size("lists") > 1), several), x["pos"])))
+        .when(F.col("kind") == "OBJEC", F.array(row(F.lit("records"), F.concat(F.lit("["), F.col("text"), F.lit("]")), none, F.lit(0))))
+        .when(F.col("kind").isNull(), F.array(row(none, none, F.lit("not JSON"), F.lit(0))))
+    )
+    return d.select("doc_id", F.explode(chosen).alias("r")).select("doc_id", "r.*")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
