@@ -560,3 +560,26 @@ def test_json_rows_leave_in_large_batches(spark, tmp_path):
     assert sorted((r.column, r.value) for r in H.json_cells(rows).filter("doc_id = 7").collect()) == [("a", "1"), ("a", "3"), ("b", "2"), ("c", "1")]
     # One job reads the texts once: no union of a branch for each shape.
     assert "Union" not in readers.select_records(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+
+def test_best_share(spark):
+    """The fact with the largest share of its words against brute force, with words common and rare, many ties and repeated facts."""
+    rng = random.Random(5)
+    letters = [f"w{i}" for i in range(30)]
+    facts = [("ab"[rng.randrange(2)], [letters[min(rng.randrange(30), rng.randrange(30))] for _ in range(rng.randrange(7))], n) for n in range(400)]
+    asked = [(i, rng.choice(["a", "b", "none"]), [letters[min(rng.randrange(30), rng.randrange(30))] for _ in range(rng.randrange(9))]) for i in range(60)]
+    want = []
+    for i, scope, w in asked:
+        found = []
+        for s, own, n in facts:
+            hits = len(set(own) & set(w))
+            if s == scope and hits and hits / len(set(own)) >= 0.3:
+                found.append((-hits / len(set(own)), -hits, n))
+        if found:
+            want.append((i, scope, -min(found)[1], min(found)[2]))
+    q = spark.createDataFrame(asked, "question_id long, scope string, words array<string>")
+    p = spark.createDataFrame(facts, "scope string, words array<string>, no long")
+    for common in (0, 8, 10_000):
+        got = Q.best_by_share(q, p.repartition(5), ["no"], 0.3, common).collect()
+        assert sorted((r.question_id, r.scope, r.matched, r.no) for r in got) == sorted(want)
