@@ -583,3 +583,27 @@ def test_best_share(spark):
     for common in (0, 8, 10_000):
         got = Q.best_by_share(q, p.repartition(5), ["no"], 0.3, common).collect()
         assert sorted((r.question_id, r.scope, r.matched, r.no) for r in got) == sorted(want)
+
+
+
+def test_cosine_holds_few_scores():
+    """20,000 queries against 4,096 vectors: what a task holds follows its blocks, not queries times vectors."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    q, v = rng.normal(0, 1, (20_000, 4)), rng.normal(0, 1, (4096, 4))
+    sent = SimpleNamespace(value={4: (np.arange(20_000) + 10_000, Q._unit(q))})
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(list(v), pa.list_(pa.float64()))], ["id", "v"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(Q._nearest(sent, 3)(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 60_000 and peak < 100 << 20
+    want = np.argsort(-(Q._unit(q[:50]) @ Q._unit(v).T), axis=1)[:, :3]
+    held = {}
+    for i, n in zip(out.column("query_id").to_pylist(), out.column("id").to_pylist()):
+        held.setdefault(i - 10_000, []).append(n)
+    assert [held[i] for i in range(50)] == want.tolist()
