@@ -607,3 +607,11 @@ def test_cosine_holds_few_scores():
     for i, n in zip(out.column("query_id").to_pylist(), out.column("id").to_pylist()):
         held.setdefault(i - 10_000, []).append(n)
     assert [held[i] for i in range(50)] == want.tolist()
+
+
+
+def test_texts_become_objects_in_small_pieces():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["a"])
+    assert [b.num_rows for b in Q.slices(iter([batch]), 300)] == [300, 300, 300, 100] and next(Q.slices(iter([batch]))).num_rows <= 256

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veritab.operators.search import slices
 from veritab.plans.staging import stage
 
 # Delimiters by preference, and what is looked at to choose one.
@@ -33,7 +34,7 @@ def _best_delimiter(head: Column) -> Column:
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells of whole records, each by its file's delimiter."""
     csv.field_size_limit(1 << 31)
-    for batch in batches:
+    for batch in slices(batches):
         records, seps = batch.column("record").to_pylist(), batch.column("sep").to_pylist()
         # A bare carriage return would end a record here; what follows it stays in the record.
         cells = [[c for row in csv.reader(io.StringIO(r, newline=""), delimiter=s) for c in row] for r, s in zip(records, seps, strict=True)]
