@@ -615,3 +615,13 @@ def test_texts_become_objects_in_small_pieces():
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["a"])
     assert [b.num_rows for b in Q.slices(iter([batch]), 300)] == [300, 300, 300, 100] and next(Q.slices(iter([batch]))).num_rows <= 256
+
+
+
+def test_merged_ranges_in_bins_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(H, "MOST_BIN", 3)
+    cells = spark.createDataFrame([("d", "s", r, 1, f"v{r}" if r in (0, 40) else None) for r in range(0, 60)], "doc_id string, sheet string, r long, c int, value string")
+    ranges = spark.createDataFrame([("d", "s", 0, 1, 37, 2), ("d", "s", 40, 1, 41, 1)], "doc_id string, sheet string, r1 long, c1 int, r2 long, c2 int")
+    got = {(r.r, r.c): r.value for r in H.fill_merged(cells, ranges).collect()}
+    assert got == {(r, 1): "v0" if r < 38 else "v40" if r in (40, 41) else None for r in range(60)} | {(r, 2): "v0" for r in range(38)}
+    assert "least" in H.fill_merged(cells, ranges)._jdf.queryExecution().optimizedPlan().toString()

@@ -71,16 +71,21 @@ def merge_continued(grid: DataFrame) -> DataFrame:
     return rows.withColumn("row_no", place).withColumn("source", label).select("doc_id", F.col("table_id").cast("string").alias("table_id"), "row_no", "cells", "source")
 
 
+#: Rows of the largest bin, as a power of two.
+MOST_BIN = 16
+
+
 def fill_merged(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """cells (doc_id, sheet, r, c, value) with merged ranges (doc_id, sheet, r1, c1, r2, c2) filled by their first cell's value.
 
     A cell that holds a value keeps it. Rows of the sheet that have any cell are filled, so a range over ten million rows
     is filled where there are rows. Rows and ranges meet in bins of the smallest power of two that the range's height
-    does not exceed: a range is in one or two bins of its own size, a row in one bin of each size that is in use.
+    does not exceed, of MOST_BIN rows at most: a range is in one or two bins of its own size, a higher one in as many as
+    it takes, a row in one bin of each size that is in use. So no task gets more rows of a sheet than a bin has.
     """
     key = ["doc_id", "sheet"]
     anchor = cells.select(*key, F.col("r").alias("r1"), F.col("c").alias("c1"), F.col("value").alias("anchor"))
-    known = ranges.join(anchor, [*key, "r1", "c1"]).withColumn("size", F.ceil(F.log2((F.col("r2") - F.col("r1") + 1).cast("double"))).cast("int"))
+    known = ranges.join(anchor, [*key, "r1", "c1"]).withColumn("size", F.least(F.ceil(F.log2((F.col("r2") - F.col("r1") + 1).cast("double"))).cast("int"), F.lit(MOST_BIN)))
     width = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("size"))).cast("long")
     binned = known.withColumn("bin", F.explode(F.sequence(width("r1"), width("r2"))))
     sizes = known.groupBy(*key).agg(F.collect_set("size").alias("sizes"))
