@@ -625,3 +625,11 @@ def test_merged_ranges_in_bins_of_bounded_size(spark, monkeypatch):
     got = {(r.r, r.c): r.value for r in H.fill_merged(cells, ranges).collect()}
     assert got == {(r, 1): "v0" if r < 38 else "v40" if r in (40, 41) else None for r in range(60)} | {(r, 2): "v0" for r in range(38)}
     assert "least" in H.fill_merged(cells, ranges)._jdf.queryExecution().optimizedPlan().toString()
+
+
+
+def test_hits_are_found_once_for_answers(spark):
+    hits = spark.createDataFrame([("q", 1, "a", 0.5, "one", "a.txt", 2), ("q", 2, "b", 0.45, "two", "b.txt", None)], "question_id string, rank int, doc_id string, score double, content string, filename string, page_number int")
+    out = R.extractive_answers(hits.mapInArrow(lambda batches: batches, hits.schema))
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.answer, r.confidence, r.sources) for r in out.collect()] == [("one\ntwo", "medium", ["a.txt, page 2", "b.txt"])]
