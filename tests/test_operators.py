@@ -633,3 +633,11 @@ def test_hits_are_found_once_for_answers(spark):
     out = R.extractive_answers(hits.mapInArrow(lambda batches: batches, hits.schema))
     assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.answer, r.confidence, r.sources) for r in out.collect()] == [("one\ntwo", "medium", ["a.txt, page 2", "b.txt"])]
+
+
+
+def test_reports_are_dealt_over_all_cores(spark):
+    from veritab.plans import derived
+
+    one = derived._reports(spark, "/root/testdata/sf0.001")
+    assert one.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

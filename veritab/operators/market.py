@@ -46,13 +46,19 @@ def _group(c: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
 
 
-def _number(c: Column, pattern: str, k: int) -> Column:
-    return S.parse_number(_group(c, pattern, k))
+def _groups(c: Column, pattern: str, n: int) -> Column:
+    """All n groups of the match that c begins with, matched once; what follows the match comes after them."""
+    return F.split(F.regexp_replace(c, pattern, "".join(f"${k}\x01" for k in range(1, n + 1))), "\x01")
+
+
+def _at(k: int, groups: str = "g") -> Column:
+    """Group k of _groups(); a group that took no part is null."""
+    return F.nullif(F.get(groups, F.lit(k - 1)), F.lit(""))
 
 
 def equities(docs: DataFrame) -> DataFrame:
     line = F.col("line")
-    rows = lines(docs).filter(line.rlike(STOCK_LINE)).select("doc_id", "line_no", _group(line, STOCK_LINE, 1).alias("isin"), _group(line, STOCK_LINE, 2).alias("ticker"), *[_number(line, STOCK_LINE, 3 + i).alias(f) for i, f in enumerate(EQUITY_FIELDS)])
+    rows = lines(docs).filter(line.rlike(STOCK_LINE)).withColumn("g", _groups(line, STOCK_LINE, 11)).select("doc_id", "line_no", _at(1).alias("isin"), _at(2).alias("ticker"), *[S.parse_number(_at(3 + i)).alias(f) for i, f in enumerate(EQUITY_FIELDS)])
     return first_seen(rows.withColumn("volume", F.col("volume").cast("long")), ["doc_id", "ticker"], "line_no")
 
 
@@ -65,11 +71,11 @@ def bonds(docs: DataFrame) -> DataFrame:
     parts = split.select("doc_id", gov_part.alias("text"), F.lit("TREASURY").alias("category")).unionByName(split.select("doc_id", F.get("p", F.lit(1)).alias("text"), F.lit("CORPORATE").alias("category")))
     rows = parts.filter("text IS NOT NULL").select("doc_id", "category", F.posexplode(F.split("text", r"\R")).alias("line_no", "line")).withColumn("line", S.strip(F.col("line")))
     line = F.col("line")
-    security, reopened = _group(line, BOND_LINE, 3), _group(line, BOND_LINE, 2).isNotNull()
-    return rows.filter(line.rlike(BOND_LINE)).select(
-        "doc_id", "category", "line_no", _group(line, BOND_LINE, 1).alias("isin"), F.when(reopened, "Re-opened").alias("status"), security.alias("security"),
-        F.when(reopened, F.concat(security, F.lit(" (Re-opened)"))).otherwise(security).alias("label"), S.parse_date(_group(line, BOND_LINE, 4)).alias("maturity_date"),
-        *[_number(line, BOND_LINE, 5 + i).alias(f) for i, f in enumerate(("coupon_rate", "closing_price", "previous_price", "bids", "offers", "bond_traded"))],
+    security, reopened = _at(3), _at(2).isNotNull()
+    return rows.filter(line.rlike(BOND_LINE)).withColumn("g", _groups(line, BOND_LINE, 10)).select(
+        "doc_id", "category", "line_no", _at(1).alias("isin"), F.when(reopened, "Re-opened").alias("status"), security.alias("security"),
+        F.when(reopened, F.concat(security, F.lit(" (Re-opened)"))).otherwise(security).alias("label"), S.parse_date(_at(4)).alias("maturity_date"),
+        *[S.parse_number(_at(5 + i)).alias(f) for i, f in enumerate(("coupon_rate", "closing_price", "previous_price", "bids", "offers", "bond_traded"))],
         F.lit(None).cast("double").alias("yield_tm"),
     )
 
@@ -77,7 +83,7 @@ def bonds(docs: DataFrame) -> DataFrame:
 def indices(docs: DataFrame) -> DataFrame:
     line = F.col("line")
     rows = lines(docs).filter(line.rlike(INDEX_LINE) & _group(line, INDEX_LINE, 1).isin(*INDEX_NAMES))
-    rows = rows.select("doc_id", "line_no", _group(line, INDEX_LINE, 1).alias("name"), *[_number(line, INDEX_LINE, 2 + i).alias(f) for i, f in enumerate(("previous", "today", "points_change", "percent_change"))])
+    rows = rows.withColumn("g", _groups(line, INDEX_LINE, 5)).select("doc_id", "line_no", _at(1).alias("name"), *[S.parse_number(_at(2 + i)).alias(f) for i, f in enumerate(("previous", "today", "points_change", "percent_change"))])
     return first_seen(rows.withColumn("closing", F.coalesce("today", "previous")), ["doc_id", "name"], "line_no")
 
 
@@ -87,15 +93,15 @@ def find_index(index_rows: DataFrame, name: str) -> DataFrame:
 
 def exchange_rates(docs: DataFrame) -> DataFrame:
     """Three numbers after a currency code: selling, buying, average."""
-    groups = [F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RATE), F.lit(k)) for k in range(1, 5)]
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("c", "s", "b", "a"), strict=True)])).alias("line_no", "r"))
-    rows = rows.select("doc_id", "line_no", F.col("r.c").alias("currency"), S.parse_number(F.col("r.b")).alias("buying"), S.parse_number(F.col("r.s")).alias("selling"), S.parse_number(F.col("r.a")).alias("average"))
+    # A match is a code and three amounts with white space between.
+    rows = docs.select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RATE), F.lit(0))).alias("line_no", "m")).withColumn("g", F.split("m", r"\s+"))
+    rows = rows.select("doc_id", "line_no", _at(1).alias("currency"), S.parse_number(_at(3)).alias("buying"), S.parse_number(_at(2)).alias("selling"), S.parse_number(_at(4)).alias("average"))
     return first_seen(rows.filter("buying IS NOT NULL AND selling IS NOT NULL"), ["doc_id", "currency"], "line_no")
 
 
 def trading_stats(docs: DataFrame) -> DataFrame:
     line = F.col("line")
-    rows = lines(docs).filter(line.rlike(STAT_LINE)).select("doc_id", "line_no", _group(line, STAT_LINE, 1).alias("label"), *[_number(line, STAT_LINE, 2 + i).alias(f) for i, f in enumerate(("previous", "today", "change", "percent_change"))])
+    rows = lines(docs).filter(line.rlike(STAT_LINE)).withColumn("g", _groups(line, STAT_LINE, 5)).select("doc_id", "line_no", _at(1).alias("label"), *[S.parse_number(_at(2 + i)).alias(f) for i, f in enumerate(("previous", "today", "change", "percent_change"))])
     return first_seen(rows.withColumn("_key", F.lower("label")), ["doc_id", "_key"], "line_no").drop("_key")
 
 
@@ -103,11 +109,16 @@ def overview(docs: DataFrame) -> DataFrame:
     """One row a document: turnover, deals, capitalization and repo activity; amounts scale by their unit word."""
     t = F.coalesce(F.col("text"), F.lit(""))
     stats = trading_stats(docs).groupBy("doc_id").agg(*[F.max(F.when(F.lower("label") == k, F.col("today"))).alias(n) for k, n in (("equity turnover", "equity_turnover"), ("shares traded", "shares_traded"), ("number of deals", "equity_deals"))])
-    unit = F.lower(_group(t, REPO_DEALS, 3))
+    # Each pattern goes over a text once; its groups are cut from what it found.
+    found = {"b": (BOND_TURNOVER, 2), "m": (MARKET_CAP, 1), "d": (REPO_DEALS, 4), "r": (REPO_RATE, 1)}
+    whole = docs.select("doc_id", *[F.regexp_extract(t, p, 0).alias(n) for n, (p, _) in found.items()])
+    cut = whole.select("doc_id", *[_groups(F.col(n), p, k).alias(n) for n, (p, k) in found.items()])
+    unit = F.lower(_at(3, "d"))
     scale = F.when(unit == "thousand", 1e3).when(unit == "million", 1e6).when(unit == "billion", 1e9).otherwise(1.0)
-    rest = docs.select(
-        "doc_id", _number(t, BOND_TURNOVER, 1).alias("bond_turnover"), _number(t, BOND_TURNOVER, 2).cast("long").alias("bond_deals"), _number(t, MARKET_CAP, 1).alias("market_capitalization"),
-        _number(t, REPO_DEALS, 1).cast("long").alias("repo_deals"), (_number(t, REPO_DEALS, 2) * scale).alias("repo_turnover"), S.clean_text(_group(t, REPO_DEALS, 4)).alias("repo_tenor"), _number(t, REPO_RATE, 1).alias("repo_rate"),
+    number = lambda k, n: S.parse_number(_at(k, n))
+    rest = cut.select(
+        "doc_id", number(1, "b").alias("bond_turnover"), number(2, "b").cast("long").alias("bond_deals"), number(1, "m").alias("market_capitalization"),
+        number(1, "d").cast("long").alias("repo_deals"), (number(2, "d") * scale).alias("repo_turnover"), S.clean_text(_at(4, "d")).alias("repo_tenor"), number(1, "r").alias("repo_rate"),
     )
     return rest.join(stats, "doc_id", "left").withColumn("equity_deals", F.col("equity_deals").cast("long"))
 

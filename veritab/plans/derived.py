@@ -11,7 +11,7 @@ from veritab.operators import profile as P
 from veritab.operators import retrieve as R
 from veritab.operators import shape as H
 from veritab.plans.registry import query, table
-from veritab.plans.staging import scratch
+from veritab.plans.staging import scratch, spread
 from veritab.sources import readers, sinks
 from veritab.sources.delimited import read_grids
 from veritab.sources.index import ChunkIndex, index_documents
@@ -254,7 +254,7 @@ def _reports(spark, sf_dir):
         F.lit("a. Government bonds"), F.concat(F.lit("RW000A1 Re-opened FXD"), n(size), F.lit("/2020/15Yrs 01/02/2035 12.5% 100.80 100.85 0 0 "), n(size * 1000)),
         F.lit("b. Corporate bonds"), F.lit("RW000B1 EQT1/2021/5Yrs 01/03/2026 11.0% 99.5 99.5 0 0 0"), F.lit("end"),
     ]
-    return table(spark, sf_dir, "part").select(key.alias("doc_id"), F.concat_ws("\n", *said).alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(key.alias("doc_id"), F.concat_ws("\n", *said).alias("text"))
 
 
 @query("""SELECT p_partkey AS doc_id, 'RW' || lpad(p_partkey::VARCHAR, 10, '0') AS isin, 'T' || chr((65 + p_partkey % 26)::INTEGER) || 'X' AS ticker, (p_size + 2)::DOUBLE AS high_12m, p_size::DOUBLE AS low_12m, p_size + 0.5::DOUBLE AS closing, (p_size * 1000)::BIGINT AS volume, (p_size * 2000)::DOUBLE AS value FROM part""")
