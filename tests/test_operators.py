@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veritab.functions import scalars as S
 from veritab.functions import words as T
 from veritab.operators import catalog as C
 from veritab.operators import findings as G
@@ -641,3 +642,20 @@ def test_reports_are_dealt_over_all_cores(spark):
 
     one = derived._reports(spark, "/root/testdata/sf0.001")
     assert one.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+
+def test_plain_cells_read_as_all_others(spark):
+    """The short ways of the scalar functions against their patterns, on odd cells."""
+    odd = ["", " ", "a", " a", "a ", "a  b", "a\tb", "a\n", "12", "12\n", "+5", "-5.25", "1,000", "(3)", "5.", ".5", "-", "1e5", "0012", "\xa07", "7 ", "é", "é x", "2024-02-29", "2023-02-29", "2024-2-9", "0999-01-01", "0000-01-01", "2024-01-01\n", "12/11/2024", None, "x" * 300, "\x1f", "a\x85", "9" * 400, "１２"]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i long, v string").repartition(3)
+    v = F.col("v")
+    any_text = F.nullif(S._strip_any(F.regexp_replace(v, S._SPACE, " ")), F.lit(""))
+    iso = S._iso_date(S._rewrite(S._strip_any(v), S._STRICT))
+    wide = S._iso_date(S._rewrite(S._strip_any(v), S._STRICT[1:] + S._WIDE + S._STRICT[:1]))
+    slow = S._strip_any(v)
+    number = F.regexp_replace(F.regexp_replace(slow, "[,+]", ""), r"(?s)^\((.*)\)$", "-$1")
+    number = F.when(~slow.isin(*S.NOT_A_NUMBER) & number.rlike(S.NUMBER), number.try_cast("double"))
+    pairs = [(S.clean_text(v), any_text), (S.strip(v), slow), (S.parse_date(v), iso), (S.parse_date_builtin(v), F.when(F.year(wide).between(1900, 2100), wide)), (S.parse_number(v), number)]
+    got = d.select("v", *[x.eqNullSafe(y).alias(f"c{i}") for i, (x, y) in enumerate(pairs)]).collect()
+    assert [(r.v, i) for r in got for i in range(len(pairs)) if not r[f"c{i}"]] == []
