@@ -89,12 +89,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written to the shared scratch folder and read again."""
-    from veritab.llm.common import scratch_path
+    from veritab.llm.common import scratch_path, shuffles_dropped
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, work in STAGES:
         out = work(spark, docs, sf_dir)
         path = scratch_path(spark, f"stage-{name}")
-        out.write.parquet(path)
+        with shuffles_dropped(spark):
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -576,3 +576,20 @@ def test_pipeline(spark):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= packing.CAPACITY
     # A lower bound: one sequence more may be what these lengths need.
     assert 0 <= packed.sequence_id.nunique() - packing.lower_bound(np.bincount(packed.length, minlength=packing.CAPACITY + 1)) <= 1
+
+
+def test_stage_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from veritab.llm.common import stage
+
+    files = lambda: {f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    out = stage(spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count(), "dropped")
+    assert out.count() == 997 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    # What count() itself shuffles is one row a task.
+    assert len(files() - before) <= 16
+    held = stage(spark.range(10_000).repartition(8, "id"), "dropped again")
+    now = files()
+    stage(held.repartition(8, "id"), "and again")
+    assert files() <= now
