@@ -593,3 +593,18 @@ def test_stage_leaves_no_shuffle_files(spark):
     now = files()
     stage(held.repartition(8, "id"), "and again")
     assert files() <= now
+
+
+def test_large_buckets_send_their_own_sets_only(spark, monkeypatch):
+    """op5: sets of no large bucket were shuffled with the others whenever a bucket was split."""
+    tokens = {r: np.sort(np.random.default_rng(r).integers(0, 1 << 63, 40, dtype=np.uint64)) for r in range(30)}
+    sets = spark.createDataFrame([(r, bytearray(t.tobytes())) for r, t in tokens.items()], "rep long, tokens binary")
+    rows = spark.createDataFrame([(7, 3), (7, 4), (9, 4)], "bucket long, rep long")
+    expected = sorted((int(p), r) for b, r in ((7, 3), (7, 4), (9, 4)) for p in ngram_join._chosen(tokens[r], b, 5.0))
+    plans = []
+    for most in (500_000, 0):
+        monkeypatch.setattr(ngram_join, "MOST_SENT", most)
+        got = ngram_join._deeper(rows, sets, 5.0)
+        assert sorted((r.bucket, r.rep) for r in got.collect()) == expected
+        plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+    assert "LeftSemi" in plans[0] and "LeftSemi" not in plans[1]

@@ -28,6 +28,8 @@ SKETCH = 512
 #: Sets, and tokens of the sets, in a block of a cluster, on average.
 BLOCK_SETS = 4096
 BLOCK_TOKENS = 1 << 21
+#: Numbers of sets that are sent to all tasks at most (8 bytes each); more are joined by a shuffle.
+MOST_SENT = 500_000
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -251,7 +253,12 @@ def _deeper(rows: DataFrame, sets: DataFrame, branching: float) -> DataFrame:
                 if len(paths):
                     yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(np.full(len(paths), rep, np.int64))], ["bucket", "rep"])
 
-    return rows.join(sets.select("rep", "tokens"), "rep").select("bucket", "rep", "tokens").mapInArrow(run, "bucket long, rep long")
+    rows, sets = stage(rows, "large"), sets.select("rep", "tokens")
+    wanted = stage(rows.select("rep").distinct(), "wanted")
+    if wanted.count() <= MOST_SENT:
+        # Sets are nearly all that is written; those of no large bucket stay where they are.
+        sets = sets.join(F.broadcast(wanted), "rep", "left_semi")
+    return rows.join(sets, "rep").select("bucket", "rep", "tokens").mapInArrow(run, "bucket long, rep long")
 
 
 def _links_in_blocks(members: DataFrame, threshold: float) -> DataFrame:
@@ -313,11 +320,12 @@ def _shared(rows: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, paths: DataFrame, threshold: float = THRESHOLD, branching: float = BRANCHING, bucket: int = BUCKET, levels: int = LEVELS, miss: float = (1 - RECALL) / 2, used: list[str] | None = None) -> DataFrame:
     """(rep, root, linked) as _links_in_blocks() gives them, for reps (rep, row, set_key, copies) of docs (id, row, text) and their paths (rep, paths).
 
-    used: scratch folders that only paths is read from; they are deleted with those made here once the sets that may be
-    linked are known, before whole sets are sent to their blocks.
+    used: scratch folders that only paths is read from; they are deleted once the buckets are written. What is made here
+    is deleted once the sets that may be linked are known, before whole sets are sent to their blocks.
     """
     mark = len(scratch_since(0))
     rows = _shared(paths.select(F.explode("paths").alias("bucket"), "rep"))
+    drop_scratch(docs.sparkSession, [*(used or []), *(p for p in scratch_since(mark) if "/veritab-buckets-" not in p)])
     # Whole texts are read again only for sets that share a bucket.
     wanted = reps.select("rep", "row", "set_key").join(rows.select("rep").distinct(), "rep", "left_semi")
     sets = stage(_sets(docs, wanted), "sets", "uncompressed")
@@ -338,7 +346,7 @@ def links(docs: DataFrame, reps: DataFrame, paths: DataFrame, threshold: float =
     clusters = min_labels(stars, "candidates").withColumnsRenamed({"node": "rep", "label": "block"})
     members = stage(clusters.join(sets.select("rep", "size"), "rep").join(reps.select("rep", "copies"), "rep"), "members")
     kept = ("/veritab-sets-", "/veritab-members-")
-    drop_scratch(docs.sparkSession, [*(used or []), *(p for p in scratch_since(mark) if not any(k in p for k in kept))])
+    drop_scratch(docs.sparkSession, [p for p in scratch_since(mark) if not any(k in p for k in kept)])
     dealt = _block_pairs(members, "block", ["copies"], BLOCK_SETS, BLOCK_TOKENS, threshold)
     return _links_in_blocks(sets.select("rep", "tokens").join(dealt.hint("merge"), "rep"), threshold)
 
